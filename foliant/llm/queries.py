@@ -3,21 +3,55 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe_codec, decontaminate, language_id, secret_scan, simhash_dedup
+from foliant.llm import bpe_codec, decontaminate, language_id, license_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, toxicity, url_filter
 from foliant.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return quality_rules.judge(table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def page_document() -> Column:
+    """The document that a page shows: its number stands in the url's path."""
+    return F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,18})", 1).try_cast("long")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    good = table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    known = pages.select("url", page_document().alias("doc_id")).filter("doc_id is not null").join(good, "doc_id").select("url", "good")
+    return url_filter.judge(pages, known)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    first = F.element_at(F.filter(F.split(url_filter.path_of(url), "/"), lambda s: s != ""), 1)
+    sites = table(spark, sf_dir, "pages").select(page_document().alias("doc_id"), F.struct("page_id", url_filter.host_of(url).alias("host"), first.alias("path")).alias("s")).filter("doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("s"))
+    # Texts stay where they are: sites are joined to what was measured of them.
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels"), sites.select("doc_id", "s.host", "s.path"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
@@ -32,7 +66,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scans, op6_benchmark_decontamination, op8_language_id, op9_simhash_near_dedup, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_toxicity, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_simhash_near_dedup, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
