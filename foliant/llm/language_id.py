@@ -6,7 +6,7 @@ logits are the mean over all its windows, weighted by their bytes. For a trained
 depend on byte pairs only through sums of table rows, so that applying it is table look-ups and a maximum.
 
 Training takes a bounded, seeded sample: for each language at most `per_language` labelled texts outside the held
-out fifth, of each of them `windows` windows. Null and blank languages are not learned. A text that is null or has
+out fifth, of each of them `windows` windows; of languages the most frequent, at most `LANGUAGES`. Null and blank languages are not learned. A text that is null or has
 no letter is `und` with score 0, as is any text where nothing was learned. Repeated rows and null ids stay.
 """
 
@@ -27,6 +27,7 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 #: Bounds of the training sample.
 PER_LANGUAGE = 800
+LANGUAGES = 200
 WINDOWS = 2
 
 
@@ -134,15 +135,18 @@ def apply(net: Network, tables: list[tuple[np.ndarray, ...]], texts: list[bytes]
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> tuple[list[bytes], list[str]]:
     """Windows and languages to learn from: a bounded number of texts of each language in a seeded order; of each, evenly spread windows."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    share = labelled.groupBy("lang").count().select("lang", F.least(F.lit(1.0), 2 * per_language / F.col("count")).alias("share"))
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = counts.select("lang", F.least(F.lit(1.0), 2 * per_language / F.col("count")).alias("share"))
     width = F.greatest(F.lit(1), F.ceil(F.length("text") / windows)).cast("int")
     some = (
-        labelled.join(share, "lang")
+        labelled.join(F.broadcast(share), "lang")  # at most LANGUAGES rows
         .filter(F.pmod(order_key("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-        .select("lang", "doc_id", F.array(*[F.substring("text", 1 + i * width, F.lit(WINDOW)) for i in range(windows)]).alias("cuts"))
+        .select("lang", order_key("doc_id").alias("o"), F.array(*[F.substring("text", 1 + i * width, F.lit(WINDOW)) for i in range(windows)]).alias("cuts"))
     )
-    top = some.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct(order_key("doc_id").alias("o"), "cuts"))), 1, per_language).alias("rows"))
-    pairs = [(cut_.encode()[:WINDOW], r["lang"]) for r in top.orderBy("lang").collect() for row in r["rows"] for cut_ in row["cuts"] if cut_]
+    by: dict[str, list] = {}
+    for r in some.collect():  # about twice as many rows as are kept
+        by.setdefault(r["lang"], []).append((r["o"], r["cuts"]))
+    pairs = [(cut_.encode()[:WINDOW], lang) for lang in sorted(by) for _, cuts in sorted(by[lang])[:per_language] for cut_ in cuts if cut_]
     return [x for x, _ in pairs], [y for _, y in pairs]
 
 
