@@ -89,7 +89,8 @@ def train(texts: list[bytes], languages: list[str], size: int = 8, filters: int
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
     net = Network(names, rng.normal(0, 0.5, (256, size)), {w: rng.normal(0, 1 / np.sqrt(w * size), (w, size, filters)) for w in WIDTHS}, np.zeros(len(WIDTHS) * filters), rng.normal(0, 0.1, (len(WIDTHS) * filters, len(names))), np.zeros(len(names)))
-    x = cut(texts)[0][:, :WINDOW].astype(np.int64)
+    x, owner, _ = cut(texts)
+    x, y = x.astype(np.int64), y[owner]
     weights = [net.embed, *net.filters.values(), net.bias, net.head, net.offset]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(epochs):

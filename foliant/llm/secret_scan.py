@@ -73,16 +73,19 @@ def labelled_samples(docs: DataFrame, most_docs: int = IDENTIFIER_DOCS, most_ran
     return random.union(pairs.select(F.explode(forms).alias("token"), F.lit(False).alias("random")))
 
 
-def model(samples: DataFrame, smooth: float = 0.5) -> list[list[float]]:
-    """The log-likelihood ratio of random strings to identifiers of each character after each, from labelled tokens (token, random)."""
+def model(samples: DataFrame, smooth: float = 0.5, lean: float = 10.0) -> list[list[float]]:
+    """The log-likelihood ratio of random strings to identifiers of each character after each, from labelled tokens (token, random). Seldom seen pairs lean on how often the second character follows any."""
     pair = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, 2))
     pairs = samples.filter(F.length("token") > 1).select("random", F.explode(pair).alias("p")).filter(F.col("p").rlike("^[A-Za-z0-9+/_=-]{2}$"))
     seen = {(r["random"], r["p"]): r["count"] for r in pairs.groupBy("random", "p").count().collect()}
-    out = []
-    for a in LETTERS:
-        rows = [[seen.get((kind, a + b), 0) + smooth for b in LETTERS] for kind in (True, False)]
-        out.append([round(math.log(x / sum(rows[0])) - math.log(y / sum(rows[1])), 6) for x, y in zip(*rows, strict=True)])
-    return out
+    chance = {}
+    for kind in (True, False):
+        after = {b: sum(seen.get((kind, a + b), 0) for a in LETTERS) + smooth for b in LETTERS}
+        whole = sum(after.values())
+        for a in LETTERS:
+            row = sum(seen.get((kind, a + b), 0) for b in LETTERS)
+            chance |= {(kind, a, b): (seen.get((kind, a + b), 0) + lean * after[b] / whole) / (row + lean) for b in LETTERS}
+    return [[round(math.log(chance[True, a, b] / chance[False, a, b]), 6) for b in LETTERS] for a in LETTERS]
 
 
 def ratio(token: Column, table: list[list[float]]) -> Column:
