@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pieces, segment_sum, split_words
+from foliant.llm.common import pieces, segment_sum, split_words, written
 
 #: Words in the lexicon, and the length of the longest in bytes.
 LEXICON = 50_000
@@ -71,6 +71,9 @@ class Vocabulary:
         self.ranks = {tuple(x) if isinstance(x, list) else tuple(x.split(" ")): i for i, x in enumerate(spec["model"]["merges"])}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.letters = byte_letters()
+        #: Of two neighbouring ids, as one number, the merge's rank and result, as one number: the least comes first.
+        self.pairs = {self.ids[a] << 32 | self.ids[b]: r << 32 | self.ids[a + b] for (a, b), r in self.ranks.items()}
+        self.inner, self.last = [self.ids[x] for x in self.letters], [self.ids[x + END] for x in self.letters]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def symbols(self, word: str) -> list[str]:
@@ -79,20 +82,23 @@ class Vocabulary:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """The token ids of one word."""
-        parts, rank = self.symbols(word), self.ranks.get
-        if len(parts) > 64:
-            return [self.ids[x] for x in merge_long(parts, self.ranks)]
-        ranks = [rank(x, 1 << 30) for x in pairwise(parts)]
-        while ranks and (low := min(ranks)) < 1 << 30:
-            i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+        """The token ids of one word: of all pairs the one of least rank is merged, the leftmost among equals, until none is left."""
+        raw = word.encode()
+        if len(raw) > 64:
+            return [self.ids[x] for x in merge_long(self.symbols(word), self.ranks)]
+        ids, get, none = [self.inner[x] for x in raw], self.pairs.get, 1 << 62
+        ids[-1] = self.last[raw[-1]]
+        found = [get(a << 32 | b, none) for a, b in pairwise(ids)]
+        while found and (low := min(found)) < none:
+            i = found.index(low)
+            new = low & 0xFFFFFFFF
+            ids[i : i + 2] = [new]
+            del found[i]
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), 1 << 30)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), 1 << 30)
-        return [self.ids[x] for x in parts]
+                found[i - 1] = get(ids[i - 1] << 32 | new, none)
+            if i < len(found):
+                found[i] = get(new << 32 | ids[i + 1], none)
+        return ids
 
 
 def merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -237,14 +243,25 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, kept: int = KEPT):
         self.v, self.lexicon, self.kept, self.find = vocabulary, lexicon, kept, word_pattern().findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[str, str, int]] = {}
         self.pieces: dict[str, tuple[str, str, int]] = {}
 
     def words(self, piece: str) -> list[str]:
-        """The words of a piece in order; a special token stands as itself."""
-        if self.v.cut and "<|" in piece:
-            return [w for part in self.v.cut.split(piece) for w in ([part] if part in self.v.special else self.find(normalised(part)))]
-        return self.find(normalised(piece))
+        """The words of a normalised piece in order."""
+        if piece.isalpha():  # plain words need no pattern, nor do those before a full stop or comma
+            return [piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.find(piece)
+
+    def split(self, pieces: list[str]) -> list[list[str]]:
+        """The words of each piece; a special token stands as itself. Pieces hold no line breaks, so all are normalised as one text."""
+        out = [self.words(p) for p in normalised("\n".join(pieces)).split("\n")]
+        if self.v.cut:
+            for k, p in enumerate(pieces):
+                if "<|" in p and self.v.cut.search(p):
+                    out[k] = [w for part in self.v.cut.split(p) for w in ([part] if part in self.v.special else self.find(normalised(part)))]
+        return out
 
     def learn(self, words: set[str]) -> None:
         """Resolves words that are not known yet: by the lexicon, else by exact merges."""
@@ -252,23 +269,27 @@ class Codec:
             self.known.clear()
         new = list(words - self.known.keys())
         found = self.lexicon.find(new).tolist() if self.lexicon and new else [-1] * len(new)
+        token = self.v.tokens.__getitem__
         for w, i in zip(new, found, strict=True):
-            self.known[w] = [self.v.special[w]] if w in self.v.special else self.lexicon.ids[self.lexicon.at[i] : self.lexicon.at[i + 1]].tolist() if i >= 0 else self.v.merge(w)
+            ids = [self.v.special[w]] if w in self.v.special else self.lexicon.ids[self.lexicon.at[i] : self.lexicon.at[i + 1]].tolist() if i >= 0 else self.v.merge(w)
+            self.known[w] = " ".join(map(str, ids)), " ".join(map(token, ids)), len(ids)
 
     def resolve(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[str, str, int]]]:
-        """For each piece of the texts its text and its row in what follows: ids and tokens, each joined by spaces, and their number, of each distinct piece that has any."""
+        """For each piece of the texts its row in what follows and its text's number: ids and tokens, each joined by spaces, and their number, of each distinct piece."""
         flat, owner = split_words(texts)
         coded = flat.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.pieces) > self.kept:
             self.pieces.clear()
-        new = {p: self.words(p) for p in distinct if p not in self.pieces}
-        words = {w for x in new.values() for w in x}
-        self.learn(words)
-        token = self.v.tokens.__getitem__
-        for p, x in new.items():
-            ids = [i for w in x for i in self.known[w]]
-            self.pieces[p] = " ".join(map(str, ids)), " ".join(map(token, ids)), len(ids)
+        new = [p for p in distinct if p not in self.pieces]
+        lists = self.split(new) if new else []
+        self.learn({w for x in lists for w in x})
+        for p, x in zip(new, lists, strict=True):
+            if len(x) == 1:
+                self.pieces[p] = self.known[x[0]]
+            else:
+                ids, tokens, n = zip(*[self.known[w] for w in x], strict=True) if x else ((), (), ())
+                self.pieces[p] = " ".join(ids), " ".join(tokens), sum(n)
         rows, index = [self.pieces[p] for p in distinct], coded.indices.to_numpy()
         some = np.fromiter((x[2] > 0 for x in rows), bool, len(rows))[index]
         return index[some], owner[some], rows
@@ -294,10 +315,16 @@ def digest(texts: pa.Array) -> pa.Array:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The most frequent runs of letters over all texts, ties by spelling: counted by Spark, at most `most` to the driver."""
+    """The most frequent runs of letters over all texts, at most `most`. Words are counted by Spark; a histogram of counts, in some hundred classes, gives the count from which on all words come to the driver."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"(\p{L}{2,40})"), F.lit(1))).alias("w"))
-    top = words.groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(most)
-    return [w for r in top.select("w").collect() if len((w := r["w"]).encode()) <= LONGEST]
+    counted = written(words.groupBy("w").count().filter("count > 1").withColumn("class", F.floor(8 * F.log2("count")).cast("int")), "words")
+    least, have = None, 0
+    for r in sorted(counted.groupBy("class").count().collect(), reverse=True):
+        if (have := have + r["count"]) > most:
+            break
+        least = r["class"]
+    top = counted.filter(F.col("class") >= (1 << 30 if least is None else least)).select("w")
+    return [w for r in top.collect() if len((w := r["w"]).encode()) <= LONGEST]
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON) -> str:
