@@ -37,7 +37,7 @@ def parsed(files: DataFrame, path: str = "path") -> DataFrame:
     p = F.regexp_replace(F.coalesce(F.col(path), F.lit("")), r"\\", "/")
     d = files.withColumns({"__name": F.regexp_replace(F.regexp_replace(p, r"^.*/", ""), r"(?<=.)\.[^.]*$", ""), "__parent": F.regexp_replace(p, r"/?[^/]*$", ""), "ext": F.lower(F.regexp_extract(p, r"(\.[^./]+)$", 1))})
     name = F.col("__name")
-    d = d.withColumn("__t", F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)), F.trim))
+    d = d.withColumn("__t", F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)), lambda x: F.trim(x)))
     t = F.col("__t")
     is_term = lambda x: x.rlike(TERM) | x.rlike(TERM_REVERSED)
     at = F.array_position(F.transform(t, is_term), True).cast("int")  # from 1, 0 where there is none

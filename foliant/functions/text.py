@@ -64,7 +64,7 @@ def scrubbed(x: Column) -> Column:
 
 def single_backslashes(x: Column) -> Column:
     """Runs of two or more backslashes before a letter become one."""
-    return F.regexp_replace(x, r"\\{2,}(?=[A-Za-z])", r"\\\\")
+    return F.regexp_replace(x, r"\\{2,}(?=[A-Za-z])", r"\\")
 
 
 def without_tags(x: Column) -> Column:

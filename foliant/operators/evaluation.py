@@ -115,7 +115,7 @@ def mined(pairs: DataFrame, context: int = 5) -> DataFrame:
     spark = pairs.sparkSession
     spark.udtf.register("foliant_diff", DiffSegments)
     pairs.createOrReplaceTempView("foliant_pairs")
-    found = spark.sql("SELECT p.sample_id, d.golden, d.candidate FROM foliant_pairs p, LATERAL foliant_diff(p.g_text, p.c_text, {context}) d", context=F.lit(context))
+    found = spark.sql("SELECT p.sample_id, d.golden, d.candidate FROM foliant_pairs p, LATERAL foliant_diff(p.g_text, p.c_text, :context) d", args={"context": context})
     only = F.array_except(F.transform(risk_tokens(F.col("golden"), "low"), lambda r: F.struct(r["category"], r["token"])), F.transform(risk_tokens(F.col("candidate"), "low"), lambda r: F.struct(r["category"], r["token"])))
     return found.withColumn("category", F.coalesce(F.get(only, F.lit(0))["category"], F.lit("UNCATEGORIZED")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def accepted(numbers: Column) -> Column:
@@ -62,7 +63,7 @@ def column_cut(rows: DataFrame, group: str, x: str, least: float) -> DataFrame:
 
 def reading_order(boxes: DataFrame, group: str) -> DataFrame:
     """boxes (id, x0, y0, x1, y1) with `place`: rows of boxes that overlap by half their height, top down, each from left to right. One page a group, so groups are small."""
-    schema = boxes.schema.add("place", "int")
+    schema = T.StructType([*boxes.schema.fields, T.StructField("place", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lines: list[list] = []
