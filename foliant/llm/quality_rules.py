@@ -141,13 +141,13 @@ def bands(measured: DataFrame) -> DataFrame:
     """lang, and lower and upper bounds of each measure: fences around the quartiles of a group's texts."""
     parts = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in BANDS]
     found = measured.groupBy("lang").agg(F.count("*").alias("n"), *parts)
-    whole = measured.agg(*parts).select(*[F.col(c).alias(f"all_{c}") for c in BANDS])
+    whole = measured.agg(*parts).first()
     sides = []
     for c, (lower, upper) in BANDS.items():
-        q = F.when(F.col("n") >= FEW, F.col(c)).otherwise(F.col(f"all_{c}"))
+        q = F.when(F.col("n") >= FEW, F.col(c)).otherwise(F.lit(whole[c] or [0.0, 0.0]))
         width = F.greatest(FENCE * (q[1] - q[0]), F.lit(FLOORS[c]))
         sides += [(q[0] - width if lower else F.lit(float("-inf"))).alias(f"low_{c}"), (q[1] + width if upper else F.lit(float("inf"))).alias(f"high_{c}")]
-    return found.join(F.broadcast(whole)).select("lang", *sides)  # whole: one row
+    return found.select("lang", *sides)
 
 
 def judge(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str) -> DataFrame:

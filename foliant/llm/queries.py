@@ -69,5 +69,35 @@ def queries():
     return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_toxicity, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_simhash_near_dedup, op10_bpe_codec)}
 
 
+def level_sql(k: int) -> str:
+    """One level of the tree over the shapes of the level before."""
+    return f"""
+deep{k} AS (SELECT *, template[:{k - 1}] AS parent, template[{k}] AS child FROM shapes{k - 1} WHERE len(template) >= {k}),
+node{k} AS (SELECT host, parent, child, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM deep{k} GROUP BY ALL),
+family{k} AS (SELECT host, parent, count(*) AS children, sum(n) AS urls, sum(good) / greatest(sum(labelled), 1) AS p FROM node{k} GROUP BY ALL),
+merged{k} AS (SELECT host, parent, child, true AS merged FROM node{k} JOIN family{k} USING (host, parent) WHERE children > 1 AND ((children >= {url_filter.CHILDREN} AND urls < {url_filter.URLS} * children)
+ OR pow(good - labelled * p, 2) <= {url_filter.APART} * {url_filter.APART} * labelled * (p * (1 - p) + 1e-9) + 1e-9)),
+shapes{k} AS (SELECT host, shape, parent || [CASE WHEN merged THEN '*' ELSE child END] || template[{k + 1}:] AS template, n, labelled, good FROM deep{k} LEFT JOIN merged{k} USING (host, parent, child)
+ UNION ALL SELECT host, shape, template, n, labelled, good FROM shapes{k - 1} WHERE len(template) < {k})"""
+
+
+SHAPE = """list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '[0-9a-f]{12,}') AND regexp_matches(s, '[a-f]') THEN '{hex}' ELSE regexp_replace(s, '[0-9]+', '#', 'g') END)"""
+URLS = f"""WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+v AS (SELECT *, CASE WHEN len(x) > {url_filter.DEPTH} THEN x[:{url_filter.DEPTH}] || ['**'] ELSE x END AS shape FROM (SELECT *, {SHAPE} AS x FROM u)),
+l AS (SELECT doc_id, (min(quality) = 1)::INT AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+k AS (SELECT host, shape, 0 AS n, 1 AS labelled, l.good FROM v JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT)),
+shapes0 AS (SELECT host, shape, shape AS template, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM (SELECT host, shape, 1 AS n, 0 AS labelled, 0 AS good FROM v UNION ALL SELECT * FROM k) GROUP BY host, shape),
+{", ".join(level_sql(k) for k in range(1, url_filter.DEPTH + 1))},
+s AS (SELECT * FROM shapes{url_filter.DEPTH}), a AS (SELECT (sum(good) + 1.0::DOUBLE) / (sum(labelled) + 1.0::DOUBLE) AS everyone FROM s),
+h AS (SELECT host, (sum(good) + {url_filter.STRENGTH}::DOUBLE * (SELECT everyone FROM a)) / (sum(labelled) + {url_filter.STRENGTH}::DOUBLE) AS host_purity FROM s GROUP BY host),
+t AS (SELECT host, template, (sum(good) + {url_filter.STRENGTH}::DOUBLE * any_value(host_purity)) / (sum(labelled) + {url_filter.STRENGTH}::DOUBLE) AS purity FROM s JOIN h USING (host) GROUP BY host, template),
+f AS (SELECT v.page_id, v.host, v.path, '/' || array_to_string(s.template, '/') AS template, t.purity,
+ CASE WHEN (v.host = 'example.org' OR v.host LIKE '%.example.org') AND starts_with(v.path, '/es/') THEN 'example.org/es/' WHEN (v.host = 'example.org' OR v.host LIKE '%.example.org') AND starts_with(v.path, '/en/1') THEN 'example.org/en/1'
+ WHEN (v.host = 'com' OR v.host LIKE '%.com') AND starts_with(v.path, '/fr/') THEN 'com/fr/' WHEN (v.host = 'com' OR v.host LIKE '%.com') AND starts_with(v.path, '/de/') THEN 'com/de/' WHEN (v.host = 'org' OR v.host LIKE '%.org') AND starts_with(v.path, '/') THEN 'org/' END AS rule
+ FROM v LEFT JOIN s ON v.host = s.host AND v.shape = s.shape LEFT JOIN t ON s.host = t.host AND s.template = t.template)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < {url_filter.LEAST} THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 9) AS purity FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator; the others are tested against brute force in tests/llm."""
+    return {"op5_url_filters": URLS}

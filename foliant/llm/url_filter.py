@@ -84,9 +84,9 @@ def templates(urls: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFra
 
 def purity(shapes: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """host, shape, template, purity: the template's smoothed share of good labelled urls."""
-    whole = shapes.agg(((F.sum("good") + 1.0) / (F.sum("labelled") + 1.0)).alias("everyone"))
-    host = shapes.groupBy("host").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).join(F.broadcast(whole))  # one row
-    host = host.select("host", ((F.col("g") + strength * F.col("everyone")) / (F.col("l") + strength)).alias("host_purity"))
+    good, known = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
+    everyone = F.lit((good + 1.0) / (known + 1.0))
+    host = shapes.groupBy("host").agg(((F.sum("good") + strength * everyone) / (F.sum("labelled") + strength)).alias("host_purity"))
     each = shapes.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).join(host, "host")
     each = each.select("host", "template", ((F.col("g") + strength * F.col("host_purity")) / (F.col("l") + strength)).alias("purity"))
     return shapes.select("host", "shape", "template").join(each, ["host", "template"])
@@ -101,4 +101,4 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | No
     rule, says = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     found = urls.withColumn("shape", shape_of(F.col("path"))).join(table, ["host", "shape"], "left")
     method = F.when(F.col("purity") < least, F.lit("block")).otherwise(F.lit("allow"))
-    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("purity", 9).alias("purity"))
