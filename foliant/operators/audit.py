@@ -23,9 +23,9 @@ def numbering(rows: DataFrame, key: str, number: str) -> DataFrame:
 def deviation(rows: DataFrame, value: str, expected: float, least: int = 50, most: float = 0.12) -> DataFrame:
     """value, n, share, biased: shares of values; biased where, of enough rows, one's share is further than `most` from what is expected."""
     counted = rows.groupBy(value).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total"))  # one row
-    return shares.select(value, "n", "share", ((F.col("total") >= least) & (F.abs(F.col("share") - expected) > most)).alias("biased"))
+    total = F.lit(counted.agg(F.sum("n")).first()[0] or 0)
+    shares = counted.withColumn("share", F.col("n") / total)
+    return shares.select(value, "n", "share", ((total >= least) & (F.abs(F.col("share") - expected) > most)).alias("biased"))
 
 
 def coverage(rows: DataFrame, *fields: str) -> DataFrame:
