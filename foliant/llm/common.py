@@ -45,6 +45,12 @@ def order_key(*names: str) -> Column:
     return F.xxhash64(F.lit(20240607), *names)
 
 
+def drawn(rows: DataFrame, most: int, total: int, *key: str) -> DataFrame:
+    """At most `most` rows in a seeded order. Of `total` rows only about four times as many are sorted, so that no task or driver gets a share that grows with the table."""
+    share = min(1.0, 4 * most / max(total, 1))
+    return rows.filter(F.pmod(order_key(*key), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(order_key(*key), *key).limit(most)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about `most` bytes of text, or one row: bounds the memory of what follows."""
     for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import held_out, order_key, pieces, segment_sum, split_words, written
+from foliant.llm.common import drawn, held_out, pieces, segment_sum, split_words, written
 
 MEASURES = ["words", "word_length", "symbols", "capitals", "digits", "distinct_words", "top_word", "duplicate_lines", "bars", "shouts", "stops"]
 #: Bound of the labelled sample that the logistic model is fitted to; bins of each measure.
@@ -132,7 +132,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame, least: float
     each = written(read.join(sites, "doc_id", "left").select("doc_id", F.coalesce("host", "source").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "x"), "sited")
     known = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
     labelled = written(each.join(known, "doc_id"), "labelled")
-    rows = labelled.select("doc_id", "x", "good").orderBy(order_key("doc_id"), "doc_id", "x").limit(ROWS).toPandas()
+    rows = drawn(labelled.select("doc_id", "x", "good"), ROWS, labelled.count(), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     y = rows["good"].to_numpy(float)
     model = fit(np.stack(rows["x"].to_numpy()), y) if len(rows) and 0 < y.mean() < 1 else None
     share, hosts, paths = posteriors(labelled.select("host", "path", "good"))

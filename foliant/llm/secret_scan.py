@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import order_key
+from foliant.llm.common import drawn
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 #: Runs are whole, so that a least length in the pattern equals dropping shorter runs afterwards.
@@ -66,7 +66,7 @@ def labelled_samples(docs: DataFrame, most_docs: int = IDENTIFIER_DOCS, most_ran
     digest = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256)
     forms = [F.substring(digest, 1, 40), F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""), 1, 40), F.substring(F.translate(F.base64(F.unhex(digest)), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234"), 1, 20)]
     random = spark.range(most_random).select(F.explode(F.array(*forms)).alias("token"), F.lit(True).alias("random"))
-    some = docs.select(F.substring("text", 1, 2000).alias("text"), order_key("doc_id").alias("o")).filter("text is not null").orderBy("o", "text").limit(most_docs)
+    some = drawn(docs.select("doc_id", F.substring("text", 1, 2000).alias("text")), most_docs, docs.count(), "doc_id").filter("text is not null")
     words = some.select(F.regexp_extract_all("text", F.lit("([A-Za-z][a-z]+)"), F.lit(1)).alias("words"))
     pairs = words.select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("next"))).alias("p")).select(F.col("p.w"), F.coalesce("p.next", F.lit("")).alias("next"))
     forms = F.array(F.lower("w"), F.concat_ws("_", F.lower("w"), F.lower("next")), F.concat(F.lower("w"), F.initcap("next")))

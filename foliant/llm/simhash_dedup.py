@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import order_key, written
+from foliant.llm.common import drawn, written
 
 MOST = 4
 SHINGLE = 4
@@ -239,8 +239,9 @@ def linked(rows: DataFrame, most: int) -> DataFrame:
 
 def links(fps: DataFrame, most: int = MOST, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """src < dst (as signed numbers): links between distinct fingerprints fp that have the components of all links."""
-    some = fps.orderBy(order_key("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    parts = plan(some, fps.count(), most)
+    n = fps.count()
+    some = drawn(fps, sample, n, "fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    parts = plan(some, n, most)
     rows = fps.select("fp", F.explode(F.flatten(F.array(*[F.concat(*keys(i, bits, t)) for i, (bits, t) in enumerate(parts)]))).alias("k")).select("k.*", "fp")
     owned = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(mask_of(bits)))).alias("key")) for i, (bits, _) in enumerate(parts)])).alias("k")).select("k.*")
     if owned.groupBy("part", "key").count().filter(F.col("count") > block).isEmpty():

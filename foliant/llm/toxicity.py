@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import held_out, order_key, pieces, split_words
+from foliant.llm.common import drawn, held_out, pieces, split_words
 
 DIMENSIONS = 1 << 18
 #: Bounds of the training sample: documents of each label, and the longest text in characters.
@@ -90,7 +90,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     """Texts, labels and weights to learn from: ids are drawn from the labels alone, so that only a bounded list of ids meets the documents."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    some = known.filter("toxic = 1").orderBy(order_key("doc_id"), "doc_id").limit(toxic).union(known.filter("toxic = 0").orderBy(order_key("doc_id"), "doc_id").limit(clean))
+    some = drawn(known.filter("toxic = 1"), toxic, total.get(1, 0), "doc_id").union(drawn(known.filter("toxic = 0"), clean, total.get(0, 0), "doc_id"))
     fit = docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
     rows = fit.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most toxic + clean rows
     have = {k: max(1, sum(r["toxic"] == k for r in rows)) for k in (0, 1)}
