@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import balanced, missing
+from foliant.sources.durable import durable
 
 
 def numbering(rows: DataFrame, key: str, number: str) -> DataFrame:
@@ -105,7 +106,7 @@ def stable_ids(now: DataFrame, then: DataFrame, key: str, fields: list[str]) ->
 def surrogate_ids(rows: DataFrame, order: list[str], name: str = "id", within: str = "__bucket", buckets: int = 64) -> DataFrame:
     """rows with consecutive ids from 1 in a total order. Rows are ranged over buckets by the first column and numbered within each; the buckets' sizes, a bounded table, give the offsets."""
     ranged = rows.repartitionByRange(buckets, *order).withColumn(within, F.spark_partition_id())
-    local = ranged.withColumn("__n", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
+    local = durable(ranged.withColumn("__n", F.row_number().over(Window.partitionBy(within).orderBy(*order))))  # the sampled ranges must not change between uses
     sizes = local.groupBy(within).agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(within, "__before")
     return local.join(F.broadcast(before), within).withColumn(name, F.col("__n") + F.col("__before")).drop(within, "__n", "__before")  # at most `buckets` rows
