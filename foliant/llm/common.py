@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; a larger one is joined as Spark sees fit. For tables that are cheap to count, with short rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that is never learned from; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import sized, written
 
 #: Verdict and rule (host, path) as the contract has them.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -99,6 +99,6 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | No
     known = labels.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("good").cast("boolean"))
     table = written(purity(templates(urls, known)), "url-purity")
     rule, says = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    found = urls.withColumn("shape", shape_of(F.col("path"))).join(table, ["host", "shape"], "left")
+    found = urls.withColumn("shape", shape_of(F.col("path"))).join(sized(table), ["host", "shape"], "left")
     method = F.when(F.col("purity") < least, F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("purity", 9).alias("purity"))
