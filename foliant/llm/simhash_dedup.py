@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import drawn, written
+from foliant.llm.common import drawn, sized, written
 
 MOST = 4
 SHINGLE = 4
@@ -31,6 +31,8 @@ SHINGLE = 4
 SAMPLE = 4000
 #: Owners of a key beyond which its group is split into blocks over tasks.
 BLOCK = 20_000
+#: Ids, of eight bytes each, that are broadcast at most.
+GONE = 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -289,8 +291,10 @@ def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, b
 def keep_one(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs, all columns, for each component: of the smallest doc_id. Rows without a doc_id go."""
     each = near_duplicates(docs, most, shingle)
-    ids = written(each.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")).filter("doc_id = component_id").select("doc_id", "rows"), "kept")
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    ids = written(each.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "ids")
+    # Texts need not move while the ids that go are few; beyond that both sides are shuffled by id.
+    gone = sized(ids.filter("doc_id <> component_id").select("doc_id"), GONE)
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
     if ids.filter("rows > 1").isEmpty():
         return kept
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
