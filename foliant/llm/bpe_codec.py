@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pieces, segment_sum, split_words, written
+from foliant.llm.common import pieces, segment_sum, shared_dir, split_words, write_bytes, written
 
 #: Words in the lexicon, and the length of the longest in bytes.
 LEXICON = 50_000
@@ -186,17 +185,19 @@ def compile_lexicon(words: list[str], encode) -> dict[str, np.ndarray]:
     }
 
 
-def save_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
-    """One file: a line of JSON with places and kinds, then the arrays."""
+def lexicon_bytes(arrays: dict[str, np.ndarray]) -> bytes:
+    """What a lexicon's file holds: a line of JSON with places and kinds, then the arrays."""
     at, head = 0, {}
     for k, v in arrays.items():
         head[k] = (at, len(v), str(v.dtype))
         at += -(-v.nbytes // 8) * 8
     line = json.dumps(head).encode()
-    with open(path, "wb") as f:
-        f.write(line + b" " * (-(len(line) + 1) % 8) + b"\n")
-        for v in arrays.values():
-            f.write(v.tobytes() + b"\0" * (-v.nbytes % 8))
+    return line + b" " * (-(len(line) + 1) % 8) + b"\n" + b"".join(v.tobytes() + b"\0" * (-v.nbytes % 8) for v in arrays.values())
+
+
+def save_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
+    """A lexicon's file on a local disk."""
+    Path(path).write_bytes(lexicon_bytes(arrays))
 
 
 class Lexicon:
@@ -328,10 +329,10 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON) -> str:
-    """Compiles the lexicon of the texts and gives it to all executors; returns the name of the file."""
+    """Compiles the lexicon of the texts into the shared folder, from where executors fetch it, later ones too; returns the name of the file."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = str(Path(tempfile.mkdtemp(prefix="foliant-")) / name)
-    save_lexicon(compile_lexicon(frequent_words(docs, most), vocabulary.merge), path)
+    path = f"{shared_dir(docs.sparkSession)}/{name}"
+    write_bytes(docs.sparkSession, path, lexicon_bytes(compile_lexicon(frequent_words(docs, most), vocabulary.merge)))
     docs.sparkSession.sparkContext.addFile(path)
     return name
 

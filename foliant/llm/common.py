@@ -35,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file in any folder that Spark can reach, written by the driver: for small files only."""
+    sc = spark.sparkContext
+    to = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
 def sized(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df, marked for broadcast if it has at most `most` rows; a larger one is joined as Spark sees fit. For tables that are cheap to count, with short rows."""
     return F.broadcast(df) if df.count() <= most else df
