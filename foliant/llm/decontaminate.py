@@ -3,13 +3,14 @@
 Texts are sequences of words, lower-cased and without punctuation at their ends. A document holds an item of n
 words if some run of its words has a word edit distance of at most floor(n / 5) to it (similarity 0.8 or more).
 
-The method: of each item, windows of about half its length stand for it, one at either end (items too short for an
-edit stand whole). Every run of as many words of a document is a window too. A CGK random walk embeds a window, so
-that edit distance becomes Hamming distance: at each step the walk writes the word it stands on and stays or moves
-on by a random bit of word and step. Bit-sampling LSH hashes a few positions of the walk; `repeats` independent
-walks reach the target recall. Windows of items and documents that collide are candidates, each verified by the
-exact edit distance of the whole item. Before the walk, windows are left out that cannot match because too few of
-their word pairs occur in any item: an edit destroys at most two pairs, so this loses nothing.
+The method: an item for which e edits are allowed is cut into e + 1 windows. An edit damages at most one of them, so
+some window is whole in every run that holds the item. Every run of as many words of a document is a window too. A
+CGK random walk embeds a window: at each step the walk writes the word it stands on and stays or moves on by a random
+bit of word and step. Bit-sampling LSH hashes a few positions of the walk. Equal windows collide with a chance of 1,
+so one walk (`repeats`) has a recall of 1, whatever the item's length and the edits. Before the walk, windows are left
+out of which a word pair occurs in no item. Windows of items and documents that collide are candidates; those go around
+whose place fewer of the item's words stand than a match must have, and the others are verified by the exact edit
+distance of the whole item. Neither filter loses a match.
 
 Null and blank texts hold nothing, and neither does any text an item without words. Copies of an item match alike.
 Items come to the driver in blocks, a stated query set; documents are only scanned, there is no shuffle.
@@ -30,14 +31,15 @@ from foliant.llm.common import pieces, split_words
 
 #: Edits allowed: one in so many words.
 ONE_IN = 5
-#: Independent walks, and positions of a walk that make a hash.
-REPEATS = 16
+#: Independent walks, and positions of a walk that make a hash. Some window of a match has no edit, so one walk finds it.
+REPEATS = 1
 BITS = 5
 #: Items in one index; more take more scans.
 ITEMS = 20_000
 #: Punctuation that is cut from the ends of words.
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„‚…–—¿¡"
-SIZES = [1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185, 231, 289, 361, 451, 564, 705, 881, 1101]
+#: Candidates' words that are looked at in one go.
+AT_ONCE = 2_000_000
 
 
 def bare(words: pa.Array) -> pa.Array:
@@ -80,6 +82,8 @@ class Index:
     items: list[list[int]] = field(default_factory=list)
     words: dict[str, int] = field(default_factory=dict)
     pairs: np.ndarray | None = None
+    #: (item, word) of the words that an item has, as sorted numbers
+    members: np.ndarray | None = None
     #: size: (pairs needed, for each repeat the sorted hashes, and each hash's item and offset)
     tables: dict[int, tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=dict)
     repeats: int = REPEATS
@@ -108,11 +112,9 @@ class Index:
 
 
 def windows_of(n: int) -> tuple[int, list[int]]:
-    """Size and offsets of the windows that stand for an item of n words."""
-    if n // ONE_IN == 0:
-        return n, [0]
-    size = max(s for s in SIZES if s <= n // 2)
-    return size, [0, n - size]
+    """Size and offsets of the windows that stand for an item of n words: one more than it may have edits, none overlapping."""
+    parts = n // ONE_IN + 1
+    return n // parts, [i * n // parts for i in range(parts)]
 
 
 def build(rows: list[tuple[int, str | None]], repeats: int = REPEATS, bits: int = BITS) -> Index:
@@ -128,6 +130,7 @@ def build(rows: list[tuple[int, str | None]], repeats: int = REPEATS, bits: int
     index.pairs = np.zeros(1 << 22, bool)
     for w in index.items:
         index.pairs[pair_slot(np.array(w[:-1], np.int64), np.array(w[1:], np.int64))] = True
+    index.members = np.unique(np.array([k * (len(index.words) + 1) + x for k, w in enumerate(index.items) for x in set(w)], np.int64))
     by_size: dict[int, list[tuple[int, int]]] = {}
     for k, w in enumerate(index.items):
         size, offsets = windows_of(len(w))
@@ -136,9 +139,8 @@ def build(rows: list[tuple[int, str | None]], repeats: int = REPEATS, bits: int
         words = np.array([x for k, o in places for x in index.items[k][o : o + size]], np.int64)
         hashes = index.hashes(words, np.arange(len(places)) * size, size)
         who, offset = (np.array(x, np.int64) for x in zip(*places, strict=True))
-        most = max(len(index.items[k]) // ONE_IN for k, _ in places)
         order = np.argsort(hashes, axis=1, kind="stable")
-        index.tables[size] = max(0, size - 1 - 2 * (most // 2)), [(h[o], who[o], offset[o]) for h, o in zip(hashes, order, strict=True)]
+        index.tables[size] = size - 1, [(h[o], who[o], offset[o]) for h, o in zip(hashes, order, strict=True)]
     return index
 
 
@@ -146,8 +148,26 @@ def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 1_000_003 + b) & ((1 << 22) - 1)
 
 
+def likely(index: Index, words: np.ndarray, first: np.ndarray, end: np.ndarray, who: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which candidates have enough of the item's words around their place. first, end: of each candidate's document."""
+    n = np.fromiter(map(len, index.items), np.int64, len(index.items))[who]
+    lo, hi = np.maximum(first, place - n // ONE_IN), np.minimum(end, place + n + n // ONE_IN)
+    size, out = np.maximum(hi - lo, 0), np.zeros(len(who), bool)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(who):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        of = np.repeat(np.arange(at, to), size[at:to])
+        word = words[np.arange(len(of)) - np.repeat(ends[at:to] - size[at:to] - (ends[at - 1] if at else 0), size[at:to]) + lo[of]]
+        key = who[of] * (len(index.words) + 1) + word
+        held = index.members[np.minimum(np.searchsorted(index.members, key), len(index.members) - 1)] == key
+        out[at:to] = np.bincount(of[held] - at, minlength=to - at) >= (n - n // ONE_IN)[at:to]
+        at = to
+    return out
+
+
 def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int]]:
-    """(document, item, place): where windows of documents collide with windows of items. Places are of the item's first word."""
+    """(document, item, place): where windows of documents collide with windows of items, and enough of the item's words are near. Places are of the item's first word."""
     found: set[tuple[int, int, int]] = set()
     if not len(words):
         return found
@@ -157,7 +177,7 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
     at = np.flatnonzero(both)
     both[at] = index.pairs[pair_slot(words[at], words[at + 1])]
     sums = np.concatenate([[0], np.cumsum(both, dtype=np.int32)])
-    last = np.searchsorted(owner, np.arange(owner[-1] + 1), side="right")
+    first, last = (np.searchsorted(owner, np.arange(owner[-1] + 1), side=side) for side in ("left", "right"))
     for size, (need, tables) in index.tables.items():
         if len(words) < size:
             continue
@@ -173,7 +193,9 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
                 n = (hi - lo)[hit]
                 k = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 p = np.repeat(block[hit], n)
-                found.update(zip(owner[p].tolist(), who[k].tolist(), (p - offset[k]).tolist(), strict=True))
+                doc, item, place = owner[p], who[k], p - offset[k]
+                some = likely(index, words, first[doc], last[doc], item, place)
+                found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
     return found
 
 

@@ -78,3 +78,21 @@ def test_odd_rows(spark, odd, none):
 def test_walks_are_repeatable():
     a, b = (d.build([(1, "a b c d e f g h i j")]) for _ in range(2))
     assert all(np.array_equal(x[0], y[0]) for (_, t), (_, u) in zip(a.tables.values(), b.tables.values(), strict=True) for x, y in zip(t, u, strict=True))
+
+
+@pytest.mark.parametrize("n", [5, 9, 14, 40, 60, 100, 150, 250, 400])
+@pytest.mark.parametrize("how", ["random", "even", "insert", "delete"])
+def test_nothing_is_lost_at_the_full_distance(n, how):
+    """Exactly n // 5 edits, by item length and kind of edit."""
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items, docs = [], []
+    for i in range(10):
+        words, edits = rng.sample(vocabulary, n), n // d.ONE_IN
+        items.append((i, " ".join(words)))
+        places = [(2 * j + 1) * n // (2 * edits) for j in range(edits)] if how == "even" else rng.sample(range(n), edits)
+        for p in sorted(places, reverse=True):
+            words[p : p + 1] = {"insert": ["new", words[p]], "delete": []}.get(how, ["new"])
+        docs.append(" ".join([*rng.choices(vocabulary, k=40), *words, *rng.choices(vocabulary, k=40)]))
+    got = {(a, b) for a, b, *_ in d.matches(d.build(items), pa.array(docs))}
+    assert {(i, i) for i in range(10)} <= got
