@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near-duplicates: the one with the smallest doc_id; one without a doc_id only where no other is."""
+    return simhash_dedup.keep_one(docs, unnamed=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import drawn, sized, written
@@ -31,7 +31,7 @@ SHINGLE = 4
 SAMPLE = 4000
 #: Owners of a key beyond which its group is split into blocks over tasks.
 BLOCK = 20_000
-#: Ids, of eight bytes each, that are broadcast at most.
+#: Row keys, of eight bytes each, that are broadcast at most.
 GONE = 2_000_000
 
 
@@ -52,15 +52,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and more longs of every row."""
+    wide = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+    names = ["doc_id", "fp", *wide.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return wide.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # The plan: partitions and thresholds
@@ -288,14 +290,24 @@ def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, b
     return each.join(known.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs, all columns, for each component: of the smallest doc_id. Rows without a doc_id go."""
-    each = near_duplicates(docs, most, shingle)
-    ids = written(each.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "ids")
-    # Texts need not move while the ids that go are few; beyond that both sides are shuffled by id.
-    gone = sized(ids.filter("doc_id <> component_id").select("doc_id"), GONE)
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if ids.filter("rows > 1").isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+def row_key(docs: DataFrame) -> Column:
+    """A number of a row's content; nulls count, which the hash alone passes over."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*names, *[c.isNull() for c in names])
+
+
+def keep_one(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, unnamed: bool = False) -> DataFrame:
+    """One row of docs, all columns, for each component: of the smallest doc_id, then of the least row key. Rows without a doc_id come last in a component; they stay only if `unnamed`."""
+    each = written(fingerprints(docs, shingle, row_key(docs).alias("row")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    fps = written(each.groupBy("fp").agg(F.min(first).alias("best")), "distinct-fingerprints")
+    roots = components(links(fps.select("fp"), most))
+    best = fps.join(roots, fps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best")).select("best.*")
+    chosen = (best if unnamed else best.filter("not unnamed")).select("row", F.lit(True).alias("chosen"))
+    rows = written(each.groupBy("row").agg(F.count("*").alias("rows")).join(chosen, "row", "left"), "rows")
+    # Texts need not move while the rows that go are few; beyond that both sides are shuffled by their keys.
+    gone = sized(rows.filter("chosen is null").select(F.col("row").alias("__row")), GONE)
+    kept = docs.withColumn("__row", row_key(docs)).join(gone, "__row", "left_anti")
+    if not rows.filter("chosen and rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["__row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,3 +49,9 @@ def test_empty_table(spark, sf, tmp_path):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert c.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_dedup_keeps_rows_without_an_id(spark, sf):
+    path, rows = sf
+    docs = spark.createDataFrame([(None, "a clean text that no other row has, without an id", "en", "s", 1), *rows[:3]], spark.read.parquet(f"{path}/documents.parquet").schema)
+    assert None in {r["doc_id"] for r in c.near_dedup(spark, docs, path).collect()}

@@ -102,3 +102,18 @@ def test_keep_one(odd, none):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids) == [1, 3, 7, 8, 9]
     assert s.keep_one(none).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    """Null and reused ids: every component keeps exactly one row, and what is near nothing stays."""
+    text = lambda k: " ".join(f"{k}{w}" for w in range(60))
+    rows = [(5, text("a"), "x"), (7, text("a"), "x"), (7, text("b"), "x"), (9, text("b"), "x"), (3, text("c"), "x"), (3, text("d"), "x"), (None, text("e"), "x"), (None, text("f"), None), (None, text("f"), None), (None, text("c"), "x"), (4, text("g"), None), (4, text("g"), None), (4, text("g"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [(r["doc_id"], r["text"][0]) for r in s.keep_one(docs, unnamed=True).collect()]
+    assert sorted(kept, key=lambda x: x[1]) == [(5, "a"), (7, "b"), (3, "c"), (3, "d"), (None, "e"), (None, "f"), (4, "g")]
+    assert sorted(r["text"][0] for r in s.keep_one(docs).collect()) == list("abcdg")
+
+
+def test_row_key_counts_nulls(spark):
+    docs = spark.createDataFrame([("x", None), (None, "x")], "text string, lang string")
+    assert docs.select(s.row_key(docs)).distinct().count() == 2
