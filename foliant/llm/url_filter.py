@@ -1,9 +1,10 @@
 """URL filters: rules for hosts and paths, and beyond them a tree of path templates judged by labelled purity.
 
 All in DataFrame functions. A url's path is cut into segments; runs of digits in a segment become `#` and long
-hexadecimal names `{hex}` at once. Then, level by level for each host and parent, a parent with many children of
-few urls each has them replaced by the wildcard `*`, and otherwise those children are merged into `*` whose labelled
-purity does not differ from their siblings' by more than chance allows. A template's purity is its share of good
+hexadecimal names `{hex}` at once. Then, level by level for each host and parent, those children are merged into the wildcard `*` whose
+labelled purity does not differ from their siblings' by more than chance allows. Among many children, those of few urls
+are compared with each other, and one of so many must differ the more to stand alone; children of many urls are judged
+by their own labels, whatever their siblings' number. A template's purity is its share of good
 labelled urls, smoothed toward its host's, which is smoothed toward that of all; low purity blocks.
 
 Counts are aggregated to (host, path shape) before anything is joined, so a host with a third of all urls is a few
@@ -22,8 +23,10 @@ from foliant.llm.common import sized, written
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Levels of the tree; deeper segments are one.
 DEPTH = 3
-#: A parent with so many children, or more, of fewer urls each than this on average, has variable children.
+#: A parent with so many children, or more, has variable ones: those of fewer urls than this.
 CHILDREN, URLS = 16, 8
+#: The chance, over all of a parent's children, that one of the variable ones stands alone though it is like the others.
+ERROR = 0.05
 #: Standard deviations by which a branch must differ from its siblings to stand alone.
 APART = 2.0
 #: Labelled urls that a host's, or everyone's, purity counts as; and the purity below which a template is rejected.
@@ -62,11 +65,19 @@ def generalised(shapes: DataFrame, level: int) -> DataFrame:
     deep = shapes.filter(F.size("template") >= level)
     parent = F.slice("template", 1, level - 1)
     node = deep.groupBy("host", parent.alias("parent"), F.element_at("template", level).alias("child")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")])
-    family = node.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("urls"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
+    few = F.col("n") < URLS
+    family = node.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"), *[F.coalesce(F.sum(F.when(few, F.col(c))), F.lit(0)).alias(f"few_{c}") for c in ("labelled", "good")])
+    many = F.col("children") >= CHILDREN
     p = F.col("all_good") / F.greatest("all_labelled", F.lit(1))
-    variable = (F.col("children") >= CHILDREN) & (F.col("urls") < URLS * F.col("children"))
-    alike = F.pow(F.col("good") - F.col("labelled") * p, 2) <= APART * APART * F.col("labelled") * (p * (1 - p) + 1e-9) + 1e-9
-    merged = node.join(family, ["host", "parent"]).filter((F.col("children") > 1) & (variable | alike)).select("host", "parent", "child", F.lit(True).alias("merged"))
+    # The rest of a large family is what is left of it: a child with most of its labels must not set its own standard.
+    rest = F.when(many, 1 - F.col("labelled") / F.greatest("all_labelled", F.lit(1))).otherwise(F.lit(1.0))
+    alike = F.pow(F.col("good") - F.col("labelled") * p, 2) <= APART * APART * F.col("labelled") * (p * (1 - p) + 1e-9) * rest + 1e-9
+    # Chernoff's bound of the chance that a child of few urls has its labels as one of its kind, times the number of children.
+    q = F.least(F.greatest(F.col("few_good") / F.greatest("few_labelled", F.lit(1)), F.lit(1e-9)), F.lit(1 - 1e-9))
+    bad, share = F.col("labelled") - F.col("good"), F.col("good") / F.greatest("labelled", F.lit(1))
+    apart = F.when(F.col("good") > 0, F.col("good") * F.log(share / q)).otherwise(0.0) + F.when(bad > 0, bad * F.log((1 - share) / (1 - q))).otherwise(0.0)
+    variable = F.exp(-apart) * F.col("children") >= ERROR
+    merged = node.join(family, ["host", "parent"]).filter((F.col("children") > 1) & F.when(many & few, variable).otherwise(alike)).select("host", "parent", "child", F.lit(True).alias("merged"))
     keyed = deep.select("*", parent.alias("parent"), F.element_at("template", level).alias("child")).join(merged, ["host", "parent", "child"], "left")
     star = F.concat("parent", F.array(F.when(F.col("merged"), F.lit("*")).otherwise(F.col("child"))), F.slice("template", level + 1, DEPTH + 2))
     return keyed.select("host", "shape", star.alias("template"), "n", "labelled", "good").union(shapes.filter(F.size("template") < level))

@@ -60,3 +60,26 @@ def test_native_and_odd(spark):
     assert not re.search("Python|Pandas|Arrow", u.judge(pages(spark), labels)._jdf.queryExecution().toString())
     assert u.judge(pages(spark).limit(0), labels).count() == 0
     assert u.judge(pages(spark), labels.limit(0)).filter(F.col("verdict").isNull()).count() == 0
+
+
+def letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+def test_a_heavy_branch_among_many_sparse_ones_stands_alone(spark):
+    """Whatever the number of siblings and of their labels."""
+    for labelled, heavy in ((1000, 500), (4, 500), (100, 5000)):
+        good = [f"http://site.net/{letters(i)}/p" for i in range(1000)]
+        bad = [f"http://site.net/casino/{i}" for i in range(heavy)]
+        labels = spark.createDataFrame([(x, True) for x in good[:labelled]] + [(x, False) for x in bad], "url string, good boolean")
+        got = u.judge(pages(spark, list(enumerate(good + bad))), labels).groupBy("template", "verdict").count().collect()
+        assert {(r["template"], r["count"]) for r in got} == {("/*/p", 1000), ("/casino/#", heavy)}
+        assert ("/casino/#", "block") in {(r["template"], r["verdict"]) for r in got}
+
+
+def test_single_labels_do_not_split_sparse_branches(spark):
+    rows = [(i, f"http://site.net/{letters(i)}/p") for i in range(1000)]
+    rows += [(1000 + i, f"http://site.net/pills/{'p' * (i + 1)}") for i in range(7)]
+    labels = spark.createDataFrame([(x, i % 100 > 0 and i < 1000) for i, x in rows], "url string, good boolean")
+    got = {r["template"] for r in u.judge(pages(spark, rows), labels).select("template").distinct().collect()}
+    assert "/*/p" in got and all(x == "/*/p" or x.startswith("/pills/") for x in got)
