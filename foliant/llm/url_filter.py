@@ -1,7 +1,7 @@
 """URL filters: rules for hosts and paths, and beyond them a tree of path templates judged by labelled purity.
 
 All in DataFrame functions. A url's path is cut into segments; runs of digits in a segment become `#` and long
-hexadecimal names `{hex}` at once. Then, level by level for each host and parent, those children are merged into the wildcard `*` whose
+hexadecimal names `{hex}` at once. Then, level by level as deep as paths part, for each host and parent those children are merged into the wildcard `*` whose
 labelled purity does not differ from their siblings' by more than chance allows. Among many children, those of few urls
 are compared with each other, and one of so many must differ the more to stand alone; children of many urls are judged
 by their own labels, whatever their siblings' number. A template's purity is its share of good
@@ -21,7 +21,7 @@ from foliant.llm.common import sized, written
 
 #: Verdict and rule (host, path) as the contract has them.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Levels of the tree; deeper segments are one.
+#: Levels that the SQL twin writes out; the tree here grows as deep as paths part.
 DEPTH = 3
 #: A parent with so many children, or more, has variable ones: those of fewer urls than this.
 CHILDREN, URLS = 16, 8
@@ -53,11 +53,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with digits and hexadecimal names generalised, no more than depth + 1 of them."""
+def shape_of(path: Column) -> Column:
+    """The path's segments with digits and hexadecimal names generalised."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-f]{12,}$") & s.rlike("[a-f]"), F.lit("{hex}")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
-    return F.when(F.size(plain) > depth, F.concat(F.slice(plain, 1, depth), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-f]{12,}$") & s.rlike("[a-f]"), F.lit("{hex}")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
 def generalised(shapes: DataFrame, level: int) -> DataFrame:
@@ -79,17 +78,19 @@ def generalised(shapes: DataFrame, level: int) -> DataFrame:
     variable = F.exp(-apart) * F.col("children") >= ERROR
     merged = node.join(family, ["host", "parent"]).filter((F.col("children") > 1) & F.when(many & few, variable).otherwise(alike)).select("host", "parent", "child", F.lit(True).alias("merged"))
     keyed = deep.select("*", parent.alias("parent"), F.element_at("template", level).alias("child")).join(merged, ["host", "parent", "child"], "left")
-    star = F.concat("parent", F.array(F.when(F.col("merged"), F.lit("*")).otherwise(F.col("child"))), F.slice("template", level + 1, DEPTH + 2))
+    star = F.concat("parent", F.array(F.when(F.col("merged"), F.lit("*")).otherwise(F.col("child"))), F.slice(F.col("template"), level + 1, F.size("template")))
     return keyed.select("host", "shape", star.alias("template"), "n", "labelled", "good").union(shapes.filter(F.size("template") < level))
 
 
-def templates(urls: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame, labels: DataFrame) -> DataFrame:
     """host, shape, template, n, labelled, good of each host and path shape. urls: host, path. labels: host, path, good (boolean)."""
-    counted = urls.select("host", shape_of(F.col("path"), depth).alias("shape"), F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("good"))
-    marked = labels.filter("good is not null").select("host", shape_of(F.col("path"), depth).alias("shape"), F.lit(0), F.lit(1), F.col("good").cast("int"))
+    counted = urls.select("host", shape_of(F.col("path")).alias("shape"), F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("good"))
+    marked = labels.filter("good is not null").select("host", shape_of(F.col("path")).alias("shape"), F.lit(0), F.lit(1), F.col("good").cast("int"))
     shapes = counted.union(marked).groupBy("host", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")]).withColumn("template", F.col("shape")).select("host", "shape", "template", "n", "labelled", "good")
-    for level in range(1, depth + 1):
-        shapes = written(generalised(shapes, level), "url-templates")
+    shapes, level = written(shapes, "url-templates"), 1
+    # Below a parent of one shape nothing parts.
+    while not shapes.filter(F.size("template") >= level).groupBy("host", F.slice("template", 1, level - 1)).count().filter("count > 1").isEmpty():
+        shapes, level = written(generalised(shapes, level), "url-templates"), level + 1
     return shapes
 
 

@@ -83,3 +83,10 @@ def test_single_labels_do_not_split_sparse_branches(spark):
     labels = spark.createDataFrame([(x, i % 100 > 0 and i < 1000) for i, x in rows], "url string, good boolean")
     got = {r["template"] for r in u.judge(pages(spark, rows), labels).select("template").distinct().collect()}
     assert "/*/p" in got and all(x == "/*/p" or x.startswith("/pills/") for x in got)
+
+
+def test_branches_part_at_any_depth(spark):
+    rows = [(i, f"http://site.net/a/b/c/d/e/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
+    labels = spark.createDataFrame([(x, "news" in x) for _, x in rows], "url string, good boolean")
+    got = u.judge(pages(spark, rows), labels).select("template", "verdict").distinct().collect()
+    assert {(r["template"], r["verdict"]) for r in got} == {("/a/b/c/d/e/spam/#", "block"), ("/a/b/c/d/e/news/#", "allow")}
