@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 import uuid
 from collections.abc import Iterator
 from hashlib import sha256
@@ -26,7 +25,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
+import tokenizers
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +33,12 @@ from pyspark.sql import functions as F
 from foliant.llm.common import pieces, segment_sum, shared_dir, split_words, write_bytes, written
 
 #: Words in the lexicon, and the length of the longest in bytes.
-LEXICON = 50_000
+LEXICON = 200_000
 LONGEST = 40
-#: Words that a Python worker keeps resolved.
-KEPT = 250_000
-#: White space as the vocabulary's patterns have it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Code points (hexadecimal) that this Python's regex module counts as letters or numbers and the vocabulary's patterns do not, being newer.
-UNKNOWN = (
-    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a "
-    "11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 "
-    "1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff "
-    "2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f 11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6 "
-)
-#: Capitals newer than this Python's Unicode, and their small letters.
-NEWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
-NEWER |= {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
+#: Pieces of text that a Python worker keeps resolved.
+KEPT = 400_000
+#: Words of pieces that are ASCII and in lower case: contractions, runs of letters, single digits, runs of anything else but white space.
+ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 END = "</w>"
 
 
@@ -69,7 +58,8 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.ranks = {tuple(x) if isinstance(x, list) else tuple(x.split(" ")): i for i, x in enumerate(spec["model"]["merges"])}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.letters = byte_letters()
+        self.numbers = {i: str(i) for i in self.tokens}
+        self.letters, self.rules = byte_letters(), Rules(text)
         #: Of two neighbouring ids, as one number, the merge's rank and result, as one number: the least comes first.
         self.pairs = {self.ids[a] << 32 | self.ids[b]: r << 32 | self.ids[a + b] for (a, b), r in self.ranks.items()}
         self.inner, self.last = [self.ids[x] for x in self.letters], [self.ids[x + END] for x in self.letters]
@@ -119,16 +109,29 @@ def merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]
     return [x for x, ok in zip(parts, live, strict=True) if ok]
 
 
-def word_pattern() -> regex.Pattern:
-    """The pattern that finds words: contractions, runs of letters, single numbers, runs of anything else but white space."""
-    newer = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in UNKNOWN.split())
-    known = rf"[[\p{{L}}\p{{N}}]--[{newer}]]"
-    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|[^{SPACE}{known}]+", regex.V1)
+class Rules:
+    """The vocabulary's own rules for what becomes of a text before its words are merged: normal form, letter case, and the pattern of words.
 
+    They rest on Unicode tables, of which this Python, its regex module and an executor's Python may have others; so all but ASCII follows the tables of the tokenizers library.
+    """
 
-def normalised(text: str) -> str:
-    """Composed and in lower case, letter by letter. White space stays, as words never hold any."""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).translate(NEWER).lower()
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        spec["model"] |= {"vocab": {}, "merges": []}
+        spec |= {"added_tokens": [], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][0]}
+        rules = tokenizers.Tokenizer.from_str(json.dumps(spec))
+        self.normal, self.cut = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece of text in order."""
+        if not piece.isascii():
+            return [w for w, _ in self.cut(self.normal(piece))]
+        piece = piece.lower()
+        if piece.isalpha():  # plain words need no pattern, nor do those before a full stop or comma
+            return [piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return ASCII.findall(piece)
 
 
 # The lexicon
@@ -209,7 +212,7 @@ class Lexicon:
         data = np.memmap(path, np.uint8, "r", offset=0)
         for k, (at, n, kind) in json.loads(line).items():
             start = len(line) + at
-            setattr(self, k, data[start : start + n * np.dtype(kind).itemsize].view(kind))
+            setattr(self, k, np.asarray(data[start : start + n * np.dtype(kind).itemsize].view(kind)))
 
     def find(self, words: list[str]) -> np.ndarray:
         """The number of each word, -1 where the lexicon has no such word. All words walk in step, byte by byte."""
@@ -232,6 +235,14 @@ class Lexicon:
         return np.where((state >= 0) & (self.final[state] == 1), number, -1)
 
 
+    def lists(self, numbers: np.ndarray) -> list[list[int]]:
+        """The ids of each word, by its number."""
+        starts, sizes = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)].tolist()
+        return [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
 # Encoding and decoding
 
 
@@ -239,41 +250,32 @@ class Codec:
     """Encodes texts with a vocabulary and a lexicon.
 
     Texts are split at ASCII white space, which no word contains, and each distinct piece of a batch is resolved
-    once. A bounded number of resolved pieces and words is kept from batch to batch.
+    once. A bounded number of resolved pieces is kept from batch to batch.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, kept: int = KEPT):
-        self.v, self.lexicon, self.kept, self.find = vocabulary, lexicon, kept, word_pattern().findall
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.v, self.lexicon, self.kept = vocabulary, lexicon, kept
         self.pieces: dict[str, tuple[str, str, int]] = {}
 
-    def words(self, piece: str) -> list[str]:
-        """The words of a normalised piece in order."""
-        if piece.isalpha():  # plain words need no pattern, nor do those before a full stop or comma
-            return [piece]
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.find(piece)
-
     def split(self, pieces: list[str]) -> list[list[str]]:
-        """The words of each piece; a special token stands as itself. Pieces hold no line breaks, so all are normalised as one text."""
-        out = [self.words(p) for p in normalised("\n".join(pieces)).split("\n")]
+        """The words of each piece; a special token stands as itself."""
+        words = self.v.rules.words
+        out = [words(p) for p in pieces]
         if self.v.cut:
             for k, p in enumerate(pieces):
                 if "<|" in p and self.v.cut.search(p):
-                    out[k] = [w for part in self.v.cut.split(p) for w in ([part] if part in self.v.special else self.find(normalised(part)))]
+                    out[k] = [w for part in self.v.cut.split(p) for w in ([part] if part in self.v.special else words(part))]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Resolves words that are not known yet: by the lexicon, else by exact merges."""
-        if len(self.known) > self.kept:
-            self.known.clear()
-        new = list(words - self.known.keys())
-        found = self.lexicon.find(new).tolist() if self.lexicon and new else [-1] * len(new)
-        token = self.v.tokens.__getitem__
-        for w, i in zip(new, found, strict=True):
-            ids = [self.v.special[w]] if w in self.v.special else self.lexicon.ids[self.lexicon.at[i] : self.lexicon.at[i + 1]].tolist() if i >= 0 else self.v.merge(w)
-            self.known[w] = " ".join(map(str, ids)), " ".join(map(token, ids)), len(ids)
+    def learn(self, words: list[str]) -> dict[str, tuple[str, str, int]]:
+        """Ids and tokens, each joined by spaces, and their number, of each word: by the lexicon, else by exact merges."""
+        found = self.lexicon.find(words) if self.lexicon and words else np.full(len(words), -1)
+        known = iter(self.lexicon.lists(found[found >= 0]) if self.lexicon else ())
+        number, token, special, out = self.v.numbers, self.v.tokens, self.v.special, {}
+        for w, hit in zip(words, (found >= 0).tolist(), strict=True):
+            ids = next(known) if hit else [special[w]] if w in special else self.v.merge(w)
+            out[w] = (number[ids[0]], token[ids[0]], 1) if len(ids) == 1 else (" ".join([number[i] for i in ids]), " ".join([token[i] for i in ids]), len(ids))
+        return out
 
     def resolve(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[str, str, int]]]:
         """For each piece of the texts its row in what follows and its text's number: ids and tokens, each joined by spaces, and their number, of each distinct piece."""
@@ -282,17 +284,21 @@ class Codec:
         distinct = coded.dictionary.to_pylist()
         if len(self.pieces) > self.kept:
             self.pieces.clear()
-        new = [p for p in distinct if p not in self.pieces]
+        pieces = self.pieces
+        new = [p for p in distinct if p not in pieces]
         lists = self.split(new) if new else []
-        self.learn({w for x in lists for w in x})
+        known = self.learn(list({w for x in lists for w in x}))
         for p, x in zip(new, lists, strict=True):
             if len(x) == 1:
-                self.pieces[p] = self.known[x[0]]
+                pieces[p] = known[x[0]]
+            elif len(x) == 2:
+                (i, t, n), (j, u, m) = known[x[0]], known[x[1]]
+                pieces[p] = f"{i} {j}", f"{t} {u}", n + m
             else:
-                ids, tokens, n = zip(*[self.known[w] for w in x], strict=True) if x else ((), (), ())
-                self.pieces[p] = " ".join(ids), " ".join(tokens), sum(n)
-        rows, index = [self.pieces[p] for p in distinct], coded.indices.to_numpy()
-        some = np.fromiter((x[2] > 0 for x in rows), bool, len(rows))[index]
+                ids, tokens, n = zip(*[known[w] for w in x], strict=True) if x else ((), (), ())
+                pieces[p] = " ".join(ids), " ".join(tokens), sum(n)
+        rows, index = [pieces[p] for p in distinct], coded.indices.to_numpy()
+        some = np.fromiter([x[2] > 0 for x in rows], bool, len(rows))[index]
         return index[some], owner[some], rows
 
     def joined(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:

@@ -69,3 +69,16 @@ def test_odd_rows(odd, none, library):
     assert b.digests(none, PATH).count() == 0
     whole = b.encode(odd, PATH).filter("doc_id = 7").first()
     assert whole["decoded"] == library.decode(whole["ids"], skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("form", ["{}", "a{}b", "{}́", "a{}́", "ẹ{}", "́{}a", "{}̣́"])
+def test_all_code_points_as_the_library_has_them(tmp_path, vocabulary, library, form):
+    """Alone, in a word, before marks and after them; beyond the assigned planes every 16th."""
+    points = [c for c in [*range(0x32400), *range(0x32400, 0x110000, 16)] if not 0xD800 <= c < 0xE000]
+    codec = b.Codec(vocabulary, lexicon(tmp_path, vocabulary, []), kept=5000)
+    for at in range(0, len(points), 5000):
+        text = "\n".join(form.format(chr(c)) for c in points[at : at + 5000])
+        got, want = codec.encode([text])[0], library.encode(text, add_special_tokens=False).ids
+        if got != want:
+            one = [c for c in points[at : at + 5000] if codec.encode([form.format(chr(c))])[0] != library.encode(form.format(chr(c)), add_special_tokens=False).ids]
+            raise AssertionError([hex(c) for c in one[:20]])
