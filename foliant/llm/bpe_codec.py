@@ -40,6 +40,7 @@ KEPT = 400_000
 #: Words of pieces that are ASCII and in lower case: contractions, runs of letters, single digits, runs of anything else but white space.
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 END = "</w>"
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def byte_letters() -> list[str]:
@@ -137,12 +138,13 @@ class Rules:
 # The lexicon
 
 
-def compile_lexicon(words: list[str], encode) -> dict[str, np.ndarray]:
+def compile_lexicon(words: list[str], encode, token) -> dict[str, np.ndarray]:
     """A minimal acyclic transducer of the words: built from sorted words, states with equal futures shared.
 
     edge, to, out: transitions in the order of state * 256 + byte, their targets, and outputs; final: whether a word
     ends at a state. The outputs along a word's path, and 1 for each final state passed before its end, add up to its
-    number in sorted order, which is its row in at (offsets) and ids.
+    number in sorted order. Of each number ids and tokens, joined by spaces, are kept as text (offsets and bytes), and
+    size, how many there are. encode gives the ids of a word, token the text of an id.
     """
     words = sorted({w.encode() for w in words})
     register: dict[tuple, int] = {}
@@ -181,10 +183,14 @@ def compile_lexicon(words: list[str], encode) -> dict[str, np.ndarray]:
             out.append(total - int(final))
             total += int(below[child])
         below[s] = total
-    tokens = [encode(w.decode()) for w in words]
+    lists = [encode(w.decode()) for w in words]
+    texts = {}
+    for name, rows in ("ids", [" ".join(map(str, x)) for x in lists]), ("tokens", [" ".join(map(token, x)) for x in lists]):
+        raw = [x.encode() for x in rows]
+        texts |= {f"{name}_at": np.cumsum([0, *map(len, raw)]).astype(np.int32), name: np.frombuffer(b"".join(raw), np.uint8)}
     return {
         "edge": np.array(edge, np.int64), "to": np.array(to, np.int32), "out": np.array(out, np.int32), "final": np.array([x[0] for x in states], np.int32),
-        "root": np.array([root], np.int32), "at": np.cumsum([0, *map(len, tokens)]).astype(np.int32), "ids": np.array([i for t in tokens for i in t], np.int32),
+        "root": np.array([root], np.int32), "size": np.array([*map(len, lists)], np.int64), **texts,
     }
 
 
@@ -214,16 +220,16 @@ class Lexicon:
             start = len(line) + at
             setattr(self, k, np.asarray(data[start : start + n * np.dtype(kind).itemsize].view(kind)))
 
-    def find(self, words: list[str]) -> np.ndarray:
+    def find(self, words: pa.Array) -> np.ndarray:
         """The number of each word, -1 where the lexicon has no such word. All words walk in step, byte by byte."""
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint8)
-        state, number = np.full(len(raw), self.root[0], np.int64), np.zeros(len(raw), np.int64)
-        live = np.flatnonzero(sizes <= LONGEST) if len(self.edge) else np.empty(0, np.int64)
+        _, at, data = words.buffers()
+        if not len(self.edge) or not data or not len(words):
+            return np.full(len(words), -1)
+        at = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        starts, sizes, flat = at[:-1], np.diff(at), np.frombuffer(data, np.uint8)
+        state, number = np.full(len(words), self.root[0], np.int64), np.zeros(len(words), np.int64)
+        live = np.flatnonzero(sizes <= LONGEST)
         state[sizes > LONGEST] = -1
-        if not len(self.edge):
-            return np.full(len(raw), -1)
         for j in range(int(sizes[live].max(initial=0))):
             live = live[sizes[live] > j]
             key = state[live] << 8 | flat[starts[live] + j]
@@ -234,13 +240,10 @@ class Lexicon:
             live = live[ok]
         return np.where((state >= 0) & (self.final[state] == 1), number, -1)
 
-
-    def lists(self, numbers: np.ndarray) -> list[list[int]]:
-        """The ids of each word, by its number."""
-        starts, sizes = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)].tolist()
-        return [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    def texts(self, name: str) -> pa.Array:
+        """ids or tokens of all words, as they lie in the file."""
+        at, data = getattr(self, f"{name}_at"), getattr(self, name)
+        return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
 
 
 # Encoding and decoding
@@ -250,12 +253,15 @@ class Codec:
     """Encodes texts with a vocabulary and a lexicon.
 
     Texts are split at ASCII white space, which no word contains, and each distinct piece of a batch is resolved
-    once. A bounded number of resolved pieces is kept from batch to batch.
+    once. Pieces that are a word of the lexicon, with a full stop or comma behind or not, are looked up together; the
+    others are cut into words, which are merged. A bounded number of the latter is kept from batch to batch.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, kept: int = KEPT):
         self.v, self.lexicon, self.kept = vocabulary, lexicon, kept
         self.pieces: dict[str, tuple[str, str, int]] = {}
+        self.texts = [lexicon.texts(k) for k in ("ids", "tokens")] if lexicon else []
+        self.stops = {stop: self.v.merge(stop)[0] for stop in ".,"}
 
     def split(self, pieces: list[str]) -> list[list[str]]:
         """The words of each piece; a special token stands as itself."""
@@ -267,46 +273,65 @@ class Codec:
                     out[k] = [w for part in self.v.cut.split(p) for w in ([part] if part in self.v.special else words(part))]
         return out
 
-    def learn(self, words: list[str]) -> dict[str, tuple[str, str, int]]:
-        """Ids and tokens, each joined by spaces, and their number, of each word: by the lexicon, else by exact merges."""
-        found = self.lexicon.find(words) if self.lexicon and words else np.full(len(words), -1)
-        known = iter(self.lexicon.lists(found[found >= 0]) if self.lexicon else ())
+    def merged(self, words: set[str]) -> dict[str, tuple[str, str, int]]:
+        """Ids and tokens, each joined by spaces, and their number, of each word."""
         number, token, special, out = self.v.numbers, self.v.tokens, self.v.special, {}
-        for w, hit in zip(words, (found >= 0).tolist(), strict=True):
-            ids = next(known) if hit else [special[w]] if w in special else self.v.merge(w)
+        for w in words:
+            ids = [special[w]] if w in special else self.v.merge(w)
             out[w] = (number[ids[0]], token[ids[0]], 1) if len(ids) == 1 else (" ".join([number[i] for i in ids]), " ".join([token[i] for i in ids]), len(ids))
         return out
 
-    def resolve(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[str, str, int]]]:
-        """For each piece of the texts its row in what follows and its text's number: ids and tokens, each joined by spaces, and their number, of each distinct piece."""
-        flat, owner = split_words(texts)
-        coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+    def spelled(self, distinct: list[str]) -> list[tuple[str, str, int]]:
+        """The same of each piece, which are cut into words."""
         if len(self.pieces) > self.kept:
             self.pieces.clear()
         pieces = self.pieces
         new = [p for p in distinct if p not in pieces]
-        lists = self.split(new) if new else []
-        known = self.learn(list({w for x in lists for w in x}))
+        lists = self.split(new)
+        known = self.merged({w for x in lists for w in x})
         for p, x in zip(new, lists, strict=True):
             if len(x) == 1:
                 pieces[p] = known[x[0]]
-            elif len(x) == 2:
-                (i, t, n), (j, u, m) = known[x[0]], known[x[1]]
-                pieces[p] = f"{i} {j}", f"{t} {u}", n + m
             else:
                 ids, tokens, n = zip(*[known[w] for w in x], strict=True) if x else ((), (), ())
                 pieces[p] = " ".join(ids), " ".join(tokens), sum(n)
-        rows, index = [pieces[p] for p in distinct], coded.indices.to_numpy()
-        some = np.fromiter([x[2] > 0 for x in rows], bool, len(rows))[index]
-        return index[some], owner[some], rows
+        return [pieces[p] for p in distinct]
+
+    def resolve(self, distinct: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """Of each piece the number of its tokens, and its ids and tokens, each joined by spaces."""
+        n, parts = len(distinct), [[], []]
+        low, where, sizes = pc.ascii_lower(distinct), [], []
+        left = np.arange(n)
+        for stop in ["", *self.stops] if self.lexicon and n else []:
+            rows = left[pc.ends_with(low.take(pa.array(left)), stop).to_numpy(zero_copy_only=False)] if stop else left
+            words = low.take(pa.array(rows))
+            found = self.lexicon.find(pc.utf8_slice_codeunits(words, 0, -1) if stop else words)
+            hit = found >= 0
+            for k, name in enumerate((self.v.numbers, self.v.tokens)):
+                got = self.texts[k].take(pa.array(found[hit]))
+                parts[k].append(pc.binary_join_element_wise(got, name[self.stops[stop]], " ") if stop else got)
+            where.append(rows[hit])
+            sizes.append(self.lexicon.size[found[hit]] + len(stop))
+            left = np.setdiff1d(left, rows[hit], assume_unique=True)
+        rest = self.spelled(distinct.take(pa.array(left)).to_pylist()) if len(left) else []
+        for k in (0, 1):
+            parts[k].append(pa.array([x[k] for x in rest], pa.string()))
+        back = np.empty(n, np.int64)
+        back[np.concatenate([*where, left])] = np.arange(n)
+        counts = np.concatenate([*sizes, np.fromiter([x[2] for x in rest], np.int64, len(rest))])[back]
+        return counts, [pa.concat_arrays([x.cast(pa.string()) for x in p]).take(pa.array(back)) for p in parts]
 
     def joined(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Of each text the number of tokens, the ids joined by spaces, and the decoded text: what decoding joins by spaces for its ids."""
-        index, owner, rows = self.resolve(texts)
+        flat, owner = split_words(texts)
+        coded = flat.dictionary_encode()
+        counts, parts = self.resolve(coded.dictionary)
+        index = coded.indices.to_numpy()
+        numbers = segment_sum(counts[index].astype(np.float64), owner, len(texts)).astype(np.int64)
+        some = counts[index] > 0  # of some characters nothing is left
+        index, owner = pa.array(index[some]), owner[some]
         ends = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
-        numbers = segment_sum(np.fromiter((x[2] for x in rows), np.float64, len(rows))[index], owner, len(texts)).astype(np.int64)
-        ids, tokens = (pc.binary_join(pa.ListArray.from_arrays(ends, pa.array([x[k] for x in rows], pa.string()).take(pa.array(index))), " ") for k in (0, 1))
+        ids, tokens = (pc.binary_join(pa.ListArray.from_arrays(ends, x.take(index)), " ") for x in parts)
         return numbers, ids, tokens
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -321,24 +346,35 @@ def digest(texts: pa.Array) -> pa.Array:
     return pa.array([sha256(x.as_buffer()).hexdigest() for x in texts], pa.string())
 
 
+def letter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """w, n: words of letters in the texts' pieces, without the punctuation around them, and how often they occur in a batch."""
+    for batch in pieces(batches):
+        flat, _ = split_words(batch.column(0))
+        coded = flat.dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        w = pc.utf8_trim(pc.utf8_lower(coded.dictionary), characters=PUNCTUATION)
+        some = pc.and_(pc.utf8_is_alpha(w), pc.and_(pc.greater(pc.utf8_length(w), 1), pc.less_equal(pc.binary_length(w), LONGEST)))
+        yield pa.RecordBatch.from_arrays([w.filter(some), pa.array(n).filter(some)], names=["w", "n"])
+
+
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The most frequent runs of letters over all texts, at most `most`. Words are counted by Spark; a histogram of counts, in some hundred classes, gives the count from which on all words come to the driver."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(r"(\p{L}{2,40})"), F.lit(1))).alias("w"))
-    counted = written(words.groupBy("w").count().filter("count > 1").withColumn("class", F.floor(8 * F.log2("count")).cast("int")), "words")
+    """The most frequent words of letters over all texts, at most `most`. A histogram of counts, in some hundred classes, gives the count from which on all words come to the driver."""
+    words = docs.select(F.col("text").cast("string")).mapInArrow(letter_words, "w string, n long")
+    counted = written(words.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "words")
     least, have = None, 0
     for r in sorted(counted.groupBy("class").count().collect(), reverse=True):
         if (have := have + r["count"]) > most:
             break
         least = r["class"]
     top = counted.filter(F.col("class") >= (1 << 30 if least is None else least)).select("w")
-    return [w for r in top.collect() if len((w := r["w"]).encode()) <= LONGEST]
+    return [r["w"] for r in top.collect()]
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON) -> str:
     """Compiles the lexicon of the texts into the shared folder, from where executors fetch it, later ones too; returns the name of the file."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = f"{shared_dir(docs.sparkSession)}/{name}"
-    write_bytes(docs.sparkSession, path, lexicon_bytes(compile_lexicon(frequent_words(docs, most), vocabulary.merge)))
+    write_bytes(docs.sparkSession, path, lexicon_bytes(compile_lexicon([w for w in frequent_words(docs, most) if vocabulary.rules.words(w) == [w]], vocabulary.merge, vocabulary.tokens.__getitem__)))
     docs.sparkSession.sparkContext.addFile(path)
     return name
 
