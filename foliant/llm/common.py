@@ -91,3 +91,20 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def segment_sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n)
+
+
+def enough_near(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, who: np.ndarray, members: np.ndarray, width: int, need: np.ndarray, at_once: int = 2_000_000) -> np.ndarray:
+    """Which candidates have enough words of what they may hold: of words[lo:hi] at least `need` are words of `who`. members: who * width + word, sorted. Looks at a bounded number of words in one go, or one candidate's."""
+    size, out = np.maximum(hi - lo, 0), np.zeros(len(who), bool)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(who):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + at_once, side="right")))
+        of = np.repeat(np.arange(at, to), size[at:to])
+        word = words[np.arange(len(of)) - np.repeat(ends[at:to] - size[at:to] - base, size[at:to]) + lo[of]]
+        key = who[of] * width + word
+        held = members[np.minimum(np.searchsorted(members, key), len(members) - 1)] == key
+        out[at:to] = np.bincount(of[held] - at, minlength=to - at) >= need[at:to]
+        at = to
+    return out

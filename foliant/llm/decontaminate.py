@@ -3,45 +3,52 @@
 Texts are sequences of words, lower-cased and without punctuation at their ends. A document holds an item of n
 words if some run of its words has a word edit distance of at most floor(n / 5) to it (similarity 0.8 or more).
 
-The method: an item for which e edits are allowed is cut into e + 1 windows. An edit damages at most one of them, so
-some window is whole in every run that holds the item. Every run of as many words of a document is a window too. A
-CGK random walk embeds a window: at each step the walk writes the word it stands on and stays or moves on by a random
-bit of word and step. Bit-sampling LSH hashes a few positions of the walk. Equal windows collide with a chance of 1,
-so one walk (`repeats`) has a recall of 1, whatever the item's length and the edits. Before the walk, windows are left
-out of which a word pair occurs in no item. Windows of items and documents that collide are candidates; those go around
-whose place fewer of the item's words stand than a match must have, and the others are verified by the exact edit
-distance of the whole item. Neither filter loses a match.
-
-Null and blank texts hold nothing, and neither does any text an item without words. Copies of an item match alike.
-Items come to the driver in blocks, a stated query set; documents are only scanned, there is no shuffle.
+The method: a CGK random walk embeds a window of words: at each step the walk writes the word it stands on and stays or
+moves on by a random bit of word and step, so that an edit costs a walk a few steps until it is back in line.
+Bit-sampling LSH hashes a few positions of the walk; that is repeated with other walks and positions until the target
+recall is reached. How often is measured for each window size and number of edits, on edited random windows of either
+kind of edit. Windows are as long as the item; but an edit in every fifth word leaves the walks of a long item hardly a
+common step, so an item for which more than `MOST` walks were needed is cut into the fewest windows that need no more:
+of p windows one has at most every p-th of the item's edits. With as many windows as edits and one, some window has none.
+
+Every run of a window's words in a document is a window too, cut off at the document's end. Before the walk, those are
+left out that have fewer word pairs of items than a match must have. Windows of items and documents that collide are
+candidates; those go around whose place fewer of the item's words stand than a match must have, and the others are
+verified by the exact edit distance of the whole item. Neither filter loses a match.
+
+Null and blank texts hold nothing, and neither does any text an item without words. Items of fewer than five words
+allow no edit. Copies of an item match alike. Items come to the driver block by block, a stated query set; documents are
+scanned once for each block, there is no shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache, reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pieces, split_words
+from foliant.llm.common import enough_near, pieces, split_words, written
 
 #: Edits allowed: one in so many words.
 ONE_IN = 5
-#: Independent walks, and positions of a walk that make a hash. Some window of a match has no edit, so one walk finds it.
-REPEATS = 1
-BITS = 5
+#: Chance that a match is found, positions of a walk that make a hash, and walks at most for one window size.
+TARGET, BITS, MOST = 0.99, 3, 45
+#: Window sizes: all up to the first, then every so much larger.
+SIZES = [*range(1, 13), 14, 16, 19]
+#: Edited windows and walks from which the chance of a collision is measured.
+TRIALS, WALKS = 300, 40
 #: Items in one index; more take more scans.
 ITEMS = 20_000
 #: Punctuation that is cut from the ends of words.
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„‚…–—¿¡"
-#: Candidates' words that are looked at in one go.
-AT_ONCE = 2_000_000
-
-
 def bare(words: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.utf8_lower(words), characters=ENDS)
 
@@ -74,9 +81,73 @@ def nearest(item: list[int], text: list[int], most: int) -> tuple[int, int, int]
     return low, end - 1 - max(i for i, d in enumerate(back) if d == low), end
 
 
+class Walks:
+    """CGK walks over windows of one size, and the positions of each that make its hash."""
+
+    def __init__(self, size: int, words: int, repeats: int, bits: int = BITS):
+        rng = np.random.default_rng([7, size])
+        self.size = size
+        self.coins = rng.integers(0, 1 << 63, (repeats, -(-2 * size // 63), words + 1), dtype=np.int64)
+        picks = [np.sort(rng.choice(2 * size, min(bits, 2 * size), replace=False)).tolist() for _ in range(repeats)]
+        self.picks = [{x: int(rng.integers(1, 1 << 62)) | 1 for x in p} for p in picks]
+
+    def hashes(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """For each repeat the hashes of the windows words[start:end], as if zeros followed."""
+        for coins, picked in zip(self.coins, self.picks, strict=True):
+            at, out = starts.copy(), np.zeros(len(starts), np.int64)
+            for step in range(max(picked) + 1):
+                word = np.where(at < ends, words[np.minimum(at, len(words) - 1)], 0)
+                if step in picked:
+                    out = (out ^ (word + 1)) * picked[step]
+                    out ^= out >> 29
+                at += coins[step // 63][word] >> step % 63 & 1
+            yield out
+
+
+@cache
+def collisions(size: int, edits: int, bits: int = BITS) -> np.ndarray:
+    """Shares of walks that collide, of windows and their edited twins: a row for changed, left out and put in words each."""
+    rng = np.random.default_rng([5, size, edits])
+    plain = np.arange(1, TRIALS * size + 1).reshape(TRIALS, size)
+    other, rows = iter(range(TRIALS * size + 1, 1 << 40)), []
+    for kind in range(3):
+        for row in plain.tolist():
+            out = [[w] for w in row]
+            for i in rng.choice(size, edits, replace=False):
+                out[i] = [[next(other)], [], [next(other), row[i]]][kind]
+            flat = [w for x in out for w in x]
+            rows.append([*flat, *(next(other) for _ in range(size - len(flat)))][:size])
+    walks = Walks(size, next(other), WALKS, bits)
+    starts = np.arange(TRIALS) * size
+    same = np.zeros((3, TRIALS))
+    edited = np.array(rows).ravel()
+    for a, b in zip(walks.hashes(plain.ravel(), starts, starts + size), walks.hashes(edited, np.arange(3 * TRIALS) * size, (np.arange(3 * TRIALS) + 1) * size), strict=True):
+        same += a == b.reshape(3, TRIALS)
+    return same / WALKS
+
+
+def repeats_for(size: int, edits: int, bits: int = BITS, target: float = TARGET, most: int = MOST) -> int | None:
+    """The least number of walks that find edited windows with the target recall, whatever the kind of edit; None beyond `most`."""
+    if not edits:
+        return 1
+    miss = 1 - collisions(size, edits, bits)
+    return next((r for r in range(1, most + 1) if (1 - miss**r).mean(axis=1).min() >= target), None)
+
+
+@cache
+def windows_of(n: int, bits: int = BITS) -> tuple[int, int, int, list[int]]:
+    """Size, edits, repeats and offsets of the windows that stand for an item of n words; none overlap."""
+    edits = n // ONE_IN
+    for parts in range(1, edits + 2):
+        size, some = max(x for x in SIZES if x <= n // parts), edits // parts
+        if n // parts < 2 * size and (repeats := repeats_for(size, some, bits)):
+            return size, some, repeats, [i * n // parts for i in range(parts)]
+    raise ValueError(n)
+
+
 @dataclass
 class Index:
-    """Items, their windows' hashes, and the random bits of the walks."""
+    """Items, and their windows' hashes."""
 
     ids: list[int]
     items: list[list[int]] = field(default_factory=list)
@@ -84,63 +155,37 @@ class Index:
     pairs: np.ndarray | None = None
     #: (item, word) of the words that an item has, as sorted numbers
     members: np.ndarray | None = None
-    #: size: (pairs needed, for each repeat the sorted hashes, and each hash's item and offset)
-    tables: dict[int, tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=dict)
-    repeats: int = REPEATS
-    bits: int = BITS
-
-    def random_bits(self, size: int) -> np.ndarray:
-        """For each repeat and word, the walk's bits of up to 64 steps a number."""
-        rng = np.random.default_rng([7, size])
-        return rng.integers(0, 1 << 63, (self.repeats, -(-3 * size // 63), len(self.words) + 1), dtype=np.int64)
-
-    def hashes(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """The hash of each window for each repeat."""
-        rng = np.random.default_rng([11, size])
-        coins, out = self.random_bits(size), np.zeros((self.repeats, len(starts)), np.int64)
-        for r in range(self.repeats):
-            picked = {int(x): int(rng.integers(1, 1 << 62)) | 1 for x in np.sort(rng.choice(2 * size, min(self.bits, 2 * size), replace=False))}
-            place = np.zeros(len(starts), np.int64)
-            for step in range(max(picked) + 1):
-                inside = place < size
-                word = np.where(inside, words[np.minimum(starts + place, len(words) - 1)], 0)
-                if step in picked:
-                    out[r] = (out[r] ^ (word + 1)) * picked[step]
-                    out[r] ^= out[r] >> 29
-                place += coins[r, step // 63][word] >> step % 63 & 1
-        return out
-
-
-def windows_of(n: int) -> tuple[int, list[int]]:
-    """Size and offsets of the windows that stand for an item of n words: one more than it may have edits, none overlapping."""
-    parts = n // ONE_IN + 1
-    return n // parts, [i * n // parts for i in range(parts)]
+    #: size and edits: the walks, and for each repeat the sorted hashes, and each hash's item and offset
+    tables: dict[tuple[int, int], tuple[Walks, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=dict)
 
 
-def build(rows: list[tuple[int, str | None]], repeats: int = REPEATS, bits: int = BITS) -> Index:
+def build(rows: list[tuple[int, str | None]], bits: int = BITS) -> Index:
     """The index of (item_id, text) rows."""
     words, owner = split_words(pa.array([t for _, t in rows], pa.string()))
     lists: list[list[str]] = [[] for _ in rows]
     for k, w in zip(owner.tolist(), bare(words).to_pylist(), strict=True):
         lists[k] += [w] if w else []
     kept = [(i, w) for (i, _), w in zip(rows, lists, strict=True) if w]
-    index = Index([i for i, _ in kept], repeats=repeats, bits=bits)
+    index = Index([i for i, _ in kept])
     for _, w in kept:
         index.items.append([index.words.setdefault(x, len(index.words) + 1) for x in w])
     index.pairs = np.zeros(1 << 22, bool)
     for w in index.items:
         index.pairs[pair_slot(np.array(w[:-1], np.int64), np.array(w[1:], np.int64))] = True
     index.members = np.unique(np.array([k * (len(index.words) + 1) + x for k, w in enumerate(index.items) for x in set(w)], np.int64))
-    by_size: dict[int, list[tuple[int, int]]] = {}
+    by_kind: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
     for k, w in enumerate(index.items):
-        size, offsets = windows_of(len(w))
-        by_size.setdefault(size, []).extend((k, o) for o in offsets)
-    for size, places in by_size.items():
+        size, edits, repeats, offsets = windows_of(len(w), bits)
+        by_kind.setdefault((size, edits), (repeats, []))[1].extend((k, o) for o in offsets)
+    for (size, edits), (repeats, places) in by_kind.items():
         words = np.array([x for k, o in places for x in index.items[k][o : o + size]], np.int64)
-        hashes = index.hashes(words, np.arange(len(places)) * size, size)
+        starts, tables = np.arange(len(places)) * size, []
+        walks = Walks(size, len(index.words), repeats, bits)
         who, offset = (np.array(x, np.int64) for x in zip(*places, strict=True))
-        order = np.argsort(hashes, axis=1, kind="stable")
-        index.tables[size] = size - 1, [(h[o], who[o], offset[o]) for h, o in zip(hashes, order, strict=True)]
+        for h in walks.hashes(words, starts, starts + size):
+            o = np.argsort(h, kind="stable")
+            tables.append((h[o], who[o], offset[o]))
+        index.tables[size, edits] = walks, tables
     return index
 
 
@@ -148,24 +193,6 @@ def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 1_000_003 + b) & ((1 << 22) - 1)
 
 
-def likely(index: Index, words: np.ndarray, first: np.ndarray, end: np.ndarray, who: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which candidates have enough of the item's words around their place. first, end: of each candidate's document."""
-    n = np.fromiter(map(len, index.items), np.int64, len(index.items))[who]
-    lo, hi = np.maximum(first, place - n // ONE_IN), np.minimum(end, place + n + n // ONE_IN)
-    size, out = np.maximum(hi - lo, 0), np.zeros(len(who), bool)
-    ends = np.cumsum(size)
-    at = 0
-    while at < len(who):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
-        of = np.repeat(np.arange(at, to), size[at:to])
-        word = words[np.arange(len(of)) - np.repeat(ends[at:to] - size[at:to] - (ends[at - 1] if at else 0), size[at:to]) + lo[of]]
-        key = who[of] * (len(index.words) + 1) + word
-        held = index.members[np.minimum(np.searchsorted(index.members, key), len(index.members) - 1)] == key
-        out[at:to] = np.bincount(of[held] - at, minlength=to - at) >= (n - n // ONE_IN)[at:to]
-        at = to
-    return out
-
-
 def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int]]:
     """(document, item, place): where windows of documents collide with windows of items, and enough of the item's words are near. Places are of the item's first word."""
     found: set[tuple[int, int, int]] = set()
@@ -178,23 +205,22 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
     both[at] = index.pairs[pair_slot(words[at], words[at + 1])]
     sums = np.concatenate([[0], np.cumsum(both, dtype=np.int32)])
     first, last = (np.searchsorted(owner, np.arange(owner[-1] + 1), side=side) for side in ("left", "right"))
-    for size, (need, tables) in index.tables.items():
-        if len(words) < size:
-            continue
-        enough = sums[size - 1 : len(words)] - sums[: len(words) - size + 1] >= need if need or size > 1 else known.copy()
-        enough &= known[: len(enough)] | known[size - 1 :][: len(enough)]
-        starts = np.flatnonzero(enough)
-        starts = starts[starts + size <= last[owner[starts]]]
+    sizes = np.fromiter(map(len, index.items), np.int64, len(index.items))
+    for (size, edits), (walks, tables) in index.tables.items():
+        ends = np.minimum(np.arange(len(words)) + size, last[owner])
+        need = size - 1 - 2 * edits
+        starts = np.flatnonzero(sums[ends - 1] - sums[: len(words)] >= need if need > 0 else known)
         for at in range(0, len(starts), 50_000):
             block = starts[at : at + 50_000]
-            for h, (keys, who, offset) in zip(index.hashes(words, block, size), tables, strict=True):
+            for h, (keys, who, offset) in zip(walks.hashes(words, block, ends[block]), tables, strict=True):
                 lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
                 hit = np.flatnonzero(hi > lo)
                 n = (hi - lo)[hit]
                 k = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 p = np.repeat(block[hit], n)
                 doc, item, place = owner[p], who[k], p - offset[k]
-                some = likely(index, words, first[doc], last[doc], item, place)
+                n, most = sizes[item], sizes[item] // ONE_IN
+                some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, n - most)
                 found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
     return found
 
@@ -226,39 +252,47 @@ def matches(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int
     return [(doc, index.ids[k], start, end, d) for (doc, k), (d, start, end) in best.items()]
 
 
-def indexes(benchmark: DataFrame, repeats: int = REPEATS, bits: int = BITS, items: int = ITEMS) -> list:
-    """Broadcast indexes of the items, in blocks of a bounded number."""
-    out, block = [], []
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == items:
-            out.append(block)
-            block = []
-    return [benchmark.sparkSession.sparkContext.broadcast(build(b, repeats, bits)) for b in [*out, *([block] if block or not out else [])]]
+def indexes(benchmark: DataFrame, items: int = ITEMS) -> Iterator[tuple[Broadcast, bool]]:
+    """A broadcast index of each block of items, and whether it is the last. One block at a time is held; the one before is let go."""
+    rows = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator())
+    block = list(islice(rows, items))
+    while True:
+        after = list(islice(rows, items))
+        index = benchmark.sparkSession.sparkContext.broadcast(build(block))
+        yield index, not after
+        if not after:
+            return
+        index.unpersist()
+        block = after
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, repeats: int = REPEATS, bits: int = BITS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, start, end (words of the text, end exclusive), distance for each document row and item it holds."""
-    blocks = indexes(benchmark, repeats, bits)
+    parts = []
+    for index, last in indexes(benchmark, items):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            for index in blocks:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
                 got = matches(index.value, batch.column(1))
                 doc, item, start, end, distance = zip(*got, strict=True) if got else [()] * 5
                 ids = batch.column(0).take(pa.array(doc, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (item, start, end, distance))], names=["doc_id", "item_id", "start", "end", "distance"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, start long, end long, distance long")
+        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, start long, end long, distance long")
+        parts.append(found if last else written(found, "leaks"))
+    return reduce(DataFrame.union, parts)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
-    blocks, at = indexes(benchmark), docs.columns.index("text")
+    at = docs.columns.index("text")
+    for index, last in indexes(benchmark, items):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            held = {doc for index in blocks for doc, *_ in matches(index.value, batch.column(at))}
-            yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                held = {doc for doc, *_ in matches(index.value, batch.column(at))}
+                yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        kept = docs.mapInArrow(run, docs.schema)
+        docs = kept if last else written(kept, "without-leaks")
+    return docs

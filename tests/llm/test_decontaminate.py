@@ -80,19 +80,37 @@ def test_walks_are_repeatable():
     assert all(np.array_equal(x[0], y[0]) for (_, t), (_, u) in zip(a.tables.values(), b.tables.values(), strict=True) for x, y in zip(t, u, strict=True))
 
 
-@pytest.mark.parametrize("n", [5, 9, 14, 40, 60, 100, 150, 250, 400])
+@pytest.mark.parametrize("n", [5, 9, 10, 14, 19, 25, 40, 60, 100, 150, 250, 400])
 @pytest.mark.parametrize("how", ["random", "even", "insert", "delete"])
-def test_nothing_is_lost_at_the_full_distance(n, how):
+def test_target_recall_at_the_full_distance(n, how):
     """Exactly n // 5 edits, by item length and kind of edit."""
     rng = random.Random(n)
     vocabulary = [f"w{i}" for i in range(5000)]
     items, docs = [], []
-    for i in range(10):
+    for i in range(60):
         words, edits = rng.sample(vocabulary, n), n // d.ONE_IN
         items.append((i, " ".join(words)))
         places = [(2 * j + 1) * n // (2 * edits) for j in range(edits)] if how == "even" else rng.sample(range(n), edits)
         for p in sorted(places, reverse=True):
             words[p : p + 1] = {"insert": ["new", words[p]], "delete": []}.get(how, ["new"])
-        docs.append(" ".join([*rng.choices(vocabulary, k=40), *words, *rng.choices(vocabulary, k=40)]))
-    got = {(a, b) for a, b, *_ in d.matches(d.build(items), pa.array(docs))}
-    assert {(i, i) for i in range(10)} <= got
+        docs.append(" ".join([*rng.choices(vocabulary, k=40), *words, *rng.choices(vocabulary, k=40)] if i % 3 else words))
+    index = d.build(items)
+    got = {(a, b) for a, b, *_ in d.matches(index, pa.array(docs))}
+    want = {(i, i) for i in range(60) if d.nearest(index.items[i], [index.words.get(w, 0) for w in docs[i].split()], n // d.ONE_IN)}
+    assert len(want) == 60
+    assert len(want & got) / len(want) >= 0.95
+
+
+def test_windows_are_item_sized_while_walks_reach_the_target():
+    assert [d.windows_of(n)[0] for n in (1, 4, 5, 8, 10, 12, 14)] == [1, 4, 5, 8, 10, 12, 14]
+    for n in range(1, 420):
+        size, edits, repeats, offsets = d.windows_of(n)
+        assert edits == n // d.ONE_IN // len(offsets) and repeats <= d.MOST
+        assert all(b - a >= size for a, b in zip(offsets, [*offsets[1:], n], strict=True))
+
+
+def test_blocks_of_items(spark, odd):
+    bench = spark.createDataFrame([(i, f"quick brown fox jumps over {x}") for i, x in enumerate(["the lazy dog", "a wall", "the fence", "château est là"])] + [(9, "château est là")], "item_id long, text string").coalesce(1)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(d.leaks(odd, bench, items=2)) == rows(d.leaks(odd, bench)) != []
+    assert rows(d.without_leaks(odd, bench, items=2).select("doc_id")) == rows(d.without_leaks(odd, bench).select("doc_id"))
