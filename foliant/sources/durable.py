@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that spark.checkpoint.dir names; where that is unset, as in tests, in a new one."""
+    """df written once into the folder that spark.checkpoint.dir names, and read from there; where that is unset and all run on one machine, as in tests, into a new one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliant-"))
-    return df.checkpoint()
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliant-"))
+    path = f"{sc.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
