@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,56 @@ def test_redaction(spark, samples, odd, none):
     assert s.redact(none).count() == s.scan(none).count() == 0
 
 
+def brute_markov(text, table):
+    """Runs of 20 or more secret-like characters that the models call random and that no base span overlaps."""
+    base, out = brute(text), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        at = [s.LETTERS.index(c) for c in m[0]]
+        llr = sum(table[a][b] for a, b in itertools.pairwise(at))
+        if len(at) >= 20 and llr >= s.TOTAL and llr >= s.MEAN * len(at) and not any(a < m.end() and b > m.start() for _, a, b in base):
+            out.append(("markov", *m.span()))
+    return base + out
+
+
+def test_models_against_brute_force(spark, samples):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pieces = [lambda: "".join(rng.choice(letters) for _ in range(rng.randint(15, 30))), lambda: " ", lambda: "user_account_settings_list", lambda: "token=", lambda: "é", lambda: "0123456789abcdef", lambda: "+/", lambda: "AKIA"]
+    texts = ["".join(rng.choice(pieces)() for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    table = s.model(samples)
+    order = {k: i for k, i in s.KINDS.items()}
+    redacted = {r["doc_id"]: r["text"] for r in s.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples).collect()}
+    for r in s.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), samples).collect():
+        text = texts[r["doc_id"]]
+        want = sorted(brute_markov(text, table), key=lambda x: (x[1], order[x[0]]))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        out, at = "", 0
+        for _, a, b in want:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert redacted[r["doc_id"]] == out + text[at:]
+
+
+def test_long_runs_and_many_matches(spark, samples):
+    rng = random.Random(7)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    many = "token=abcdefghijkl AKIAABCDEFGHIJKLMN deadbeefdeadbeef aKx9ZqT7bVw2LmN4pRs8YdF3 " * 25_000
+    df = spark.createDataFrame([(1, run), (2, many), (3, "é" + many)], "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r for r in s.scan(df, samples).collect()}
+    clean = {r["doc_id"]: r["text"] for r in s.redact(df, samples).collect()}
+    assert time.time() - began < 150
+    assert got[1]["n_markov"] == 1 and got[1]["spans"] == "markov:0:1000000"
+    assert clean[1] == "[SECRET]" and clean[2] == "[SECRET] [SECRET] [SECRET] [SECRET] " * 25_000 and clean[3] == "é" + clean[2]
+    assert [got[2][f"n_{k}"] for k in s.KINDS] == [25_000] * 4 and got[3]["n_hex"] == 25_000
+
+
+def test_clashing_names(spark, samples):
+    df = spark.createDataFrame([("token=abcdefghijkl", 1, 2, 3, 4, 5)], "text string, spans int, row int, base int, `a.b` int, letters int")
+    assert s.redact(df, samples).first().asDict() == {"text": "[SECRET]", "spans": 1, "row": 2, "base": 3, "a.b": 4, "letters": 5}
+
+
 def test_no_python_in_the_plan(odd):
     plan = s.scan(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
