@@ -5,8 +5,9 @@ over each window, each filter's largest response passes a ReLU, and a softmax la
 logits are the mean over all its windows, weighted by their bytes. For a trained network the responses of a filter
 depend on byte pairs only through sums of table rows, so that applying it is table look-ups and a maximum.
 
-Training takes a bounded, seeded sample: for each language at most `per_language` labelled texts outside the held
-out fifth, of each of them `windows` windows; of languages the most frequent, at most `LANGUAGES`. Null and blank languages are not learned. A text that is null or has
+Training takes a bounded, seeded sample of labelled texts outside the held out fifth: for each language at most
+`per_language` different ones, fewer where more than `ROWS` came of it, and of each `windows` windows. At most
+`LANGUAGES` languages are learned, more than there are codes for. Null and blank languages are not learned. A text that is null or has
 no letter is `und` with score 0, as is any text where nothing was learned. Repeated rows and null ids stay.
 """
 
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import held_out, order_key, pieces
@@ -27,7 +28,8 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 #: Bounds of the training sample.
 PER_LANGUAGE = 800
-LANGUAGES = 200
+ROWS = 160_000
+LANGUAGES = 8_000
 WINDOWS = 2
 
 
@@ -90,14 +92,14 @@ def train(texts: list[bytes], languages: list[str], size: int = 8, filters: int
     y = np.array([names.index(x) for x in languages])
     net = Network(names, rng.normal(0, 0.5, (256, size)), {w: rng.normal(0, 1 / np.sqrt(w * size), (w, size, filters)) for w in WIDTHS}, np.zeros(len(WIDTHS) * filters), rng.normal(0, 0.1, (len(WIDTHS) * filters, len(names))), np.zeros(len(names)))
     x, owner, _ = cut(texts)
-    x, y = x.astype(np.int64), y[owner]
+    y = y[owner]
     weights = [net.embed, *net.filters.values(), net.bias, net.head, net.offset]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 64):
             rows = order[at : at + 64]
-            wide, most, where = x[rows], [], []
+            wide, most, where = x[rows].astype(np.int64), [], []
             for w, k in net.filters.items():
                 span = WINDOW - w + 1
                 r = sum((net.embed @ k[o])[wide[:, o : o + span]] for o in range(w))
@@ -135,19 +137,20 @@ def apply(net: Network, tables: list[tuple[np.ndarray, ...]], texts: list[bytes]
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> tuple[list[bytes], list[str]]:
     """Windows and languages to learn from: a bounded number of texts of each language in a seeded order; of each, evenly spread windows."""
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = counts.select("lang", F.least(F.lit(1.0), 2 * per_language / F.col("count")).alias("share"))
+    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}")).select("lang", order_key("doc_id", "text").alias("o"), "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("o", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    most = max(1, min(per_language, ROWS // max(1, len(counts))))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * most / max(1, r["n"]))) for r in counts], "lang string, share double")
     width = F.greatest(F.lit(1), F.ceil(F.length("text") / windows)).cast("int")
     some = (
         labelled.join(F.broadcast(share), "lang")  # at most LANGUAGES rows
-        .filter(F.pmod(order_key("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-        .select("lang", order_key("doc_id").alias("o"), F.array(*[F.substring("text", 1 + i * width, F.lit(WINDOW)) for i in range(windows)]).alias("cuts"))
+        .filter(F.pmod("o", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        .select("lang", "o", F.array(*[F.substring("text", 1 + i * width, F.lit(WINDOW)) for i in range(windows)]).alias("cuts"))
+        .dropDuplicates(["lang", "o"])  # a copy says nothing new
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("o")))
     )
-    by: dict[str, list] = {}
-    for r in some.collect():  # about twice as many rows as are kept
-        by.setdefault(r["lang"], []).append((r["o"], r["cuts"]))
-    pairs = [(cut_.encode()[:WINDOW], lang) for lang in sorted(by) for _, cuts in sorted(by[lang])[:per_language] for cut_ in cuts if cut_]
+    rows = some.filter(F.col("place") <= most).orderBy("lang", "o").collect()  # at most ROWS, or one for each language
+    pairs = [(cut_.encode()[:WINDOW], r["lang"]) for r in rows for cut_ in r["cuts"] if cut_]
     return [x for x, _ in pairs], [y for _, y in pairs]
 
 
@@ -181,13 +184,14 @@ def predict(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def keep(docs: DataFrame, least: float, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of docs, all columns, whose language is told with a score of `least` or more."""
+    """The rows of docs, all columns, whose language is told: `least` is the part of the way from a blind guess among the learned languages (0) to certainty (1) that the score must have gone."""
     net, at = fitted(docs, per_language), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.value.tables() if net.value else []
         for batch in pieces(batches, most=1_000_000):
             lang, score = classify(net.value, tables, batch.column(at))
-            yield batch.filter(pa.array((lang != "und") & (score >= least)))
+            guess = 1 / len(net.value.languages) if net.value else 0.0
+            yield batch.filter(pa.array((lang != "und") & (score >= guess + least * (1 - guess))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -60,3 +60,11 @@ def test_training_is_repeatable(seed):
     rows = corpus(60)
     a, b = (g.train([t.encode() for _, t, _ in rows], [x for *_, x in rows], epochs=1, seed=seed) for _ in range(2))
     assert np.array_equal(a.head, b.head)
+
+
+def test_repeated_ids_and_rare_languages_are_learned(spark):
+    rows = [(3, f"the quick brown fox number {i} jumps over the lazy dog", "en") for i in range(3000)] + [(3, f"le renard brun {i} saute par dessus le chien", "fr") for i in range(5)]
+    df = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string").repartition(5)
+    texts, languages = g.sample(df, per_language=100)
+    assert languages.count("en") == 200 and languages.count("fr") == 10
+    assert (texts, languages) == g.sample(df.repartition(3), per_language=100)
