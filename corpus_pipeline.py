@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm import bpe_codec, decontaminate, language_id, secret_scan, simhash_dedup
 from foliant.llm.common import shared_dir, table
 
-#: A text whose likeliest language is less likely than this is rejected; so is one without letters.
-LEAST_SCORE = 0.3
+#: How far a text's likeliest language must be from a blind guess (0) toward certainty (1), however many languages are learned; texts without letters are rejected too.
+LEAST_GAIN = 0.15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
-    return language_id.keep(docs, LEAST_SCORE)
+    return language_id.keep(docs, LEAST_GAIN)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
