@@ -3,9 +3,10 @@
 Words are runs without \\x20 and \\x09-\\x0D. Each distinct word of a batch is encoded once by two public vocabularies;
 a text then has characters per token for both, the share of byte-fallback tokens, and the entropy of its tokens in
 bits. Rejection bands come from all texts that pass the base rules: for each language, or script where there is no
-language, Tukey fences around the quartiles, on the sides that mark junk. A text is kept if it passes the base
-rules and lies within its group's bands. Groups are two- or three-letter codes and a fixed list of scripts, so
-that the bands are a table of bounded size; a group of few texts takes the bands of all.
+language, Tukey fences around the quartiles, on the sides that mark junk; the fewer texts a group has, the wider its
+fences, as its quartiles say less. A text is kept if it passes the base rules and lies within its group's bands.
+Quartiles are read off counts of measures rounded to thousandths, so they do not depend on how rows are dealt. Groups
+are two- or three-letter codes and a fixed list of scripts, so that the bands are a table of bounded size.
 
 Null and blank texts have no words and fail the base rules. Repeated rows and null ids stay.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import pieces, segment_sum, split_words, written
@@ -32,8 +34,10 @@ SYMBOLS = "#*$%&|<>"
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Han", "Hiragana", "Katakana", "Hangul", "Devanagari", "Thai")
 #: Words whose tokens a Python worker keeps.
 KEPT = 200_000
-#: Fences lie so many interquartile ranges beyond the quartiles; groups of fewer texts have no bands of their own.
-FENCE, FEW = 4.0, 200
+#: Fences lie so many interquartile ranges beyond the quartiles, and further by the root of this number over that of a group's texts.
+FENCE, FEW = 4.0, 50
+#: Steps of a measure that are told apart.
+STEPS = 1000
 #: Measure, and the sides on which it is bounded: lower, upper.
 BANDS = {"chars_per_token": (True, True), "bytes_chars_per_token": (True, True), "fallback_share": (False, True), "token_entropy": (True, False)}
 #: Least width of a fence, for measures that hardly vary.
@@ -59,6 +63,12 @@ class Vocabularies:
         return [self.known[w] for w in words]
 
 
+@lru_cache(1)
+def vocabularies_in_task(pieces_path: str, ranks_path: str, pattern: str) -> Vocabularies:
+    """One set a Python worker, whatever its number of tasks."""
+    return Vocabularies(pieces_path, ranks_path, pattern)
+
+
 def repeated_words(code: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """For each text the words that lie in a window of three words found twice or more in the text."""
     out = np.zeros(len(code), bool)
@@ -112,7 +122,7 @@ def measures(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str) -
     """COLUMNS of every row of docs (doc_id, text, lang): its group in place of lang, counts, and what the tokenizers say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies = Vocabularies(pieces_path, ranks_path, pattern)
+        vocabularies = vocabularies_in_task(pieces_path, ranks_path, pattern)
         for batch in pieces(batches):
             texts, n = batch.column(1), batch.num_rows
             flat, owner = split_words(texts)
@@ -137,17 +147,25 @@ def measures(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str) -
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), code.alias("lang")).mapInArrow(run, COLUMNS)
 
 
+def quartiles(measured: DataFrame) -> DataFrame:
+    """lang, measure, n, low, high: quartiles of each measure over a group's texts, as the first values that a quarter and three quarters of them do not exceed."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(c) * STEPS).cast("long").alias("step")) for c in BANDS])).alias("m")
+    counts = measured.select("lang", each).groupBy("lang", "m.measure", "m.step").count()
+    group = Window.partitionBy("lang", "measure")  # one row for each step
+    ranked = counts.select("*", F.sum("count").over(group).alias("n"), F.sum("count").over(group.orderBy("step")).alias("upto"))
+    least = lambda share: (F.min(F.when(F.col("upto") >= F.col("n") * share, F.col("step"))) / STEPS)
+    return ranked.groupBy("lang", "measure").agg(F.max("n").alias("n"), least(0.25).alias("low"), least(0.75).alias("high"))
+
+
 def bands(measured: DataFrame) -> DataFrame:
     """lang, and lower and upper bounds of each measure: fences around the quartiles of a group's texts."""
-    parts = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c in BANDS]
-    found = measured.groupBy("lang").agg(F.count("*").alias("n"), *parts)
-    whole = measured.agg(*parts).first()
+    floor = F.create_map(*[x for c, v in FLOORS.items() for x in (F.lit(c), F.lit(v))])
+    width = F.greatest(FENCE * (F.col("high") - F.col("low")), floor[F.col("measure")]) * (1 + F.sqrt(F.lit(FEW) / F.col("n")))
     sides = []
     for c, (lower, upper) in BANDS.items():
-        q = F.when(F.col("n") >= FEW, F.col(c)).otherwise(F.lit(whole[c] or [0.0, 0.0]))
-        width = F.greatest(FENCE * (q[1] - q[0]), F.lit(FLOORS[c]))
-        sides += [(q[0] - width if lower else F.lit(float("-inf"))).alias(f"low_{c}"), (q[1] + width if upper else F.lit(float("inf"))).alias(f"high_{c}")]
-    return found.select("lang", *sides)
+        of = lambda x, c=c: F.max(F.when(F.col("measure") == c, x))
+        sides += [(of(F.col("low") - F.col("width")) if lower else F.lit(float("-inf"))).alias(f"low_{c}"), (of(F.col("high") + F.col("width")) if upper else F.lit(float("inf"))).alias(f"high_{c}")]
+    return quartiles(measured).withColumn("width", width).groupBy("lang").agg(*sides)
 
 
 def judge(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str) -> DataFrame:

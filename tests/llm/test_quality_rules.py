@@ -64,3 +64,21 @@ def test_odd_rows(odd, none):
     assert got.count() == odd.count()
     assert got.filter(F.col("kept")).count() == 0  # all are short or one word again and again
     assert q.judge(none, *ARGS).count() == 0
+
+
+def test_quartiles_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "fr", "th"]), *(rng.random() * 5 for _ in q.BANDS)) for _ in range(500)] + [("ka", 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "lang string, " + ", ".join(f"{c} double" for c in q.BANDS))
+    got = {(x["lang"], x["measure"]): (x["n"], x["low"], x["high"]) for x in q.quartiles(df.repartition(7)).collect()}
+    assert len(got) == 16
+    for (lang, c), (n, low, high) in got.items():
+        values = sorted(round(v * q.STEPS) / q.STEPS for x in rows if x[0] == lang for v in [x[1 + list(q.BANDS).index(c)]])
+        assert n == len(values) and abs(low - values[-(-n // 4) - 1]) < 2e-3 and abs(high - values[-(-3 * n // 4) - 1]) < 2e-3
+
+
+def test_few_texts_of_another_kind_are_kept(spark):
+    rows = [("en", 5.0, 5.0, 0.0, 7.0)] * 300 + [("ka", 0.8 + i / 1000, 0.9, 0.2, 6.5) for i in range(12)]
+    df = spark.createDataFrame(rows, "lang string, " + ", ".join(f"{c} double" for c in q.BANDS))
+    within = df.join(q.bands(df), "lang").filter(" and ".join(f"{c} between low_{c} and high_{c}" for c in q.BANDS))
+    assert within.count() == len(rows)
