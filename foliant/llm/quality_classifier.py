@@ -1,7 +1,7 @@
 """Quality classifier: evidence of a document's text, and hierarchical empirical Bayes over its site.
 
-A logistic model over binned text measures gives each document a log-likelihood ratio of good to bad. Labelled
-documents outside the held-out fifth are summed by host and by path under it; the prior's strength at either level
+A logistic model over binned text measures gives each document a log-likelihood ratio of good to bad; it never learns
+from a held-out fifth. Labelled documents are summed by host and by path under it; the prior's strength at either level
 is estimated by the method of moments from how much groups differ beyond chance. A host's posterior shrinks toward
 the share of all, a path's toward its host's, so that sparse sites fall back on the level above. A document's
 posterior adds its evidence to its path's log odds.
@@ -127,13 +127,14 @@ def posteriors(labelled: DataFrame) -> tuple[float, DataFrame, DataFrame]:
     return share, hosts, written(under, "under")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, host, path, evidence, prior, score, kept of every row of docs (doc_id, text, source). labels: doc_id, quality (1: good). sites: doc_id (each once), host, path; a document without a site has its source for host."""
+def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame, least: float = LEAST, counted: bool = True) -> DataFrame:
+    """Sites count all labels; unless `counted`, as for a measurement, those of the held-out fifth stay out. Evidence never learns from that fifth. doc_id, host, path, evidence, prior, score, kept of every row of docs (doc_id, text, source). labels: doc_id, quality (1: good). sites: doc_id (each once), host, path; a document without a site has its source for host."""
     read = written(measured(docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")), "doc_id", "source"), "measured")
     each = written(read.join(sites, "doc_id", "left").select("doc_id", F.coalesce("host", "source").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "x"), "sited")
-    known = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(counted) | ~held_out())).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
     labelled = written(each.join(known, "doc_id"), "labelled")
-    rows = drawn(labelled.select("doc_id", "x", "good"), ROWS, labelled.count(), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    fit_to = labelled.filter(~held_out()).select("doc_id", "x", "good")
+    rows = drawn(fit_to, ROWS, fit_to.count(), "doc_id", "x").toPandas().sort_values("doc_id", kind="stable")
     y = rows["good"].to_numpy(float)
     model = fit(np.stack(rows["x"].to_numpy()), y) if len(rows) and 0 < y.mean() < 1 else None
     share, hosts, paths = posteriors(labelled.select("host", "path", "good"))

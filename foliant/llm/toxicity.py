@@ -6,7 +6,8 @@ gradient of the documents' likelihood flows to each sentence by its share. Sente
 offending ones, found without any label of a sentence.
 
 Training takes a bounded, seeded sample of labelled documents outside the held-out fifth, weighted back to the
-labels' own share. Null and blank texts have no sentence: they score 0. Without labels of both kinds nothing is
+labels' own share; texts of more than `LONGEST` characters are scored, not learned from, and of several texts with one
+id the first in order is learned. Null and blank texts have no sentence: they score 0. Without labels of both kinds nothing is
 learned and every score is 0. Repeated rows stay; a document labelled twice counts as toxic if any label says so.
 """
 
@@ -92,7 +93,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     some = drawn(known.filter("toxic = 1"), toxic, total.get(1, 0), "doc_id").union(drawn(known.filter("toxic = 0"), clean, total.get(0, 0), "doc_id"))
     fit = docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("doc_id", "text")
-    rows = fit.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most toxic + clean rows
+    rows = fit.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()  # at most toxic + clean rows
     have = {k: max(1, sum(r["toxic"] == k for r in rows)) for k in (0, 1)}
     return [r["text"] for r in rows], [r["toxic"] for r in rows], [total.get(r["toxic"], 0) / have[r["toxic"]] for r in rows]
 
