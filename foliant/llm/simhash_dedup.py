@@ -14,8 +14,9 @@ gets its component, whose id is the smallest non-null doc_id. An empty table giv
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import drawn, sized, written
+from foliant.llm.common import delete, drawn, shared_dir, sized, written
 
 MOST = 4
 SHINGLE = 4
@@ -31,6 +32,8 @@ SHINGLE = 4
 SAMPLE = 4000
 #: Owners of a key beyond which its group is split into blocks over tasks.
 BLOCK = 20_000
+#: Rows of a fingerprint beyond which they are told their component by a broadcast: at most one such fingerprint in so many rows.
+HOT = 100_000
 #: Row keys, of eight bytes each, that are broadcast at most.
 GONE = 2_000_000
 
@@ -260,34 +263,46 @@ def links(fps: DataFrame, most: int = MOST, sample: int = SAMPLE, block: int = B
     return linked(dealt.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block"), most)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root for each node of an edge: the smallest node it reaches. Alternating large-star and small-star rounds; each cuts lineage."""
-    now = written(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for each node of an edge: the smallest node it reaches. Alternating large-star and small-star rounds until nothing changes; each is written, and the one before deleted."""
+    spark, folder = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/edges-{uuid.uuid4().hex}"
+
+    def kept(links: DataFrame, step: int) -> DataFrame:
+        links.write.parquet(f"{folder}/{step}")
+        if step:
+            delete(spark, f"{folder}/{step - 1}")
+        return spark.read.schema("src long, dst long").parquet(f"{folder}/{step}")
+
+    now = kept(edges.select("src", "dst").filter("src <> dst").distinct(), 0)
     mark = None
-    for _ in range(rounds):
+    for step in count(1):
         both = now.union(now.select("dst", "src"))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").select(F.explode(F.array(F.struct("dst", "m"), F.struct(F.col("src").alias("dst"), F.col("m")))).alias("e")).select(F.col("e.dst").alias("src"), F.col("e.m").alias("dst")).filter("src <> dst").distinct()
-        now = written(small, "edges")
+        now = kept(small, step)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(30,0)"))).first()
         if mark == was:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.groupBy("src").agg(F.min("dst").alias("root")).withColumnRenamed("src", "node")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, block: int = BLOCK, hot_rows: int = HOT) -> DataFrame:
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     each = written(fingerprints(docs, shingle), "fingerprints")
-    fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), most, block=block))
-    known = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    known = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(known.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = known.join(least, "root").select("fp", "component_id", "rows")
+    if known.filter(F.col("rows") > hot_rows).isEmpty():
+        return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    # A fingerprint of very many rows, such as that of blank texts, would be one task's share of a shuffle.
+    hot = sized(named.filter(F.col("rows") > hot_rows).select("fp", "component_id"))
+    rare = each.join(hot, "fp", "left_anti").join(named.filter(F.col("rows") <= hot_rows), "fp")
+    return each.join(hot, "fp").select("doc_id", "fp", "component_id").union(rare.select("doc_id", "fp", "component_id"))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -306,8 +321,9 @@ def keep_one(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, unnamed:
     chosen = (best if unnamed else best.filter("not unnamed")).select("row", F.lit(True).alias("chosen"))
     rows = written(each.groupBy("row").agg(F.count("*").alias("rows")).join(chosen, "row", "left"), "rows")
     # Texts need not move while the rows that go are few; beyond that both sides are shuffled by their keys.
-    gone = sized(rows.filter("chosen is null").select(F.col("row").alias("__row")), GONE)
-    kept = docs.withColumn("__row", row_key(docs)).join(gone, "__row", "left_anti")
+    key = f"row_{uuid.uuid4().hex}"
+    gone = sized(rows.filter("chosen is null").select(F.col("row").alias(key)), GONE)
+    kept = docs.withColumn(key, row_key(docs)).join(gone, key, "left_anti")
     if not rows.filter("chosen and rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["__row"])
+        kept = kept.dropDuplicates([key])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

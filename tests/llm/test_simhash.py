@@ -117,3 +117,15 @@ def test_keep_one_decides_by_row(spark):
 def test_row_key_counts_nulls(spark):
     docs = spark.createDataFrame([("x", None), (None, "x")], "text string, lang string")
     assert docs.select(s.row_key(docs)).distinct().count() == 2
+
+
+def test_hot_fingerprints_and_leftover_tables(spark, odd, tmp_path):
+    key = lambda r: str(tuple(r))
+    assert sorted(s.near_duplicates(odd, hot_rows=1).collect(), key=key) == sorted(s.near_duplicates(odd).collect(), key=key)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)], "src long, dst long")
+    assert {(r["node"], r["root"]) for r in s.components(edges).collect()} == {(i, 0) for i in range(51)} | {(i, 100) for i in range(100, 140)}
+
+
+def test_keep_one_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 1, 2), (2, "a b c d e", 1, 2)], "doc_id long, text string, `a.b` int, row int")
+    assert [tuple(r) for r in s.keep_one(df).collect()] == [(1, "a b c d e", 1, 2)]
