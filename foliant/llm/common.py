@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a new one."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset and all run on one machine, as in tests, a new one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliant-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliant-"))
     return sc.getCheckpointDir()
 
 
@@ -35,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that this library wrote and that nothing reads any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A file in any folder that Spark can reach, written by the driver: for small files only."""
     sc = spark.sparkContext
@@ -93,9 +103,10 @@ def segment_sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n)
 
 
-def enough_near(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, who: np.ndarray, members: np.ndarray, width: int, need: np.ndarray, at_once: int = 2_000_000) -> np.ndarray:
-    """Which candidates have enough words of what they may hold: of words[lo:hi] at least `need` are words of `who`. members: who * width + word, sorted. Looks at a bounded number of words in one go, or one candidate's."""
+def enough_near(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, who: np.ndarray, members: np.ndarray, width: int, edits: np.ndarray, at_once: int = 2_000_000) -> np.ndarray:
+    """Which candidates have enough words of what they may hold: of the different words of `who` no more than `edits` are missing in words[lo:hi]. members: who * width + word, sorted. Looks at a bounded number of words in one go, or one candidate's."""
     size, out = np.maximum(hi - lo, 0), np.zeros(len(who), bool)
+    need = np.bincount(members // width, minlength=int(who.max(initial=-1)) + 1)[who] - edits
     ends = np.cumsum(size)
     at = 0
     while at < len(who):
@@ -104,7 +115,9 @@ def enough_near(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, who: np.ndarr
         of = np.repeat(np.arange(at, to), size[at:to])
         word = words[np.arange(len(of)) - np.repeat(ends[at:to] - size[at:to] - base, size[at:to]) + lo[of]]
         key = who[of] * width + word
-        held = members[np.minimum(np.searchsorted(members, key), len(members) - 1)] == key
-        out[at:to] = np.bincount(of[held] - at, minlength=to - at) >= need[at:to]
+        place = np.minimum(np.searchsorted(members, key), len(members) - 1)
+        held = members[place] == key
+        seen = np.unique((of[held] - at) * len(members) + place[held]) // len(members)
+        out[at:to] = np.bincount(seen, minlength=to - at) >= need[at:to]
         at = to
     return out

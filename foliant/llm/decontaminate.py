@@ -220,7 +220,7 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
                 p = np.repeat(block[hit], n)
                 doc, item, place = owner[p], who[k], p - offset[k]
                 n, most = sizes[item], sizes[item] // ONE_IN
-                some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, n - most)
+                some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, most)
                 found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
     return found
 

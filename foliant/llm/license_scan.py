@@ -203,7 +203,7 @@ def matches(index: Index, texts: pa.Array, one_in: int = ONE_IN) -> list[tuple[i
         p = np.repeat(at[hit], many)
         doc, template, shift = owner[p], who[k], p - place[k]
         n, edits = lengths[template], lengths[template] // one_in
-        some = enough_near(words, np.maximum(starts[doc], shift - edits), np.minimum(ends[doc], shift + n + edits), template, index.members, len(index.words) + 1, n - edits)
+        some = enough_near(words, np.maximum(starts[doc], shift - edits), np.minimum(ends[doc], shift + n + edits), template, index.members, len(index.words) + 1, edits)
         hits += zip(doc[some].tolist(), template[some].tolist(), shift[some].tolist(), strict=True)
     out, tried = [], {}
     for doc, k, shift in sorted(set(hits)):
