@@ -14,10 +14,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.text import let
+
 #: Notations with one meaning.
 SYNONYMS = [(r"\\leq?(?![a-z])", r"\leq"), (r"\\geq?(?![a-z])", r"\geq"), (r"\\neq?(?![a-z])", r"\neq"), (r"\\cdot", r"\times"), (r"\\dfrac", r"\frac")]
 CONFIDENCE = ["high", "medium", "low"]
 LABEL = re.compile(r"\(\d{1,2}\)")
+#: A point's name before its coordinates, an aside at the end, what declares equivalents, and where parts begin.
+POINT_LABEL = r"(?:\\mathrm\{[A-Z]\}|\b[A-Z])(?=\([^()]*,[^()]*\))"
+ASIDE = r"\((?:즉|따라서|직선)[^()]*\)$"
+DECLARED = r"^(.*?)(?:\((?:즉|곧)(.+)\)|,\s*(?:즉|곧)\s+(.+))$"
+PART = r"(?=\(\d{1,2}\)\s)"
 
 
 def factors_sorted(text: str) -> str:
@@ -57,26 +64,36 @@ def factors_sorted(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(T.StringType())
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _sort_factors(x: pd.Series) -> pd.Series:
-    return x.map(factors_sorted, na_action="ignore")
+    return x.map(lambda texts: [factors_sorted(t) for t in texts], na_action="ignore")
 
 
 def _java(replacement: str) -> str:
     return replacement.replace("\\", "\\\\")
 
 
-def notation(x: Column, sort: bool = True) -> Column:
-    """The canonical notation of an answer."""
+def bare_notation(x: Column) -> Column:
+    """The canonical notation of an answer, factors as written."""
     s = F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
     s = F.regexp_replace(s, r"\$|\\,|~|\\ ", "")
     for pattern, to in SYNONYMS:
         s = F.regexp_replace(s, pattern, _java(to))
     s = F.regexp_replace(s, r"\s+", "")
     s = F.regexp_replace(s, r"([\^_])\{([^{}])\}", "$1$2")
-    s = F.regexp_replace(s, r"(?:\\mathrm\{[A-Z]\}|\b[A-Z])(?=\([^()]*,[^()]*\))", "")
-    s = F.regexp_replace(s, r"\((?:즉|따라서|직선)[^()]*\)$", "")
-    return F.when(s.contains(")("), _sort_factors(s)).otherwise(s) if sort else s
+    s = F.regexp_replace(s, POINT_LABEL, "")
+    return F.regexp_replace(s, ASIDE, "")
+
+
+def with_sorted_factors(texts: Column) -> Column:
+    """An array of notations with neighbouring factors sorted; Python sees only arrays that have any."""
+    some = F.exists(texts, lambda t: t.contains(")("))
+    return F.coalesce(_sort_factors(F.when(some, texts)), texts)
+
+
+def notation(x: Column) -> Column:
+    """The canonical notation of an answer."""
+    return F.get(with_sorted_factors(F.array(bare_notation(x))), F.lit(0))
 
 
 def final_value(n: Column) -> Column:
@@ -88,7 +105,7 @@ def final_value(n: Column) -> Column:
 def equivalents(x: Column) -> Column:
     """The notations that an answer declares equivalent: X (즉 Y), or X, 즉 Y."""
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", ""), r"\$", ""), r"\s+", " ")
-    pattern = r"^(.*?)(?:\((?:즉|곧)(.+)\)|,\s*(?:즉|곧)\s+(.+))$"
+    pattern = DECLARED
     both = F.array(F.regexp_extract(flat, pattern, 1), F.coalesce(F.nullif(F.regexp_extract(flat, pattern, 2), F.lit("")), F.regexp_extract(flat, pattern, 3)))
     return F.when(flat.rlike(pattern), both).otherwise(F.array(flat))
 
@@ -100,28 +117,39 @@ def core(x: Column) -> Column:
 
 def parts(x: Column) -> Column:
     """The parts of an answer such as (1) … (2) …, labels off; empty where there are fewer than two."""
-    found = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"(?=\(\d{1,2}\)\s)"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    found = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), PART), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     return F.when(F.size(found) > 1, F.transform(found, lambda s: F.regexp_replace(s, r"^\(\d{1,2}\)\s*", ""))).otherwise(F.array().cast("array<string>"))
 
 
-def _alike(a: Column, b: Column, sort: bool) -> Column:
-    """The rules for answers as wholes."""
-    na, nb = notation(a, sort), notation(b, sort)
-    ea, eb = equivalents(a), equivalents(b)
-    sides = lambda e: [notation(F.get(e, F.lit(i)), sort) for i in (0, 1)]
-    both = F.lit(False)
-    for x in sides(ea):
-        for y in sides(eb):
-            both |= (x != "") & (x == y)
-    ca, cb = notation(core(a), sort), notation(core(b), sort)
-    return (na == nb) | (final_value(na) == final_value(nb)) | both | ((ca != "") & (ca == cb))
+def canonical(x: Column) -> Column:
+    """All forms that an answer is compared in, and after them those of its parts: of each its notation, the core's, and the two declared equivalents'."""
+
+    def forms(t: Column) -> Column:
+        e = equivalents(t)
+        return F.array(bare_notation(t), bare_notation(core(t)), bare_notation(F.get(e, F.lit(0))), bare_notation(F.get(e, F.lit(1))))
+
+    return with_sorted_factors(F.concat(forms(x), F.flatten(F.transform(parts(x), forms))))
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Whether two canonical answers mean the same: as wholes, or part by part."""
+
+    def alike(i: Column) -> Column:
+        at = lambda x, k: F.get(x, 4 * i + k)
+        na, nb = at(a, 0), at(b, 0)
+        met = F.lit(False)
+        for j in (2, 3):
+            for k in (2, 3):
+                met |= (at(a, j) != "") & (at(a, j) == at(b, k))
+        return (na == nb) | (final_value(na) == final_value(nb)) | met | ((at(a, 1) != "") & (at(a, 1) == at(b, 1)))
+
+    by_part = (F.size(a) > 4) & (F.size(a) == F.size(b)) & F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) / 4 - 1).cast("int")), alike)
+    return alike(F.lit(0)) | by_part
 
 
 def same_answer(a: Column, b: Column) -> Column:
-    """Whether two answers mean the same. Factors inside parts are compared as written."""
-    pa, pb = parts(a), parts(b)
-    each = F.forall(F.arrays_zip(pa.alias("a"), pb.alias("b")), lambda z: _alike(z["a"], z["b"], False))
-    return _alike(a, b, True) | ((F.size(pa) > 1) & (F.size(pa) == F.size(pb)) & each)
+    """Whether two answers mean the same."""
+    return let(F.struct(canonical(a).alias("a"), canonical(b).alias("b")), lambda z: agree(z["a"], z["b"]))
 
 
 def worst_confidence(a: Column, b: Column) -> Column:

@@ -10,7 +10,9 @@ from foliant.functions.text import stripped, text_of
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 #: The words that difficulty may have, and marks of conditions and parts that prose does not start with.
 DIFFICULTIES = ["상", "중", "하"]
-PART_MARK = r"^\s*(?:\(?[가-하]\)|\(\d{1,2}\)|[ㄱ-ㅎ]\.|<[^>]*>|\[[^\]]*\])"
+PART_MARK = r"^\s*(?:\(\s*[가나다라마바0-9]+\s*\)|[①-⑮㉠-㉭ⓐ-ⓩ]|[ㄱ-ㅎ]\s*[.)]|\[\s*(?:서술형|서답형|조건|보기)(?![가-힣\w]))"
+#: What marks an error instead of an answer, and how long its details may be.
+ERROR, ERROR_DETAILS = r"(?s)^(\[(?:보기|문제) 오류\])\s*(.*)$", 16
 GRADER_NOISE = r"[\s$\\{},~]|mathrm|text|dfrac|frac"
 
 
@@ -23,11 +25,15 @@ def maths_inline(x: Column) -> Column:
 
 
 def answer_text(x: Column, is_choice: Column) -> Column:
-    """An answer without its number and label; of a choice its circled digit, a plain digit being circled."""
+    """An answer without its number and label; of a choice its circled digit, a plain digit being circled. Where an error is marked instead, its details are cut to a short line, a number stands as maths."""
     s = F.regexp_replace(stripped(maths_inline(x)), r"^\d+\s*[.)]\s*(?=\S)", "")
     s = F.regexp_replace(s, r"^\[\s*[가-힣]*형\s*\d*\s*\]\s*", "")
-    tagged = s.rlike(r"^\[(?:보기|문제) 오류\]")
-    number = F.regexp_replace(s, r"^(\[(?:보기|문제) 오류\])\s*([-+]?\d+(?:\.\d+)?)$", r"$1 \$$2\$")
+    mark, details = F.regexp_extract(s, ERROR, 1), stripped(F.regexp_extract(s, ERROR, 2))
+    cut = F.left(details, F.lit(ERROR_DETAILS))
+    whole_words = F.regexp_extract(cut, r"(?s)^(.{6,}) [^ ]*$", 1)
+    short = F.concat(F.regexp_replace(F.when(whole_words != "", whole_words).otherwise(cut), r"\s+$", ""), F.lit("…"))
+    shown = F.when(details.rlike(r"^[-+]?\d+(?:\.\d+)?$"), F.concat(F.lit("$"), details, F.lit("$"))).when(F.length(details) > ERROR_DETAILS, short).otherwise(details)
+    tagged, number = mark != "", F.trim(F.concat(mark, F.lit(" "), shown))
     circled = F.regexp_extract(s, f"([{CIRCLED}])", 1)
     digit = F.regexp_extract(s, r"\b([1-9]|10)\b", 1)
     picked = F.when(circled != "", circled).when(digit != "", F.substring(F.lit(CIRCLED), digit.try_cast("int"), F.lit(1))).otherwise(s)
@@ -123,11 +129,13 @@ def crop_boxes(x: Column, least: float = 0.02) -> Column:
     return F.filter(F.coalesce(items, crops, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double,kind:string,number:string>>")), lambda b: (b["x1"] - b["x0"] > least) & (b["y1"] - b["y0"] > least))
 
 
-def page_quality(width: Column, height: Column, sharpness: Column, ink: Column, least_width: int = 800, least_height: int = 800, sharp: float = 50.0, blank: float = 0.5) -> Column:
-    """100 less 30 for a small image, 40 for a blurred one, 50 for a blank one, and the reasons."""
-    small, blurred, empty = (width < least_width) | (height < least_height), sharpness < sharp, ink < blank
-    score = 100.0 - F.when(small, 30.0).otherwise(0.0) - F.when(blurred, 40.0).otherwise(0.0) - F.when(empty, 50.0).otherwise(0.0)
-    return F.struct(F.greatest(F.lit(0.0), score).alias("score"), F.array_compact(F.array(F.when(small, "small"), F.when(blurred, "blurred"), F.when(empty, "blank"))).alias("reasons"))
+def page_quality(width: Column, height: Column, sharpness: Column, ink: Column, contrast: Column, least_width: int = 500, least_height: int = 500, sharp: float = 100.0, blank: float = 1.0, faded: float = 30.0) -> Column:
+    """100 less 30 for a small image, 40 for a blurred one, 50 for a blank one, 25 for one of little contrast, and the reasons."""
+    found = {"small": ((width < least_width) | (height < least_height), 30.0), "blurred": (sharpness < sharp, 40.0), "blank": (ink < blank, 50.0), "faded": (contrast < faded, 25.0)}
+    score = F.lit(100.0)
+    for holds, penalty in found.values():
+        score -= F.when(holds, penalty).otherwise(0.0)
+    return F.struct(F.greatest(F.lit(0.0), score).alias("score"), F.array_compact(F.array(*[F.when(holds, name) for name, (holds, _) in found.items()])).alias("reasons"))
 
 
 def number_text(x: Column) -> Column:

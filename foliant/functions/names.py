@@ -1,16 +1,18 @@
-"""Metadata from file names, in three formats: bracketed with a term token (A), older bracketed tokens (B), underscores (C)."""
+"""Metadata from file names, in three formats: bracketed with a term token (A), older bracketed tokens (B), underscores (C); schools in titles; names of forms and of what is filled into them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
+
 #: Patterns of the formats, and what is no exam.
 TERM = r"^(?:20)?(\d{2})\s*년?\s*[-.]?\s*([12])\s*학?기?\s*[-.]?\s*(?:[12]\s*)?(중간|기말)"
 TERM_REVERSED = r"^(?:20)?(\d{2})\s*[-.]\s*(중간|기말)\s*[-.]\s*([12])$"
 UNDERSCORED = r"^(.+?(?:학교|고|중))_([1-3])학년_(20\d{2})_([12])학기(중간|기말)_([^_]*)"
 NOT_EXAM_NAME = r"교사용|열람용|폼지|대수회|수준별|진도학습|편집자료|편집충돌|개념마스터|^\[정답\]|^\[해설\]|모의고사|라이트 본문|교재"
-NOT_EXAM_PATH = r"교과서|개념마스터|연산교재|RPM|쎈\b|보드게임|악보"
+NOT_EXAM_PATH = r"교과서|개념마스터|연산교재|RPM|쎈\b|보드게임|악보|웨딩|BGM|타블 카드|내 그림|제작 툴|academy-app|Making|수익 프로젝트|4g SD|CAFE|WOW|경복궁|박세미|녹화본"
 SUBJECTS = {
     "수학1": "수1", "수학I": "수1", "수I": "수1", "수학2": "수2", "수학II": "수2", "수II": "수2",
     "수학상": "수상", "수학(상)": "수상", "수(상)": "수상", "수학 상": "수상", "고등상": "수상",
@@ -20,6 +22,20 @@ SUBJECTS = {
     "심화수학1": "심화수학", "심수": "심화수학", "수힉": "수학",
 }
 KNOWN = ["수1", "수2", "수상", "수하", "확통", "미적분", "공수1", "공수2", "기하", "심화수학", "수학", "경제수학"]
+#: Standard subjects of forms and the names they go by; those of the first grade have no form of their own, electives may share one.
+STANDARD = {
+    "공수1": "공통수학1", "공통수학1": "공통수학1", "수상": "공통수학1", "공수2": "공통수학2", "공통수학2": "공통수학2", "수하": "공통수학2",
+    "수1": "대수", "수학1": "대수", "대수": "대수", "수2": "미적분1", "수학2": "미적분1", "미적분1": "미적분1", "미적1": "미적분1", "미적분I": "미적분1", "미적분Ⅰ": "미적분1",
+    "미적분": "미적분2", "미적분2": "미적분2", "미적2": "미적분2", "미적분II": "미적분2", "미적분Ⅱ": "미적분2", "기하": "기하", "확통": "확률과통계", "확률과통계": "확률과통계",
+}
+FIRST_GRADE, ELECTIVES = ["공통수학1", "공통수학2"], ["미적분2", "기하", "확률과통계"]
+FORM_SUBJECTS = ["대수", "미적분1", "선택과목", *ELECTIVES]
+OLD_FORMS = {"대수": "수1", "미적분1": "수2"}
+FORM_TERM = r"(\d{2,4})\s*[-_.]\s*([12])\s*[-_.]\s*(중간|기말)"
+FORM_GENERATION = r"\[\s*(\d{2})\s*년[^\]]*?\(\s*(\d{1,2})\s*\.\s*(\d{1,2})\s*\)\s*\]"
+#: Words around a school's name in titles, and what a school's name looks like.
+TITLE_NOISE = r"20\d{2}\s*년?(?:도)?|\d\s*학기|중간고사|기말고사|중간|기말|대비|고사"
+SCHOOL_NAME = r"(?!중간|기말|모의)([가-힣]{2,10}(?:여고|여중|고|중))(?!사)"
 SCHOOLS = [("여자고등학교", "여고"), ("고등학교", "고"), ("여자중학교", "여중"), ("중학교", "중")]
 
 
@@ -90,3 +106,86 @@ def valid(names: DataFrame, since: int = 2020) -> DataFrame:
     for c in ("school", "round", "level"):
         some &= F.col(c).isNotNull() & (F.col(c) != "")
     return names.filter(some)
+
+
+def find_school(title: Column) -> Column:
+    """The first school's name in a title, words around it set aside; null where there is none."""
+    return F.nullif(F.regexp_extract(F.regexp_replace(F.coalesce(title, F.lit("")), TITLE_NOISE, " "), SCHOOL_NAME, 1), F.lit(""))
+
+
+def norm_school(x: Column) -> Column:
+    """A school's name in its short form."""
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", ""), "등학교$", "")
+    for long, short in (("학교", ""), ("여자고", "여고"), ("여자중", "여중")):
+        s = F.replace(s, F.lit(long), F.lit(short))
+    return s
+
+
+def same_school(a: Column, b: Column) -> Column:
+    """Whether two names may be one school's: one ends with the other; an unknown one may be any."""
+    x, y = norm_school(a), norm_school(b)
+    return (x == "") | (y == "") | x.endswith(y) | y.endswith(x)
+
+
+def school_level(school: Column) -> Column:
+    """중 or 고 by whichever comes last in a school's name; empty without either."""
+    return F.regexp_extract(F.coalesce(school, F.lit("")), "^.*([중고])", 1)
+
+
+def grade_of(title: Column) -> Column:
+    """The level and grade of a file's name or title: of its school and grade in brackets, else as written out; empty where unknown."""
+    base = F.regexp_replace(F.coalesce(title, F.lit("")), r"^.*/", "")
+    head = r"^\s*\[([^\]]*)\]\s*\[\s*([1-3])\s*\]"
+    level = school_level(F.regexp_extract(base, head, 1))
+    written = F.concat(F.regexp_extract(base, r"(중|고)\s*([1-3])", 1), F.regexp_extract(base, r"(중|고)\s*([1-3])", 2))
+    return F.when(level != "", F.concat(level, F.regexp_extract(base, head, 2))).otherwise(written)
+
+
+def standard_subject(x: Column) -> Column:
+    return F.create_map(*[F.lit(v) for kv in STANDARD.items() for v in kv])[x]
+
+
+def filled(path: Column) -> Column:
+    """valid, school, grade, year, term, part, subject, form_subject, form_subtag of the file that is to be filled into a form, by its bracketed name."""
+    stem = F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
+
+    def of(t: Column) -> Column:
+        school, number = F.trim(F.get(t, F.lit(0))), F.trim(F.get(t, F.lit(1)))
+        level = school_level(school)
+        known = (F.size(t) >= 3) & level.isin("중", "고") & number.isin("1", "2", "3")
+        joined = F.array_join(t, " ")
+        year = F.regexp_extract(joined, FORM_TERM, 1)
+        token = F.get(F.filter(F.transform(F.slice(t, 3, 100), F.trim), lambda x: standard_subject(F.replace(x, F.lit(" "), F.lit(""))).isNotNull()), F.lit(0))
+        standard = standard_subject(F.replace(token, F.lit(" "), F.lit("")))
+        own = (level == "고") & standard.isNotNull() & ~standard.isin(FIRST_GRADE)
+        subtag = F.coalesce(F.create_map(*[F.lit(v) for kv in OLD_FORMS.items() for v in kv])[standard], F.lit("선택과목"))
+        subject = F.when(level == "중", "수학").otherwise(F.coalesce(token, F.lit("")))
+        some = lambda x: F.when(known, x).otherwise("")
+        return F.struct(
+            (known & (year != "") & (subject != "")).alias("valid"), some(school).alias("school"), some(F.concat(level, number)).alias("grade"), some(F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)).alias("year"),
+            some(F.regexp_extract(joined, FORM_TERM, 2)).alias("term"), some(F.regexp_extract(joined, FORM_TERM, 3)).alias("part"), some(subject).alias("subject"), some(F.when(own, standard).otherwise("")).alias("form_subject"), some(F.when(own, subtag).otherwise("")).alias("form_subtag"),
+        )
+
+    return let(F.regexp_extract_all(stem, F.lit(r"\[([^\]]*)\]"), F.lit(1)), of)
+
+
+def form(path: Column) -> Column:
+    """grade, subtag, subject, color, display, generation (year, month, day) of a form, by its name: its kind stands in the first brackets, a color in a later one. A name without grade or known subject has neither."""
+    name = F.regexp_replace(F.coalesce(path, F.lit("")), r"^.*/", "")
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+    def of(t: Column) -> Column:
+        first = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
+        tag = r"^\s*(?:(중|고)\s*([1-3]))?\s*(.*?)\s*$"
+        grade = F.concat(F.regexp_extract(first, tag, 1), F.regexp_extract(first, tag, 2))
+        raw = F.regexp_replace(F.regexp_replace(F.regexp_extract(first, tag, 3), "용$", ""), r"\s+", "")
+        key = F.coalesce(standard_subject(raw), raw)
+        known = (grade != "") | key.isin(FORM_SUBJECTS)
+        color = F.coalesce(F.get(F.filter(F.slice(t, 2, 100), lambda x: (x != "개정") & x.rlike("^[가-힣]+$")), F.lit(0)), F.lit(""))
+        subtag, subject = F.when(known, raw).otherwise(""), F.when(known & ~key.isin(FIRST_GRADE), key).otherwise("")
+        label = F.trim(F.concat_ws(" ", F.nullif(grade, F.lit("")), F.nullif(subtag, F.lit(""))))
+        display = F.trim(F.concat(F.when(label != "", label).otherwise(stem), F.when(color != "", F.concat(F.lit(" ("), color, F.lit(")"))).otherwise("")))
+        part = lambda i: F.coalesce(F.regexp_extract(name, FORM_GENERATION, i).try_cast("int"), F.lit(0))
+        return F.struct(grade.alias("grade"), subtag.alias("subtag"), subject.alias("subject"), color.alias("color"), display.alias("display"), F.struct(part(1).alias("year"), part(2).alias("month"), part(3).alias("day")).alias("generation"))
+
+    return let(F.transform(F.regexp_extract_all(F.regexp_replace(stem, r"\[[^\]]*\]", ""), F.lit(r"\(([^()]*)\)"), F.lit(1)), F.trim), of)

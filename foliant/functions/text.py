@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,14 +18,25 @@ RISKS = {
     "UNIT": (r"(\d+\s*(?:cm|mm|km|kg|mg|mL|kL|°C|℃)\b)", "low"),
     "NUMBER": (r"(\d{3,})", "low"),
 }
+#: Commands and the signs they stand for, longer ones before those they begin with.
+SIGNS = {r"\div": "÷", r"\times": "×", r"\cdot": "·", r"\pm": "±", r"\leq": "≤", r"\le": "≤", r"\geq": "≥", r"\ge": "≥", r"\neq": "≠"}
 SEVERITY = {"low": 0, "medium": 1, "high": 2}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_of(x: Column) -> Column:
     """A null text counts as empty, wherever texts are concatenated or measured."""
     return F.coalesce(x, F.lit(""))
 
 
+def without_nulls(xs: Column) -> Column:
+    return F.filter(xs, lambda x: x.isNotNull())
+
+
 def missing(x: Column) -> Column:
     """Null or empty; blanks are not missing."""
     return x.isNull() | (x == "")
@@ -57,6 +70,75 @@ def norm_latex(x: Column) -> Column:
     return norm_space(F.regexp_replace(text_of(x), r"\\(?:qquad|quad|thinspace|,|;|:|!| )", ""))
 
 
+def norm_symbols(x: Column) -> Column:
+    """For comparing sources that write one sign as a command or as itself: signs for commands, then no white space, braces and script marks."""
+    for command, sign in SIGNS.items():
+        x = F.replace(x, F.lit(command), F.lit(sign))
+    return F.regexp_replace(text_of(x), r"[\s{}$\\_^]", "")
+
+
+def hangul_key(x: Column) -> Column:
+    """The Hangul of a text alone, which maths and marks cannot disturb."""
+    return F.regexp_replace(text_of(x), "[^가-힣]", "")
+
+
+def without_lead(x: Column, key: Column) -> Column:
+    """What follows in a text after its Hangul has spelled a key; null where it begins otherwise."""
+    lead = F.concat(F.lit("(?s)^"), F.array_join(F.transform(F.split(key, ""), lambda c: F.concat(F.lit("[^가-힣]*"), c)), ""))
+    return F.when((key != "") & F.regexp_like(x, lead), F.regexp_replace(x, lead, F.lit("")))
+
+
+def wrapped(x: Column, width: int) -> Column:
+    """Lines of words no wider than so many columns, full-width characters counting two; a wider word has a line of its own."""
+    wide = lambda s: F.length(s) + F.length(F.regexp_replace(s, r"[\x{0}-\x{2E7F}]", ""))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+    def step(a: Column, w: Column) -> Column:
+        longer = F.concat_ws(" ", F.nullif(a["line"], F.lit("")), w)
+        fits = wide(longer) <= width
+        return F.struct(F.when(fits | (a["line"] == ""), a["lines"]).otherwise(F.array_append(a["lines"], a["line"])).alias("lines"), F.when(fits, longer).otherwise(w).alias("line"))
+
+    words = F.filter(F.split(text_of(x), r"\s+"), lambda w: w != "")
+    return F.aggregate(words, start, step, lambda a: F.when(a["line"] == "", a["lines"]).otherwise(F.array_append(a["lines"], a["line"])))
+
+
+def without_scores(x: Column) -> Column:
+    """Without scores printed in brackets."""
+    return stripped(F.regexp_replace(F.regexp_replace(text_of(x), r"[\[［(]\s*(?:총\s*)?\d+(?:\.\d+)?\s*점\s*[\]］)]", ""), r"\s{2,}", " "))
+
+
+def sections(x: Column) -> Column:
+    """answer, solution, topic, difficulty of a model's delimited answer, the last of each; where none is delimited, those of a JSON object in it."""
+    bare = F.regexp_replace(F.regexp_replace(stripped(text_of(x)), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    names = ["answer", "solution", "topic", "difficulty"]
+
+    def of(s: Column) -> Column:
+        block = lambda n: F.try_element_at(F.regexp_extract_all(s, F.lit(rf"(?si)###\s*{n}\s*###\s*\n?(.*?)(?=###\s*(?:ANSWER|SOLUTION|TOPIC|DIFFICULTY|END)\s*###|\z)"), F.lit(1)), F.lit(-1))
+        some = s.rlike(r"(?i)###\s*(?:ANSWER|SOLUTION|TOPIC|DIFFICULTY)\s*###")
+        json = F.from_json(F.regexp_extract(F.regexp_replace(s, r"\\\\|\\(?![\"\\/bfnrtu])", r"\\\\"), r"(?s)(\{.*\})", 1), ", ".join(f"{n} string" for n in names))
+        revived = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\f(?=[a-zA-Z])", r"\\f"), r"\x08(?=[a-zA-Z])", r"\\b"), r"\r(?=[a-zA-Z])", r"\\r"), r"\t(?=[a-zA-Z])", r"\\t")
+        return F.struct(*[F.when(some, stripped(block(n))).otherwise(revived(json[n])).alias(n) for n in names])
+
+    return let(bare, of)
+
+
+def mismatch(golden: Column, candidate: Column) -> Column:
+    """The category of a difference between two texts, the gravest first: odd for even, decimals, intervals, inequalities, exponents, numbers; null for none of them."""
+    g, c = text_of(golden), text_of(candidate)
+    swapped = (g.contains("홀수") & c.contains("짝수")) | (g.contains("짝수") & c.contains("홀수"))
+    found = lambda x, pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+    differ = lambda pattern: found(g, pattern) != found(c, pattern)
+    interval = RISKS["CONFIDENCE_INTERVAL"][0]
+    return (
+        F.when(swapped, "HOL_JJAK")
+        .when(differ(r"(\d+\.\d+)"), "DECIMAL")
+        .when(g.rlike(interval) != c.rlike(interval), "CONFIDENCE_INTERVAL")
+        .when(differ(RISKS["INEQUALITY"][0]), "INEQUALITY")
+        .when(differ(r"\^\s*\{?\s*(\d+)"), "EXPONENT")
+        .when(differ(r"(\d+)"), "NUMBER")
+    )
+
+
 def scrubbed(x: Column) -> Column:
     """Without control characters, tabs and line breaks excepted."""
     return F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")

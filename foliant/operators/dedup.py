@@ -13,16 +13,25 @@ def stems(rows: DataFrame, key: str, text: str, shortest: int = 20) -> DataFrame
     return rows.select(F.col(key).alias("key"), norm_dedup(F.col(text), 1 << 20).alias("whole")).filter(F.length("whole") >= shortest).select("key", F.substring("whole", 1, 120).alias("stem"))
 
 
-def similar_pairs(found: DataFrame, threshold: float = 0.85, apart: int = 3) -> DataFrame:
-    """x < y, similarity: shared distinct stems over the larger number of distinct stems, from (key, stem).
+def classes(found: DataFrame) -> DataFrame:
+    """key, rep, total, stems of each key with stems, from (key, stem): keys with the same stems, equally many in all, are copies, and their least key stands for them. stems: the distinct ones, in order."""
+    one = found.groupBy("key", "stem").agg(F.count("*").alias("times"))
+    sets = one.groupBy("key").agg(F.sum("times").alias("total"), F.array_sort(F.collect_list("stem")).alias("stems"))
+    marked_ = sets.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.col("total").cast("string"), "stems"), 256))
+    reps = marked_.groupBy("digest").agg(F.min("key").alias("rep"))
+    return marked_.join(reps, "digest").select("key", "rep", "total", "stems")
+
+
+def similar_pairs(known: DataFrame, threshold: float = 0.85, apart: int = 3) -> DataFrame:
+    """x < y, similarity, tx, ty: pairs of classes, by the keys that stand for them, whose shared distinct stems are so large a share of the larger number of distinct stems.
 
-    Keys whose numbers of stems, repeats included, differ by more than `apart` are no pair. A pair that reaches the
+    Classes whose numbers of stems, repeats included, differ by more than `apart` are no pair. A pair that reaches the
     threshold shares a stem among the first of each in one global order, rarest first: of n distinct stems the first
     n - ceil(threshold * n) + 1. Only those are joined, so stems that everything shares hardly ever meet, and
-    the similarity of the candidates is then exact.
+    the similarity of the candidates is then exact. Copies do not meet at all: each is a member of its class.
     """
-    one = found.groupBy("key", "stem").agg(F.count("*").alias("times"))
-    sets = one.groupBy("key").agg(F.sum("times").alias("total"), F.count("*").alias("distinct"), F.array_sort(F.collect_list("stem")).alias("stems"))
+    sets = known.filter("key = rep").select("key", "total", "stems")
+    one = sets.select("key", F.explode("stems").alias("stem"))
     often = one.groupBy("stem").agg(F.count("*").alias("keys"))
     ranked = one.join(often, "stem").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("keys", "stem"))).alias("order"))
     n = F.size("order")
@@ -32,8 +41,8 @@ def similar_pairs(found: DataFrame, threshold: float = 0.85, apart: int = 3) ->
     pairs = a.join(b, (F.col("a.stem") == F.col("b.stem")) & (F.col("a.key") < F.col("b.key")) & near).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
     left = sets.select(F.col("key").alias("x"), F.col("total").alias("tx"), F.col("stems").alias("sx"))
     right = sets.select(F.col("key").alias("y"), F.col("total").alias("ty"), F.col("stems").alias("sy"))
-    known = pairs.join(left, "x").join(right, "y").filter(F.abs(F.col("tx") - F.col("ty")) <= apart)
-    return known.select("x", "y", (F.size(F.array_intersect("sx", "sy")) / F.greatest(F.size("sx"), F.size("sy"))).alias("similarity"), "tx", "ty").filter(F.col("similarity") >= threshold)
+    close = pairs.join(left, "x").join(right, "y").filter(F.abs(F.col("tx") - F.col("ty")) <= apart)
+    return close.select("x", "y", (F.size(F.array_intersect("sx", "sy")) / F.greatest(F.size("sx"), F.size("sy"))).alias("similarity"), "tx", "ty").filter(F.col("similarity") >= threshold)
 
 
 def marked(pairs: DataFrame) -> DataFrame:
@@ -43,6 +52,11 @@ def marked(pairs: DataFrame) -> DataFrame:
     return each.groupBy("loser").agg(F.max_by("keeper", "o").alias("keeper"))
 
 
+def copies_marked(known: DataFrame) -> DataFrame:
+    """loser, keeper: each copy with the key that stands for its class."""
+    return known.filter("key <> rep").select(F.col("key").alias("loser"), F.col("rep").alias("keeper"))
+
+
 def fingerprint(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """key, fingerprint, n: a hash of a collection's stems in order."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), norm_dedup(F.col(text)).alias("t")))), lambda x: x["t"])

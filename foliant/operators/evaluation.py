@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.text import norm_latex, norm_loose, norm_space, norm_strict, risk_tokens, windows
+from foliant.functions.text import let, mismatch, norm_latex, norm_space, norm_strict, norm_symbols, windows
 
 #: Tags of regressions, in order.
 TAGS = ["QUESTION_COUNT", "CHOICE_COUNT", "CONTENT_TYPE_DRIFT", "NUMBER_MISMATCH", "EQUATION_DRIFT", "BOX_PROSE_DROP", "TABLE_MISSING"]
@@ -51,18 +51,18 @@ def cell_accuracy(candidate: Column, golden: Column) -> Column:
 
 def prose_present(text: Column, hay: Column) -> Column:
     """The share of a text's windows that occur in another, both as letters and numbers; 1 without any."""
-    found = F.transform(windows(norm_strict(text)), lambda w: F.contains(norm_strict(hay), w).cast("int"))
-    return F.when(F.size(found) == 0, 1.0).otherwise(F.aggregate(found, F.lit(0), lambda a, x: a + x) / F.size(found))
+    found = let(F.struct(norm_strict(text).alias("t"), norm_strict(hay).alias("hay")), lambda z: F.transform(windows(z["t"]), lambda w: F.contains(z["hay"], w).cast("int")))
+    return let(found, lambda f: F.when(F.size(f) == 0, 1.0).otherwise(F.aggregate(f, F.lit(0), lambda a, x: a + x) / F.size(f)))
 
 
 def question_scores(pairs: DataFrame) -> DataFrame:
     """sample_id and the measures of each pair of questions (c_ and g_: number, text, equations, n_choices, types)."""
     return pairs.select(
         "sample_id",
-        seq_ratio(norm_loose(F.col("c_text")), norm_loose(F.col("g_text"))).alias("text_ratio"),
+        seq_ratio(norm_strict(F.col("c_text")), norm_strict(F.col("g_text"))).alias("text_ratio"),
         seq_ratio(norm_latex(F.col("c_equations")), norm_latex(F.col("g_equations"))).alias("equation_ratio"),
         count_score(F.col("c_n_choices"), F.col("g_n_choices")).alias("choice_score"),
-        F.when(F.array_sort(F.array_distinct("c_types")) == F.array_sort(F.array_distinct("g_types")), 1.0).otherwise(0.0).alias("type_score"),
+        seq_ratio(F.array_join("c_types", "\x00"), F.array_join("g_types", "\x00")).alias("type_score"),
         F.when(F.col("c_number").eqNullSafe(F.col("g_number")), 1.0).otherwise(0.0).alias("number_score"),
     )
 
@@ -76,6 +76,23 @@ def sample_scores(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return j.withColumn("regressions", F.array_compact(F.array(*[F.when(c, t) for t, c in tags])))
 
 
+def agreement(found: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """total, agree, share: of the values that both sides have, how many are the same, white space at the ends aside; the share of none is null."""
+    some = lambda d, n: d.select(*keys, F.regexp_replace(value, r"^\s+|\s+$", "").alias(n)).filter(F.col(n) != "")
+    both = some(found, "f").join(some(reference, "r"), keys)
+    return both.agg(F.count("*").alias("total"), F.count_if(F.col("f") == F.col("r")).alias("agree")).withColumn("share", F.try_divide("agree", "total"))
+
+
+def verified(reference: DataFrame, found: DataFrame, key: str, number: str, text: str, score: str) -> DataFrame:
+    """key, n_reference, n_found, similarity, scores: per document the mean similarity of its questions' texts, a missing one counting 0, and the share of its known scores that are the same."""
+    g = found.select(key, number, F.lit(True).alias("__met"), F.col(text).alias("__t"), F.col(score).alias("__s"))
+    both = reference.select(key, number, text, score).join(g, [key, number], "left")
+    rated = both.withColumn("sim", F.when(F.col("__met").isNull(), 0.0).otherwise(seq_ratio(norm_symbols(F.col(text)), norm_symbols(F.col("__t")))))
+    known = F.when(F.col(score).isNotNull() & F.col("__met"), F.col(score).eqNullSafe(F.col("__s")).cast("int"))
+    each = rated.groupBy(key).agg(F.count("*").alias("n_reference"), F.avg("sim").alias("similarity"), F.avg(known).alias("scores"))
+    return each.join(found.groupBy(key).agg(F.count("*").alias("n_found")), key).select(key, "n_reference", "n_found", "similarity", "scores")
+
+
 def aggregated(scores: DataFrame, measures: list[str]) -> DataFrame:
     """n, the mean of each measure without nulls (1 where there are none), and the share of rows with regressions."""
     return scores.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(m), F.lit(1.0)).alias(f"mean_{m}") for m in measures], F.coalesce(F.avg((F.size("regressions") > 0).cast("int")), F.lit(0.0)).alias("regression_rate"))
@@ -99,25 +116,18 @@ def threshold_gate(summary: DataFrame, least: dict[str, float], most: dict[str,
     return summary.withColumn("passed", ok)
 
 
-@F.udtf(returnType="golden string, candidate string")
-class DiffSegments:
+@F.udf(T.ArrayType(T.StructType([T.StructField("golden", T.StringType()), T.StructField("candidate", T.StringType())])), useArrow=True)
+def diff_segments(golden: str | None, candidate: str | None, context: int) -> list[dict]:
     """Where two texts differ, with some characters of context."""
-
-    def eval(self, golden: str, candidate: str, context: int):
-        a, b = golden or "", candidate or ""
-        for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if kind != "equal":
-                yield a[max(0, i - context) : j + context], b[max(0, k - context) : m + context]
+    a, b = golden or "", candidate or ""
+    cuts = (o for o in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal")
+    return [{"golden": a[max(0, i - context) : j + context], "candidate": b[max(0, k - context) : m + context]} for _, i, j, k, m in cuts]
 
 
 def mined(pairs: DataFrame, context: int = 5) -> DataFrame:
-    """sample_id, golden, candidate, category of each difference of pairs (sample_id, g_text, c_text): the category of the first risky token that only one side has, or none."""
-    spark = pairs.sparkSession
-    spark.udtf.register("foliant_diff", DiffSegments)
-    pairs.createOrReplaceTempView("foliant_pairs")
-    found = spark.sql("SELECT p.sample_id, d.golden, d.candidate FROM foliant_pairs p, LATERAL foliant_diff(p.g_text, p.c_text, :context) d", args={"context": context})
-    only = F.array_except(F.transform(risk_tokens(F.col("golden"), "low"), lambda r: F.struct(r["category"], r["token"])), F.transform(risk_tokens(F.col("candidate"), "low"), lambda r: F.struct(r["category"], r["token"])))
-    return found.withColumn("category", F.coalesce(F.get(only, F.lit(0))["category"], F.lit("UNCATEGORIZED")))
+    """sample_id, golden, candidate, category of each difference of pairs (sample_id, g_text, c_text)."""
+    found = pairs.select("sample_id", F.explode(diff_segments("g_text", "c_text", F.lit(context))).alias("d")).select("sample_id", "d.golden", "d.candidate")
+    return found.withColumn("category", F.coalesce(mismatch(F.col("golden"), F.col("candidate")), F.lit("UNCATEGORIZED")))
 
 
 def clusters(failures: DataFrame, samples: int = 8) -> DataFrame:

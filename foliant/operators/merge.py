@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.answers import notation, same_answer, worst_confidence
+from foliant.functions.answers import agree, canonical, worst_confidence
 from foliant.functions.text import single_choice, text_of
 
 FIELDS = ("answer", "solution", "topic", "difficulty")
@@ -64,10 +64,11 @@ def merge_solved(old: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], lo
     """Two independent solutions fill missing answers where they agree; long written answers fill the solution only. answer_source tells the worse confidence."""
     fields = ("answer", "solution", "confidence")
     pick = lambda d, s: d.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in fields])
-    m = old.join(pick(a, "a").join(pick(b, "b"), keys), keys, "left")
+    # Each side is canonicalised once, to columns.
+    m = old.join(pick(a, "a").join(pick(b, "b"), keys), keys, "left").withColumns({"a_forms": canonical(F.col("a_answer")), "b_forms": canonical(F.col("b_answer"))})
     open_ = full(F.col("answer")).isNull() & full(F.col("a_answer")).isNotNull() & full(F.col("b_answer")).isNotNull()
-    written = ~single_choice(F.col("a_answer")) & (F.greatest(F.length(notation(F.col("a_answer"))), F.length(notation(F.col("b_answer")))) > long)
-    agreed = open_ & ~written & same_answer(F.col("a_answer"), F.col("b_answer"))
+    written = ~single_choice(F.col("a_answer")) & (F.greatest(F.length(F.get("a_forms", F.lit(0))), F.length(F.get("b_forms", F.lit(0)))) > long)
+    agreed = open_ & ~written & agree(F.col("a_forms"), F.col("b_forms"))
     solution = F.coalesce(full(F.col("a_solution")), full(F.col("b_solution")), F.col("solution"))
     return m.select(
         *_rest(old, "answer", "solution", "answer_source"),

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: An essay's label before its number.
+ESSAY_LABEL = r"[\[【]\s*(?:서술형|서답형|단답형)\s*\d*\s*[\]】]"
+
+
 def accepted(numbers: Column) -> Column:
     """Of candidate numbers in order those that continue 1, 2, 3, …: each is taken only if it follows the last taken."""
     return F.aggregate(numbers, F.array().cast("array<int>"), lambda acc, n: F.when(n == F.size(acc) + 1, F.array_append(acc, n)).otherwise(acc))
@@ -23,6 +27,32 @@ def segments(rows: DataFrame, group: str, start: str) -> DataFrame:
     return rows.withColumn("end", F.lead(start).over(Window.partitionBy(group).orderBy(start)))
 
 
+def answer_fragment(choices: Column, score: Column, number: Column, stem: Column, label_type: Column, earlier: Column) -> Column:
+    """Whether a row looks like a piece of an answer key: no choices, score or label, and a number that an essay before it had already. earlier: the set of those numbers."""
+    unseen = (number > 0) & ~F.coalesce(F.array_contains(earlier, number), F.lit(False))
+    labelled = F.coalesce(stem, F.lit("")).rlike(ESSAY_LABEL)
+    return ~(choices | (F.coalesce(score, F.lit(0.0)) != 0) | (F.trim(F.coalesce(label_type, F.lit(""))) != "") | F.coalesce(unseen, F.lit(False)) | labelled)
+
+
+def earlier_essays(rows: DataFrame, group: str, order: str, number: str, essay: Column, name: str = "earlier") -> DataFrame:
+    """rows with the set of numbers that essays before each had."""
+    return rows.withColumn(name, F.collect_set(F.when(essay, F.col(number))).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def spaced_islands(rows: DataFrame, group: str, order: list[str], maths: str, char: str, name: str = "island") -> DataFrame:
+    """rows with the number of their run of maths or text: a space right after maths counts as maths."""
+    w = Window.partitionBy(group).orderBy(*order)
+    # Spaces in a row after maths all belong to it: the last that is no space decides.
+    last = F.last(F.when(F.col(char) != " ", F.col(maths)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return islands(rows.withColumn("__m", F.when(F.col(char) == " ", F.coalesce(last, F.lit(False))).otherwise(F.col(maths))), group, order, "__m", name).drop("__m")
+
+
+def list_cut(rows: DataFrame, group: str, order: str, number: str, last: str) -> DataFrame:
+    """group, cut: the first place after the last question whose number is no greater than that question's: there an answer list begins. last: the last question's place."""
+    at = rows.filter(F.col(order) == F.col(last)).select(group, F.col(number).alias("__last"))
+    return rows.join(at, group).filter((F.col(order) > F.col(last)) & (F.col(number) <= F.col("__last"))).groupBy(group).agg(F.min(order).alias("cut"))
+
+
 def islands(rows: DataFrame, group: str, order: list[str], value: str, name: str = "island") -> DataFrame:
     """rows with the number of their run of equal values, from 1."""
     w = Window.partitionBy(group).orderBy(*order)

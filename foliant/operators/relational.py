@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,42 @@ def ranked_match(rows: DataFrame, candidates: DataFrame, on: list[str], key: str
     return met.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("tier", *order))).filter("__n = 1").drop("__n")
 
 
+def tiered_match(rows: DataFrame, candidates: DataFrame, key: str, tiers: list[tuple[list[str], Column, list[Column]]], pick: list[str]) -> DataFrame:
+    """key, pick and tier of the best candidate of each row; rows without any are dropped.
+
+    A tier is the columns that must be equal, a condition on candidates, and the order among them: the least counts.
+    Only one candidate of each tier and equal columns can be the best, so no more than that meets a row.
+    """
+    met, found, tier = rows, [], F.lit(None).cast("int")
+    for i, (on, holds, order) in enumerate(tiers):
+        best = candidates.filter(holds).groupBy(*on).agg(F.min_by(F.struct(*pick), F.struct(*[o.alias(f"o{j}") for j, o in enumerate(order)])).alias(f"best_{i}"))
+        met = met.join(best, on, "left")
+        found.append(F.col(f"best_{i}"))
+    for i in reversed(range(len(tiers))):
+        tier = F.when(found[i].isNotNull(), i).otherwise(tier)
+    best = F.coalesce(*found)
+    return met.filter(best.isNotNull()).select(key, *[best[c].alias(c) for c in pick], tier.alias("tier"))
+
+
+def found_in_order(rows: DataFrame, vocabulary: DataFrame, key: str, name: str) -> DataFrame:
+    """key, entry, tier of each row: an entry of the same name (0), else of the same name without white space and case (1), else the first that holds the name or that it holds (2). The vocabulary is a list of at most some thousand entries."""
+    bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+    exact = vocabulary.select(F.col("entry").alias("e0"), F.col("entry").alias(name))
+    alike = vocabulary.groupBy(bare(F.col("entry")).alias("__bare")).agg(F.min("entry").alias("e1"))
+    entries = sorted(r["entry"] for r in vocabulary.select("entry").distinct().limit(10_000).collect())
+    listed = F.from_json(F.lit(json.dumps(entries)), "array<string>")
+    met = rows.withColumn("__bare", bare(F.col(name))).join(exact, name, "left").join(alike, "__bare", "left")
+    near = F.get(F.filter(listed, lambda e: (F.col("__bare") != "") & (F.contains(bare(e), F.col("__bare")) | F.contains(F.col("__bare"), bare(e)))), F.lit(0))
+    found = met.withColumn("e2", F.when(F.col("e0").isNull() & F.col("e1").isNull(), near))
+    return found.select(key, F.coalesce("e0", "e1", "e2").alias("entry"), F.when(F.col("e0").isNotNull(), 0).when(F.col("e1").isNotNull(), 1).when(F.col("e2").isNotNull(), 2).alias("tier"))
+
+
+def zipped(a: DataFrame, b: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """group, place, left, right: the values of two lists by their places in order; a place that one side lacks is null there."""
+    placed = lambda d, n: d.select(group, F.row_number().over(Window.partitionBy(group).orderBy(order)).alias("place"), F.col(name).alias(n))
+    return placed(a, "left").join(placed(b, "right"), [group, "place"], "full")
+
+
 def wildcard_match(rows: DataFrame, known: DataFrame, fields: list[str], key: str) -> DataFrame:
     """key of rows and id of known: where all fields that a row has agree, its empty fields matching anything. Rows are split by which fields they have, so that each split is an equality join; rows without any match nothing."""
     splits = []

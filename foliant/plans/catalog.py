@@ -199,10 +199,10 @@ def marker_contingency(spark, d):
 FROM (SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey) o JOIN supplier e ON e.s_nationkey = o.c_nationkey
 QUALIFY row_number() OVER (PARTITION BY o.o_orderkey ORDER BY tier, e.s_suppkey) = 1""")
 def tier_match(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("nation"))
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
-    tier = F.when(F.col("s_suppkey") % 5 == F.col("o_orderkey") % 5, 0).when(F.col("s_acctbal") > 0, 1).otherwise(2)
-    return relational.ranked_match(o, s, ["nation"], "o_orderkey", tier, [F.asc("s_suppkey")]).select("o_orderkey", "s_suppkey", "tier")
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("nation"), (F.col("o_orderkey") % 5).alias("fifth"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 5).alias("fifth"))
+    least = [F.col("s_suppkey")]
+    return relational.tiered_match(o, s, "o_orderkey", [(["nation", "fifth"], F.lit(True), least), (["nation"], F.col("s_acctbal") > 0, least), (["nation"], F.lit(True), least)], ["s_suppkey"])
 
 
 @query("""SELECT c.c_custkey, s.s_suppkey AS id FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS nation, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 END AS kind FROM customer) c

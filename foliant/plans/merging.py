@@ -111,21 +111,30 @@ def worksheets(spark, d):
 
 
 STEMS = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, lower(regexp_replace(line, '[\s$\\{}^_~,.]+', '', 'g')) AS s FROM lines),
-stems AS (SELECT doc_id, substring(s, 1, 120) AS stem FROM w WHERE length(s) >= 20), one AS (SELECT DISTINCT doc_id, stem FROM stems), n AS (SELECT doc_id, count(*) AS total, count(DISTINCT stem) AS dist FROM stems GROUP BY 1),
+stems AS (SELECT doc_id, substring(s, 1, 120) AS stem FROM w WHERE length(s) >= 20), sets AS (SELECT doc_id, count(*) AS total, count(DISTINCT stem) AS dist, list_sort(list_distinct(list(stem))) AS x FROM stems GROUP BY 1), n AS (SELECT doc_id, total, dist, min(doc_id) OVER (PARTITION BY total, x) AS rep FROM sets),
+one AS (SELECT DISTINCT doc_id, stem FROM stems JOIN n USING (doc_id) WHERE doc_id = rep),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM one a JOIN one b ON a.stem = b.stem AND a.doc_id < b.doc_id GROUP BY 1, 2),
 pairs AS (SELECT x, y, c / greatest(p.dist, q.dist) AS similarity, p.total AS tx, q.total AS ty FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE abs(p.total - q.total) <= 3 AND c / greatest(p.dist, q.dist) >= 0.85)"""
 
 
-def line_pairs(spark, d):
+def line_classes(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return dedup.similar_pairs(dedup.stems(lines, "doc_id", "line"))
+    return dedup.classes(dedup.stems(lines, "doc_id", "line"))
+
+
+@query(STEMS + " SELECT doc_id AS key, rep FROM n")
+def dedup_classes(spark, d):
+    return line_classes(spark, d).select("key", "rep")
 
 
 @query(STEMS + " SELECT x, y, round(similarity, 6) AS similarity FROM pairs")
 def dedup_pairs(spark, d):
-    return line_pairs(spark, d).select("x", "y", F.round("similarity", 6).alias("similarity"))
+    """Pairs of classes; `dedup_classes` has the members."""
+    return dedup.similar_pairs(line_classes(spark, d)).select("x", "y", F.round("similarity", 6).alias("similarity"))
 
 
-@query(STEMS + " SELECT CASE WHEN tx >= ty THEN y ELSE x END AS loser, arg_max(CASE WHEN tx >= ty THEN x ELSE y END, x * 1000000 + y) AS keeper FROM pairs GROUP BY 1")
+@query(STEMS + """ SELECT CASE WHEN tx >= ty THEN y ELSE x END AS loser, arg_max(CASE WHEN tx >= ty THEN x ELSE y END, x * 1000000 + y) AS keeper FROM pairs GROUP BY 1
+UNION ALL SELECT doc_id, rep FROM n WHERE doc_id <> rep""")
 def dedup_mark(spark, d):
-    return dedup.marked(line_pairs(spark, d))
+    known = line_classes(spark, d)
+    return dedup.marked(dedup.similar_pairs(known)).unionByName(dedup.copies_marked(known))

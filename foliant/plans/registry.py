@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from foliant.plans import catalog, content, evaluation, merging, parsing  # noqa: F401
+    from foliant.plans import catalog, columns, content, evaluation, files, merging, parsing, questions  # noqa: F401
 
     return dict(QUERIES)
 

@@ -5,17 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written once into the folder that spark.checkpoint.dir names, and read from there; where that is unset and all run on one machine, as in tests, into a new one."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset and all run on one machine, as in tests, a new one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliant-"))
-    path = f"{sc.getCheckpointDir()}/durable-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written once into the shared folder, and read from there."""
+    path = new_folder(df.sparkSession, "durable")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

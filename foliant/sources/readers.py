@@ -69,9 +69,22 @@ def zipped_xml(spark: SparkSession, path: str, entry: str = r"section\d+\.xml$")
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, entry string, xml string")
 
 
-def remapped(path: Column, existing: DataFrame, prefixes: dict[str, str]) -> Column:
-    """A path with its drive's prefix replaced. Joined to a scan, the caller keeps what exists."""
-    out = path
+def remapped(rows: DataFrame, path: str, existing: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """rows whose path exists in a scan (its column `path`), as it is or with its drive's prefix replaced; the path is the one that exists."""
+    p, moved = F.col(path), F.lit(None).cast("string")
     for old, new in prefixes.items():
-        out = F.when(path.startswith(old), F.concat(F.lit(new), F.substring(path, len(old) + 1, F.lit(1 << 20)))).otherwise(out)
-    return out
+        moved = F.when(p.startswith(old), F.concat(F.lit(new), F.substring(p, len(old) + 1, F.lit(1 << 20)))).otherwise(moved)
+    there = existing.select(F.col("path").alias("__there")).distinct()
+    as_is = rows.join(there, p == F.col("__there"), "left_semi")
+    rest = rows.join(there, p == F.col("__there"), "left_anti").withColumn(path, moved)
+    return as_is.unionByName(rest.join(there, F.col(path) == F.col("__there"), "left_semi"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row a line; broken lines keep their text in _corrupt_record, if the schema has it."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def page_files(spark: SparkSession, path: str, schema: str, pattern: str = "p*_merged.json") -> DataFrame:
+    """Pages of a document, in the order of their files' names: p10 comes before p2."""
+    return json_files(spark, path, schema, key="page", pattern=pattern).orderBy("file")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,26 @@ def joined_list(x: Column) -> Column:
     return F.array_join(x, ";")
 
 
+def versioned(df: DataFrame, root: str, version: int) -> str:
+    """Writes df as a new version under root and returns its folder; older versions stay, so that readers of them are not disturbed."""
+    path = f"{root}/version={version:06d}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def scores_pair(scores: DataFrame, root: str) -> None:
+    """Scores as JSON lines with explicit nulls, and as a table with a header whose lists are joined."""
+    export_jsonl(scores, f"{root}/scores")
+    lists = [f.name for f in scores.schema.fields if f.dataType.typeName() == "array"]
+    export_tsv(scores.select(*[joined_list(F.col(c)).alias(c) if c in lists else F.col(c) for c in scores.columns]), f"{root}/summary", header=True)
+
+
+def matching_content(golden: DataFrame, files: DataFrame, key: str, content: str, digest: str) -> DataFrame:
+    """golden rows whose recorded SHA-256 is that of the file of the same key: (key, content) of files."""
+    known = files.select(key, F.sha2(F.col(content).cast("binary"), 256).alias(digest))
+    return golden.join(known, [key, digest], "left_semi")
+
+
 def create_only(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Fails where the path exists, unless told to overwrite."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
@@ -78,3 +98,14 @@ def create_only(df: DataFrame, path: str, overwrite: bool = False) -> None:
 def reviewed(status: Column) -> Column:
     """The status after review: marked once, however often it is run."""
     return F.when(F.coalesce(status, F.lit("")).startswith("reviewed"), status).otherwise(F.concat_ws(" ", F.lit("reviewed"), status))
+
+
+def write_text(spark: SparkSession, path: str, body: str | bytes) -> None:
+    """One small file, in any folder that Spark can reach."""
+    sc = spark.sparkContext
+    to = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to)
+    try:
+        out.write(body.encode() if isinstance(body, str) else body)
+    finally:
+        out.close()

@@ -23,6 +23,15 @@ def readiness(meta: DataFrame) -> DataFrame:
     return meta.withColumn("reference", reference).withColumn("reasons", reasons)
 
 
+def present(ready: DataFrame, files: DataFrame) -> DataFrame:
+    """ready (folder, reference, reasons) with reasons of what a scan (path) does not have: the reference itself, and any page file in the folder."""
+    there = files.select(F.col("path").alias("reference"), F.lit(True).alias("__there")).distinct()
+    pages = files.filter(F.col("path").rlike(r"/p\d+_merged\.json$")).select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), F.lit(True).alias("__pages")).distinct()
+    met = ready.join(there, "reference", "left").join(pages, "folder", "left")
+    more = F.array_compact(F.array(F.when(F.col("reference").isNotNull() & F.col("__there").isNull(), "reference missing"), F.when(F.col("__pages").isNull(), "no pages")))
+    return met.withColumn("reasons", F.concat("reasons", more)).drop("__there", "__pages")
+
+
 def publish_changes(stream: DataFrame, key: str, order: str, values: list[str], state_path: str, send: Callable[[DataFrame], None], checkpoint: str):
     """Per batch, the rows of keys whose signature differs from the one last published go to `send`; signatures are kept only after it succeeds. A batch that runs again sends nothing twice that was kept."""
 
@@ -43,6 +52,18 @@ def publish_changes(stream: DataFrame, key: str, order: str, values: list[str],
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def counted_batches(stream: DataFrame, done: Callable[[int, int], None], checkpoint: str, step: int = 1000):
+    """Counts a stream's rows over its batches, all that is available; `done` is called with the batch and the total whenever the total passes a multiple of the step."""
+    total = {"rows": 0}
+
+    def run(batch: DataFrame, number: int) -> None:
+        before, total["rows"] = total["rows"], total["rows"] + batch.count()
+        if total["rows"] // step > before // step:
+            done(number, total["rows"])
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def unprocessed(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """A work queue that survives a crash: what the output does not have yet."""
     return inputs.join(done.select(key), key, "left_anti")

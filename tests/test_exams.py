@@ -36,5 +36,5 @@ def test_crops(spark):
 def test_pages(spark):
     df = spark.createDataFrame([(["a" * 150, " " * 500, "b" * 51, "c" * 900],), (["a"],)], "p array<string>")
     assert [r[0] for r in df.select(exams.born_digital(F.col("p"))).collect()] == [True, False]
-    q = spark.createDataFrame([(100, 900, 10.0, 0.1), (900, 900, 60.0, 5.0)], "w int, h int, s double, i double").select(exams.page_quality(F.col("w"), F.col("h"), F.col("s"), F.col("i")).alias("q")).collect()
-    assert [(r["q"]["score"], r["q"]["reasons"]) for r in q] == [(0.0, ["small", "blurred", "blank"]), (100.0, [])]
+    q = spark.createDataFrame([(100, 900, 10.0, 0.1, 99.0), (900, 900, 160.0, 5.0, 30.0), (900, 900, 160.0, 5.0, 10.0)], "w int, h int, s double, i double, c double").select(exams.page_quality(F.col("w"), F.col("h"), F.col("s"), F.col("i"), F.col("c")).alias("q")).collect()
+    assert [(r["q"]["score"], r["q"]["reasons"]) for r in q] == [(0.0, ["small", "blurred", "blank"]), (100.0, []), (75.0, ["faded"])]
