@@ -1,4 +1,4 @@
-"""Equations between LaTeX and a word processor's script, for the constructs that exams use most: fractions, roots, scripts, symbols.
+"""Equations between LaTeX and a word processor's script: fractions, roots, scripts, accents, fences, binomials, matrices, symbols.
 
 Both ways are chains of built-in expressions. Braces nest up to a given depth; what is not covered passes through,
 and `leaks` finds equations of which something was left.
@@ -9,45 +9,128 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import text_of
+from foliant.functions.text import let, stripped, text_of
 
-#: Commands and the script's words for them.
+#: Letters that go by the same name in both, and commands with the script's words for them.
+GREEK = (
+    "alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi varphi chi psi omega "
+    "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Chi Psi Omega"
+).split()
+FUNCTIONS = "sin cos tan sec csc cot arcsin arccos arctan sinh cosh tanh log ln lg exp max min det gcd lcm lim".split()
 SYMBOLS = {
-    "times": "TIMES", "div": "DIV", "cdot": "CDOT", "pm": "+-", "leq": "LEQ", "geq": "GEQ", "neq": "!=", "infty": "INF", "alpha": "alpha", "beta": "beta", "gamma": "gamma", "theta": "theta", "pi": "pi", "sigma": "sigma",
-    "cup": "CUP", "cap": "CAP", "in": "IN", "subset": "SUBSET", "sum": "SUM", "int": "INT", "lim": "LIM", "sin": "sin", "cos": "cos", "tan": "tan", "log": "log", "angle": "ANGLE", "triangle": "TRIANGLE", "rightarrow": "->",
+    "times": "TIMES", "div": "DIV", "cdot": "CDOT", "pm": "+-", "mp": "-+", "leq": "LEQ", "geq": "GEQ", "neq": "!=", "infty": "INF", "cup": "CUP", "cap": "CAP", "in": "IN", "notin": "NOTIN", "subset": "SUBSET", "supset": "SUPSET",
+    "subseteq": "SUBSETEQ", "emptyset": "EMPTYSET", "sum": "SUM", "prod": "PROD", "int": "INT", "iint": "DINT", "iiint": "TINT", "oint": "OINT", "angle": "ANGLE", "triangle": "TRIANGLE", "rightarrow": "->", "to": "->", "leftarrow": "LARROW",
+    "Rightarrow": "RARROW", "Leftrightarrow": "LRARROW", "therefore": "THEREFORE", "because": "BECAUSE", "perp": "BOT", "parallel": "PARALLEL", "equiv": "EQUIV", "approx": "APPROX", "propto": "PROPTO", "forall": "FORALL", "exists": "EXIST",
+    "partial": "PARTIAL", "nabla": "NABLA", "cdots": "CDOTS", "ldots": "LDOTS", "vdots": "VDOTS", "ddots": "DDOTS", "wedge": "WEDGE", "vee": "VEE", "star": "STAR", "prime": "prime",
 }
+ACCENTS = {"vec": "VEC", "overrightarrow": "VEC", "bar": "BAR", "overline": "bar", "hat": "HAT", "tilde": "TILDE", "widetilde": "TILDE", "dot": "dot", "ddot": "DDOT", "overarc": "arch", "widehat": "arch", "underline": "underline"}
+ENVIRONMENTS = {"cases": "CASES", "pmatrix": "PMATRIX", "bmatrix": "BMATRIX", "vmatrix": "DMATRIX", "matrix": "MATRIX"}
+SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", "0123456789+-=()ni")
+UNITS = "kcal min km cm mm kg mg mL dL kL g ℃ ℉ ℓ".split()
+#: Circled numbers, consonants and syllables, each with its first circled sign.
+CIRCLED = [([str(i) for i in range(1, 21)], 0x2460), (list("ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ"), 0x3260), (list("가나다라마바사아자차카타파하"), 0x326E)]
 ONE = r"\{([^{}]*)\}"
+#: Rows of a folded equation at most, and the length below which a part joins the row before.
+ROWS, SHORTEST = 4, 3
+
+
+def prepared(latex: Column) -> Column:
+    """LaTeX with one spelling for what has several: superscript signs, comparison signs, negations, circled marks, units in text."""
+    s = F.regexp_replace(text_of(latex), f"([{SUPERSCRIPTS[0]}]+)", r"^{$1}")
+    s = F.translate(s, *SUPERSCRIPTS)
+    for sign, command in (("≤", r" \leq "), ("≥", r" \geq "), ("≠", r" \neq ")):
+        s = F.replace(s, F.lit(sign), F.lit(command))
+    for pattern, to in (
+        (r"\\lt(?![a-zA-Z])", "<"), (r"\\gt(?![a-zA-Z])", ">"), (r"\\not\s*\\in(?![a-zA-Z])", r"\\notin"), (r"\\not\s*=", r"\\neq"), (r"\\(?:no)?limits(?![a-zA-Z])", ""), (r"\\[dtc]frac(?![a-zA-Z])", r"\\frac"),
+        (r"\\leq?(?![a-zA-Z])", r"\\leq"), (r"\\geq?(?![a-zA-Z])", r"\\geq"), (r"\\ne(?![a-zA-Z])", r"\\neq"), (r"\\text\s*\{\s*(" + "|".join(UNITS) + r")\s*\}", "$1"), (r"\^\s*\{?\s*(?:\\circ|°)\s*\}?", "°"),
+    ):
+        s = F.regexp_replace(s, pattern, to)
+    circled = F.create_map(*[F.lit(v) for names, first in CIRCLED for i, n in enumerate(names) for v in (n, chr(first + i))])
+    # The marks between the commands: texts split at each command, every odd piece its mark.
+    parts = F.split(F.regexp_replace(s, r"\\textcircled\s*\{\s*([^}]+?)\s*\}", "\x01$1\x01"), "\x01")
+    return F.when(s.contains(r"\textcircled"), F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(circled[p], p)).otherwise(p)), "")).otherwise(s)
+
+
+def named(x: Column, pattern: str, words: dict[str, str]) -> Column:
+    """A text with each name that the pattern's group finds replaced by its word; a name without a word stays as it was found (the whole match)."""
+    known = F.create_map(*[F.lit(v) for kv in words.items() for v in kv])
+    parts = F.split(F.regexp_replace(x, f"({pattern})", "\x01$1\x01"), "\x01")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(known[p], p)).otherwise(p)), "")
 
 
 def to_script(latex: Column, depth: int = 4) -> Column:
     """LaTeX as an equation script: innermost constructs first, their braces set aside as brackets that texts do not hold."""
-    s = F.regexp_replace(F.regexp_replace(text_of(latex), r"\\(?:left|right|,|;|!)", ""), r"\\d?frac", r"\\frac")
+    s = F.regexp_replace(prepared(latex), r"\\[,;!]", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"\\\{", "\x03"), r"\\\}", "\x04")
+    s = F.regexp_replace(s, r"\\left\s*([(\[|.\x03])", " LEFT $1 ")
+    s = F.regexp_replace(s, r"\\right\s*([)\]|.\x04])", " RIGHT $1 ")
+    accents, environments = "|".join(ACCENTS), "|".join(ENVIRONMENTS)
     for _ in range(depth):
         s = F.regexp_replace(s, r"\\frac\s*" + ONE + r"\s*" + ONE, "⟦$1⟧ over ⟦$2⟧")
+        s = F.regexp_replace(s, r"\\binom\s*" + ONE + r"\s*" + ONE, "LEFT ( ⟦$1⟧ atop ⟦$2⟧ RIGHT )")
         s = F.regexp_replace(s, r"\\sqrt\s*\[([^\]]*)\]\s*" + ONE, "root ⟦$1⟧ of ⟦$2⟧")
         s = F.regexp_replace(s, r"\\sqrt\s*" + ONE, "sqrt ⟦$1⟧")
+        s = F.regexp_replace(s, rf"\\({accents})\s*" + ONE, r"\\$1⟦$2⟧")
         s = F.regexp_replace(s, r"([\^_])\s*" + ONE, "$1⟦$2⟧")
         s = F.regexp_replace(s, r"\\(?:mathrm|text)\s*" + ONE, "rm ⟦$1⟧")
-    for command, word in SYMBOLS.items():
-        s = F.regexp_replace(s, rf"\s*\\{command}(?![A-Za-z])\s*", f" {word} ")
-    return F.trim(F.regexp_replace(F.translate(s, "⟦⟧", "{}"), r"\s+", " "))
+    s = F.regexp_replace(s, rf"(?s)\\begin\{{({environments})\}}(.*?)\\end\{{\1\}}", r"\\$1⟦$2⟧")
+    s = F.regexp_replace(s, r"\\\\", " # ")
+    words = {**SYMBOLS, **{x: x for x in GREEK + FUNCTIONS}, **ACCENTS, **ENVIRONMENTS}
+    s = named(s, r"\\[A-Za-z]+", {f"\\{c}": f" {w} " for c, w in words.items()})
+    return F.trim(F.regexp_replace(F.translate(s, "⟦⟧\x03\x04", "{}{}"), r"\s+", " "))
 
 
 def to_latex(script: Column, depth: int = 4) -> Column:
     """An equation script as LaTeX."""
     s = F.regexp_replace(F.regexp_replace(text_of(script), "~", " "), "`", "")
+    accents = {w: c for c, w in reversed(ACCENTS.items())}
     for _ in range(depth):
         s = F.regexp_replace(s, ONE + r"\s*over\s*" + ONE, r"\\frac⟦$1⟧⟦$2⟧")
+        s = F.regexp_replace(s, r"\bLEFT\s*\(\s*" + ONE + r"\s*atop\s*" + ONE + r"\s*RIGHT\s*\)", r"\\binom⟦$1⟧⟦$2⟧")
         s = F.regexp_replace(s, r"\broot\s*" + ONE + r"\s*of\s*" + ONE, r"\\sqrt[$1]⟦$2⟧")
         s = F.regexp_replace(s, r"\bsqrt\s*" + ONE, r"\\sqrt⟦$1⟧")
+        s = F.regexp_replace(s, rf"(?<![A-Za-z\\])({'|'.join(accents)})\s*" + ONE, "$1⟦$2⟧")
         s = F.regexp_replace(s, r"([\^_])\s*" + ONE, "$1⟦$2⟧")
-        s = F.regexp_replace(s, r"\brm\s*" + ONE, r"\\mathrm⟦$1⟧")
-    for command, word in SYMBOLS.items():
-        if word.isalpha():
-            s = F.regexp_replace(s, rf"(?<![A-Za-z\\]){word}(?![A-Za-z])", rf"\\{command}")
+        s = F.regexp_replace(s, r"(?<![A-Za-z\\])rm\s*" + ONE, r"\\mathrm⟦$1⟧")
+    s = F.regexp_replace(F.regexp_replace(s, r"\bLEFT\s*", r"\\left"), r"\bRIGHT\s*", r"\\right")
+    words = {w: c for c, w in reversed(SYMBOLS.items()) if w.isalpha()} | {x: x for x in GREEK + FUNCTIONS} | accents
+    s = named(s, r"(?<![A-Za-z\\])[A-Za-z]+(?![A-Za-z])", {w: f"\\{c}" for w, c in words.items()})
+    for sign, command in (("!=", r"\neq "), ("+-", r"\pm "), ("-+", r"\mp "), ("->", r"\rightarrow ")):
+        s = F.replace(s, F.lit(sign), F.lit(command))
     return F.trim(F.regexp_replace(F.translate(s, "⟦⟧", "{}"), r"\s+", " "))
 
 
+def folded(script: Column) -> Column:
+    """A long chain of equations in rows (#) aligned at their equals signs (&): cut where an = stands outside all brackets, at most `ROWS` rows, very short parts with the row before. A script with rows of its own, or with fewer than two such signs, stays."""
+    s = stripped(text_of(script))
+    # LEFT and RIGHT count as brackets of a second kind, whatever sign follows.
+    marked = F.regexp_replace(F.regexp_replace(s, r"LEFT(?![A-Za-z])", "\x01"), r"RIGHT(?![A-Za-z])", "\x02")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("fence"), F.lit("").alias("last"), F.lit("").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        depth = F.greatest(F.lit(0), a["depth"] + F.when(c.isin("(", "{", "["), 1).when(c.isin(")", "}", "]"), -1).otherwise(0))
+        fence = F.greatest(F.lit(0), a["fence"] + F.when(c == "\x01", 1).when(c == "\x02", -1).otherwise(0))
+        cut = (c == "=") & (depth == 0) & (fence == 0) & (a["last"] != "") & ~a["last"].isin("<", ">", "!", "=")
+        return F.struct(depth.alias("depth"), fence.alias("fence"), c.alias("last"), F.concat(a["out"], F.when(cut, "\x03=").otherwise(c)).alias("out"))
+
+    cut = F.replace(F.aggregate(F.split(marked, ""), start, step, lambda a: a["out"]), F.lit("\x03=="), F.lit("=="))
+    parts = F.filter(F.transform(F.split(cut, "\x03"), stripped), lambda p: p != "")
+
+    def rows(parts: Column) -> Column:
+        short = lambda p: F.length(stripped(F.replace(p, F.lit("="), F.lit("")))) < SHORTEST
+        joined = lambda a, p: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", F.element_at(a, -1), p)))
+        merged = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), lambda a, p: F.when(short(p), joined(a, p)).otherwise(F.array_append(a, p)))
+
+        def laid(m: Column) -> Column:
+            few = F.when(F.size(m) > ROWS, F.concat(F.slice(m, 1, ROWS - 1), F.array(F.array_join(F.slice(m, F.lit(ROWS), F.size(m)), " ")))).otherwise(m)
+            return F.when(F.size(m) > 1, F.array_join(F.transform(few, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("&"), p))), " # "))
+
+        return let(merged, laid)
+
+    done = F.when((F.size(parts) > 2) & ~s.rlike("[#&]"), let(parts, rows))
+    return F.coalesce(F.replace(F.replace(done, F.lit("\x01"), F.lit("LEFT")), F.lit("\x02"), F.lit("RIGHT")), text_of(script))
+
+
 def inline_to_latex(x: Column) -> Column:
     """A text whose $…$ segments are scripts, with them as LaTeX."""
     parts = F.split(text_of(x), r"\$")

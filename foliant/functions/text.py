@@ -139,6 +139,15 @@ def mismatch(golden: Column, candidate: Column) -> Column:
     )
 
 
+def snake_keys(json: Column, names: list[str]) -> Column:
+    """JSON whose keys are in camel case, with those that stand for one of the names in snake case renamed, at any depth."""
+    for name in names:
+        head, *rest = name.split("_")
+        if rest:
+            json = F.regexp_replace(json, f'"{head}{"".join(r.title() for r in rest)}"(\\s*:)', f'"{name}"$1')
+    return json
+
+
 def scrubbed(x: Column) -> Column:
     """Without control characters, tabs and line breaks excepted."""
     return F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")

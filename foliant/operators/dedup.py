@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import norm_dedup
+from foliant.sources.durable import durable
 
 
 def stems(rows: DataFrame, key: str, text: str, shortest: int = 20) -> DataFrame:
@@ -30,7 +31,7 @@ def similar_pairs(known: DataFrame, threshold: float = 0.85, apart: int = 3) ->
     n - ceil(threshold * n) + 1. Only those are joined, so stems that everything shares hardly ever meet, and
     the similarity of the candidates is then exact. Copies do not meet at all: each is a member of its class.
     """
-    sets = known.filter("key = rep").select("key", "total", "stems")
+    sets = durable(known.filter("key = rep").select("key", "total", "stems"))
     one = sets.select("key", F.explode("stems").alias("stem"))
     often = one.groupBy("stem").agg(F.count("*").alias("keys"))
     ranked = one.join(often, "stem").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("keys", "stem"))).alias("order"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.answers import agree, canonical, worst_confidence
+from foliant.functions.equations import inline_to_latex
 from foliant.functions.text import single_choice, text_of
 
 FIELDS = ("answer", "solution", "topic", "difficulty")
@@ -54,6 +55,11 @@ def merge_new_first(old: DataFrame, new: DataFrame, keys: list[str], fields: tup
     return m.select(*_rest(old, *fields), *[F.coalesce(full(F.col(f"new_{c}")), F.col(c)).alias(c) for c in fields])
 
 
+def merge_filled(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New values first, from a finished copy whose equations are scripts: in answers and solutions they become LaTeX. Where an answer came from stays."""
+    return merge_new_first(old, new.withColumns({c: inline_to_latex(F.col(c)) for c in ("answer", "solution")}), keys)
+
+
 def merge_old_first(old: DataFrame, new: DataFrame, keys: list[str], fields: tuple[str, ...] = ("topic", "difficulty")) -> DataFrame:
     """Old values where there are any, else new ones."""
     m = _met(old, new, keys)
@@ -64,8 +70,9 @@ def merge_solved(old: DataFrame, a: DataFrame, b: DataFrame, keys: list[str], lo
     """Two independent solutions fill missing answers where they agree; long written answers fill the solution only. answer_source tells the worse confidence."""
     fields = ("answer", "solution", "confidence")
     pick = lambda d, s: d.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in fields])
-    # Each side is canonicalised once, to columns.
-    m = old.join(pick(a, "a").join(pick(b, "b"), keys), keys, "left").withColumns({"a_forms": canonical(F.col("a_answer")), "b_forms": canonical(F.col("b_answer"))})
+    # Each side is canonicalised once, to columns, where both are there.
+    both = pick(a, "a").join(pick(b, "b"), keys).withColumns({"a_forms": canonical(F.col("a_answer")), "b_forms": canonical(F.col("b_answer"))})
+    m = old.join(both, keys, "left")
     open_ = full(F.col("answer")).isNull() & full(F.col("a_answer")).isNotNull() & full(F.col("b_answer")).isNotNull()
     written = ~single_choice(F.col("a_answer")) & (F.greatest(F.length(F.get("a_forms", F.lit(0))), F.length(F.get("b_forms", F.lit(0)))) > long)
     agreed = open_ & ~written & agree(F.col("a_forms"), F.col("b_forms"))
@@ -103,6 +110,14 @@ def exam_status(items: DataFrame, key: str) -> DataFrame:
     return items.groupBy(key).agg(F.when(F.count("number") == 0, "no_source").when(has == 1, "done").otherwise("pending").alias("solution_status"))
 
 
+def marked_done(exams: DataFrame, files: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+    """exams with status done and their question_count where their file is there and has a question; others as they were."""
+    have = questions.groupBy(key).agg(F.count("*").alias("__n")).join(files.select(key).distinct(), key, "left_semi")
+    met = exams.join(have, key, "left")
+    new = {"status": F.when(F.col("__n") > 0, "done").otherwise(F.col("status")), "question_count": F.coalesce("__n", "question_count")}
+    return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in exams.columns])
+
+
 def best_variant(files: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the order given, with the group's size."""
     w = Window.partitionBy(*keys)

@@ -17,6 +17,41 @@ def accepted(numbers: Column) -> Column:
     return F.aggregate(numbers, F.array().cast("array<int>"), lambda acc, n: F.when(n == F.size(acc) + 1, F.array_append(acc, n)).otherwise(acc))
 
 
+def accepted_places(numbers: Column) -> Column:
+    """The places, from 0, of the numbers that `accepted` takes."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+
+    def step(a: Column, n: Column) -> Column:
+        taken = F.coalesce(n == F.size(a["places"]) + 1, F.lit(False))
+        return F.struct((a["at"] + 1).alias("at"), F.when(taken, F.array_append(a["places"], a["at"])).otherwise(a["places"]).alias("places"))
+
+    return F.aggregate(numbers, start, step, lambda a: a["places"])
+
+
+def skeleton(lines: DataFrame, group: str, order: str, text: str, header: str = r"^\s*(\d{1,2})\s*[.)]") -> DataFrame:
+    """group, number, text of the questions that a document's lines make: a line that begins with the next number opens a question, the lines up to the next one belong to it; what stands before the first is left out. A document's lines come together, as their order needs them all."""
+    number = F.regexp_extract(text, header, 1).try_cast("int")
+    one = lines.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), number.alias("n"), F.col(text).alias("t")))).alias("x"))
+    cut = one.withColumn("at", accepted_places(F.transform("x", lambda r: r["n"])))
+    end = lambda i: F.coalesce(F.get("at", i + 1), F.size("x"))
+    questions = F.transform("at", lambda a, i: F.struct((i + 1).alias("number"), F.array_join(F.transform(F.slice(F.col("x"), a + 1, end(i) - a), lambda r: F.coalesce(r["t"], F.lit(""))), "\n").alias("text")))
+    return cut.select(group, F.explode(questions).alias("q")).select(group, "q.number", "q.text")
+
+
+def last_above(figures: DataFrame, glyphs: DataFrame, page: str, band: float = 30.0) -> DataFrame:
+    """figures (id, page, x, y) with `glyph`: the last glyph (glyph, page, x, y) above each, no further than the band to either side. Glyphs are laid on columns as wide as the band, so that figures meet only those near them."""
+    laid = glyphs.select(page, "glyph", F.col("x").alias("gx"), F.col("y").alias("gy"), F.explode(F.array(*[F.floor(F.col("x") / band) + i for i in (-1, 0, 1)])).alias("column"))
+    near = figures.withColumn("column", F.floor(F.col("x") / band)).join(laid, [page, "column"]).filter((F.abs(F.col("x") - F.col("gx")) <= band) & (F.col("gy") < F.col("y")))
+    return figures.join(near.groupBy("id").agg(F.max_by("glyph", F.struct("gy", "glyph")).alias("glyph")), "id", "left")
+
+
+def overlap_share(a: list[Column], b: list[Column]) -> Column:
+    """The part of the smaller of two boxes (x0, y0, x1, y1) that lies in the other."""
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    shared = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    return F.coalesce(F.try_divide(shared, F.least(area(a), area(b))), F.lit(0.0))
+
+
 def carried(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
     """rows with the last known value at or before each."""
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -351,3 +351,46 @@ def failure_samples(spark, d):
 def newest_generation(spark, d):
     f = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("form "), F.col("s_nationkey").cast("string")).alias("display"), (F.col("s_suppkey") % 4).alias("gen"))
     return f.groupBy("display").agg(F.max_by("s_suppkey", F.struct("gen", -F.col("s_suppkey"))).alias("form"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, 1 + turn % 3 AS n FROM conversations), t AS (SELECT conv_id, -1::BIGINT AS turn, 0::BIGINT AS taken, false AS opened FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT t.conv_id, e.turn, CASE WHEN e.n = t.taken + 1 THEN e.n ELSE t.taken END, e.n = t.taken + 1 FROM t JOIN e ON e.conv_id = t.conv_id AND e.turn = t.turn + 1)
+SELECT conv_id, taken::INT AS number, string_agg((1 + turn % 3) || '. line ' || turn, chr(10) ORDER BY turn) AS text FROM t WHERE turn >= 0 AND taken > 0 GROUP BY ALL""")
+def question_skeleton(spark, d):
+    t = F.col("turn")
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.concat((1 + t % 3).cast("string"), F.lit(". line "), t.cast("string")).alias("line"))
+    return ordered.skeleton(lines, "conv_id", "turn", "line")
+
+
+@query("""SELECT f.conv_id * 100 + f.turn AS id, (SELECT max(g.turn) FROM conversations g WHERE g.conv_id = f.conv_id AND g.turn < f.turn AND abs(g.turn % 3 - f.turn % 3) * 20 <= 30) AS glyph FROM conversations f""")
+def figure_anchors(spark, d):
+    t = F.col("turn")
+    at = table(spark, d, "conversations").select("conv_id", t.alias("glyph"), (t % 3 * 20.0).alias("x"), (t * 10.0).alias("y"))
+    figures = at.select((F.col("conv_id") * 100 + F.col("glyph")).alias("id"), "conv_id", "x", "y")
+    return ordered.last_above(figures, at, "conv_id").select("id", "glyph")
+
+
+@query("SELECT doc_id, round(greatest(0, 10 - doc_id % 12) / 10.0, 6)::DOUBLE AS share FROM documents")
+def box_overlaps(spark, d):
+    k = (i() % 12).cast("double")
+    box = [F.lit(x) for x in (0.0, 0.0, 10.0, 10.0)]
+    return docs(spark, d, share=F.round(ordered.overlap_share(box, [k, F.lit(0.0), k + 20, F.lit(10.0)]), 6))
+
+
+@query("""SELECT doc_id, '{"sub_questions":[{"label_type":"' || lang || '"}],"other":1}' AS t FROM documents""")
+def payload_keys(spark, d):
+    return docs(spark, d, t=tx.snake_keys(F.concat(F.lit('{"subQuestions":[{"labelType":"'), "lang", F.lit('"}],"other":1}')), ["sub_questions", "label_type", "other"]))
+
+
+@query("SELECT source, CASE WHEN count(*) FILTER (lang = 'en') > 0 AND source <> 'web' THEN 'done' ELSE 'pending' END AS status, CASE WHEN count(*) FILTER (lang = 'en') > 0 AND source <> 'web' THEN count(*) FILTER (lang = 'en') ELSE -1 END AS question_count FROM documents GROUP BY 1")
+def exams_done(spark, d):
+    r = table(spark, d, "documents")
+    exams_ = r.select("source").distinct().select("source", F.lit("pending").alias("status"), F.lit(-1).cast("long").alias("question_count"))
+    return merge.marked_done(exams_, r.filter("source <> 'web'"), r.filter("lang = 'en'"), "source")
+
+
+@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'is $\frac{1}{2}$' ELSE lang END AS answer, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'by $a \leq b$' END, source) AS solution, 'printed' AS answer_source FROM documents")
+def merge_filled(spark, d):
+    old = docs(spark, d, answer=F.col("lang"), solution=F.col("source"), topic=F.lit(None).cast("string"), difficulty=F.lit(None).cast("string"), answer_source=F.lit("printed"))
+    new = docs(spark, d, answer=F.when(i() % 2 == 0, "is ${1} over {2}$").otherwise(""), solution=F.when(i() % 3 == 0, "by $a LEQ b$"), topic=F.lit(None).cast("string"), difficulty=F.lit("").cast("string"))
+    return merge.merge_filled(old, new, ["doc_id"]).select("doc_id", "answer", "solution", "answer_source")

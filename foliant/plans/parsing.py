@@ -55,11 +55,15 @@ def worst_confidences(spark, d):
     return table(spark, d, "labels").select("doc_id", answers.worst_confidence(c("quality"), c("toxic")).alias("worst"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS dist, min(l_linenumber) AS low, max(l_linenumber) AS high FROM lineitem GROUP BY 1)
-SELECT l_orderkey AS exam_id, CASE WHEN n < 3 THEN 'few questions' WHEN low <> 1 OR high <> n OR dist <> n THEN 'numbering' END AS reason FROM g""")
+@query("""WITH q AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 3 AND l_linenumber = 1 THEN 4 ELSE 5 END AS choices, l_orderkey % 7 = 2 AND l_linenumber = 2 AS glyphs, CASE WHEN l_orderkey % 7 = 4 AND l_linenumber = 1 THEN 3.5 ELSE 3 END AS score FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS dist, min(l_linenumber) AS low, max(l_linenumber) AS high, bool_or(glyphs) AS glyphs, bool_or(choices <> 5) AS short, sum(score) <> 3 * count(*) AS differs FROM q GROUP BY 1)
+SELECT l_orderkey AS exam_id, CASE WHEN n < 3 THEN 'few questions' WHEN low <> 1 OR high <> n OR dist <> n THEN 'numbering' WHEN glyphs THEN 'unresolved glyphs' WHEN short THEN 'choices' WHEN differs THEN 'scores' END AS reason FROM g""")
 def extraction_gate(spark, d):
-    none = F.array().cast("array<double>")
-    q = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.col("l_linenumber").alias("number"), F.lit(0).alias("n_choices"), F.lit(False).alias("unresolved"), none.alias("printed"), F.lit(None).cast("double").alias("score"))
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    q = table(spark, d, "lineitem").select(
+        k.alias("exam_id"), n.alias("number"), F.when((k % 7 == 3) & (n == 1), 4).otherwise(5).alias("n_choices"), ((k % 7 == 2) & (n == 2)).alias("unresolved"), F.array(F.lit(3.0)).alias("printed"),
+        F.when((k % 7 == 4) & (n == 1), 3.5).otherwise(3.0).alias("score"),
+    )
     return audit.gate(q, least=3)
 
 
@@ -67,3 +71,18 @@ def extraction_gate(spark, d):
 def windowed_events(spark, d):
     got = windowed(table(spark, d, "events"), "ts", "event_type", "1 hour")
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT o_orderkey, 'f(' || o_custkey || '=1) # &=abc # &=' || o_orderkey || '00' AS folded FROM orders")
+def equation_folded(spark, d):
+    script = F.concat(F.lit("f("), "o_custkey", F.lit("=1)=abc="), "o_orderkey", F.lit("00"))
+    return table(spark, d, "orders").select("o_orderkey", equations.folded(script).alias("folded"))
+
+
+@query(r"SELECT o_orderkey, '\overline{AB} \leq \binom{' || o_custkey || '}{\vec{a}} \rightarrow 3^{' || o_orderkey || '}' AS latex, '~' || o_orderkey AS stamp FROM orders")
+def equation_roundtrip(spark, d):
+    """To a script and back; a stamp put on and taken off."""
+    latex = F.concat(F.lit(r"\overline{AB} ≤ \binom{"), "o_custkey", F.lit(r"}{\vec{a}} \to 3^{"), "o_orderkey", F.lit("}"))
+    key = F.concat(F.lit("~"), F.col("o_orderkey").cast("string"))
+    back = F.regexp_replace(equations.to_latex(equations.to_script(latex)), r" ?\{ ?", "{")
+    return table(spark, d, "orders").select("o_orderkey", back.alias("latex"), equations.unstamped(equations.stamped(key, "#!"), "#!").alias("stamp"))

@@ -163,6 +163,26 @@ def question_findings(spark, d):
     return audit.question_findings(rows).select("exam_id", "number", F.array_join("findings", ";").alias("findings"))
 
 
+@query("SELECT conv_id AS sample_id, conv_id % 3 = 0 AS spellings FROM conversations GROUP BY 1")
+def label_spellings(spark, d):
+    t, c = F.col("turn"), F.col("conv_id")
+    label = F.when((t == 0) & (c % 3 == 0), "[서술형 1] 풀이").when(c % 3 < 2, "[서답형 2]").otherwise("[단답형 3]")
+    both = F.array(question(contents=F.array(block("text", label))), question(contents=F.array(block("text", F.when(c % 3 == 0, "[서답형]").otherwise("x")))))
+    one = table(spark, d, "conversations").filter("turn = 0").select(c.alias("sample_id"), qs.two_spellings(both).alias("spellings"))
+    return one
+
+
+@query("""SELECT conv_id AS sample_id, turn, 3 - (turn % 2 = 1)::INT AS boxes, CASE WHEN turn % 2 = 0 THEN '1,2' ELSE '' END AS rows FROM conversations""")
+def blocks_adapted(spark, d):
+    """Unknown types go, a table spelled in its value gets rows, a box whose Hangul stands elsewhere goes."""
+    t = F.col("turn")
+    double = block("text", F.when(t % 2 == 1, "<보기> 다음 중에서 옳은 것을 모두 고르시오").otherwise("<보기> 짧다"))
+    blocks = F.array(block("text", F.lit("문제: 다음 중에서 옳은 것을 모두 고르시오 [3점]")), double, block("table", F.when(t % 2 == 0, '[["1","2"]]')), block("unknown", F.lit("x")))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", blocks.alias("b")).withColumn("b", qs.adapted_blocks(F.col("b"))).withColumn("c", qs.without_duplicate_boxes(F.col("b")))
+    found = F.coalesce(F.flatten(F.flatten(F.transform(F.filter("c", lambda b: b["rows"].isNotNull()), lambda b: b["rows"]).cast("array<array<array<string>>>"))), F.array().cast("array<string>"))
+    return rows.select("sample_id", "turn", F.size("c").alias("boxes"), F.array_join(found, ",").alias("rows"))
+
+
 @query("SELECT doc_id, regexp_replace(lang || CASE doc_id % 3 WHEN 0 THEN '÷' WHEN 1 THEN '≤' ELSE '≥' END || source, '[\\s{}$\\\\_^]', '', 'g') AS t FROM documents")
 def norm_symbols(spark, d):
     sign = F.when(F.col("doc_id") % 3 == 0, r" \div ").when(F.col("doc_id") % 3 == 1, r" \leq ").otherwise(r"\ge{}")
