@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def rounds(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A keeper of one table that changes from round to round: each state is written and read back, and the one before deleted."""
+    folder, steps = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        step = next(steps)
+        df.write.parquet(f"{folder}/{step}")
+        if step:
+            delete(spark, f"{folder}/{step - 1}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{step}")
+
+    return kept
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A file in any folder that Spark can reach, written by the driver: for small files only."""
     sc = spark.sparkContext

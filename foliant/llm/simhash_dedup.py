@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import combinations, count, repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import delete, drawn, shared_dir, sized, written
+from foliant.llm.common import drawn, rounds, sized, written
 
 MOST = 4
 SHINGLE = 4
@@ -265,23 +265,15 @@ def links(fps: DataFrame, most: int = MOST, sample: int = SAMPLE, block: int = B
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of an edge: the smallest node it reaches. Alternating large-star and small-star rounds until nothing changes; each is written, and the one before deleted."""
-    spark, folder = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/edges-{uuid.uuid4().hex}"
-
-    def kept(links: DataFrame, step: int) -> DataFrame:
-        links.write.parquet(f"{folder}/{step}")
-        if step:
-            delete(spark, f"{folder}/{step - 1}")
-        return spark.read.schema("src long, dst long").parquet(f"{folder}/{step}")
-
-    now = kept(edges.select("src", "dst").filter("src <> dst").distinct(), 0)
-    mark = None
-    for step in count(1):
+    kept, mark = rounds(edges.sparkSession, "edges"), None
+    now = kept(edges.select("src", "dst").filter("src <> dst").distinct())
+    while True:
         both = now.union(now.select("dst", "src"))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").select(F.explode(F.array(F.struct("dst", "m"), F.struct(F.col("src").alias("dst"), F.col("m")))).alias("e")).select(F.col("e.dst").alias("src"), F.col("e.m").alias("dst")).filter("src <> dst").distinct()
-        now = kept(small, step)
+        now = kept(small)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(30,0)"))).first()
         if mark == was:
             break

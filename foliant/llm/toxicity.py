@@ -13,6 +13,7 @@ learned and every score is 0. Repeated rows stay; a document labelled twice coun
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -60,9 +61,13 @@ def train(texts: list[str], toxic: list[int], weight: list[float], rounds: int =
     parts, doc = sentences(pa.array(texts, pa.string()))
     flat, sentence = split_words(parts)
     coded = flat.dictionary_encode()
-    code, lists = coded.indices.to_numpy().astype(np.int64), [features(w) for w in coded.dictionary.to_pylist()]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    feature, word = np.array([f for x in lists for f in x], np.int64), np.repeat(np.arange(len(lists)), sizes)
+    code, flat_features, sizes = coded.indices.to_numpy().astype(np.int64), array("q"), array("q")
+    for w in coded.dictionary:  # numbers in flat arrays: the driver holds one word's list at a time
+        some = features(w.as_py())
+        flat_features.extend(some)
+        sizes.append(len(some))
+    n = len(sizes)
+    feature, word = np.frombuffer(flat_features, np.int64) if n else np.empty(0, np.int64), np.repeat(np.arange(n), np.array(sizes, np.int64))
     used = np.flatnonzero(np.bincount(sentence, minlength=len(parts)))  # blank sentences say nothing
     number = np.full(len(parts), -1)
     number[used] = np.arange(len(used))
@@ -72,13 +77,13 @@ def train(texts: list[str], toxic: list[int], weight: list[float], rounds: int =
     model = Model(np.zeros(DIMENSIONS), -5.0)
     first, second = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for step in range(1, rounds + 1):
-        scores = np.bincount(word, weights=model.weights[feature], minlength=len(lists))
+        scores = np.bincount(word, weights=model.weights[feature], minlength=n)
         z = logits(scores, code, sentence, len(doc), model.offset)
         s = 1 / (1 + np.exp(-z))
         clean = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=len(y))
         p = np.clip(1 - np.exp(clean), 1e-9, 1)
         dz = s * (share * np.where(y == 1, -(1 - p) / p, 1.0))[doc]
-        grad = np.append(np.bincount(feature, weights=np.bincount(code, weights=dz[sentence], minlength=len(lists))[word], minlength=DIMENSIONS) + decay * model.weights / len(y), dz.sum())
+        grad = np.append(np.bincount(feature, weights=np.bincount(code, weights=dz[sentence], minlength=n)[word], minlength=DIMENSIONS) + decay * model.weights / len(y), dz.sum())
         first += 0.1 * (grad - first)
         second += 0.01 * (grad * grad - second)
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)

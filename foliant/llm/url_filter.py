@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import sized, written
+from foliant.llm.common import rounds, sized, written
 
 #: Verdict and rule (host, path) as the contract has them.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -87,10 +87,11 @@ def templates(urls: DataFrame, labels: DataFrame) -> DataFrame:
     counted = urls.select("host", shape_of(F.col("path")).alias("shape"), F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("good"))
     marked = labels.filter("good is not null").select("host", shape_of(F.col("path")).alias("shape"), F.lit(0), F.lit(1), F.col("good").cast("int"))
     shapes = counted.union(marked).groupBy("host", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")]).withColumn("template", F.col("shape")).select("host", "shape", "template", "n", "labelled", "good")
-    shapes, level = written(shapes, "url-templates"), 1
+    kept, level = rounds(shapes.sparkSession, "url-templates"), 1
+    shapes = kept(shapes)
     # Below a parent of one shape nothing parts.
     while not shapes.filter(F.size("template") >= level).groupBy("host", F.slice("template", 1, level - 1)).count().filter("count > 1").isEmpty():
-        shapes, level = written(generalised(shapes, level), "url-templates"), level + 1
+        shapes, level = kept(generalised(shapes, level)), level + 1
     return shapes
 
 
