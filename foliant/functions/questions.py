@@ -181,18 +181,6 @@ def flags(q: Column, least: str = "medium") -> Column:
     return F.concat(risky, figures) if least in ("low", "medium") else risky
 
 
-def without_duplicate_boxes(blocks: Column, least: int = 12) -> Column:
-    """Blocks without text boxes whose Hangul stands in the other texts together; short ones stay."""
-    hangul = lambda x: F.regexp_replace(text_of(x), "[^가-힣]", "")
-
-    def double(b: Column, i: Column) -> Column:
-        own = hangul(F.regexp_replace(text_of(b["value"]), r"^\s*" + BOX_LABEL, ""))
-        others = F.array_join(F.transform(F.filter(blocks, lambda x, j: (j != i) & (x["type"] == "text")), lambda x: hangul(x["value"])), "")
-        return F.coalesce((b["type"] == "text") & b["value"].rlike(r"^\s*" + BOX_LABEL) & (F.length(own) >= least) & F.contains(others, own), F.lit(False))
-
-    return F.filter(blocks, lambda b, i: ~double(b, i))
-
-
 def adapted_blocks(blocks: Column) -> Column:
     """Blocks of known types only, with known fields; a table without rows takes those that its value spells as JSON."""
     rows = lambda b: F.coalesce(b["rows"], F.from_json(b["value"], "array<array<string>>"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import blocks as bl
 from foliant.functions import questions as qs
 from foliant.functions import text as tx
 from foliant.operators import audit, scoring
 from foliant.operators import evaluation as ev
 from foliant.plans.registry import query, table
-from foliant.sources.readers import BLOCK, QUESTION
+from foliant.sources.readers import BLOCK, PART, QUESTION
 
 
 def block(kind: str, value: Column | None = None, rows: Column | None = None) -> Column:
@@ -178,7 +179,7 @@ def blocks_adapted(spark, d):
     t = F.col("turn")
     double = block("text", F.when(t % 2 == 1, "<보기> 다음 중에서 옳은 것을 모두 고르시오").otherwise("<보기> 짧다"))
     blocks = F.array(block("text", F.lit("문제: 다음 중에서 옳은 것을 모두 고르시오 [3점]")), double, block("table", F.when(t % 2 == 0, '[["1","2"]]')), block("unknown", F.lit("x")))
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", blocks.alias("b")).withColumn("b", qs.adapted_blocks(F.col("b"))).withColumn("c", qs.without_duplicate_boxes(F.col("b")))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", blocks.alias("b")).withColumn("b", qs.adapted_blocks(F.col("b"))).withColumn("c", bl.without_duplicate_boxes(F.col("b")))
     found = F.coalesce(F.flatten(F.flatten(F.transform(F.filter("c", lambda b: b["rows"].isNotNull()), lambda b: b["rows"]).cast("array<array<array<string>>>"))), F.array().cast("array<string>"))
     return rows.select("sample_id", "turn", F.size("c").alias("boxes"), F.array_join(found, ",").alias("rows"))
 
@@ -227,3 +228,38 @@ def mined_failures(spark, d):
     even = F.col("doc_id") % 2 == 0
     p = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.when(even, "it is 5").otherwise("은 홀수다").alias("g_text"), F.when(even, "it is 7").otherwise("은 짝수다").alias("c_text"))
     return ev.mined(p, 3).select("sample_id", "category", "golden", "candidate")
+
+
+def shown(blocks: Column) -> Column:
+    mark = lambda b: F.concat(F.when(F.coalesce(b["bold"], F.lit(False)), "!").otherwise(""), F.substring(b["type"], 1, 1), F.lit(":"), tx.text_of(b["value"]))
+    return F.array_join(F.transform(blocks, mark), "|")
+
+
+@query("""SELECT conv_id AS sample_id, turn, CASE turn % 4 WHEN 0 THEN 't:다음 그래프를 보고 답하시오 ' || turn || '|i:|t:<보기>|t:ㄱ. 하나' WHEN 1 THEN 't:고른 것은? 답하시오|t:<보기> ㄱ. ' || turn || ' (가)' WHEN 2 THEN 't:본문|t:나머지 ' || turn ELSE 't:자연수의 꼴로 나타낸 후 답하시오' END AS t FROM conversations""")
+def block_boxes(spark, d):
+    """Boxes that vision made up or that stand in a text, and a figure out of place."""
+    t = F.col("turn")
+    n = t.cast("string")
+    text = lambda v: block("text", v if isinstance(v, Column) else F.lit(v))
+    moved = F.array(text(F.concat(F.lit("다음 그래프를 보고 답하시오 "), n)), text("<보기>"), text("ㄱ. 하나"), block("image", F.lit("")))
+    inside = F.array(text(F.concat(F.lit("고른 것은? 답하시오  <보기> ㄱ. "), n, F.lit(" (가)"))))
+    repeated = F.array(text("본문"), text("<상자> 다음 물음에 모두 바르게 답하시오"), text(F.concat(F.lit("<상자> 다음 물음에 모두 바르게 답하시오. 나머지 "), n)))
+    double = F.array(text("자연수의 꼴로 나타낸 후 답하시오"), text("<상자> 의 꼴로 나타낸 후 답"))
+    part = F.array(F.struct(F.lit(1).alias("number"), F.lit(None).alias("score"), F.array(text("다음 물음에 모두 바르게 답하시오")).alias("contents")).cast(PART))
+    b = F.when(t % 4 == 0, moved).when(t % 4 == 1, inside).when(t % 4 == 2, repeated).otherwise(double)
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", b.alias("b"), part.alias("parts"))
+    for step in (bl.without_duplicate_boxes, lambda x: bl.without_repeated_parts(x, F.col("parts")), bl.split_at_boxes, bl.figure_before_box):
+        rows = rows.withColumn("b", step(F.col("b")))
+    return rows.select("sample_id", "turn", shown(F.col("b")).alias("t"))
+
+
+@query("""SELECT conv_id AS sample_id, turn, 't:확률을 |e:p_' || turn || '|t:, |t:제|e:' || turn || '|t:은? (단 |t:값은? |t:(가) 옳지 |!t:않은|t: 것' AS t FROM conversations""")
+def block_spacing(spark, d):
+    """Commas, spaces and emphasis around equations and questions."""
+    n = F.col("turn").cast("string")
+    text = lambda v: block("text", F.lit(v))
+    b = F.array(text("확률을"), block("equation", F.concat(F.lit("p_"), n)), text(" , "), text("제"), block("equation", n), text("은?(단 "), text("값은?"), text("(가) 옳지 않은 것  "))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", b.alias("b"))
+    for step in (bl.spaced_before_equations, bl.spaced_after_questions, bl.commas_tightened, bl.negations_emphasised, bl.right_stripped):
+        rows = rows.withColumn("b", step(F.col("b")))
+    return rows.select("sample_id", "turn", shown(F.col("b")).alias("t"))
