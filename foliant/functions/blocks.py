@@ -20,6 +20,9 @@ BOX_INSIDE = r"<\s*상자\s*>" + ITEM_AHEAD + r"|(?:<\s*(?:조건|보기|증명)
 NEGATED = r"(않은|않는|아닌|틀린)(?=\s*것(?!으로))"
 NEGATION = r"않은|않는|아닌|틀린"
 SCORE = r"[\[［(]\s*(?:총\s*)?\d+(?:\.\d+)?\s*점\s*[\]］)]"
+#: What an item in a box begins with, and the orders of its labels.
+ITEM = r"[(（]\s*([가-힣])\s*[)）]|(?:^|(?<=\s))([ㄱ-ㅎ])\s*\.|([①-⑩])"
+LABELS = ["가나다라마바사아자차카타파하", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊ", "①②③④⑤⑥⑦⑧⑨⑩"]
 #: Hangul that a box must have to count as a repetition, of the stem and of a part; what a figure's note begins with.
 STEM_REPEATED, PART_REPEATED = 8, 12
 FIGURE_NOTE = "※ 그림 자리"
@@ -139,3 +142,18 @@ def right_stripped(blocks: Column) -> Column:
     bare = F.regexp_replace(text_of(last["value"]), r"\s+$", "")
     done = F.concat(F.slice(blocks, F.lit(1), n - 1), F.when(bare != "", F.array(with_value(last, bare))).otherwise(F.array().cast(f"array<{BLOCK}>")))
     return F.when((n > 0) & is_text(last) & (text_of(last["value"]) != ""), done).otherwise(blocks)
+
+
+def box_text(rows: Column) -> Column:
+    """The text of a box from its rows: cut before each item, items in the order of their labels if two or more and three fifths of the pieces have one, joined by bullets."""
+    bare = F.transform(rows, lambda r: stripped(F.regexp_replace(text_of(r), r"\s+", " ")))
+    pieces = F.filter(F.flatten(F.transform(bare, lambda r: F.transform(F.split(F.regexp_replace(r, f"({ITEM})", "\x01$1"), "\x01"), stripped))), lambda p: p != "")
+    order = F.create_map(*[F.lit(v) for names in LABELS for i, c in enumerate(names) for v in (c, i)])
+    label = lambda p: F.concat(*[F.regexp_extract(p, f"^(?:{ITEM})", k) for k in (1, 2, 3)])
+
+    def ordered(xs: Column) -> Column:
+        keyed = F.transform(xs, lambda p, i: F.struct(order[label(p)].isNull().alias("none"), F.coalesce(order[label(p)], F.lit(0)).alias("label"), i.alias("place"), p.alias("text")))
+        known = F.size(F.filter(keyed, lambda k: ~k["none"]))
+        return F.transform(F.when(known >= F.greatest(F.lit(2.0), 0.6 * F.size(xs)), F.array_sort(keyed)).otherwise(keyed), lambda k: k["text"])
+
+    return F.array_join(let(pieces, ordered), " • ")

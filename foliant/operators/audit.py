@@ -103,8 +103,9 @@ def stable_ids(now: DataFrame, then: DataFrame, key: str, fields: list[str]) ->
     return same.join(other, key, "left").select(key, F.when(~F.col("known"), "weak").when(F.col("same"), "ok").when(F.col("elsewhere"), "shifted").otherwise("mislabeled").alias("verdict"))
 
 
-def surrogate_ids(rows: DataFrame, order: list[str], name: str = "id", within: str = "__bucket", buckets: int = 64) -> DataFrame:
-    """rows with consecutive ids from 1 in a total order. Rows are ranged over buckets by the first column and numbered within each; the buckets' sizes, a bounded table, give the offsets."""
+def surrogate_ids(rows: DataFrame, order: list[str], name: str = "id", within: str = "__bucket", bucket_rows: int = 1_000_000) -> DataFrame:
+    """rows with consecutive ids from 1 in a total order. Rows are ranged over buckets of about `bucket_rows` and numbered within each; the buckets' sizes, a short table, give the offsets."""
+    buckets = max(8, rows.count() // bucket_rows)
     ranged = rows.repartitionByRange(buckets, *order).withColumn(within, F.spark_partition_id())
     local = durable(ranged.withColumn("__n", F.row_number().over(Window.partitionBy(within).orderBy(*order))))  # the sampled ranges must not change between uses
     sizes = local.groupBy(within).agg(F.count("*").alias("__size"))

@@ -263,3 +263,11 @@ def block_spacing(spark, d):
     for step in (bl.spaced_before_equations, bl.spaced_after_questions, bl.commas_tightened, bl.negations_emphasised, bl.right_stripped):
         rows = rows.withColumn("b", step(F.col("b")))
     return rows.select("sample_id", "turn", shown(F.col("b")).alias("t"))
+
+
+@query("SELECT conv_id AS sample_id, turn, CASE turn % 3 WHEN 0 THEN '(가) a ' || turn || ' • (나) b • (다) c' WHEN 1 THEN 'ㄱ. a • ㄴ. b • ㄷ. ' || turn ELSE 'text • ① a • more' END AS t FROM conversations")
+def box_items(spark, d):
+    t = F.col("turn")
+    n = t.cast("string")
+    rows = F.when(t % 3 == 0, F.array(F.concat(F.lit("(가)  a "), n, F.lit(" (다) c")), F.lit("( 나 ) b"))).when(t % 3 == 1, F.array(F.lit("ㄴ. b"), F.concat(F.lit("ㄷ. "), n), F.lit("ㄱ. a"))).otherwise(F.array(F.lit("text ① a"), F.lit(" "), F.lit("more")))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", F.regexp_replace(bl.box_text(rows), r"\( 나 \)", "(나)").alias("t"))
