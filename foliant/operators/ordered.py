@@ -7,10 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.sources.durable import durable
+
 
 #: An essay's label before its number.
 ESSAY_LABEL = r"[\[【]\s*(?:서술형|서답형|단답형)\s*\d*\s*[\]】]"
 
+#: Rows of one group beyond which it is cut into ranges.
+HOT = 1_000_000
+
 
 def accepted(numbers: Column) -> Column:
     """Of candidate numbers in order those that continue 1, 2, 3, …: each is taken only if it follows the last taken."""
@@ -52,9 +57,32 @@ def overlap_share(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(F.try_divide(shared, F.least(area(a), area(b))), F.lit(0.0))
 
 
-def carried(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
-    """rows with the last known value at or before each."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def ranged(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame | None:
+    """rows cut by group and order into ranges of about `most`, with their range as __p; None where no group has more rows than that. Written, as the sampled ranges must not change between uses."""
+    counts = rows.groupBy(group).count()
+    if counts.filter(F.col("count") > most).isEmpty():
+        return None
+    total = counts.agg(F.sum("count")).first()[0]
+    return durable(rows.repartitionByRange(max(2, -(-total // most)), group, *order).withColumn("__p", F.spark_partition_id()))
+
+
+def with_parts(rows: DataFrame, parts: DataFrame, group: str) -> DataFrame:
+    """rows of `ranged` with the columns that parts (__p, group, …) have for their range and group, an unknown group included."""
+    named = parts.select(F.col("__p").alias("__q"), F.col(group).alias("__g"), *[c for c in parts.columns if c not in ("__p", group)])
+    return rows.join(named, (F.col("__p") == F.col("__q")) & F.col(group).eqNullSafe(F.col("__g")), "left").drop("__q", "__g")
+
+
+def carried(rows: DataFrame, group: str, order: str | list[str], value: str, name: str, most: int = HOT) -> DataFrame:
+    """rows with the last known value at or before each. Groups of more than `most` rows are cut into ranges: each is carried on its own, then what the ranges before it end with is put at its start."""
+    order = [order] if isinstance(order, str) else order
+    last = lambda *by: F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    cut = ranged(rows, group, order, most)
+    if cut is None:
+        return rows.withColumn(name, last(group))
+    ends = cut.groupBy("__p", group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    local = cut.withColumn(name, last("__p", group))
+    return with_parts(local, ends.select("__p", group, before.alias("__before")), group).withColumn(name, F.coalesce(name, "__before")).drop("__before", "__p")
 
 
 def segments(rows: DataFrame, group: str, start: str) -> DataFrame:
@@ -88,11 +116,24 @@ def list_cut(rows: DataFrame, group: str, order: str, number: str, last: str) ->
     return rows.join(at, group).filter((F.col(order) > F.col(last)) & (F.col(number) <= F.col("__last"))).groupBy(group).agg(F.min(order).alias("cut"))
 
 
-def islands(rows: DataFrame, group: str, order: list[str], value: str, name: str = "island") -> DataFrame:
-    """rows with the number of their run of equal values, from 1."""
-    w = Window.partitionBy(group).orderBy(*order)
-    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
-    return rows.withColumn("__new", changed.cast("int")).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def islands(rows: DataFrame, group: str, order: list[str], value: str, name: str = "island", most: int = HOT) -> DataFrame:
+    """rows with the number of their run of equal values, from 1. Groups of more than `most` rows are cut into ranges, numbered each on its own and then on from the ranges before."""
+    cut = ranged(rows, group, order, most)
+    by = [group] if cut is None else ["__p", group]
+    w = Window.partitionBy(*by).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    changed = ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    if cut is None:
+        return rows.withColumn("__new", (changed | first).cast("int")).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    along = Window.partitionBy(group).orderBy("__p")
+    ends = cut.groupBy("__p", group).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__end"))
+    met = with_parts(cut, ends.select("__p", group, F.lag("__end").over(along).alias("__last")), group)
+    starts = F.when(first, F.col("__last").isNull() | ~F.col(value).eqNullSafe(F.col("__last")["v"])).otherwise(changed)
+    new = durable(met.withColumn("__new", starts.cast("int")).drop("__last"))
+    sums = new.groupBy("__p", group).agg(F.sum("__new").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = new.withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return with_parts(local, sums.select("__p", group, before.alias("__before")), group).withColumn(name, F.col(name) + F.col("__before")).drop("__before", "__new", "__p")
 
 
 def tail_trimmed(rows: DataFrame, group: str, order: str, fragment: Column, most: float = 0.5) -> DataFrame:
@@ -146,11 +187,10 @@ def reading_order(boxes: DataFrame, group: str) -> DataFrame:
     return boxes.groupBy(group).applyInPandas(run, schema)
 
 
-def last_before(left: DataFrame, right: DataFrame, group: str, at: str, value: str) -> DataFrame:
-    """left with the value of the last row of right at or before it in its group: both are merged into one order and the last known value carried, so no pairs are made."""
+def last_before(left: DataFrame, right: DataFrame, group: str, at: str, value: str, most: int = HOT) -> DataFrame:
+    """left with the value of the last row of right at or before it in its group: both are merged into one order and the last known value carried, so no pairs are made; a hot group is cut into ranges."""
     tagged = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__r": F.lit(1)}).unionByName(right.select(group, at, F.col(value).alias("__v"), F.lit(0).alias("__r")), allowMissingColumns=True)
-    w = Window.partitionBy(group).orderBy(at, "__r").rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.withColumn(f"last_{value}", F.last("__v", ignorenulls=True).over(w)).filter("__r = 1").drop("__v", "__r")
+    return carried(tagged, group, [at, "__r"], "__v", f"last_{value}", most).filter("__r = 1").drop("__v", "__r")
 
 
 def point_in_box(points: DataFrame, boxes: DataFrame, page: str, cell: float = 50.0) -> DataFrame:

@@ -1,5 +1,6 @@
 import subprocess
 import sys
+from difflib import SequenceMatcher
 from pathlib import Path
 
 import duckdb
@@ -39,3 +40,11 @@ def test_library_stands_without_the_training_data_part():
     root = Path(__file__).parent.parent
     code = "import sys; sys.modules['foliant.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 50; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_seq_ratio_against_brute_force(spark, con):
+    turns = con.sql("select conv_id, turn, text, coalesce(lead(text) over (partition by conv_id order by turn), '') from conversations").fetchall()
+    want = {(c, t): 1.0 if not a and not b else SequenceMatcher(None, a or "", b or "").ratio() for c, t, a, b in turns}
+    got = {(r["conv_id"], r["turn"]): r["ratio"] for r in registry.queries()["seq_ratio"](spark, str(DATA)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)

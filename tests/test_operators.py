@@ -184,3 +184,15 @@ def test_streams(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in incremental.windowed(events, "ts", "kind").orderBy("start").collect()] == [(2, 3.0), (1, 4.0)]
     meta = spark.createDataFrame([("ready", "a/b.pdf", None), ("draft", None, "")], "status string, reference_pdf string, ref_pdf string")
     assert [r["reasons"] for r in incremental.readiness(meta).collect()] == [[], ["status", "no reference"]]
+
+
+def test_hot_groups_in_ranges(spark):
+    rng = random.Random(5)
+    rows = [(None if rng.random() < 0.1 else 1 if rng.random() < 0.7 else rng.randrange(4), i, rng.choice(["a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int, v string").repartition(5)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(ordered.carried(df, "g", "i", "v", "x", most=20), ordered.carried(df, "g", "i", "v", "x"))
+    assert same(ordered.islands(df, "g", ["i"], "v", most=20), ordered.islands(df, "g", ["i"], "v"))
+    right = df.filter("i % 3 = 0").select("g", "i", F.col("i").alias("w"))
+    assert same(ordered.last_before(df, right, "g", "i", "w", most=20), ordered.last_before(df, right, "g", "i", "w"))
+    assert ordered.carried(df.limit(0), "g", "i", "v", "x", most=20).count() == 0
