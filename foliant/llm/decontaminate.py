@@ -40,11 +40,11 @@ from foliant.llm.common import enough_near, pieces, split_words, written
 #: Edits allowed: one in so many words.
 ONE_IN = 5
 #: Chance that a match is found, positions of a walk that make a hash, and walks at most for one window size.
-TARGET, BITS, MOST = 0.99, 3, 45
-#: Window sizes: all up to the first, then every so much larger.
+TARGET, BITS, MOST = 0.99, 3, 50
+#: Window sizes that are tried.
 SIZES = [*range(1, 13), 14, 16, 19]
 #: Edited windows and walks from which the chance of a collision is measured.
-TRIALS, WALKS = 300, 40
+TRIALS, WALKS = 600, 120
 #: Items in one index; more take more scans.
 ITEMS = 20_000
 #: Punctuation that is cut from the ends of words.
@@ -81,26 +81,29 @@ def nearest(item: list[int], text: list[int], most: int) -> tuple[int, int, int]
     return low, end - 1 - max(i for i, d in enumerate(back) if d == low), end
 
 
+def flipped(words: int, walks: int) -> np.ndarray:
+    """For each walk and word the random bits of up to 63 steps, as one number."""
+    return np.random.default_rng(7).integers(0, 1 << 63, (walks, words + 1), dtype=np.int64)
+
+
 class Walks:
-    """CGK walks over windows of one size, and the positions of each that make its hash."""
+    """CGK walks over windows of one size: the positions of each that make its hash."""
 
-    def __init__(self, size: int, words: int, repeats: int, bits: int = BITS):
-        rng = np.random.default_rng([7, size])
-        self.size = size
-        self.coins = rng.integers(0, 1 << 63, (repeats, -(-2 * size // 63), words + 1), dtype=np.int64)
+    def __init__(self, size: int, repeats: int, bits: int = BITS):
+        rng = np.random.default_rng([11, size])
         picks = [np.sort(rng.choice(2 * size, min(bits, 2 * size), replace=False)).tolist() for _ in range(repeats)]
         self.picks = [{x: int(rng.integers(1, 1 << 62)) | 1 for x in p} for p in picks]
 
-    def hashes(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-        """For each repeat the hashes of the windows words[start:end], as if zeros followed."""
-        for coins, picked in zip(self.coins, self.picks, strict=True):
+    def hashes(self, coins: np.ndarray, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """For each repeat the hashes of the windows words[start:end], as if zeros followed. coins: a row for each repeat, more are not used."""
+        for bits, picked in zip(coins, self.picks, strict=False):
             at, out = starts.copy(), np.zeros(len(starts), np.int64)
             for step in range(max(picked) + 1):
                 word = np.where(at < ends, words[np.minimum(at, len(words) - 1)], 0)
                 if step in picked:
                     out = (out ^ (word + 1)) * picked[step]
                     out ^= out >> 29
-                at += coins[step // 63][word] >> step % 63 & 1
+                at += bits[word] >> step & 1
             yield out
 
 
@@ -117,11 +120,11 @@ def collisions(size: int, edits: int, bits: int = BITS) -> np.ndarray:
                 out[i] = [[next(other)], [], [next(other), row[i]]][kind]
             flat = [w for x in out for w in x]
             rows.append([*flat, *(next(other) for _ in range(size - len(flat)))][:size])
-    walks = Walks(size, next(other), WALKS, bits)
+    walks, coins = Walks(size, WALKS, bits), flipped(next(other), WALKS)
     starts = np.arange(TRIALS) * size
     same = np.zeros((3, TRIALS))
     edited = np.array(rows).ravel()
-    for a, b in zip(walks.hashes(plain.ravel(), starts, starts + size), walks.hashes(edited, np.arange(3 * TRIALS) * size, (np.arange(3 * TRIALS) + 1) * size), strict=True):
+    for a, b in zip(walks.hashes(coins, plain.ravel(), starts, starts + size), walks.hashes(coins, edited, np.arange(3 * TRIALS) * size, (np.arange(3 * TRIALS) + 1) * size), strict=True):
         same += a == b.reshape(3, TRIALS)
     return same / WALKS
 
@@ -155,6 +158,8 @@ class Index:
     pairs: np.ndarray | None = None
     #: (item, word) of the words that an item has, as sorted numbers
     members: np.ndarray | None = None
+    #: the bits of the walks, which windows of all sizes share
+    coins: np.ndarray | None = None
     #: size and edits: the walks, and for each repeat the sorted hashes, and each hash's item and offset
     tables: dict[tuple[int, int], tuple[Walks, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = field(default_factory=dict)
 
@@ -177,12 +182,13 @@ def build(rows: list[tuple[int, str | None]], bits: int = BITS) -> Index:
     for k, w in enumerate(index.items):
         size, edits, repeats, offsets = windows_of(len(w), bits)
         by_kind.setdefault((size, edits), (repeats, []))[1].extend((k, o) for o in offsets)
+    index.coins = flipped(len(index.words), max((r for r, _ in by_kind.values()), default=0))
     for (size, edits), (repeats, places) in by_kind.items():
         words = np.array([x for k, o in places for x in index.items[k][o : o + size]], np.int64)
         starts, tables = np.arange(len(places)) * size, []
-        walks = Walks(size, len(index.words), repeats, bits)
+        walks = Walks(size, repeats, bits)
         who, offset = (np.array(x, np.int64) for x in zip(*places, strict=True))
-        for h in walks.hashes(words, starts, starts + size):
+        for h in walks.hashes(index.coins, words, starts, starts + size):
             o = np.argsort(h, kind="stable")
             tables.append((h[o], who[o], offset[o]))
         index.tables[size, edits] = walks, tables
@@ -212,7 +218,7 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
         starts = np.flatnonzero(sums[ends - 1] - sums[: len(words)] >= need if need > 0 else known)
         for at in range(0, len(starts), 50_000):
             block = starts[at : at + 50_000]
-            for h, (keys, who, offset) in zip(walks.hashes(words, block, ends[block]), tables, strict=True):
+            for h, (keys, who, offset) in zip(walks.hashes(index.coins, words, block, ends[block]), tables, strict=True):
                 lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
                 hit = np.flatnonzero(hi > lo)
                 n = (hi - lo)[hit]

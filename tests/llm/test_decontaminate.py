@@ -102,7 +102,7 @@ def test_target_recall_at_the_full_distance(n, how):
 
 
 def test_windows_are_item_sized_while_walks_reach_the_target():
-    assert [d.windows_of(n)[0] for n in (1, 4, 5, 8, 10, 12, 14)] == [1, 4, 5, 8, 10, 12, 14]
+    assert [d.windows_of(n)[0] for n in (1, 4, 5, 8, 10, 12, 14, 16, 19)] == [1, 4, 5, 8, 10, 12, 14, 16, 19]
     for n in range(1, 420):
         size, edits, repeats, offsets = d.windows_of(n)
         assert edits == n // d.ONE_IN // len(offsets) and repeats <= d.MOST
