@@ -36,7 +36,7 @@ from foliant.llm.common import pieces, segment_sum, shared_dir, split_words, wri
 LEXICON = 200_000
 LONGEST = 40
 #: Pieces of text that a Python worker keeps resolved.
-KEPT = 400_000
+KEPT = 100_000
 #: Words of pieces that are ASCII and in lower case: contractions, runs of letters, single digits, runs of anything else but white space.
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
 END = "</w>"
@@ -414,7 +414,7 @@ def digests(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_in_task(spec, name)
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=2_000_000):
             n, ids, decoded = codec.joined(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), digest(ids), digest(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
