@@ -109,3 +109,10 @@ def write_text(spark: SparkSession, path: str, body: str | bytes) -> None:
         out.write(body.encode() if isinstance(body, str) else body)
     finally:
         out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what this library wrote and nothing reads any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.sources.sinks import change_signature, changed
+from foliant.sources.durable import durable
+from foliant.sources.sinks import change_signature, changed, remove
 
 
 def handoffs(spark: SparkSession, root: str, schema: str = "status string, reference_pdf string, ref_pdf string") -> DataFrame:
@@ -32,8 +33,8 @@ def present(ready: DataFrame, files: DataFrame) -> DataFrame:
     return met.withColumn("reasons", F.concat("reasons", more)).drop("__there", "__pages")
 
 
-def publish_changes(stream: DataFrame, key: str, order: str, values: list[str], state_path: str, send: Callable[[DataFrame], None], checkpoint: str):
-    """Per batch, the rows of keys whose signature differs from the one last published go to `send`; signatures are kept only after it succeeds. A batch that runs again sends nothing twice that was kept."""
+def publish_changes(stream: DataFrame, key: str, order: str, values: list[str], state_path: str, send: Callable[[DataFrame], None], checkpoint: str, compact: int = 50):
+    """Per batch, the rows of keys whose signature differs from the one last published go to `send`; signatures are kept only after it succeeds. A batch that runs again sends nothing twice that was kept. A key's rows must come in one batch. Every `compact` batches the state is written anew with one row a key, as the next generation; the older one goes when that is complete."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -43,11 +44,16 @@ def publish_changes(stream: DataFrame, key: str, order: str, values: list[str],
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            state = now.limit(0)
-        latest = state if "batch" not in state.columns else state.groupBy(key).agg(F.max_by("signature", "batch").alias("signature"))
-        fresh = changed(now, latest, key)
+            state = now.limit(0).withColumns({"batch": F.lit(0), "gen": F.lit(0)})
+        top = state.agg(F.max("gen")).first()[0] or 0
+        kept = state.filter(F.col("gen") == top).groupBy(key).agg(F.max_by("signature", "batch").alias("signature"), F.max("batch").alias("batch"))
+        fresh = durable(changed(now, kept, key).select(key, "signature").withColumn("batch", F.lit(number)))
         send(batch.join(fresh.select(key), key, "left_semi"))
-        fresh.withColumn("batch", F.lit(number)).write.mode("append").parquet(state_path)
+        if (number + 1) % compact:
+            fresh.write.mode("append").parquet(f"{state_path}/gen={top}")
+        else:
+            kept.join(fresh.select(key), key, "left_anti").select(key, "signature", "batch").unionByName(fresh).write.mode("overwrite").parquet(f"{state_path}/gen={top + 1}")
+            remove(spark, f"{state_path}/gen={top}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

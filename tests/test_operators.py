@@ -175,11 +175,12 @@ def test_publish_halves_failing_chunks(spark, tmp_path):
 def test_streams(spark, tmp_path):
     source, state, sent = (str(tmp_path / x) for x in ("in", "state", "sent"))
     schema = "id int, o int, v string"
-    for k, data in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 1, "a"), (2, 1, "c")]]):
+    for k, data in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 1, "a"), (2, 1, "c")], [(1, 1, "a"), (2, 1, "c")], [(1, 1, "d"), (2, 1, "c")], [(1, 1, "d"), (2, 1, "c")]]):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        incremental.publish_changes(stream, "id", "o", ["v"], state, lambda d: d.write.mode("append").parquet(sent), str(tmp_path / "checkpoint")).awaitTermination()
-        assert spark.read.parquet(sent).count() == (2, 3)[k]
+        incremental.publish_changes(stream, "id", "o", ["v"], state, lambda d: d.write.mode("append").parquet(sent), str(tmp_path / "checkpoint"), compact=2).awaitTermination()
+        assert spark.read.parquet(sent).count() == (2, 3, 3, 4, 4)[k]
+    assert sorted(x.name for x in (tmp_path / "state").iterdir() if x.name.startswith("gen")) == ["gen=2"]
     events = spark.createDataFrame([("2024-01-01 00:01:00", "x", 1.0), ("2024-01-01 00:04:00", "x", 2.0), ("2024-01-01 00:06:00", "x", 4.0)], "ts string, kind string, value double")
     assert [(r["n"], r["total"]) for r in incremental.windowed(events, "ts", "kind").orderBy("start").collect()] == [(2, 3.0), (1, 4.0)]
     meta = spark.createDataFrame([("ready", "a/b.pdf", None), ("draft", None, "")], "status string, reference_pdf string, ref_pdf string")
