@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: White space as the contracts define it: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that a task may get.
+HOT = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,18 @@ def sized(df: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], total: int, how: str = "left", hot: int = HOT) -> DataFrame:
+    """rows joined to facts, which has each key once. Of `total` rows one key may have a third: keys of more than `hot` rows, no more than one in so many rows, meet their facts by a broadcast, the others by a shuffle. Columns: on, then the others of both."""
+    if total <= hot:
+        return rows.join(facts, on, how)
+    keys = written(rows.groupBy(*on).count().filter(F.col("count") > hot).select(*on), "hot-keys")
+    if keys.isEmpty():
+        return rows.join(facts, on, how)
+    keys = sized(keys)
+    heavy = rows.join(keys, on, "left_semi").join(sized(facts.join(keys, on, "left_semi")), on, how)
+    return heavy.unionByName(rows.join(keys, on, "left_anti").join(facts, on, how))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that is never learned from; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import drawn, held_out, pieces, segment_sum, sized, split_words, written
+from foliant.llm.common import drawn, held_out, hot_join, pieces, segment_sum, sized, split_words, written
 
 MEASURES = ["words", "word_length", "symbols", "capitals", "digits", "distinct_words", "top_word", "duplicate_lines", "bars", "shouts", "stops"]
 #: Bound of the labelled sample that the logistic model is fitted to; bins of each measure.
@@ -139,6 +139,8 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame, least: float
     model = fit(np.stack(rows["x"].to_numpy()), y) if len(rows) and 0 < y.mean() < 1 else None
     share, hosts, paths = posteriors(labelled.select("host", "path", "good"))
     prior = F.coalesce("path_share", "host_share", F.lit(float(share)))
-    found = each.withColumn("evidence", evidence(F.col("x"), model)).join(sized(hosts), "host", "left").join(sized(paths), ["host", "path"], "left")
+    total = each.count()
+    found = hot_join(each.withColumn("evidence", evidence(F.col("x"), model)), sized(hosts), ["host"], total)
+    found = hot_join(found, sized(paths), ["host", "path"], total)
     odds = F.log(prior / (1 - prior)) + F.col("evidence")
     return found.select("doc_id", "host", "path", F.round("evidence", 9).alias("evidence"), prior.alias("prior"), (1 / (1 + F.exp(-odds))).alias("score")).withColumn("kept", F.col("score") >= least)

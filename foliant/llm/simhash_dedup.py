@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import drawn, rounds, sized, written
+from foliant.llm.common import HOT, drawn, hot_join, rounds, sized, written
 
 MOST = 4
 SHINGLE = 4
@@ -32,8 +32,6 @@ SHINGLE = 4
 SAMPLE = 4000
 #: Owners of a key beyond which its group is split into blocks over tasks.
 BLOCK = 20_000
-#: Rows of a fingerprint beyond which they are told their component by a broadcast: at most one such fingerprint in so many rows.
-HOT = 100_000
 #: Row keys, of eight bytes each, that are broadcast at most.
 GONE = 2_000_000
 
@@ -281,20 +279,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, block: int = BLOCK, hot_rows: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     each = written(fingerprints(docs, shingle), "fingerprints")
-    fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
+    fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), most, block=block))
-    known = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "roots")
+    known = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id", "rows")
-    if known.filter(F.col("rows") > hot_rows).isEmpty():
-        return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = known.join(least, "root").select("fp", "component_id")
     # A fingerprint of very many rows, such as that of blank texts, would be one task's share of a shuffle.
-    hot = sized(named.filter(F.col("rows") > hot_rows).select("fp", "component_id"))
-    rare = each.join(hot, "fp", "left_anti").join(named.filter(F.col("rows") <= hot_rows), "fp")
-    return each.join(hot, "fp").select("doc_id", "fp", "component_id").union(rare.select("doc_id", "fp", "component_id"))
+    return hot_join(each, named, ["fp"], each.count(), "inner", hot).select("doc_id", "fp", "component_id")
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import rounds, sized, written
+from foliant.llm.common import HOT, hot_join, rounds, sized, written
 
 #: Verdict and rule (host, path) as the contract has them.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -59,8 +59,9 @@ def shape_of(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-f]{12,}$") & s.rlike("[a-f]"), F.lit("{hex}")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
-def generalised(shapes: DataFrame, level: int) -> DataFrame:
+def generalised(shapes: DataFrame, level: int, hot: int = HOT) -> DataFrame:
     """shapes (host, shape, template, n, labelled, good) with the template's segment at `level` merged where its siblings are like it."""
+    total = shapes.count()
     deep = shapes.filter(F.size("template") >= level)
     parent = F.slice("template", 1, level - 1)
     node = deep.groupBy("host", parent.alias("parent"), F.element_at("template", level).alias("child")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "good")])
@@ -76,8 +77,8 @@ def generalised(shapes: DataFrame, level: int) -> DataFrame:
     bad, share = F.col("labelled") - F.col("good"), F.col("good") / F.greatest("labelled", F.lit(1))
     apart = F.when(F.col("good") > 0, F.col("good") * F.log(share / q)).otherwise(0.0) + F.when(bad > 0, bad * F.log((1 - share) / (1 - q))).otherwise(0.0)
     variable = F.exp(-apart) * F.col("children") >= ERROR
-    merged = node.join(family, ["host", "parent"]).filter((F.col("children") > 1) & F.when(many & few, variable).otherwise(alike)).select("host", "parent", "child", F.lit(True).alias("merged"))
-    keyed = deep.select("*", parent.alias("parent"), F.element_at("template", level).alias("child")).join(merged, ["host", "parent", "child"], "left")
+    merged = hot_join(node, family, ["host", "parent"], total, "inner", hot).filter((F.col("children") > 1) & F.when(many & few, variable).otherwise(alike)).select("host", "parent", "child", F.lit(True).alias("merged"))
+    keyed = hot_join(deep.select("*", parent.alias("parent"), F.element_at("template", level).alias("child")), merged, ["host", "parent", "child"], total, "left", hot)
     star = F.concat("parent", F.array(F.when(F.col("merged"), F.lit("*")).otherwise(F.col("child"))), F.slice(F.col("template"), level + 1, F.size("template")))
     return keyed.select("host", "shape", star.alias("template"), "n", "labelled", "good").union(shapes.filter(F.size("template") < level))
 
@@ -95,14 +96,15 @@ def templates(urls: DataFrame, labels: DataFrame) -> DataFrame:
     return shapes
 
 
-def purity(shapes: DataFrame, strength: float = STRENGTH) -> DataFrame:
+def purity(shapes: DataFrame, strength: float = STRENGTH, hot: int = HOT) -> DataFrame:
     """host, shape, template, purity: the template's smoothed share of good labelled urls."""
+    total = shapes.count()
     good, known = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
     everyone = F.lit((good + 1.0) / (known + 1.0))
     host = shapes.groupBy("host").agg(((F.sum("good") + strength * everyone) / (F.sum("labelled") + strength)).alias("host_purity"))
-    each = shapes.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).join(host, "host")
+    each = hot_join(shapes.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")), host, ["host"], total, "inner", hot)
     each = each.select("host", "template", ((F.col("g") + strength * F.col("host_purity")) / (F.col("l") + strength)).alias("purity"))
-    return shapes.select("host", "shape", "template").join(each, ["host", "template"])
+    return hot_join(shapes.select("host", "shape", "template"), each, ["host", "template"], total, "inner", hot).select("host", "shape", "template", "purity")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -112,6 +114,6 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | No
     known = labels.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("good").cast("boolean"))
     table = written(purity(templates(urls, known)), "url-purity")
     rule, says = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    found = urls.withColumn("shape", shape_of(F.col("path"))).join(sized(table), ["host", "shape"], "left")
+    found = hot_join(urls.withColumn("shape", shape_of(F.col("path"))), sized(table), ["host", "shape"], urls.count())
     method = F.when(F.col("purity") < least, F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("purity", 9).alias("purity"))

@@ -121,7 +121,7 @@ def test_row_key_counts_nulls(spark):
 
 def test_hot_fingerprints_and_leftover_tables(spark, odd, tmp_path):
     key = lambda r: str(tuple(r))
-    assert sorted(s.near_duplicates(odd, hot_rows=1).collect(), key=key) == sorted(s.near_duplicates(odd).collect(), key=key)
+    assert sorted(s.near_duplicates(odd, hot=1).collect(), key=key) == sorted(s.near_duplicates(odd).collect(), key=key)
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)], "src long, dst long")
     assert {(r["node"], r["root"]) for r in s.components(edges).collect()} == {(i, 0) for i in range(51)} | {(i, 100) for i in range(100, 140)}
 
