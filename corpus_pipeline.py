@@ -15,7 +15,7 @@ from foliant.llm import bpe_codec, decontaminate, language_id, secret_scan, simh
 from foliant.llm.common import shared_dir, table
 
 #: How far a text's likeliest language must be from a blind guess (0) toward certainty (1), however many languages are learned; texts without letters are rejected too.
-LEAST_GAIN = 0.2
+LEAST_GAIN = 0.08
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
