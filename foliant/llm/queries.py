@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe_codec, decontaminate, language_id, license_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, toxicity, url_filter
+from foliant.llm import (
+    bpe_codec, conversation_repair, decontaminate, fill_middle, language_id, license_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity, url_filter,
+)
 from foliant.llm.common import table
 
 
@@ -65,8 +67,20 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_toxicity, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_simhash_near_dedup, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_toxicity, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_quality_classifier, op8_language_id, op9_simhash_near_dedup, op10_bpe_codec, op11_token_counts, op12_fill_middle, op13_conversation_repair)}
 
 
 def level_sql(k: int) -> str:
@@ -98,6 +112,15 @@ f AS (SELECT v.page_id, v.host, v.path, '/' || array_to_string(s.template, '/')
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < {url_filter.LEAST} THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 9) AS purity FROM f"""
 
 
+MIDDLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(digest, i, 8))::BIGINT) AS h FROM t),
+c AS (SELECT *, len(units)::BIGINT AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= {fill_middle.TRANSFORMED} THEN 'plain' WHEN h[4] % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express an operator; the others are tested against brute force in tests/llm."""
-    return {"op5_url_filters": URLS}
+    return {"op5_url_filters": URLS, "op12_fill_middle": MIDDLE}
