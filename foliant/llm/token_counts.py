@@ -1,6 +1,6 @@
 """Token counts of texts of any length by overlap resynchronisation.
 
-A tokenizer file of the tokenizers library counts. Texts of up to CHUNK bytes are encoded whole; longer ones in
+A tokenizer file of the tokenizers library counts. Texts of up to CHUNK bytes are encoded together; longer ones in
 chunks that overlap, so that no more than a few chunks' tokens are in memory at once. Each chunk is encoded with
 offsets, and neighbours are spliced at a common boundary p of words in their overlap that is proven stable:
 
@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm.common import pieces
+from foliant.llm.common import pieces, segment_sum, split_words
 
 #: Bytes that are encoded at a time, and by how much chunks overlap at first.
 CHUNK = 32_768
 OVERLAP = 256
-#: Bytes of short texts that are encoded in one call.
-TOGETHER = 1_000_000
+#: Bytes of short texts that are encoded in one call, and pieces of them whose counts a worker keeps.
+TOGETHER = 4_000_000
+KEPT = 200_000
 #: Tokens beyond which a text is over the limit.
 LIMIT = 2_048
 #: Characters that no normal form joins to what stands before them: all below the first combining mark, Greek and Cyrillic letters, punctuation and letters of Chinese and Japanese, Hangul syllables.
@@ -69,6 +70,7 @@ class Counter:
         self.library.no_truncation()
         self.library.no_padding()
         self.chunk, self.overlap, self.widened = chunk, overlap, 0
+        self.spaceless, self.kept = self.drops_spaces(), {}
         self.look = 8 + max([len(x["content"].encode()) for x in json.loads(spec)["added_tokens"]], default=0)
 
     def chunk_of(self, data: memoryview, lo: int, hi: int) -> Chunk:
@@ -100,6 +102,14 @@ class Counter:
             i -= 1
         return None
 
+    def known(self, pieces: list[str]) -> np.ndarray:
+        """The number of tokens of each piece; a bounded number of pieces is kept from batch to batch."""
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = [x for x in pieces if x not in self.kept]
+        self.kept.update(zip(new, self.sizes_of(new), strict=True))
+        return np.array([self.kept[x] for x in pieces], np.int64)
+
     def long(self, data: memoryview) -> int:
         """The number of tokens of a text of any length."""
         end = len(data)
@@ -126,13 +136,27 @@ class Counter:
                 a, lo, hi, skip = b, start, stop, found[1]
         return total + a.tokens - skip
 
+    def sizes_of(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def drops_spaces(self) -> bool:
+        """White space only parts words: it has no tokens and changes none beside it."""
+        ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        return all(not ids(w + w) and ids(a + w + b) == ids(a) + ids(b) for w in " \t\n\v\f\r" for a in "a1!é" for b in "a1!é")
+
     def counts(self, texts: pa.Array) -> np.ndarray:
-        """The number of tokens of each text."""
+        """The number of tokens of each text. Where white space only parts words, short texts' different pieces between it are counted once."""
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         out = np.zeros(len(texts), np.int64)
         short = np.flatnonzero((sizes > 0) & (sizes <= self.chunk))
-        if len(short):
-            out[short] = [len(x) for x in self.library.encode_batch_fast(texts.take(pa.array(short)).to_pylist(), add_special_tokens=False)]
+        few = texts.take(pa.array(short))
+        if self.spaceless:
+            flat, owner = split_words(few)
+            coded = flat.dictionary_encode()
+            each = self.known(coded.dictionary.to_pylist())
+            out[short] = segment_sum(each[coded.indices.to_numpy()], owner, len(short))
+        elif len(short):
+            out[short] = self.sizes_of(few.to_pylist())
         for i in np.flatnonzero(sizes > self.chunk):
             out[i] = self.long(memoryview(texts[int(i)].as_buffer()))
         return out
