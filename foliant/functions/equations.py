@@ -1,14 +1,19 @@
 """Equations between LaTeX and a word processor's script: fractions, roots, scripts, accents, fences, binomials, matrices, symbols.
 
-Both ways are chains of built-in expressions. Braces nest up to a given depth; what is not covered passes through,
-and `leaks` finds equations of which something was left.
+Spellings are made one by built-in expressions; the conversions read an equation's tokens with a stack (`formulas`), to
+any depth, in Arrow batches, once for each different equation. What is not covered passes through, and `leaks` finds
+equations of which something was left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.formulas import LATEX, SCRIPT, Program, after_space, raw_group, worked_out
 from foliant.functions.text import let, stripped, text_of
 
 #: Letters that go by the same name in both, and commands with the script's words for them.
@@ -29,7 +34,6 @@ SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", "0123456789+
 UNITS = "kcal min km cm mm kg mg mL dL kL g ℃ ℉ ℓ".split()
 #: Circled numbers, consonants and syllables, each with its first circled sign.
 CIRCLED = [([str(i) for i in range(1, 21)], 0x2460), (list("ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊㅋㅌㅍㅎ"), 0x3260), (list("가나다라마바사아자차카타파하"), 0x326E)]
-ONE = r"\{([^{}]*)\}"
 #: Rows of a folded equation at most, and the length below which a part joins the row before.
 ROWS, SHORTEST = 4, 3
 
@@ -51,53 +55,261 @@ def prepared(latex: Column) -> Column:
     return F.when(s.contains(r"\textcircled"), F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(circled[p], p)).otherwise(p)), "")).otherwise(s)
 
 
-def named(x: Column, pattern: str, words: dict[str, str]) -> Column:
-    """A text with each name that the pattern's group finds replaced by its word; a name without a word stays as it was found (the whole match)."""
-    known = F.create_map(*[F.lit(v) for kv in words.items() for v in kv])
-    parts = F.split(F.regexp_replace(x, f"({pattern})", "\x01$1\x01"), "\x01")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(known[p], p)).otherwise(p)), "")
-
-
-def to_script(latex: Column, depth: int = 4) -> Column:
-    """LaTeX as an equation script: innermost constructs first, their braces set aside as brackets that texts do not hold."""
-    s = F.regexp_replace(prepared(latex), r"\\[,;!]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"\\\{", "\x03"), r"\\\}", "\x04")
-    s = F.regexp_replace(s, r"\\left\s*([(\[|.\x03])", " LEFT $1 ")
-    s = F.regexp_replace(s, r"\\right\s*([)\]|.\x04])", " RIGHT $1 ")
-    accents, environments = "|".join(ACCENTS), "|".join(ENVIRONMENTS)
-    for _ in range(depth):
-        s = F.regexp_replace(s, r"\\frac\s*" + ONE + r"\s*" + ONE, "⟦$1⟧ over ⟦$2⟧")
-        s = F.regexp_replace(s, r"\\binom\s*" + ONE + r"\s*" + ONE, "LEFT ( ⟦$1⟧ atop ⟦$2⟧ RIGHT )")
-        s = F.regexp_replace(s, r"\\sqrt\s*\[([^\]]*)\]\s*" + ONE, "root ⟦$1⟧ of ⟦$2⟧")
-        s = F.regexp_replace(s, r"\\sqrt\s*" + ONE, "sqrt ⟦$1⟧")
-        s = F.regexp_replace(s, rf"\\({accents})\s*" + ONE, r"\\$1⟦$2⟧")
-        s = F.regexp_replace(s, r"([\^_])\s*" + ONE, "$1⟦$2⟧")
-        s = F.regexp_replace(s, r"\\(?:mathrm|text)\s*" + ONE, "rm ⟦$1⟧")
-    s = F.regexp_replace(s, rf"(?s)\\begin\{{({environments})\}}(.*?)\\end\{{\1\}}", r"\\$1⟦$2⟧")
-    s = F.regexp_replace(s, r"\\\\", " # ")
-    words = {**SYMBOLS, **{x: x for x in GREEK + FUNCTIONS}, **ACCENTS, **ENVIRONMENTS}
-    s = named(s, r"\\[A-Za-z]+", {f"\\{c}": f" {w} " for c, w in words.items()})
-    return F.trim(F.regexp_replace(F.translate(s, "⟦⟧\x03\x04", "{}{}"), r"\s+", " "))
-
-
-def to_latex(script: Column, depth: int = 4) -> Column:
-    """An equation script as LaTeX."""
-    s = F.regexp_replace(F.regexp_replace(text_of(script), "~", " "), "`", "")
-    accents = {w: c for c, w in reversed(ACCENTS.items())}
-    for _ in range(depth):
-        s = F.regexp_replace(s, ONE + r"\s*over\s*" + ONE, r"\\frac⟦$1⟧⟦$2⟧")
-        s = F.regexp_replace(s, r"\bLEFT\s*\(\s*" + ONE + r"\s*atop\s*" + ONE + r"\s*RIGHT\s*\)", r"\\binom⟦$1⟧⟦$2⟧")
-        s = F.regexp_replace(s, r"\broot\s*" + ONE + r"\s*of\s*" + ONE, r"\\sqrt[$1]⟦$2⟧")
-        s = F.regexp_replace(s, r"\bsqrt\s*" + ONE, r"\\sqrt⟦$1⟧")
-        s = F.regexp_replace(s, rf"(?<![A-Za-z\\])({'|'.join(accents)})\s*" + ONE, "$1⟦$2⟧")
-        s = F.regexp_replace(s, r"([\^_])\s*" + ONE, "$1⟦$2⟧")
-        s = F.regexp_replace(s, r"(?<![A-Za-z\\])rm\s*" + ONE, r"\\mathrm⟦$1⟧")
-    s = F.regexp_replace(F.regexp_replace(s, r"\bLEFT\s*", r"\\left"), r"\bRIGHT\s*", r"\\right")
-    words = {w: c for c, w in reversed(SYMBOLS.items()) if w.isalpha()} | {x: x for x in GREEK + FUNCTIONS} | accents
-    s = named(s, r"(?<![A-Za-z\\])[A-Za-z]+(?![A-Za-z])", {w: f"\\{c}" for w, c in words.items()})
-    for sign, command in (("!=", r"\neq "), ("+-", r"\pm "), ("-+", r"\mp "), ("->", r"\rightarrow ")):
-        s = F.replace(s, F.lit(sign), F.lit(command))
-    return F.trim(F.regexp_replace(F.translate(s, "⟦⟧", "{}"), r"\s+", " "))
+#: Commands whose content is as tall as two lines: brackets around them grow.
+TALL = {"\\frac", "\\sqrt", "\\binom", "\\sum", "\\prod", "\\int", "\\iint", "\\iiint", "\\oint", "\\bigcup", "\\bigcap", "\\bigoplus", "\\bigotimes"}
+#: Letters of probability, mean and variance: upright before brackets that hold a capital.
+STATISTICS = set("PEV")
+#: Commands of a style, with the script's word, and of spaces.
+STYLES = {"\\mathrm": "rm", "\\mathit": "it", "\\mathbf": "bold"}
+SPACES = {"\\,": "`", "\\ ": "`", "\\;": "~", "\\:": "~", "\\!": "", "\\quad": "~~", "\\qquad": "~~~~"}
+TO_WORDS = {f"\\{c}": w for c, w in {**SYMBOLS, **{x: x for x in GREEK + FUNCTIONS}}.items()}
+TO_COMMANDS = {w: f"\\{c}" for c, w in reversed(SYMBOLS.items())} | {x: f"\\{x}" for x in GREEK + FUNCTIONS}
+FROM_ACCENTS = {w: f"\\{c}" for c, w in reversed(ACCENTS.items())}
+FROM_ENVIRONMENTS = {w: c for c, w in ENVIRONMENTS.items()}
+FROM_STYLES = {w: c for c, w in STYLES.items()}
+
+
+def reviewed(tokens: list[str]) -> list[str]:
+    """LaTeX tokens with complements in capitals (after a single capital, or brackets that hold capitals and neither small letters nor digits), brackets around tall content growing, and letters of probability marked (\x00) before brackets that hold a capital. Brackets are matched once, with running counts."""
+    out, open_, marks = [], {"(": [], "{": []}, {}
+    capitals = small = tall = 0
+    closed: tuple[int, int] | None = None  # what the bracket that has just ended holds
+    last = before = ""  # the last tokens that are neither space nor prime
+    skip = 0
+    for i, t in enumerate(tokens):
+        if skip:
+            skip -= 1
+            continue
+        if t == "^":
+            j = after_space(tokens, i + 1)
+            c, after = raw_group(tokens[: j + 8], j) if tokens[j : j + 1] == ["{"] else ("".join(tokens[j : j + 1]), j + 1)
+            if c.strip() == "c":
+                holds = closed if last in (")", "}") else None
+                fits = holds[0] > 0 and not holds[1] if holds else len(last) == 1 and "A" <= last <= "Z" and not before.isalpha()
+                out += ["^", "{", "C" if fits else "c", "}"]
+                small += not fits
+                skip = after - i - 1
+                closed, before, last = None, last, "^"
+                continue
+        if t in "({":
+            kind = t
+            open_[kind].append((len(out), capitals, small, tall, last == "\\left", (at := len(out) - 1 - next((k for k, x in enumerate(reversed(out)) if not x.isspace() and x != "\\left"), len(out))) if kind == "(" else -1))
+        if t in ")}" and open_["(" if t == ")" else "{"]:
+            start, c, m, h, grown, at = open_["(" if t == ")" else "{"].pop()
+            closed = (capitals - c, small - m)
+            if t == ")":
+                if at >= 0 and out[at] in STATISTICS and capitals > c and not (at and (out[at - 1].isalpha() or out[at - 1] == "{" and at > 1 and out[at - 2] in STYLES)):
+                    marks[at] = "\x00" + out[at]
+                if tall > h and not grown and last != "\\right":
+                    marks[start], marks[len(out)] = "\\left(", "\\right)"
+        capitals += len(t) == 1 and "A" <= t <= "Z"
+        small += len(t) == 1 and ("a" <= t <= "z" or t.isdigit())
+        tall += t in TALL
+        if not t.isspace() and t != "'":
+            before, last = last, t
+        out.append(t)
+    return [marks.get(i, t) for i, t in enumerate(out)]
+
+
+class FromLatex(Program):
+    def read(self, latex: str) -> list:
+        tokens = [x for t in reviewed(LATEX.findall(latex)) for x in ([t[:-1], t[-1]] if t in ("\\left(", "\\right)") else [t])]
+        i = 0
+        while i < len(tokens):
+            t, i = tokens[i], i + 1
+            if t.isspace():
+                self.space = True
+            elif t == "{":
+                self.row("group", "}")
+            elif t == "}" or t == "]":
+                if not self.end(t) and t == "]":
+                    self.leaf(t)
+            elif t in "^_":
+                self.script(t)
+            elif t == "\\frac":
+                self.begin("frac", 2)
+            elif t == "\\binom":
+                self.begin("binom", 2)
+            elif t == "\\sqrt":
+                if tokens[(j := after_space(tokens, i)) : j + 1] == ["["]:
+                    self.begin("root", 2)
+                    self.row("group", "]")
+                    i = j + 1
+                else:
+                    self.begin("sqrt", 1)
+            elif t[:1] == "\\" and t[1:] in ACCENTS:
+                self.begin(ACCENTS[t[1:]], 1)
+            elif t in STYLES:
+                self.begin(STYLES[t], 1)
+            elif t == "\\text":
+                text, i = raw_group(tokens, after_space(tokens, i))
+                self.leaf(f" rm {{{text}}}" if text.isascii() and text.isalpha() and text.isupper() else f'"{text}"')
+            elif t in ("\\left", "\\right"):
+                sign = "".join(tokens[(j := after_space(tokens, i)) : j + 1]).removeprefix("\\") or "."
+                i = j + 1
+                self.leaf(f" {t[1:].upper()} {sign} ")
+            elif t in ("\\begin", "\\end"):
+                name, i = raw_group(tokens, after_space(tokens, i))
+                if t == "\\end":
+                    self.end(f"end {name}") or self.leaf(f"\\end{{{name}}}")
+                elif name in ENVIRONMENTS or name == "array":
+                    if name == "array" and tokens[(j := after_space(tokens, i)) : j + 1] == ["{"]:
+                        _, i = raw_group(tokens, j)
+                    self.row(ENVIRONMENTS.get(name, "MATRIX"), f"end {name}")
+                else:
+                    self.leaf(f"\\begin{{{name}}}")
+            elif t == "\\\\":
+                self.leaf(" # ")
+            elif t in ("\\{", "\\}"):
+                self.leaf(f'"{t[1]}"')
+            elif t[0] == "\x00":
+                self.leaf(f" rm {t[1]} it ")
+            elif t in SPACES:
+                self.leaf(SPACES[t])
+            elif t in TO_WORDS:
+                self.leaf(f" {TO_WORDS[t]} ")
+            else:
+                self.leaf(t.removeprefix("\\") if t[0] == "\\" and not t[1:].isalpha() else t)
+        return self.done()
+
+
+def script_part(name: str, args: list[str]) -> str:
+    if name == "row":
+        return "".join(args)
+    if name == "group":
+        return f"{{{args[0]}}}"
+    a, b = (args[0].strip(), args[-1].strip())
+    if name in "^_":
+        base = args[0].rstrip()
+        return f"{base}{' ' if base[-1:].isalpha() and args[0][-1:] == ' ' else ''}{name}{{{b}}}"
+    if name == "frac":
+        return f"{{{a}}} over {{{b}}}"
+    if name == "binom":
+        return f" LEFT ( {{{a}}} atop {{{b}}} RIGHT ) "
+    if name == "root":
+        return f" root {{{a}}} of {{{b}}}"
+    return f" {name} {{ {a} }}" if name in FROM_ENVIRONMENTS else f" {name} {{{a}}}"
+
+
+class FromScript(Program):
+    def read(self, script: str) -> list:
+        tokens = SCRIPT.findall(script)
+        i = 0
+        while i < len(tokens):
+            t, i = tokens[i], i + 1
+            low = t.lower()
+            ahead = "".join(tokens[(j := after_space(tokens, i)) : j + 1])
+            if t.isspace():
+                self.space = True
+            elif t == "{":
+                self.row("group", "}")
+            elif t == "}":
+                self.end("}")
+            elif t in "^_":
+                self.script(t)
+            elif low in ("over", "atop"):
+                self.infix("frac" if low == "over" else "atop")
+            elif low == "sqrt":
+                self.begin("sqrt", 1)
+            elif low == "root":
+                self.begin("root", 2)
+            elif low == "of" and self.frames[-1].name == "root":
+                self.space = False
+            elif t in FROM_ACCENTS or low in FROM_ACCENTS and low not in ("dot",):
+                self.begin(FROM_ACCENTS.get(t) or FROM_ACCENTS[low], 1)
+            elif low in FROM_STYLES:
+                if ahead == "{" or ahead[:1].isalnum():
+                    self.begin(FROM_STYLES[low], 1)
+            elif t.upper() in FROM_ENVIRONMENTS or low in ("pile", "eqalign"):
+                self.begin(f"env {FROM_ENVIRONMENTS.get(t.upper(), 'cases')}", 1)
+            elif low == "left":
+                i = j + 1
+                self.row(f"fence {ahead}", "RIGHT")
+            elif low == "right":
+                i = j + 1
+                self.right = "\\right" + ("\\" + ahead if ahead in ("{", "}") else ahead or ".")
+                self.end("RIGHT") or self.leaf(self.right)
+            elif low in ("from", "to") and t.islower() and self.frames[-1].count and ahead == "{":
+                self.script("_" if low == "from" else "^")
+            elif t[0] == '"':
+                self.leaf(f"\\{t[1]}" if t in ('"{"', '"}"') else f"\\text{{{t[1:-1]}}}" if len(t) > 2 else "")
+            elif t == "`":
+                self.leaf("\\,")
+            elif t == "#":
+                self.leaf(" \\\\ ")
+            elif command := TO_COMMANDS.get(t) or (t[0].isalpha() and len(t) > 1 and (TO_COMMANDS.get(t.upper()) or TO_COMMANDS.get(low))):
+                self.leaf(f"{command} ")
+            elif glued := next((g for g in ("RM", "IT") if t.upper().startswith(g) and t[2:].isupper()), None):
+                self.leaf(f"{FROM_STYLES[glued.lower()]}{{{t[2:]}}}")
+            else:
+                self.leaf(t)
+        return self.done()
+
+    def wrapped(self, row) -> None:
+        if row.name == "fence (" and self.steps[-2:] == [("atop", 2), ("row", 1)] and row.count == 1:
+            self.steps[-2:] = [("binom", 2)]
+            return
+        sign = row.name.removeprefix("fence ")
+        self.steps.append(("\\left" + ("\\" + sign if sign in ("{", "}") else sign or ".") + "\x00" + getattr(self, "right", "\\right."), 1))
+
+
+def latex_part(name: str, args: list[str]) -> str:
+    if name == "row":
+        return "".join(args)
+    if name == "group":
+        return f"{{{args[0]}}}"
+    a, b = (args[0].strip(), args[-1].strip())
+    if name in "^_":
+        return f"{args[0].rstrip()}{name}{{{b}}}"
+    if name == "frac":
+        return f"\\frac{{{a}}}{{{b}}}"
+    if name == "binom":
+        return f"\\binom{{{a}}}{{{b}}}"
+    if name == "atop":
+        return f"{{{a} \\atop {b}}}"
+    if name == "root":
+        return f"\\sqrt[{a}]{{{b}}}"
+    if name == "sqrt":
+        return f"\\sqrt{{{a}}}"
+    if name.startswith("env "):
+        return f"\\begin{{{name[4:]}}} {a} \\end{{{name[4:]}}}"
+    if "\x00" in name:
+        left, right = name.split("\x00")
+        return f"{left} {a} {right}"
+    return f"{name}{{{a}}}"
+
+
+def script_of(latex: str) -> str:
+    return " ".join(worked_out(FromLatex().read(latex), script_part).split())
+
+
+def latex_of(script: str) -> str:
+    return " ".join(worked_out(FromScript().read(script), latex_part).split())
+
+
+def inline_latex_of(text: str) -> str:
+    return "$".join([latex_of(p) if i % 2 else p for i, p in enumerate(text.split("$"))])
+
+
+def each_distinct(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A text function over a column: in Arrow batches, once for each different text of a batch."""
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        coded = x.dictionary_encode()
+        return pa.array([f(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+    return run
+
+
+def to_script(latex: Column) -> Column:
+    """LaTeX as an equation script, of any depth; a null as the empty text. Unknown commands stay, so that `leaks` finds them."""
+    return each_distinct(script_of)(prepared(latex))
+
+
+def to_latex(script: Column) -> Column:
+    """An equation script as LaTeX, of any depth; a null as the empty text. `over` takes the item before and after it, a group or a token with its scripts."""
+    return each_distinct(latex_of)(text_of(script))
 
 
 def folded(script: Column) -> Column:
@@ -132,9 +344,8 @@ def folded(script: Column) -> Column:
 
 
 def inline_to_latex(x: Column) -> Column:
-    """A text whose $…$ segments are scripts, with them as LaTeX."""
-    parts = F.split(text_of(x), r"\$")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, to_latex(p)).otherwise(p)), "$")
+    """A text whose $…$ segments are scripts, with them as LaTeX; a null as the empty text."""
+    return each_distinct(inline_latex_of)(text_of(x))
 
 
 def leaks(script: Column) -> Column:

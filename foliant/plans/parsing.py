@@ -42,6 +42,29 @@ def equation_latex(spark, d):
     return table(spark, d, "orders").select("o_orderkey", equations.inline_to_latex(text).alias("latex"))
 
 
+NESTED = "SELECT o_orderkey, o_custkey, 1 + o_orderkey % 30 AS n FROM orders"
+
+
+@query(rf"""SELECT o_orderkey, repeat('\frac{{' || o_custkey || '}}{{', n) || '\sqrt{{x_{{' || o_orderkey || '}}}}' || repeat('}}', n) || ' \leq \frac{{x^{{2}}}}{{' || n || '}}' AS latex,
+ repeat('{{' || o_custkey || '}} over {{', n) || 'sqrt {{x_{{' || o_orderkey || '}}}}' || repeat('}}', n) || ' LEQ {{x^{{2}}}} over {{' || n || '}}' AS script FROM ({NESTED})""")
+def equation_depth(spark, d):
+    """Scripts nested up to thirty deep, operands without braces, to LaTeX; and that back to a script."""
+    n = (1 + F.col("o_orderkey") % 30).cast("int")
+    script = F.concat(F.repeat(F.concat("o_custkey", F.lit(" over {")), n), F.lit("sqrt {x_"), "o_orderkey", F.lit("}"), F.repeat(F.lit("}"), n), F.lit(" LEQ x^2 over "), n)
+    latex = equations.to_latex(script)
+    return table(spark, d, "orders").select("o_orderkey", latex.alias("latex"), equations.to_script(latex).alias("script"))
+
+
+@query(r"""SELECT p_partkey, 'rm ' || l || ' it (A CAP ' || b || '^{C})= LEFT ( {' || p_size || '} over {' || p_partkey || '} RIGHT )^{' || p_size || '}' AS script, l || '(x+' || p_size || ')^{c}' AS plain
+FROM (SELECT p_partkey, p_size, substr('PEV', 1 + (p_partkey % 3)::INT, 1) AS l, chr(65 + (p_size % 26)::INT) AS b FROM part)""")
+def equation_events(spark, d):
+    """Probability, mean and variance upright, complements in capitals, brackets as tall as what they hold; other letters as they are."""
+    letter, event = F.expr("substr('PEV', 1 + p_partkey % 3, 1)"), F.char(65 + F.col("p_size") % 26)
+    latex = F.concat(letter, F.lit(r"(A \cap "), event, F.lit(r"^c)=(\frac{"), "p_size", F.lit("}{"), "p_partkey", F.lit("})^{"), "p_size", F.lit("}"))
+    plain = F.concat(letter, F.lit("(x+"), "p_size", F.lit(")^c"))
+    return table(spark, d, "part").select("p_partkey", equations.to_script(latex).alias("script"), equations.to_script(plain).alias("plain"))
+
+
 @query("SELECT doc_id, quality = toxic AS same FROM labels")
 def same_answers(spark, d):
     a = F.concat(F.lit(r"$x^{"), F.col("quality").cast("string"), F.lit(r"}(b)(a) \ge 5$"))
