@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -87,7 +88,10 @@ def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], total: int, how:
         return rows.join(facts, on, how)
     keys = sized(keys)
     heavy = rows.join(keys, on, "left_semi").join(sized(facts.join(keys, on, "left_semi")), on, how)
-    return heavy.unionByName(rows.join(keys, on, "left_anti").join(facts, on, how))
+    # Rows with a null in the key meet nothing: they need not move.
+    known = reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in on])
+    out = heavy.unionByName(rows.filter(known).join(keys, on, "left_anti").join(facts, on, how))
+    return out.unionByName(rows.filter(~known), allowMissingColumns=True) if how == "left" else out
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -13,20 +13,20 @@ of p windows one has at most every p-th of the item's edits. With as many window
 
 Every run of a window's words in a document is a window too, cut off at the document's end. Before the walk, those are
 left out that have fewer word pairs of items than a match must have. Windows of items and documents that collide are
-candidates; those go around whose place fewer of the item's words stand than a match must have, and the others are
-verified by the exact edit distance of the whole item. Neither filter loses a match.
+candidates, each (document, item, place) once; those go that hold fewer of the item's words than a window of a match
+must, then those around whose place fewer of them stand than a match must have, and the others are verified by the exact
+edit distance of the whole item. No filter loses a match.
 
 Null and blank texts hold nothing, and neither does any text an item without words. Items of fewer than five words
-allow no edit. Copies of an item match alike. Items come to the driver block by block, a stated query set; documents are
-scanned once for each block, there is no shuffle.
+allow no edit, so an item of one word is held by every text with that word. Copies of an item match alike. Items come to
+the driver block by block, a stated query set; documents are scanned once for each block, there is no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache, reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ TARGET, BITS, MOST = 0.99, 3, 50
 SIZES = [*range(1, 13), 14, 16, 19]
 #: Edited windows and walks from which the chance of a collision is measured.
 TRIALS, WALKS = 600, 120
-#: Items in one index; more take more scans.
-ITEMS = 20_000
+#: Items in one index, and hashes in it (24 bytes each), but for a single item with more; more take more scans.
+ITEMS, HASHES = 20_000, 4_000_000
 #: Punctuation that is cut from the ends of words.
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„‚…–—¿¡"
 def bare(words: pa.Array) -> pa.Array:
@@ -199,6 +199,17 @@ def pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 1_000_003 + b) & ((1 << 22) - 1)
 
 
+def aligned(words: np.ndarray, p: np.ndarray, last: np.ndarray, item: np.ndarray, members: np.ndarray, width: int, size: int, edits: int, at_once: int = 100_000) -> np.ndarray:
+    """Which windows that begin at p may be the item's: with their edits they hold all words of an item's window but `edits`. members: item * width + word, sorted."""
+    out = np.zeros(len(p), bool)
+    for lo in range(0, len(p), at_once):
+        at = p[lo : lo + at_once, None] + np.arange(size + edits)
+        key = item[lo : lo + at_once, None] * width + words[np.minimum(at, len(words) - 1)]
+        held = members[np.minimum(np.searchsorted(members, key), len(members) - 1)] == key
+        out[lo : lo + at_once] = (held & (at < last[lo : lo + at_once, None])).sum(axis=1) >= size - edits
+    return out
+
+
 def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int]]:
     """(document, item, place): where windows of documents collide with windows of items, and enough of the item's words are near. Places are of the item's first word."""
     found: set[tuple[int, int, int]] = set()
@@ -212,6 +223,8 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
     sums = np.concatenate([[0], np.cumsum(both, dtype=np.int32)])
     first, last = (np.searchsorted(owner, np.arange(owner[-1] + 1), side=side) for side in ("left", "right"))
     sizes = np.fromiter(map(len, index.items), np.int64, len(index.items))
+    longest = int(sizes.max(initial=0))
+    span, seen = len(words) + longest, np.zeros(0, np.int64)
     for (size, edits), (walks, tables) in index.tables.items():
         ends = np.minimum(np.arange(len(words)) + size, last[owner])
         need = size - 1 - 2 * edits
@@ -224,10 +237,17 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
                 n = (hi - lo)[hit]
                 k = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 p = np.repeat(block[hit], n)
-                doc, item, place = owner[p], who[k], p - offset[k]
-                n, most = sizes[item], sizes[item] // ONE_IN
-                some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, most)
-                found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
+                some = aligned(words, p, last[owner[p]], who[k], index.members, len(index.words) + 1, size, edits)
+                k, p = k[some], p[some]
+                # One number for (document, item, place): walks and windows of one match give the same few.
+                key = (owner[p] * len(sizes) + who[k]) * span + p - offset[k] + longest
+                fresh = np.setdiff1d(key, seen)
+                if len(fresh):
+                    seen = np.union1d(seen, fresh)
+                    doc, item, place = fresh // span // len(sizes), fresh // span % len(sizes), fresh % span - longest
+                    n, most = sizes[item], sizes[item] // ONE_IN
+                    some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, most)
+                    found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
     return found
 
 
@@ -258,15 +278,29 @@ def matches(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int
     return [(doc, index.ids[k], start, end, d) for (doc, k), (d, start, end) in best.items()]
 
 
+def blocks(rows: Iterable[tuple[int, str | None]], items: int = ITEMS, hashes: int = HASHES) -> Iterator[list[tuple[int, str | None]]]:
+    """The rows in blocks of a bounded number of items and of hashes that their windows make; a block at least."""
+    block, held = [], 0
+    for row in rows:
+        n = len((row[1] or "").split())
+        _, _, repeats, offsets = windows_of(n) if n else (0, 0, 0, [])
+        if block and (len(block) == items or held + repeats * len(offsets) > hashes):
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += repeats * len(offsets)
+    yield block
+
+
 def indexes(benchmark: DataFrame, items: int = ITEMS) -> Iterator[tuple[Broadcast, bool]]:
     """A broadcast index of each block of items, and whether it is the last. One block at a time is held; the one before is let go."""
-    rows = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator())
-    block = list(islice(rows, items))
+    cut = blocks(((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()), items)
+    block = next(cut)
     while True:
-        after = list(islice(rows, items))
+        after = next(cut, None)
         index = benchmark.sparkSession.sparkContext.broadcast(build(block))
-        yield index, not after
-        if not after:
+        yield index, after is None
+        if after is None:
             return
         index.unpersist()
         block = after

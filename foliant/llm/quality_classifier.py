@@ -113,33 +113,46 @@ def strength(groups: DataFrame, share: float) -> float:
     return float(min(10_000.0, max(2.0, chance / between - 1))) if between > 0 else 10_000.0
 
 
-def posteriors(labelled: DataFrame) -> tuple[float, DataFrame, DataFrame]:
-    """The share of all, hosts (host, host_share) and paths (host, path, path_share) of labelled rows (host, path, good)."""
+def site_counts(labelled: DataFrame) -> tuple[float, float, float, DataFrame, DataFrame]:
+    """Of labelled rows (host, path, good) the share of all, how many labelled documents the priors of hosts and of paths count as, and the counts of hosts (host, host_n, host_good) and of paths (host, path, path_n, path_good)."""
     paths = written(labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "paths")
     total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     share = ((total["good"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
-    hosts = paths.filter("host is not null").groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    k = strength(hosts, share)
-    hosts = hosts.select("host", ((F.col("good") + k * share) / (F.col("n") + k)).alias("host_share"))
-    k = strength(paths.filter("host is not null"), share)
-    hosts = written(hosts, "hosts")
-    under = paths.filter("host is not null").join(hosts, "host").select("host", "path", ((F.col("good") + k * F.col("host_share")) / (F.col("n") + k)).alias("path_share"))
-    return share, hosts, written(under, "under")
+    paths = paths.filter("host is not null")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
+    named = lambda d, by, name: d.select(*by, F.col("n").alias(f"{name}_n"), F.col("good").alias(f"{name}_good"))
+    return share, strength(hosts, share), strength(paths, share), named(hosts, ["host"], "host"), named(paths, ["host", "path"], "path")
+
+
+def shrunk(name: str, strength: float, toward: Column, own: Column) -> Column:
+    """A site's share of good documents, shrunk toward another; of a labelled document (own not null) without its own label."""
+    n, good = (F.coalesce(F.col(f"{name}_{x}"), F.lit(0)) for x in ("n", "good"))
+    mine = F.when(own.isNotNull() & F.col(f"{name}_n").isNotNull(), 1).otherwise(0)
+    return (good - F.coalesce(own * mine, F.lit(0)) + strength * toward) / (n - mine + strength)
+
+
+def posteriors(labelled: DataFrame) -> tuple[float, DataFrame, DataFrame]:
+    """The share of all, hosts (host, host_share) and paths (host, path, path_share) of labelled rows (host, path, good)."""
+    share, host_strength, path_strength, hosts, paths = site_counts(labelled)
+    none = F.lit(None).cast("int")
+    host = shrunk("host", host_strength, F.lit(float(share)), none)
+    return share, hosts.select("host", host.alias("host_share")), paths.join(hosts, "host").select("host", "path", shrunk("path", path_strength, host, none).alias("path_share"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame, least: float = LEAST, counted: bool = True) -> DataFrame:
-    """Sites count all labels; unless `counted`, as for a measurement, those of the held-out fifth stay out. Evidence never learns from that fifth. doc_id, host, path, evidence, prior, score, kept of every row of docs (doc_id, text, source). labels: doc_id, quality (1: good). sites: doc_id (each once), host, path; a document without a site has its source for host."""
+    """Sites count all labels but a document's own; unless `counted`, as for a measurement, those of the held-out fifth stay out. Evidence never learns from that fifth. doc_id, host, path, evidence, prior, score, kept of every row of docs (doc_id, text, source). labels: doc_id, quality (1: good). sites: doc_id (each once), host, path; a document without a site has its source for host."""
     read = written(measured(docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string")), "doc_id", "source"), "measured")
-    each = written(read.join(sites, "doc_id", "left").select("doc_id", F.coalesce("host", "source").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "x"), "sited")
+    total = read.count()
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(counted) | ~held_out())).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
-    labelled = written(each.join(known, "doc_id"), "labelled")
+    sited = hot_join(hot_join(read, sites, ["doc_id"], total), known, ["doc_id"], total)
+    each = written(sited.select("doc_id", F.coalesce("host", "source").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "x", "good"), "sited")
+    labelled = each.filter("good is not null")
     fit_to = labelled.filter(~held_out()).select("doc_id", "x", "good")
     rows = drawn(fit_to, ROWS, fit_to.count(), "doc_id", "x").toPandas().sort_values("doc_id", kind="stable")
     y = rows["good"].to_numpy(float)
     model = fit(np.stack(rows["x"].to_numpy()), y) if len(rows) and 0 < y.mean() < 1 else None
-    share, hosts, paths = posteriors(labelled.select("host", "path", "good"))
-    prior = F.coalesce("path_share", "host_share", F.lit(float(share)))
-    total = each.count()
+    share, host_strength, path_strength, hosts, paths = site_counts(labelled.select("doc_id", "host", "path", "good").distinct())
+    prior = shrunk("path", path_strength, shrunk("host", host_strength, F.lit(float(share)), F.col("good")), F.col("good"))
     found = hot_join(each.withColumn("evidence", evidence(F.col("x"), model)), sized(hosts), ["host"], total)
     found = hot_join(found, sized(paths), ["host", "path"], total)
     odds = F.log(prior / (1 - prior)) + F.col("evidence")

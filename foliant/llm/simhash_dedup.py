@@ -261,18 +261,20 @@ def links(fps: DataFrame, most: int = MOST, sample: int = SAMPLE, block: int = B
     return linked(dealt.repartition("part", "key", "block").sortWithinPartitions("part", "key", "block"), most)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node of an edge: the smallest node it reaches. Alternating large-star and small-star rounds until nothing changes; each is written, and the one before deleted."""
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
+    """node, root for each node of an edge: the smallest node it reaches. Alternating large-star and small-star rounds until nothing changes; each is written, and the one before deleted. The hub of a star may have most of the edges."""
     kept, mark = rounds(edges.sparkSession, "edges"), None
     now = kept(edges.select("src", "dst").filter("src <> dst").distinct())
+    total = 2 * now.count()
     while True:
         both = now.union(now.select("dst", "src"))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(low, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+        large = hot_join(both, low, ["src"], total, "inner", hot).filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src").select(F.explode(F.array(F.struct("dst", "m"), F.struct(F.col("src").alias("dst"), F.col("m")))).alias("e")).select(F.col("e.dst").alias("src"), F.col("e.m").alias("dst")).filter("src <> dst").distinct()
+        small = hot_join(large, low, ["src"], total, "inner", hot).select(F.explode(F.array(F.struct("dst", "m"), F.struct(F.col("src").alias("dst"), F.col("m")))).alias("e")).select(F.col("e.dst").alias("src"), F.col("e.m").alias("dst")).filter("src <> dst").distinct()
         now = kept(small)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(30,0)"))).first()
+        total = 2 * mark[0]
         if mark == was:
             break
     roots = now.groupBy("src").agg(F.min("dst").alias("root")).withColumnRenamed("src", "node")
@@ -283,23 +285,26 @@ def near_duplicates(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, b
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     each = written(fingerprints(docs, shingle), "fingerprints")
     fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps.select("fp"), most, block=block))
+    roots = components(links(fps.select("fp"), most, block=block), hot)
     known = written(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
+    named = hot_join(known, least, ["root"], known.count(), "inner", hot).select("fp", "component_id")
     # A fingerprint of very many rows, such as that of blank texts, would be one task's share of a shuffle.
     return hot_join(each, named, ["fp"], each.count(), "inner", hot).select("doc_id", "fp", "component_id")
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A number of a row's content; nulls count, which the hash alone passes over."""
+    """A key of a row's content, of two hashes of 64 bits, so that rows that differ have different keys among any number there can be. Nulls count, which a hash alone passes over; a map is the array of its entries, in order."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return F.xxhash64(*names, *[c.isNull() for c in names])
+    plain = [F.array_sort(F.map_entries(c)) if kind.startswith("map<") else c for c, (_, kind) in zip(names, docs.dtypes, strict=True)]
+    parts = [*plain, *[c.isNull() for c in names]]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *reversed(parts)).alias("b"))
 
 
 def keep_one(docs: DataFrame, most: int = MOST, shingle: int = SHINGLE, unnamed: bool = False) -> DataFrame:
     """One row of docs, all columns, for each component: of the smallest doc_id, then of the least row key. Rows without a doc_id come last in a component; they stay only if `unnamed`."""
-    each = written(fingerprints(docs, shingle, row_key(docs).alias("row")), "fingerprints")
+    key = row_key(docs)
+    each = written(fingerprints(docs, shingle, key["a"].alias("row_a"), key["b"].alias("row_b")).select("doc_id", "fp", F.struct(F.col("row_a").alias("a"), F.col("row_b").alias("b")).alias("row")), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     fps = written(each.groupBy("fp").agg(F.min(first).alias("best")), "distinct-fingerprints")
     roots = components(links(fps.select("fp"), most))

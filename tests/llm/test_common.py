@@ -25,3 +25,10 @@ def test_templates_of_hot_hosts_are_the_same(spark):
     assert sorted(map(str, url_filter.purity(shapes, hot=5).collect())) == sorted(map(str, url_filter.purity(shapes).collect()))
     for level in (1, 2, 3):
         assert sorted(map(str, url_filter.generalised(shapes, level, hot=5).collect())) == sorted(map(str, url_filter.generalised(shapes, level).collect()))
+
+
+def test_hot_nulls_stay_and_meet_nothing(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(300)] + [(1, i) for i in range(20)], "k int, i int")
+    facts = spark.createDataFrame([(1, "a"), (None, "b")], "k int, f string")
+    got = common.hot_join(rows, facts, ["k"], 320, hot=10)
+    assert got.groupBy("f").count().collect() and {r["f"]: r["count"] for r in got.groupBy("f").count().collect()} == {None: 300, "a": 20}

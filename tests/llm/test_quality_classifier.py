@@ -65,3 +65,31 @@ def test_odd_rows(spark, odd, none):
     assert got.filter("score is null or score < 0 or score > 1").count() == 0
     assert q.classify(none, labels, sites).count() == 0
     assert q.classify(odd, labels.limit(0), sites.limit(0)).filter("evidence <> 0").count() == 0
+
+
+def test_own_label_counts_not(spark):
+    """A labelled document is judged as if it were not; a document of another name with the same text and site is not."""
+    rows = [(i, "same text", f"h{i % 4}", int(i % 3 > 0)) for i in range(80)]
+    docs = spark.createDataFrame([(*r[:2], "s") for r in rows] + [(1000 + h, "same text", "s") for h in range(4)], "doc_id long, text string, source string")
+    sites = spark.createDataFrame([(r[0], r[2], f"p{r[0] % 8}") for r in rows] + [(1000 + h, f"h{h}", "other") for h in range(4)], "doc_id long, host string, path string")
+    labels = [(r[0], r[3]) for r in rows]
+    got = {r["doc_id"]: r["prior"] for r in q.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), sites).collect()}
+    share, kh, kp, _, _ = q.site_counts(spark.createDataFrame([(r[2], f"p{r[0] % 8}", r[3]) for r in rows], "host string, path string, good int"))
+    for i, _, h, good in rows:
+        host = [r[3] for r in rows if r[2] == h and r[0] != i]
+        path = [r[3] for r in rows if r[2] == h and r[0] % 8 == i % 8 and r[0] != i]
+        assert got[i] == pytest.approx((sum(path) + kp * (sum(host) + kh * share) / (len(host) + kh)) / (len(path) + kp)), i
+    for h in range(4):
+        host = [r[3] for r in rows if r[2] == f"h{h}"]
+        assert got[1000 + h] == pytest.approx((sum(host) + kh * share) / (len(host) + kh))
+
+
+def test_sites_separate_held_out_documents(spark):
+    """Texts tell nothing; two hosts of five are bad: with sites held-out documents are told apart, with all labels but their own."""
+    rng = random.Random(2)
+    rows = [(i, "the same words", f"h{i % 5}", int(rng.random() < (0.15 if i % 5 < 2 else 0.9))) for i in range(600)]
+    docs, labels, _ = frames(spark, rows)
+    sites = spark.createDataFrame([(r[0], r[2], "p") for r in rows], "doc_id long, host string, path string")
+    for counted in (True, False):
+        got = q.classify(docs, labels, sites, least=0.5, counted=counted).join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
+        assert np.mean([r["kept"] == (r["quality"] == 1) for r in got]) > 0.8

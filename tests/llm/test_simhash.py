@@ -129,3 +129,18 @@ def test_hot_fingerprints_and_leftover_tables(spark, odd, tmp_path):
 def test_keep_one_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e", 1, 2), (2, "a b c d e", 1, 2)], "doc_id long, text string, `a.b` int, row int")
     assert [tuple(r) for r in s.keep_one(df).collect()] == [(1, "a b c d e", 1, 2)]
+
+
+def test_hubs_of_stars(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(30)], "src long, dst long")
+    want = {(i, 0) for i in range(200)} | {(i, 300) for i in range(300, 331)}
+    assert {(r["node"], r["root"]) for r in s.components(edges, hot=10).collect()} == want
+
+
+def test_keep_one_with_maps_and_repeats(spark):
+    rows = [(1, "a b c d e", {"x": 1, "y": 2}), (1, "a b c d e", {"y": 2, "x": 1}), (2, "a b c d e", None), (3, "other words are here now", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    got = s.keep_one(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+    keys = df.select(s.row_key(df).alias("k")).distinct()
+    assert keys.count() == 3 and len(keys.first()["k"]) == 2
