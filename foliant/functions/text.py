@@ -20,6 +20,8 @@ RISKS = {
 }
 #: Commands and the signs they stand for, longer ones before those they begin with.
 SIGNS = {r"\div": "÷", r"\times": "×", r"\cdot": "·", r"\pm": "±", r"\leq": "≤", r"\le": "≤", r"\geq": "≥", r"\ge": "≥", r"\neq": "≠"}
+#: White space of any script, for a class of characters in the patterns of Spark and of SQL alike.
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SEVERITY = {"low": 0, "medium": 1, "high": 2}
 
 
@@ -43,13 +45,13 @@ def missing(x: Column) -> Column:
 
 
 def stripped(x: Column) -> Column:
-    """Without white space at the ends, line breaks included."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Without white space at the ends, of any script and line breaks included."""
+    return F.regexp_replace(x, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def norm_dedup(x: Column, longest: int = 120) -> Column:
     """For comparing stems: no white space or maths signs, lower case, the first characters."""
-    return F.substring(F.lower(F.regexp_replace(text_of(x), r"[\s$\\{}^_~,.]+", "")), 1, longest)
+    return F.substring(F.lower(F.regexp_replace(text_of(x), rf"[{SPACE}$\\{{}}^_~,.]+", "")), 1, longest)
 
 
 def norm_strict(x: Column) -> Column:
@@ -62,7 +64,7 @@ def norm_loose(x: Column) -> Column:
 
 
 def norm_space(x: Column) -> Column:
-    return F.regexp_replace(text_of(x), r"\s+", "")
+    return F.regexp_replace(text_of(x), f"[{SPACE}]+", "")
 
 
 def norm_latex(x: Column) -> Column:
@@ -74,7 +76,7 @@ def norm_symbols(x: Column) -> Column:
     """For comparing sources that write one sign as a command or as itself: signs for commands, then no white space, braces and script marks."""
     for command, sign in SIGNS.items():
         x = F.replace(x, F.lit(command), F.lit(sign))
-    return F.regexp_replace(text_of(x), r"[\s{}$\\_^]", "")
+    return F.regexp_replace(text_of(x), rf"[{SPACE}{{}}$\\_^]", "")
 
 
 def hangul_key(x: Column) -> Column:

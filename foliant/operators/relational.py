@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import text_of
+
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
     """rows where each given column has the value wanted; None, 0 and '' mean any."""
@@ -61,17 +63,33 @@ def tiered_match(rows: DataFrame, candidates: DataFrame, key: str, tiers: list[t
     return met.filter(best.isNotNull()).select(key, *[best[c].alias(c) for c in pick], tier.alias("tier"))
 
 
+def grams(x: Column, *sizes: int) -> Column:
+    """The different runs of so many characters of a text."""
+    of = lambda n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
+
+
+def held(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """part, whole: which texts (part) stand in which (whole), both distinct and not empty. Each part meets wholes by one of its pairs of characters only (a part of one character by that), the one that fewest wholes have."""
+    at = wholes.select("whole", F.explode(grams(F.col("whole"), 1, 2)).alias("gram"))
+    often = at.groupBy("gram").agg(F.count("*").alias("n"))
+    own = parts.select("part", F.explode(F.when(F.length("part") > 1, grams(F.col("part"), 2)).otherwise(F.array("part"))).alias("gram"))
+    rare = own.join(often, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("part", F.col("r.gram").alias("gram"))
+    return rare.join(at, "gram").filter(F.contains("whole", F.col("part"))).select("part", "whole")
+
+
 def found_in_order(rows: DataFrame, vocabulary: DataFrame, key: str, name: str) -> DataFrame:
-    """key, entry, tier of each row: an entry of the same name (0), else of the same name without white space and case (1), else the first that holds the name or that it holds (2). The vocabulary is a list of at most some thousand entries."""
-    bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
-    exact = vocabulary.select(F.col("entry").alias("e0"), F.col("entry").alias(name))
-    alike = vocabulary.groupBy(bare(F.col("entry")).alias("__bare")).agg(F.min("entry").alias("e1"))
-    entries = sorted(r["entry"] for r in vocabulary.select("entry").distinct().limit(10_000).collect())
-    listed = F.from_json(F.lit(json.dumps(entries)), "array<string>")
-    met = rows.withColumn("__bare", bare(F.col(name))).join(exact, name, "left").join(alike, "__bare", "left")
-    near = F.get(F.filter(listed, lambda e: (F.col("__bare") != "") & (F.contains(bare(e), F.col("__bare")) | F.contains(F.col("__bare"), bare(e)))), F.lit(0))
-    found = met.withColumn("e2", F.when(F.col("e0").isNull() & F.col("e1").isNull(), near))
-    return found.select(key, F.coalesce("e0", "e1", "e2").alias("entry"), F.when(F.col("e0").isNotNull(), 0).when(F.col("e1").isNotNull(), 1).when(F.col("e2").isNotNull(), 2).alias("tier"))
+    """key, entry, tier of each row: an entry of the same name (0), else of the same name without white space and case (1), else the first that holds the name or that it holds (2). Names and entries of any number: each different name is looked up once, by equality and then by the characters that it shares with entries. Blank names and entries hold nothing."""
+    b, e0, e1, e2 = (f"__{c}_{uuid.uuid4().hex}" for c in ("bare", "exact", "alike", "near"))
+    bare = lambda c: F.lower(F.regexp_replace(text_of(F.col(c)), r"\s+", ""))
+    exact = vocabulary.select(F.col("entry").alias(e0), F.col("entry").alias(name)).distinct()
+    alike = vocabulary.groupBy(bare("entry").alias(b)).agg(F.min("entry").alias(e1)).filter(f"{b} <> ''")
+    left = rows.select(name, bare(name).alias(b)).distinct().join(exact, name, "left_anti").select(b).filter(f"{b} <> ''").distinct().join(alike, b, "left_anti")
+    inside = held(left.select(F.col(b).alias("part")), alike.select(F.col(b).alias("whole"))).select(F.col("part").alias(b), F.col("whole").alias("e"))
+    around = held(alike.select(F.col(b).alias("part")), left.select(F.col(b).alias("whole"))).select(F.col("whole").alias(b), F.col("part").alias("e"))
+    near = inside.union(around).join(alike.select(F.col(b).alias("e"), F.col(e1).alias(e2)), "e").groupBy(b).agg(F.min(e2).alias(e2))
+    met = rows.withColumn(b, bare(name)).join(exact, name, "left").join(alike, b, "left").join(near, b, "left")
+    return met.select(key, F.coalesce(e0, e1, e2).alias("entry"), F.when(F.col(e0).isNotNull(), 0).when(F.col(e1).isNotNull(), 1).when(F.col(e2).isNotNull(), 2).alias("tier"))
 
 
 def zipped(a: DataFrame, b: DataFrame, group: str, order: str, name: str) -> DataFrame:

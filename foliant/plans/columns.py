@@ -40,11 +40,11 @@ def not_listed(spark, d):
     return r.filter(F.col("lang").isNotNull() & ~F.col("lang").isin("en", "fr") & F.col("duplicate_of").isNull()).select("doc_id")
 
 
-@query("SELECT doc_id, length(trim(text[:300])) + CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 0 END > 200 AS digital FROM documents WHERE regexp_matches(text[:300], '^\\S') AND regexp_matches(text[:300], '\\S$')")
+@query(rf"""WITH p AS (SELECT doc_id, unnest([text[:300], CASE WHEN doc_id % 2 = 0 THEN lang || repeat(chr(160), 60) || source END, text[301:400]]) AS page FROM documents)
+SELECT doc_id, coalesce(sum(length(regexp_replace(page, '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g'))), 0) > 200 AS digital FROM p GROUP BY 1""")
 def born_digital(spark, d):
-    head = F.substring("text", 1, 300)
-    r = table(spark, d, "documents").filter(F.regexp_like(head, F.lit(r"^\S")) & F.regexp_like(head, F.lit(r"\S$")))
-    return r.select("doc_id", exams.born_digital(F.array(head, F.when(i() % 2 == 0, F.lit("x" * 100)).otherwise(" "), F.lit(""), F.lit("beyond" * 99))).alias("digital"))
+    pages = F.array(F.substring("text", 1, 300), F.when(i() % 2 == 0, F.concat("lang", F.repeat(F.lit("\u00a0"), 60), "source")), F.substring("text", 301, 100), F.substring("text", 401, 10_000))
+    return docs(spark, d, digital=exams.born_digital(pages))
 
 
 @query("SELECT doc_id, doc_id % 6 = 0 AS prose FROM documents")
@@ -125,9 +125,9 @@ def vocabulary_lookup(spark, d):
     return relational.found_in_order(q, table(spark, d, "part").select(b.alias("entry")).distinct(), "p_partkey", "name")
 
 
-@query("SELECT doc_id, 'ab' || doc_id AS latex, regexp_replace(text, '\\s+', '', 'g') AS space FROM documents")
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '\\(?:qquad|quad|thinspace|,|;|:|!| )', '', 'g') || lang, '[{tx.SPACE}]+', '', 'g') AS latex, regexp_replace(text, '[{tx.SPACE}]+', '', 'g') AS space FROM documents""")
 def norm_others(spark, d):
-    return docs(spark, d, latex=tx.norm_latex(F.concat(F.lit(r"a \quad b\, "), i().cast("string"))), space=tx.norm_space(F.regexp_replace("text", r"\x{A0}", "")))
+    return docs(spark, d, latex=tx.norm_latex(F.concat("text", F.lit(r"\quad \, "), "lang")), space=tx.norm_space(F.col("text")))
 
 
 @query("SELECT doc_id, 2000 + doc_id % 100 AS year, doc_id % 100 < 24 + doc_id % 3 + 1 AS old FROM documents")
@@ -242,9 +242,9 @@ def answer_list_cut(spark, d):
     return ordered.list_cut(q, "conv_id", "turn", "number", "last")
 
 
-@query("""SELECT conv_id, sha1(string_agg(substring(lower(regexp_replace(text, '[\\s$\\\\{}^_~,.]+', '', 'g')), 1, 120), '|' ORDER BY turn)) AS fingerprint, count(*) AS n FROM conversations GROUP BY 1""")
+@query(rf"""SELECT conv_id, sha1(string_agg(substring(lower(regexp_replace(text, '[{tx.SPACE}$\\{{}}^_~,.]+', '', 'g')), 1, 120), '|' ORDER BY turn)) AS fingerprint, count(*) AS n FROM conversations GROUP BY 1""")
 def text_fingerprints(spark, d):
-    return dedup.fingerprint(table(spark, d, "conversations").filter(~F.col("text").rlike(r"[\x{A0}\x{85}\x{3000}]")), "conv_id", "turn", "text")
+    return dedup.fingerprint(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (quality = toxic) AS agree, round(count(*) FILTER (quality = toxic) / count(*), 6) AS share FROM labels WHERE doc_id % 5 > 0 AND doc_id % 7 > 0")

@@ -19,7 +19,7 @@ def norm_loose(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.norm_loose(F.col("text")).alias("t"))
 
 
-@query(r"SELECT doc_id, substring(lower(regexp_replace(text, '[\s$\\{}^_~,.]+', '', 'g')), 1, 120) AS t FROM documents")
+@query(rf"SELECT doc_id, substring(lower(regexp_replace(text, '[{tx.SPACE}$\\{{}}^_~,.]+', '', 'g')), 1, 120) AS t FROM documents")
 def norm_dedup(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.norm_dedup(F.col("text")).alias("t"))
 

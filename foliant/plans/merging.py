@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions.text import SPACE
 from foliant.operators import dedup, merge
 from foliant.plans.registry import query, table
 from foliant.sources import sinks
@@ -110,11 +111,11 @@ def worksheets(spark, d):
     return got.select("conv_id", "count", F.array_join(F.transform("questions", lambda q: F.concat(q["role"], F.lit(":"), F.length(q["text"]).cast("string"))), ",").alias("shown"))
 
 
-STEMS = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, lower(regexp_replace(line, '[\s$\\{}^_~,.]+', '', 'g')) AS s FROM lines),
+STEMS = r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, lower(regexp_replace(line, '[WHITE$\\{}^_~,.]+', '', 'g')) AS s FROM lines),
 stems AS (SELECT doc_id, substring(s, 1, 120) AS stem FROM w WHERE length(s) >= 20), sets AS (SELECT doc_id, count(*) AS total, count(DISTINCT stem) AS dist, list_sort(list_distinct(list(stem))) AS x FROM stems GROUP BY 1), n AS (SELECT doc_id, total, dist, min(doc_id) OVER (PARTITION BY total, x) AS rep FROM sets),
 one AS (SELECT DISTINCT doc_id, stem FROM stems JOIN n USING (doc_id) WHERE doc_id = rep),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM one a JOIN one b ON a.stem = b.stem AND a.doc_id < b.doc_id GROUP BY 1, 2),
-pairs AS (SELECT x, y, c / greatest(p.dist, q.dist) AS similarity, p.total AS tx, q.total AS ty FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE abs(p.total - q.total) <= 3 AND c / greatest(p.dist, q.dist) >= 0.85)"""
+pairs AS (SELECT x, y, c / greatest(p.dist, q.dist) AS similarity, p.total AS tx, q.total AS ty FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE abs(p.total - q.total) <= 3 AND c / greatest(p.dist, q.dist) >= 0.85)""".replace("WHITE", SPACE)
 
 
 def line_classes(spark, d):

@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 from difflib import SequenceMatcher
 
@@ -197,3 +198,24 @@ def test_hot_groups_in_ranges(spark):
     right = df.filter("i % 3 = 0").select("g", "i", F.col("i").alias("w"))
     assert same(ordered.last_before(df, right, "g", "i", "w", most=20), ordered.last_before(df, right, "g", "i", "w"))
     assert ordered.carried(df.limit(0), "g", "i", "v", "x", most=20).count() == 0
+
+
+def test_vocabulary_of_any_size_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcABé ") for _ in range(rng.randint(0, 5)))
+    entries = sorted({word() for _ in range(400)} | {"only", "a b", "Ab"})
+    names = [word() for _ in range(500)] + [None, "", " ", "xonlyx", "ONLY"] + ["abc"] * 200
+    bare = lambda x: re.sub(r"\s+", "", x or "").lower()
+    want = []
+    for i, n in enumerate(names):
+        if n in entries:
+            want.append((i, n, 0))
+        elif bare(n) and (same := [e for e in entries if bare(e) == bare(n)]):
+            want.append((i, same[0], 1))
+        elif bare(n) and (near := [e for e in entries if bare(e) and (bare(e) in bare(n) or bare(n) in bare(e))]):
+            want.append((i, near[0], 2))
+        else:
+            want.append((i, None, None))
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = relational.found_in_order(rows, spark.createDataFrame([(e,) for e in entries] + [("only",)], "entry string"), "i", "name")
+    assert sorted(map(tuple, got.collect())) == want
