@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions import fragments, splitting
+from foliant.functions import fragments, glyphs, splitting
+from foliant.functions.text import SPACE
+from foliant.operators import passages
 from foliant.plans.registry import query, table
 from foliant.sources.readers import BLOCK
 
@@ -94,3 +96,41 @@ def commas_parted(spark, d):
     """Parts between commas outside inner brackets, as many as the object has keys; joined by commas they are the text."""
     parts = splitting.comma_parts(F.expr("substring(props, 2, length(props) - 2)"))
     return table(spark, d, "events").select("event_id", parts.alias("p"), "props").select("event_id", F.size("p").cast("long").alias("parts"), F.concat(F.lit("{"), F.array_join("p", ","), F.lit("}")).alias("joined"))
+
+
+@query(r"""SELECT o_orderkey, '\frac{' || o_custkey || '}{n+\frac{' || o_orderkey || '}{' || o_custkey % 89 || '}}xyz^{' || o_orderkey % 97 || '}' AS latex FROM orders""")
+def glyph_equations(spark, d):
+    """Equations read back from glyph rows: a fraction in a fraction and an exponent, laid out from each order's numbers."""
+    a, b, c, k = (x.cast("string") for x in (F.col("o_custkey"), F.col("o_orderkey"), F.col("o_custkey") % 89, F.col("o_orderkey") % 97))
+    wide = lambda *xs: 10.0 * F.greatest(*[F.length(x) if isinstance(x, Column) else F.lit(x) for x in xs]) + 10.0
+    inner = wide(b, c)
+    outer = F.greatest(10.0 * F.length(a), 20.0 + inner) + 10.0
+
+    def glyph(sign: Column, x: Column, y: float, size: float, width: Column | float) -> Column:
+        return F.struct(sign.alias("c"), x.alias("x0"), (x + width).alias("x1"), F.lit(y - size / 2).alias("y0"), F.lit(y + size / 2).alias("y1"), F.lit(size).alias("size"))
+
+    row = lambda text, x, y, size=10.0: F.transform(F.split(text, ""), lambda s, i: glyph(s, (x + size * i).cast("double"), y, size, size * 0.9))
+    bar = lambda x, width, y: F.array(glyph(F.lit(glyphs.BAR), x.cast("double"), y, 10.0, width))
+    laid = F.concat(
+        row(a, F.lit(5.0), -10.5), bar(F.lit(2.0), outer - 4.0, 0.0), row(F.lit("n+"), F.lit(5.0), 21.0), row(b, F.lit(30.0), 10.5), bar(F.lit(27.0), inner - 4.0, 21.0), row(c, F.lit(30.0), 31.5),
+        row(F.lit("xyz"), outer, 0.0), row(k, outer + 30.0, -4.0, 7.0),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode(laid).alias("place", "g")).select("o_orderkey", "place", "g.*")
+    return glyphs.equations(rows, "o_orderkey", "place")
+
+
+HANGUL = "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(translate(lower(regexp_replace(text, '[{SPACE}]+', ' ', 'g')), 'abcdefghijklmnopqrstuvwxyz', '{HANGUL}'), '^ | $', '', 'g') AS t FROM conversations),
+k AS (SELECT *, lower(regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')) AS key FROM t), h AS (SELECT conv_id, string_agg(key, '' ORDER BY turn) AS hay FROM k WHERE turn % 3 <> 1 GROUP BY 1),
+p AS (SELECT k.*, list_bool_or(list_transform(range(0, greatest(length(key) - 12, 0) + 1, 6), lambda i: contains(hay, key[i + 1:i + 12]))) AS there FROM k JOIN h USING (conv_id)),
+o AS (SELECT conv_id, turn, CASE WHEN turn % 3 <> 1 THEN turn ELSE coalesce(after, -1) END AS place, CASE WHEN turn % 3 <> 1 THEN t ELSE '<상자> ' || t END AS t
+ FROM (SELECT *, max(CASE WHEN turn % 3 <> 1 AND length(key) >= 8 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM p) WHERE turn % 3 <> 1 OR (NOT there AND length(key) >= 20 AND length(regexp_replace(t, '[^가-힣]', '', 'g')) >= 0.55 * length(regexp_replace(t, '\s+', '', 'g'))))
+SELECT conv_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY place, turn % 3 = 1, turn)) AS texts FROM o GROUP BY 1""")
+def passages_restored(spark, d):
+    """Of each conversation every third turn is lost and put back from the whole, after the last turn before it that is long enough to be found; letters are read as Hangul."""
+    said = F.regexp_replace(F.translate(F.lower(F.regexp_replace("text", f"[{SPACE}]+", " ")), "abcdefghijklmnopqrstuvwxyz", HANGUL), r"\A | \z", "")
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("t")))).alias("x"))
+    both = turns.select("conv_id", F.transform(F.filter("x", lambda r: r["turn"] % 3 != 1), lambda r: r["t"]).alias("kept"), F.array_join(F.transform("x", lambda r: r["t"]), "\n\n").alias("said"))
+    return passages.restored(both, "kept", "said", "whole").select("conv_id", F.size("whole").cast("long").alias("n"), F.md5(F.array_join("whole", "|")).alias("texts"))
