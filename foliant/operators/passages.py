@@ -35,40 +35,50 @@ def windows(x: str) -> list[str]:
     return [x[k : k + WINDOW] for k in range(0, max(len(x) - WINDOW, 0) + 1, STRIDE)] if x else []
 
 
-def anchors(keys: list[str], blocks: list[str]) -> list[list[int]]:
-    """For each key the blocks in which one of its windows ends, in order."""
+def anchors(keys: list[str], blocks: list[str]) -> list[dict[int, int]]:
+    """For each key the blocks in which its windows end, and how many of them."""
     hay, ends, out = "".join(blocks), [], []
     for b in blocks:
         ends.append((ends[-1] if ends else 0) + len(b))
     for k in keys:
-        found = set()
+        found: dict[int, int] = {}
         for w in windows(k) if len(k) >= LEAST else []:
-            at = hay.find(w)
+            at, here = hay.find(w), set()
             while at >= 0:
-                found.add(bisect_right(ends, at + len(w) - 1))
+                here.add(bisect_right(ends, at + len(w) - 1))
                 at = hay.find(w, at + 1)
-        out.append(sorted(found))
+            for block in here:
+                found[block] = found.get(block, 0) + 1
+        out.append(found)
     return out
 
 
-def chain(found: list[list[int]]) -> list[int | None]:
-    """For each list the one of its numbers, or none, that is part of the longest chain that never falls, one number from a list at most; of equal chains the one with the least numbers."""
-    tails: list[int] = []  # the least number that a chain of each length ends with
-    steps: list[tuple[int, int, int]] = []  # list, number, step before
-    at: list[int] = []
-    for i, numbers in enumerate(found):
-        for x in reversed(numbers):
-            length = bisect_right(tails, x)
-            if length < len(tails) and tails[length] <= x:
-                continue
-            steps.append((i, x, at[length - 1] if length else -1))
-            tails[length : length + 1] = [x]
-            at[length : length + 1] = [len(steps) - 1]
+def chain(found: list[dict[int, int]]) -> list[int | None]:
+    """For each key the block, or none, that is part of the heaviest chain of blocks that never falls, one of a key at most. A tree over the blocks has the heaviest chain up to each, so n anchors take n log n steps."""
+    size = 1 + max((b for f in found for b in f), default=0)
+    tree: list[tuple[int, int]] = [(0, -1)] * (size + 1)  # weight, last step
+    steps: list[tuple[int, int, int]] = []  # key, block, step before
+
+    def heaviest(block: int) -> tuple[int, int]:
+        best, i = (0, -1), block + 1
+        while i:
+            best = max(best, tree[i], key=lambda x: x[0])
+            i -= i & -i
+        return best
+
+    for k, f in enumerate(found):
+        new = [(b, n, heaviest(b)) for b, n in sorted(f.items())]
+        for b, n, (weight, before) in new:
+            steps.append((k, b, before))
+            i = b + 1
+            while i <= size:
+                tree[i] = max(tree[i], (weight + n, len(steps) - 1), key=lambda x: x[0])
+                i += i & -i
     out: list[int | None] = [None] * len(found)
-    step = at[-1] if at else -1
+    step = heaviest(size - 1)[1]
     while step >= 0:
-        i, x, step = steps[step]
-        out[i] = x
+        k, b, step = steps[step]
+        out[k] = b
     return out
 
 

@@ -153,26 +153,32 @@ def work_queue(spark, d):
     return incremental.unprocessed(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
+EVENTS = "user_id long, event_id long, value double"
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def published_changes(spark, d):
-    """Events published once by a stream, and not again when the same comes a second time."""
-    root = new_folder(spark, "published")
-    table(spark, d, "events").select("user_id", "event_id", "value").coalesce(1).write.parquet(f"{root}/in")
-    for run in (1, 2):
-        stream = spark.readStream.schema("user_id long, event_id long, value double").parquet(f"{root}/in")
-        send = lambda batch: batch.write.mode("append").parquet(f"{root}/out")
-        incremental.publish_changes(stream, "user_id", "event_id", ["value"], f"{root}/state", send, f"{root}/checkpoint-{run}").awaitTermination()
-    return spark.read.schema("user_id long, event_id long, value double").parquet(f"{root}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Events that come in many batches, with a restart between: each user's are published once, and not again when asked again."""
+    root, parts = new_folder(spark, "published"), 4
+    rows = table(spark, d, "events").select("user_id", "event_id", "value")
+    for part in range(2):
+        rows.filter(F.col("event_id") % 2 == part).repartition(parts).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", parts // 2).parquet(f"{root}/in")
+        incremental.watched(stream, "user_id", "event_id", ["value"], f"{root}/state", f"{root}/checkpoint")
+    for _ in range(2):
+        incremental.published(spark.read.schema(EVENTS).parquet(f"{root}/in"), "user_id", f"{root}/state", lambda sent: sent.write.mode("append").parquet(f"{root}/out"))
+    return spark.read.schema(EVENTS).parquet(f"{root}/out").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) // 100 * 100 AS passed, count(*) AS total FROM events")
 def stream_checkpoints(spark, d):
-    """A count over a stream's batches that is noted whenever it passes a hundred."""
-    root = new_folder(spark, "counted")
-    table(spark, d, "events").select("event_id").coalesce(1).write.parquet(f"{root}/in")
-    seen: list[int] = []
-    stream = spark.readStream.schema("event_id long").parquet(f"{root}/in")
-    incremental.counted_batches(stream, lambda _, n: seen.append(n), f"{root}/checkpoint", 100).awaitTermination()
+    """A count over a stream's batches, with a restart between, that is noted whenever it passes a hundred."""
+    root, seen = new_folder(spark, "counted"), []
+    rows = table(spark, d, "events").select("event_id")
+    for part in range(2):
+        rows.filter(F.col("event_id") % 2 == part).repartition(4).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("event_id long").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        incremental.counted_batches(stream, lambda _, n: seen.append(n), f"{root}/checkpoint", 100).awaitTermination()
     schema = T.StructType([T.StructField("passed", T.LongType()), T.StructField("total", T.LongType())])
     return spark.createDataFrame([(seen[-1] // 100 * 100, seen[-1])] if seen else [], schema)
 

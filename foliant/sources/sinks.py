@@ -111,6 +111,20 @@ def write_text(spark: SparkSession, path: str, body: str | bytes) -> None:
         out.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
+def folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the complete tables name=number under a path, in order."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes what this library wrote and nothing reads any more."""
     sc = spark.sparkContext

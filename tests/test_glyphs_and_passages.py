@@ -87,24 +87,24 @@ def test_glyph_columns(spark):
     assert {r["i"]: r["e"] for r in df.select("i", g.equation(F.col("g")).alias("e")).collect()} == {1: "x^{2}yz", 2: "", 3: ""}
 
 
-def best_chain(found):
-    """All choices: the longest that never falls, then the least numbers read from the end."""
-    best = []
+def heaviest(found):
+    """The weight of the heaviest of all choices that never fall."""
+    best = 0
     for pick in product(*[[None, *x] for x in found]):
         got = [x for x in pick if x is not None]
         if got == sorted(got):
-            best.append(pick)
-    return max(sum(x is not None for x in c) for c in best)
+            best = max(best, sum(f[x] for f, x in zip(found, pick, strict=True) if x is not None))
+    return best
 
 
 def test_chains_against_all_choices():
     rng = random.Random(4)
-    for _ in range(300):
-        found = [sorted(rng.sample(range(5), rng.randint(0, 3))) for _ in range(rng.randint(0, 6))]
+    for _ in range(400):
+        found = [{x: rng.randint(1, 4) for x in rng.sample(range(5), rng.randint(0, 3))} for _ in range(rng.randint(0, 6))]
         got = p.chain(found)
         chosen = [x for x in got if x is not None]
         assert chosen == sorted(chosen) and all(x is None or x in f for x, f in zip(got, found, strict=True))
-        assert len(chosen) == best_chain(found)
+        assert sum(f[x] for f, x in zip(found, got, strict=True) if x is not None) == heaviest(found)
 
 
 WORD = "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"

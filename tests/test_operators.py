@@ -219,3 +219,46 @@ def test_vocabulary_of_any_size_against_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     got = relational.found_in_order(rows, spark.createDataFrame([(e,) for e in entries] + [("only",)], "entry string"), "i", "name")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_counts_go_on_after_a_restart(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    for k, n in enumerate([7, 5, 9, 1, 8]):
+        spark.range(n).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+        incremental.counted_batches(stream, lambda b, total: seen.append((b, total)), str(tmp_path / "checkpoint"), 10).awaitTermination()
+        assert seen == [(1, 12), (2, 21), (4, 30)][: [0, 1, 2, 2, 3][k]]
+
+
+def test_keys_in_many_batches_are_published_once(spark, tmp_path):
+    source, state, sent, checkpoint = (str(tmp_path / x) for x in ("in", "state", "sent", "checkpoint"))
+    schema = "k string, o int, v string, key int"
+    steps = [
+        ([[("a", 1, "x", 1), ("b", 1, "x", 1)], [("a", 2, "y", 1)], [(None, 1, "n", 1)]], {"a": 2, "b": 1, None: 1}),
+        ([[("a", 2, "y", 1)]], {}),  # the same again
+        ([[("b", 1, "z", 1)], [("b", 1, "x", 1)]], {}),  # there and back
+        ([[("a", 1, "w", 1)], [("c", 1, None, 1)]], {"a": 4, "c": 1}),
+        ([[("c", 1, "", 1)]], {"c": 2}),  # null is not empty
+    ]
+    for files, want in steps:
+        for rows in files:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.watched(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "k", "o", ["v"], state, checkpoint)
+        incremental.published(spark.read.schema(schema).parquet(source), "k", state, lambda d: d.write.mode("overwrite").parquet(sent))
+        incremental.published(spark.read.schema(schema).parquet(source), "k", state, lambda d: pytest.fail("sent again"))
+        got = {r["k"]: r["n"] for r in spark.read.schema(schema).parquet(sent).groupBy("k").agg(F.count("*").alias("n")).collect()}
+        assert got == want
+
+
+def test_signatures_do_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.randrange(5), i % 40, str(i % 40)) for i in range(200)]
+    found = []
+    for name, cut in (("one", [rows]), ("many", [rows[i::7] for i in range(7)])):
+        for part in cut:
+            spark.createDataFrame(part, "k int, o int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        stream = spark.readStream.schema("k int, o int, v string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / name / "in"))
+        incremental.watched(stream, "k", "o", ["v"], str(tmp_path / name / "state"), str(tmp_path / name / "checkpoint"))
+        noted = spark.read.parquet(str(tmp_path / name / "state" / "changed"))
+        found.append({r["key"]: r["s"] for r in noted.groupBy("key").agg(F.max_by("signature", "batch").alias("s")).collect()})
+    assert found[0] == found[1] and len(found[0]) == 5
