@@ -264,9 +264,11 @@ def commands(s: str) -> list[Span]:
 
 
 def parted(s: str) -> list[Span]:
-    """A text by dollar signs, then underlines, then commands and signs."""
-    by_line = [x for a in inline(s) for x in (underlined(a.raw) if a.type == "text" else [a])]
-    return joined([x for a in by_line for x in (commands(a.raw) if a.type == "text" else [a])])
+    """A text by underlines, then dollar signs, then commands and signs."""
+    out = underlined(s)
+    for by in (inline, commands):
+        out = [x for a in out for x in (by(a.raw) if a.type == "text" else [a])]
+    return joined(out)
 
 
 SPLITTERS = {"inline": inline, "underline": underlined, "mixed": mixed, "commands": commands, "all": parted}
