@@ -126,9 +126,11 @@ def canonical(x: Column) -> Column:
 
     def forms(t: Column) -> Column:
         e = equivalents(t)
-        return F.array(bare_notation(t), bare_notation(core(t)), bare_notation(F.get(e, F.lit(0))), bare_notation(F.get(e, F.lit(1))))
+        return F.array(t, core(t), F.get(e, F.lit(0)), F.get(e, F.lit(1)))
 
-    return with_sorted_factors(F.concat(forms(x), F.flatten(F.transform(parts(x), forms))))
+    # One expression for the notation of all forms, as it is long.
+    raw = F.flatten(F.transform(F.concat(F.array(x), parts(x)), forms))
+    return with_sorted_factors(F.transform(raw, bare_notation))
 
 
 def agree(a: Column, b: Column) -> Column:

@@ -18,10 +18,14 @@ RISKS = {
     "UNIT": (r"(\d+\s*(?:cm|mm|km|kg|mg|mL|kL|°C|℃)\b)", "low"),
     "NUMBER": (r"(\d{3,})", "low"),
 }
+#: What a risk's pattern can begin with, for a class of characters.
+RISK_BEGINS = r"홀짝신오±\d<>≤≥≦≧\\^"
 #: Commands and the signs they stand for, longer ones before those they begin with.
 SIGNS = {r"\div": "÷", r"\times": "×", r"\cdot": "·", r"\pm": "±", r"\leq": "≤", r"\le": "≤", r"\geq": "≥", r"\ge": "≥", r"\neq": "≠"}
 #: White space of any script, for a class of characters in the patterns of Spark and of SQL alike.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same, each by itself.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SEVERITY = {"low": 0, "medium": 1, "high": 2}
 
 
@@ -51,7 +55,7 @@ def stripped(x: Column) -> Column:
 
 def norm_dedup(x: Column, longest: int = 120) -> Column:
     """For comparing stems: no white space or maths signs, lower case, the first characters."""
-    return F.substring(F.lower(F.regexp_replace(text_of(x), rf"[{SPACE}$\\{{}}^_~,.]+", "")), 1, longest)
+    return F.substring(F.lower(F.translate(text_of(x), WHITE + "$\\{}^_~,.", "")), 1, longest)
 
 
 def norm_strict(x: Column) -> Column:
@@ -64,7 +68,7 @@ def norm_loose(x: Column) -> Column:
 
 
 def norm_space(x: Column) -> Column:
-    return F.regexp_replace(text_of(x), f"[{SPACE}]+", "")
+    return F.translate(text_of(x), WHITE, "")
 
 
 def norm_latex(x: Column) -> Column:
@@ -76,7 +80,7 @@ def norm_symbols(x: Column) -> Column:
     """For comparing sources that write one sign as a command or as itself: signs for commands, then no white space, braces and script marks."""
     for command, sign in SIGNS.items():
         x = F.replace(x, F.lit(command), F.lit(sign))
-    return F.regexp_replace(text_of(x), rf"[{SPACE}{{}}$\\_^]", "")
+    return F.translate(text_of(x), WHITE + "{}$\\_^", "")
 
 
 def hangul_key(x: Column) -> Column:
@@ -184,14 +188,20 @@ def windows(x: Column, size: int = 12, stride: int = 6) -> Column:
     return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(F.length(x) <= size, F.array(x)).otherwise(cut)
 
 
+def around_risks(x: Column) -> Column:
+    """A text without what stands between four letters and the next sign that a risk begins with: no risk reaches past four letters, so all of them stay, in order."""
+    return F.regexp_replace(text_of(x), rf"(?<=[A-Za-z\x{{C0}}-\x{{24F}}]{{4}})[^{RISK_BEGINS}]+", " ")
+
+
 def risk_tokens(x: Column, least: str = "medium") -> Column:
     """Array of (category, token, severity): each token once for its category, categories as listed. An unknown threshold counts as medium."""
-    floor, out = SEVERITY.get(least, 1), []
-    for name, (pattern, severity) in RISKS.items():
-        if SEVERITY[severity] >= floor:
-            found = F.array_distinct(F.regexp_extract_all(text_of(x), F.lit(pattern), F.lit(1)))
-            out.append(_labelled(found, name, severity))
-    return F.concat(*out)
+    floor = SEVERITY.get(least, 1)
+
+    def found(s: Column) -> Column:
+        of = lambda pattern: F.array_distinct(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)))
+        return F.concat(*[_labelled(of(pattern), name, severity) for name, (pattern, severity) in RISKS.items() if SEVERITY[severity] >= floor])
+
+    return let(around_risks(x), found)
 
 
 def _labelled(found: Column, name: str, severity: str) -> Column:

@@ -15,10 +15,11 @@ def stems(rows: DataFrame, key: str, text: str, shortest: int = 20) -> DataFrame
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """key, rep, total, stems of each key with stems, from (key, stem): keys with the same stems, equally many in all, are copies, and their least key stands for them. stems: the distinct ones, in order."""
-    one = found.groupBy("key", "stem").agg(F.count("*").alias("times"))
+    """key, rep, total, stems of each key with stems, from (key, stem): keys with the same stems, equally many in all, are copies, and their least key stands for them. stems: the numbers (64-bit hashes) of the distinct ones, in order."""
+    one = found.select("key", F.xxhash64("stem").alias("stem")).groupBy("key", "stem").agg(F.count("*").alias("times"))
     sets = one.groupBy("key").agg(F.sum("times").alias("total"), F.array_sort(F.collect_list("stem")).alias("stems"))
-    marked_ = sets.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.col("total").cast("string"), "stems"), 256))
+    digest = F.struct(F.xxhash64("total", "stems").alias("a"), F.xxhash64(F.lit("second"), "stems", "total").alias("b"))
+    marked_ = durable(sets.withColumn("digest", digest))
     reps = marked_.groupBy("digest").agg(F.min("key").alias("rep"))
     return marked_.join(reps, "digest").select("key", "rep", "total", "stems")
 
@@ -28,21 +29,28 @@ def similar_pairs(known: DataFrame, threshold: float = 0.85, apart: int = 3) ->
 
     Classes whose numbers of stems, repeats included, differ by more than `apart` are no pair. A pair that reaches the
     threshold shares a stem among the first of each in one global order, rarest first: of n distinct stems the first
-    n - ceil(threshold * n) + 1. Only those are joined, so stems that everything shares hardly ever meet, and
-    the similarity of the candidates is then exact. Copies do not meet at all: each is a member of its class.
+    n - ceil(threshold * n) + 1. Only those are joined, so stems that everything shares hardly ever meet; and where two
+    share such a stem, what is left of both after it must still do, or they are no candidates there. The similarity of
+    the candidates is then exact. Copies do not meet at all: each is a member of its class.
     """
     sets = durable(known.filter("key = rep").select("key", "total", "stems"))
     one = sets.select("key", F.explode("stems").alias("stem"))
     often = one.groupBy("stem").agg(F.count("*").alias("keys"))
-    ranked = one.join(often, "stem").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("keys", "stem"))).alias("order"))
-    n = F.size("order")
-    prefix = ranked.select("key", n.alias("n"), F.explode(F.slice("order", F.lit(1), (n - F.ceil(F.lit(threshold) * n) + 1).cast("int"))).alias("s")).select("key", "n", "s.stem")
+    n, need = F.size("stems"), lambda x: F.ceil(F.lit(threshold) * x).cast("int")
+    # Stems of one key alone find nothing: they only move the others' places.
+    shared = one.join(often.filter("keys > 1"), "stem").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("keys", "stem"))).alias("order"))
+    met = sets.join(shared, "key").withColumn("alone", n - F.size("order"))
+    length = F.greatest(F.lit(0), n - need(n) + 1 - F.col("alone"))
+    prefix = met.select("key", "total", n.alias("n"), "alone", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "s")).select("key", "total", "n", (F.col("alone") + F.col("at")).alias("at"), "s.stem")
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    pairs = a.join(b, (F.col("a.stem") == F.col("b.stem")) & (F.col("a.key") < F.col("b.key")) & near).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+    most = F.greatest("a.n", "b.n")
+    near = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold) & (F.abs(F.col("a.total") - F.col("b.total")) <= apart)
+    # Of what comes before a shared stem at places i and j no more than the lesser is shared; after it no more than the shorter rest.
+    hope = F.least(F.col("a.at"), F.col("b.at")) + 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1 >= need(most)
+    pairs = a.join(b, (F.col("a.stem") == F.col("b.stem")) & (F.col("a.key") < F.col("b.key")) & near & hope).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
     left = sets.select(F.col("key").alias("x"), F.col("total").alias("tx"), F.col("stems").alias("sx"))
     right = sets.select(F.col("key").alias("y"), F.col("total").alias("ty"), F.col("stems").alias("sy"))
-    close = pairs.join(left, "x").join(right, "y").filter(F.abs(F.col("tx") - F.col("ty")) <= apart)
+    close = pairs.join(left, "x").join(right, "y")
     return close.select("x", "y", (F.size(F.array_intersect("sx", "sy")) / F.greatest(F.size("sx"), F.size("sy"))).alias("similarity"), "tx", "ty").filter(F.col("similarity") >= threshold)
 
 
