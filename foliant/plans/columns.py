@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions import answers, exams, jsonfix, names
+from foliant.functions import exams, names
 from foliant.functions import text as tx
 from foliant.operators import dedup, merge, ordered, relational
 from foliant.operators import evaluation as ev
@@ -28,11 +28,6 @@ def i() -> Column:
 # Filters and predicates
 
 
-@query("SELECT doc_id, doc_id % 4 < 2 AS single FROM documents")
-def single_choices(spark, d):
-    return docs(spark, d, single=tx.single_choice(picked(i(), "③", " ① \n", "①②", "3")))
-
-
 @query("SELECT doc_id FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'fr') AND doc_id % 7 <> 0")
 def not_listed(spark, d):
     """A null is in no list and out of none; duplicates are left out."""
@@ -47,24 +42,6 @@ def born_digital(spark, d):
     return docs(spark, d, digital=exams.born_digital(pages))
 
 
-@query("SELECT doc_id, doc_id % 6 = 0 AS prose FROM documents")
-def recoverable_prose(spark, d):
-    return docs(spark, d, prose=exams.recoverable_prose(picked(i(), "긴 한글 지문이 여기 있다 abc", "a | b 한글", "(가) 조건 한글", "① 한글 보기", "x + y = 한", "[조건] 한글 문장")))
-
-
-@query("SELECT doc_id, 100.0::DOUBLE - CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 0 END - CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END - CASE WHEN doc_id % 5 = 0 THEN 25 ELSE 0 END AS score, doc_id % 2 = 0 AND doc_id % 3 = 0 AS both FROM documents")
-def page_quality(spark, d):
-    q = exams.page_quality(F.when(i() % 2 == 0, 499).otherwise(500), F.lit(500), F.when(i() % 3 == 0, 99.9).otherwise(100.0), F.lit(1.0), F.when(i() % 5 == 0, 29.0).otherwise(30.0))
-    return docs(spark, d, score=q["score"], both=F.array_contains(q["reasons"], "small") & F.array_contains(q["reasons"], "blurred"))
-
-
-@query("SELECT doc_id, doc_id % 6 IN (0, 1) AS fragment FROM documents")
-def answer_fragments(spark, d):
-    n, earlier = picked(i(), F.lit(1), F.lit(None), F.lit(2), F.lit(1), F.lit(1), F.lit(1)).cast("int"), F.array(F.lit(1))
-    k = i() % 6
-    return docs(spark, d, fragment=ordered.answer_fragment(k == 3, F.when(k == 4, 2.0), n, F.when(k == 5, "[서술형 1] 풀이").otherwise("12"), F.lit(None), earlier))
-
-
 @query("""SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN role = 'user' THEN turn % 3 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), ','), '') AS earlier FROM conversations""")
 def earlier_numbers(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("number"), "role")
@@ -75,36 +52,6 @@ def earlier_numbers(spark, d):
 # Names and text
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '가람고' WHEN 1 THEN '나래여고' WHEN 2 THEN '다솜중' END AS school FROM documents")
-def schools_found(spark, d):
-    return docs(spark, d, school=names.find_school(picked(i(), "2024년 1학기 중간고사 가람고", "[나래여고] 기말 대비", "다솜중 2학기", "중간고사")))
-
-
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '나래여고' WHEN 1 THEN '가람고' ELSE '다솜중' END AS school, doc_id % 3 <> 1 AS same FROM documents")
-def schools_same(spark, d):
-    a = picked(i(), "나래 여자고등학교", "가람고등학교", "대구다솜중학교")
-    return docs(spark, d, school=F.regexp_replace(names.norm_school(a), "^대구", ""), same=names.same_school(a, picked(i(), "나래여고", "마루고", "다솜중")))
-
-
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '고1' WHEN 1 THEN '중2' WHEN 2 THEN '고3' ELSE '' END AS grade, CASE doc_id % 4 WHEN 0 THEN '고' WHEN 1 THEN '중' WHEN 2 THEN '중' ELSE '고' END AS level FROM documents")
-def grades(spark, d):
-    return docs(spark, d, grade=names.grade_of(picked(i(), "/a/[중앙고][1] x.pdf", "[고성중][ 2 ]", "문제 고 3.hwp", "무제")), level=names.school_level(picked(i(), "중앙고", "고성중", "가람중", "나래여고")))
-
-
-@query("""SELECT doc_id, doc_id % 4 <> 3 AS valid, CASE doc_id % 4 WHEN 0 THEN '고2' WHEN 1 THEN '고1' WHEN 2 THEN '중3' ELSE '' END AS grade, CASE doc_id % 4 WHEN 3 THEN '' ELSE (2020 + doc_id % 9)::VARCHAR END AS year,
-CASE doc_id % 4 WHEN 0 THEN '대수' ELSE '' END AS form_subject, CASE doc_id % 4 WHEN 0 THEN '수1' ELSE '' END AS form_subtag, CASE doc_id % 4 WHEN 0 THEN '수학1' WHEN 1 THEN '공수1' WHEN 2 THEN '수학' ELSE '' END AS subject FROM documents""")
-def form_fields(spark, d):
-    y = (F.lit(20) + i() % 9).cast("string")
-    f = names.filled(picked(i(), F.concat(F.lit("/x/[가람고][2][수학1]["), y, F.lit("-1-중간][저자].pdf")), F.concat(F.lit("[나래여고][1][공수1][20"), y, F.lit(".2.기말].hwp")), F.concat(F.lit("[다솜중][3]["), y, F.lit("-1-기말].hwp")), F.lit("[가람고][수학1].hwp")))
-    return docs(spark, d, valid=f["valid"], grade=f["grade"], year=f["year"], form_subject=f["form_subject"], form_subtag=f["form_subtag"], subject=f["subject"])
-
-
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '중2' WHEN 1 THEN '고2' ELSE '' END AS grade, CASE doc_id % 4 WHEN 1 THEN '대수' WHEN 2 THEN '기하' ELSE '' END AS subject, CASE doc_id % 4 WHEN 0 THEN '중2 (파랑)' WHEN 1 THEN '고2 수1' WHEN 2 THEN '기하' ELSE '[25년 폼지(1.2)] (아무거나)' END AS display, 25 + CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END AS year FROM documents""")
-def form_names(spark, d):
-    f = names.form(picked(i(), "/f/[26년 폼지 최종(10.05)] (중2용) (개정) (파랑).hwp", "[26년 폼지(1.2)] (고2 수1용).hwp", "[25년 폼지(1.2)] (기하).hwp", "[25년 폼지(1.2)] (아무거나).hwp"))
-    return docs(spark, d, grade=f["grade"], subject=f["subject"], display=f["display"], year=f["generation"]["year"])
-
-
 @query("""WITH f AS (SELECT s_suppkey, '고' || (1 + s_suppkey % 3) AS grade, 20 + s_suppkey % 7 AS gen, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '기하' END AS subject FROM supplier),
 q AS (SELECT c_custkey, '고' || (1 + c_custkey % 3) AS grade, CASE WHEN c_custkey % 2 = 0 THEN '기하' ELSE '대수' END AS subject FROM customer)
 SELECT c_custkey, s_suppkey, tier FROM (SELECT q.c_custkey, f.s_suppkey, CASE WHEN f.subject = q.subject AND f.grade = q.grade THEN 0 WHEN f.subject = q.subject THEN 1 WHEN f.grade = q.grade AND f.subject = '' THEN 2 WHEN f.grade = q.grade THEN 3 END AS tier, gen FROM q, f)
@@ -130,79 +77,9 @@ def norm_others(spark, d):
     return docs(spark, d, latex=tx.norm_latex(F.concat("text", F.lit(r"\quad \, "), "lang")), space=tx.norm_space(F.col("text")))
 
 
-@query("SELECT doc_id, 2000 + doc_id % 100 AS year, doc_id % 100 < 24 + doc_id % 3 + 1 AS old FROM documents")
-def years(spark, d):
-    y = (i() % 100).cast("string")
-    return docs(spark, d, year=tx.full_year(i() % 100), old=exams.old_curriculum(F.concat(F.lit("고"), (1 + i() % 3).cast("string")), F.lpad(y, 2, "0")))
-
-
-@query(r"SELECT doc_id, lang || chr(9) || 'x' AS clean, '\frac' || lang AS single, 4 + length(lang) AS width FROM documents")
-def scrubs(spark, d):
-    return docs(spark, d, clean=tx.scrubbed(F.concat("lang", F.lit("\x00\t\x1fx\x0b"))), single=tx.single_backslashes(F.concat(F.lit("\\\\\\frac"), "lang")), width=exams.display_width(F.concat(F.lit("가나"), "lang")))
-
-
-@query(r"SELECT doc_id, lang || CASE WHEN doc_id % 2 = 0 THEN '{a}\}' ELSE '\{b' END AS t FROM documents")
-def braces_escaped(spark, d):
-    return docs(spark, d, t=jsonfix.braces_escaped(F.concat("lang", F.when(i() % 2 == 0, "{a}}").otherwise("{b"))))
-
-
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '④' WHEN 1 THEN '②' WHEN 2 THEN '[보기 오류] $9$' WHEN 3 THEN '[문제 오류] 아주 긴 설명이 여기에…' WHEN 4 THEN '$x$' ELSE '12' END AS t FROM documents")
-def answers_normalised(spark, d):
-    raw = picked(i(), "17. 정답: 4", "[서술형 1] ②번", "[보기 오류] 9", "[문제 오류] 아주 긴 설명이 여기에 있다고 합니다 정말로", r"\( x \)", "12")
-    return docs(spark, d, t=exams.answer_text(raw, i() % 6 < 4))
-
-
-@query("SELECT doc_id, 'a $' || lang || '$ b' AS maths, lang || chr(10) || 'next' AS solution, CASE WHEN doc_id % 2 = 0 THEN '상' ELSE '' END AS difficulty, 'topic ' || lang AS topic FROM documents")
-def solutions_normalised(spark, d):
-    return docs(spark, d, maths=exams.maths_inline(F.concat(F.lit(r"a \( "), "lang", F.lit(r" \) b"))), solution=exams.solution_text(F.concat(F.lit("```\n "), "lang", F.lit(" \n\n next\n```"))), difficulty=exams.difficulty(F.when(i() % 2 == 0, " 상 ").otherwise("어려움")), topic=exams.topic(F.concat(F.lit("[ topic \n "), "lang", F.lit(" ]"))))
-
-
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'no answers' WHEN 1 THEN 'two spellings' WHEN 2 THEN 'score twice' ELSE 'lone letter' END AS found FROM documents")
-def markup_lint(spark, d):
-    return docs(spark, d, found=F.array_join(exams.markup_findings(picked(i(), "<t>본문 (정답)</t>", "[서답형 1] [서술형 2] 정답", "x [4점] [4점] 정답", "<hp:t>ㄱ</hp:t> 정답")), ","))
-
-
-@query("SELECT doc_id, '[[a, ' || lang || '], [1, ' || doc_id || ']]' AS rows, '| a | b |' AS back FROM documents")
-def markdown_tables(spark, d):
-    rows = tx.markdown_rows(F.concat(F.lit("| a | "), "lang", F.lit(" |\n|---|:-:|\n| 1 | "), i().cast("string"), F.lit(" |")))
-    shown = F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("["), F.array_join(r, ", "), F.lit("]"))), ", "), F.lit("]"))
-    return docs(spark, d, rows=shown, back=F.concat(F.lit("| "), tx.table_markdown(F.array(F.array(F.lit("a"), F.lit("b")))), F.lit(" |")))
-
-
-@query("SELECT doc_id, lang || '~#' AS stamped, lang AS plain, doc_id % 4 IN (0, 2, 3) AS graded, '가람고|24-1-중간' AS key, lang || '1/2' AS decoded FROM documents")
-def small_functions(spark, d):
-    graded = exams.graded(picked(i(), "③", "③", "12", r"\frac{1}{2}"), picked(i(), "답은 ③", "③ 또는 ④", "x=12", "$1 2$ 1 2"), i() % 4 < 2)
-    stamp = F.concat("lang", F.lit("~#"))
-    key = exams.term_key(F.concat(F.lit("[가람고][2][24-1-중간] "), "lang"))
-    return docs(spark, d, stamped=stamp, plain=F.when(i() >= 0, F.regexp_replace(stamp, "~#$", "")), graded=graded, key=key, decoded=tx.decoded(F.concat("lang", F.lit("")), {"": "1/2"}))
-
-
-@query("SELECT doc_id, 2 AS n, round(0.1 + (doc_id % 5) / 10.0, 6)::DOUBLE AS x0, 'problem' AS kind, CASE WHEN doc_id % 2 = 0 THEN doc_id || '' ELSE doc_id || '.5' END AS number FROM documents")
-def crop_boxes(spark, d):
-    x = (100 + 100 * (i() % 5)).cast("string")
-    new = F.concat(F.lit('so {"items": [{"cropBox": [0, '), x, F.lit(', 1200, 950]}, {"cropBox": [0, 0, 5, 5]}, {"cropBox": [10, 10, 500, 500], "class": "figure"}]}'))
-    boxes = exams.crop_boxes(new)
-    number = exams.number_text(F.when(i() % 2 == 0, i().cast("double")).otherwise(i() + 0.5))
-    return docs(spark, d, n=F.size(boxes), x0=F.round(F.get(boxes, F.lit(0))["x0"], 6), kind=F.get(boxes, F.lit(0))["kind"], number=number)
-
-
 # Answers
 
 
-@query(r"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '(1,2)' WHEN 1 THEN '6' WHEN 2 THEN 'x<3' ELSE 'x^2' END AS v, CASE doc_id % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'f(x)=6' WHEN 2 THEN 'x<3' ELSE '' END AS core, doc_id % 4 = 3 AS declared FROM documents")
-def answer_forms(spark, d):
-    a = picked(i(), "P(1,2)", "f(x)=6", "x<3", "$x^{2}$")
-    v = answers.final_value(answers.bare_notation(a))
-    e = answers.equivalents(picked(i(), "1", "2", "3", "4 (즉 5)"))
-    return docs(spark, d, v=v, core=F.when(i() % 4 == 3, answers.core(F.lit("(x)"))).otherwise(answers.core(a)), declared=F.size(e) == 2)
-
-
-@query("SELECT doc_id, doc_id % 3 <> 2 AS same FROM documents")
-def answer_parts(spark, d):
-    a = picked(i(), "(1) x=3 (2) (a)(b)", "(1) 2 (즉 3) (2) y", "(1) 2 (2) 3")
-    return docs(spark, d, same=answers.same_answer(a, picked(i(), "(1) 3 (2) (b)(a)", "(1) 3 (2) y", "(1) 2 (2) 4")))
-
-
 # Small groups and lists
 
 
@@ -335,12 +212,6 @@ def fill_summary(spark, d):
     return got.select("source", "filled", "failed", F.when(F.size("f") > 0, F.array_join("f", ",")).alias("failures"), "accuracy")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(['b', 'a', CASE WHEN lang <> 'b' THEN lang END], lambda x: x IS NOT NULL), ',') AS tags FROM documents")
-def tags_in_order(spark, d):
-    """Repeats go, the first of each stays where it was."""
-    return docs(spark, d, tags=F.array_join(F.array_distinct(F.array(F.lit("b"), F.lit("a"), F.lit("b"), F.col("lang"), F.lit("a"))), ","))
-
-
 @query("SELECT coalesce(category, 'UNCATEGORIZED') AS category, count(*) AS n, array_to_string(list(event_id ORDER BY event_id)[:8], ',') AS samples FROM (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS category FROM events) GROUP BY 1")
 def failure_samples(spark, d):
     e = table(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("category"), F.col("event_id").alias("sample_id"), F.lit("").alias("golden"), F.lit("").alias("candidate"))
@@ -370,18 +241,6 @@ def figure_anchors(spark, d):
     return ordered.last_above(figures, at, "conv_id").select("id", "glyph")
 
 
-@query("SELECT doc_id, round(greatest(0, 10 - doc_id % 12) / 10.0, 6)::DOUBLE AS share FROM documents")
-def box_overlaps(spark, d):
-    k = (i() % 12).cast("double")
-    box = [F.lit(x) for x in (0.0, 0.0, 10.0, 10.0)]
-    return docs(spark, d, share=F.round(ordered.overlap_share(box, [k, F.lit(0.0), k + 20, F.lit(10.0)]), 6))
-
-
-@query("""SELECT doc_id, '{"sub_questions":[{"label_type":"' || lang || '"}],"other":1}' AS t FROM documents""")
-def payload_keys(spark, d):
-    return docs(spark, d, t=tx.snake_keys(F.concat(F.lit('{"subQuestions":[{"labelType":"'), "lang", F.lit('"}],"other":1}')), ["sub_questions", "label_type", "other"]))
-
-
 @query("SELECT source, CASE WHEN count(*) FILTER (lang = 'en') > 0 AND source <> 'web' THEN 'done' ELSE 'pending' END AS status, CASE WHEN count(*) FILTER (lang = 'en') > 0 AND source <> 'web' THEN count(*) FILTER (lang = 'en') ELSE -1 END AS question_count FROM documents GROUP BY 1")
 def exams_done(spark, d):
     r = table(spark, d, "documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,32 +58,49 @@ def json_file_scan(spark, d):
     return good.agg(F.count("*").alias("readable")).withColumn("broken", F.lit(bad.count()))
 
 
-@query("SELECT 0 AS exam_id, 'a' AS note UNION ALL SELECT 17, 'b'")
+def written_files(spark, path, rows, name, body):
+    """A small file for each row of a table of a few rows, in the driver's order."""
+    for r in rows.select(name.alias("name"), body.alias("body")).toLocalIterator():
+        sinks.write_text(spark, f"{path}/{r['name']}", r["body"])
+
+
+@query("""SELECT n_nationkey::INT AS exam_id, n_name AS note FROM nation WHERE n_nationkey % 5 < 3""")
 def json_named_files(spark, d):
-    """A key missing in the body is the number that the file's name starts with; answer files are left out."""
-    path = new_folder(spark, "named")
-    for name, body in (("0.json", '{"exam_id": 0, "note": "a"}'), ("17.x.json", '{\n"note": "b"}'), ("5.answers.json", '{"note": "c"}')):
-        sinks.write_text(spark, f"{path}/{name}", body)
+    """A file for each nation. A key missing in the body is the number that the file's name starts with; answer files are left out, broken ones told apart."""
+    path, n = new_folder(spark, "named"), F.col("n_nationkey")
+    name = F.concat(n.cast("string"), F.when(n % 5 == 3, ".answers.json").when(n % 2 == 0, ".json").otherwise(".x.json"))
+    body = F.when(n % 5 == 4, "{").otherwise(F.to_json(F.struct(F.when(n % 3 > 0, n).alias("exam_id"), F.col("n_name").alias("note"))))
+    written_files(spark, path, table(spark, d, "nation"), name, body)
     return readers.split_corrupt(readers.json_files(spark, path, "exam_id int, note string, _corrupt_record string", without="*.answers.json"))[0].select("exam_id", "note")
 
 
-@query("SELECT 'p10_merged.json' AS file, 10 AS page UNION ALL SELECT 'p1_merged.json', 1 UNION ALL SELECT 'p2_merged.json', 2")
+@query("""SELECT 'p' || n_nationkey || '_merged.json' AS file, n_nationkey::INT AS page, n_name AS title FROM nation WHERE n_regionkey <> 2""")
 def page_file_order(spark, d):
-    path = new_folder(spark, "pages")
-    for n in (1, 2, 10):
-        sinks.write_text(spark, f"{path}/p{n}_merged.json", f'{{"page": {n}}}')
-    return readers.page_files(spark, path, "page int, _corrupt_record string").select("file", "page")
-
-
-@query("SELECT 'Contents/section0.xml' AS entry, '<a/>' AS xml UNION ALL SELECT 'Contents/section1.xml', '<b/>'")
+    """Pages named by number; a page without its number takes none from the name, whose number is not at the start, and other files are no pages."""
+    path, n = new_folder(spark, "pages"), F.col("n_nationkey")
+    name = F.concat(F.when(F.col("n_regionkey") == 2, "x").otherwise("p"), n.cast("string"), F.lit("_merged.json"))
+    written_files(spark, path, table(spark, d, "nation"), name, F.to_json(F.struct(n.alias("page"), F.col("n_name").alias("title"))))
+    return readers.page_files(spark, path, "page int, title string, _corrupt_record string").select("file", "page", "title")
+
+
+def zipped(batches):
+    """A zip file for each row (doc_id, text): the text in two sections and a file beside them; every seventh is broken."""
+    for pdf in batches:
+        files = []
+        for i, x in zip(pdf["doc_id"], pdf["text"], strict=True):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                for name, body in (("Contents/section10.xml", f"<b>{i}</b>"), ("Contents/section0.xml", f"<a>{x}</a>"), ("section.xml", "x"), ("other.txt", "x")):
+                    z.writestr(name, body)
+            files.append(buffer.getvalue()[: 20 if i % 7 == 0 else None])
+        yield pd.DataFrame({"path": pdf["doc_id"].astype(str), "content": files})
+
+
+@query("""SELECT doc_id, entry, md5(xml) AS xml FROM (SELECT doc_id, 'Contents/section0.xml' AS entry, '<a>' || text || '</a>' AS xml FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, 'Contents/section10.xml', '<b>' || doc_id || '</b>' FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 7 = 0)""")
 def zip_entries(spark, d):
-    path = new_folder(spark, "zip")
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for name, text in (("Contents/section1.xml", "<b/>"), ("Contents/section0.xml", "<a/>"), ("other.txt", "x")):
-            z.writestr(name, text)
-    sinks.write_text(spark, f"{path}/a.hwpx", buffer.getvalue())
-    return readers.zipped_xml(spark, path).select("entry", "xml")
+    """Sections of zip files, one of each document's text, that are made in tasks; broken files have no entry."""
+    files = table(spark, d, "documents").select("doc_id", "text").mapInPandas(zipped, "path string, content binary")
+    return readers.unzipped(files).select(F.col("path").cast("long").alias("doc_id"), "entry", F.md5("xml").alias("xml"))
 
 
 @query("SELECT source AS folder, arg_max(doc_id::VARCHAR, (n_chars, doc_id::VARCHAR)) AS path FROM documents GROUP BY 1")

@@ -47,8 +47,13 @@ def newest(found: DataFrame, group: str = "folder", by: str = "modified") -> Dat
     return found.groupBy(group).agg(F.max_by("path", F.struct(by, "path")).alias("path"))
 
 
-def zipped_xml(spark: SparkSession, path: str, entry: str = r"section\d+\.xml$") -> DataFrame:
+def zipped_xml(spark: SparkSession, path: str, entry: str = r"section\d+\.xml\Z") -> DataFrame:
     """path, entry, xml of the entries of zip files whose names match; entries in order of name."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"), entry)
+
+
+def unzipped(files: DataFrame, entry: str = r"section\d+\.xml\Z") -> DataFrame:
+    """path, entry, xml of the entries of zip files (path, content) whose names match; a broken file has one row without an entry."""
     import io
     import re
     import zipfile
@@ -66,7 +71,7 @@ def zipped_xml(spark: SparkSession, path: str, entry: str = r"section\d+\.xml$")
                     rows.append((p, None, None))
             yield pd.DataFrame(rows, columns=["path", "entry", "xml"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, entry string, xml string")
+    return files.select("path", "content").mapInPandas(run, "path string, entry string, xml string")
 
 
 def remapped(rows: DataFrame, path: str, existing: DataFrame, prefixes: dict[str, str]) -> DataFrame:
