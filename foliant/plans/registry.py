@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from foliant.plans import catalog, columns, content, evaluation, files, formulas, merging, pages, parsing, questions, wording  # noqa: F401
+    from foliant.plans import catalog, columns, content, evaluation, files, formulas, measured, merging, pages, parsing, questions, wording  # noqa: F401
 
     return dict(QUERIES)
 
