@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliant.llm import (
     bpe_codec, conversation_repair, decontaminate, fill_middle, language_id, license_scan, quality_classifier, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity, url_filter,
 )
-from foliant.llm.common import table
+from foliant.llm.common import hot_join, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def page_document() -> Column:
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     good = table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    known = pages.select("url", page_document().alias("doc_id")).filter("doc_id is not null").join(good, "doc_id").select("url", "good")
+    shown = pages.select("url", page_document().alias("doc_id")).filter("doc_id is not null")
+    known = hot_join(shown, good, ["doc_id"], shown.count(), "inner").select("url", "good")
     return url_filter.judge(pages, known)
 
 
@@ -84,20 +85,23 @@ def queries():
 
 
 def level_sql(k: int) -> str:
-    """One level of the tree over the shapes of the level before."""
+    """One level of the tree over the shapes of the level before, by the test of each child."""
+    few = f"n < {url_filter.URLS}"
     return f"""
 deep{k} AS (SELECT *, template[:{k - 1}] AS parent, template[{k}] AS child FROM shapes{k - 1} WHERE len(template) >= {k}),
 node{k} AS (SELECT host, parent, child, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM deep{k} GROUP BY ALL),
-family{k} AS (SELECT host, parent, count(*) AS children, sum(n) AS urls, sum(good) / greatest(sum(labelled), 1) AS p FROM node{k} GROUP BY ALL),
-merged{k} AS (SELECT host, parent, child, true AS merged FROM node{k} JOIN family{k} USING (host, parent) WHERE children > 1 AND ((children >= {url_filter.CHILDREN} AND urls < {url_filter.URLS} * children)
- OR pow(good - labelled * p, 2) <= {url_filter.APART} * {url_filter.APART} * labelled * (p * (1 - p) + 1e-9) + 1e-9)),
+family{k} AS (SELECT host, parent, count(*) AS children, sum(labelled) AS all_labelled, sum(good) / greatest(sum(labelled), 1) AS p, least(greatest(coalesce(sum(good) FILTER ({few}), 0) / greatest(coalesce(sum(labelled) FILTER ({few}), 0), 1), 1e-9), 1 - 1e-9) AS q FROM node{k} GROUP BY ALL),
+child{k} AS (SELECT *, children >= {url_filter.CHILDREN} AS many, good / greatest(labelled, 1) AS share, labelled - good AS bad FROM node{k} JOIN family{k} USING (host, parent) WHERE children > 1),
+merged{k} AS (SELECT host, parent, child, true AS merged FROM child{k} WHERE CASE WHEN many AND {few}
+ THEN exp(-(CASE WHEN good > 0 THEN good * ln(share / q) ELSE 0 END + CASE WHEN bad > 0 THEN bad * ln((1 - share) / (1 - q)) ELSE 0 END)) * children >= {url_filter.ERROR}
+ ELSE pow(good - labelled * p, 2) <= {url_filter.APART * url_filter.APART} * labelled * (p * (1 - p) + 1e-9) * CASE WHEN many THEN 1 - labelled / greatest(all_labelled, 1) ELSE 1 END + 1e-9 END),
 shapes{k} AS (SELECT host, shape, parent || [CASE WHEN merged THEN '*' ELSE child END] || template[{k + 1}:] AS template, n, labelled, good FROM deep{k} LEFT JOIN merged{k} USING (host, parent, child)
  UNION ALL SELECT host, shape, template, n, labelled, good FROM shapes{k - 1} WHERE len(template) < {k})"""
 
 
 SHAPE = """list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '[0-9a-f]{12,}') AND regexp_matches(s, '[a-f]') THEN '{hex}' ELSE regexp_replace(s, '[0-9]+', '#', 'g') END)"""
 URLS = f"""WITH u AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-v AS (SELECT *, CASE WHEN len(x) > {url_filter.DEPTH} THEN x[:{url_filter.DEPTH}] || ['**'] ELSE x END AS shape FROM (SELECT *, {SHAPE} AS x FROM u)),
+v AS (SELECT *, {SHAPE} AS shape FROM u),
 l AS (SELECT doc_id, (min(quality) = 1)::INT AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 k AS (SELECT host, shape, 0 AS n, 1 AS labelled, l.good FROM v JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT)),
 shapes0 AS (SELECT host, shape, shape AS template, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM (SELECT host, shape, 1 AS n, 0 AS labelled, 0 AS good FROM v UNION ALL SELECT * FROM k) GROUP BY host, shape),
@@ -109,9 +113,7 @@ f AS (SELECT v.page_id, v.host, v.path, '/' || array_to_string(s.template, '/')
  CASE WHEN (v.host = 'example.org' OR v.host LIKE '%.example.org') AND starts_with(v.path, '/es/') THEN 'example.org/es/' WHEN (v.host = 'example.org' OR v.host LIKE '%.example.org') AND starts_with(v.path, '/en/1') THEN 'example.org/en/1'
  WHEN (v.host = 'com' OR v.host LIKE '%.com') AND starts_with(v.path, '/fr/') THEN 'com/fr/' WHEN (v.host = 'com' OR v.host LIKE '%.com') AND starts_with(v.path, '/de/') THEN 'com/de/' WHEN (v.host = 'org' OR v.host LIKE '%.org') AND starts_with(v.path, '/') THEN 'org/' END AS rule
  FROM v LEFT JOIN s ON v.host = s.host AND v.shape = s.shape LEFT JOIN t ON s.host = t.host AND s.template = t.template)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < {url_filter.LEAST} THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 9) AS purity FROM f"""
-
-
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < {url_filter.LEAST} * (SELECT everyone FROM a) THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 9) AS purity FROM f"""
 MIDDLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
 u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(digest, i, 8))::BIGINT) AS h FROM t),
 c AS (SELECT *, len(units)::BIGINT AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,

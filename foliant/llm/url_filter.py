@@ -5,7 +5,7 @@ hexadecimal names `{hex}` at once. Then, level by level as deep as paths part, f
 labelled purity does not differ from their siblings' by more than chance allows. Among many children, those of few urls
 are compared with each other, and one of so many must differ the more to stand alone; children of many urls are judged
 by their own labels, whatever their siblings' number. A template's purity is its share of good
-labelled urls, smoothed toward its host's, which is smoothed toward that of all; low purity blocks.
+labelled urls, smoothed toward its host's, which is smoothed toward that of all; a purity far below that of all blocks.
 
 Counts are aggregated to (host, path shape) before anything is joined, so a host with a third of all urls is a few
 rows where its paths have few shapes. Null urls and those without `://` have empty host and path; they form a
@@ -22,15 +22,15 @@ from foliant.llm.common import HOT, hot_join, rounds, sized, written
 #: Verdict and rule (host, path) as the contract has them.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Levels that the SQL twin writes out; the tree here grows as deep as paths part.
-DEPTH = 3
+DEPTH = 6
 #: A parent with so many children, or more, has variable ones: those of fewer urls than this.
 CHILDREN, URLS = 16, 8
 #: The chance, over all of a parent's children, that one of the variable ones stands alone though it is like the others.
 ERROR = 0.05
 #: Standard deviations by which a branch must differ from its siblings to stand alone.
 APART = 2.0
-#: Labelled urls that a host's, or everyone's, purity counts as; and the purity below which a template is rejected.
-STRENGTH, LEAST = 10.0, 0.6
+#: Labelled urls that a host's, or everyone's, purity counts as; and the part of everyone's purity below which a template is rejected.
+STRENGTH, LEAST = 10.0, 0.7
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -97,23 +97,23 @@ def templates(urls: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def purity(shapes: DataFrame, strength: float = STRENGTH, hot: int = HOT) -> DataFrame:
-    """host, shape, template, purity: the template's smoothed share of good labelled urls."""
+    """host, shape, template, purity, everyone: the template's smoothed share of good labelled urls, and that of all."""
     total = shapes.count()
     good, known = shapes.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
     everyone = F.lit((good + 1.0) / (known + 1.0))
     host = shapes.groupBy("host").agg(((F.sum("good") + strength * everyone) / (F.sum("labelled") + strength)).alias("host_purity"))
     each = hot_join(shapes.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")), host, ["host"], total, "inner", hot)
     each = each.select("host", "template", ((F.col("g") + strength * F.col("host_purity")) / (F.col("l") + strength)).alias("purity"))
-    return hot_join(shapes.select("host", "shape", "template"), each, ["host", "template"], total, "inner", hot).select("host", "shape", "template", "purity")
+    return hot_join(shapes.select("host", "shape", "template"), each, ["host", "template"], total, "inner", hot).select("host", "shape", "template", "purity", everyone.alias("everyone"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url). labels: url, good (boolean) of known urls."""
+    """page_id, host, path, rule, verdict, template, purity of every row of pages (page_id, url). labels: url, good (boolean) of known urls. Where no rule decides, templates go whose purity is below `least` of everyone's, whatever share of all is good."""
     url = F.col("url").cast("string")
     urls = pages.select(F.col("page_id").cast("long"), host_of(url).alias("host"), path_of(url).alias("path"))
     known = labels.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("good").cast("boolean"))
     table = written(purity(templates(urls, known)), "url-purity")
     rule, says = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     found = hot_join(urls.withColumn("shape", shape_of(F.col("path"))), sized(table), ["host", "shape"], urls.count())
-    method = F.when(F.col("purity") < least, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("purity") < least * F.col("everyone"), F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("purity", 9).alias("purity"))

@@ -1,7 +1,11 @@
+import random
 import re
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from foliant.llm import queries
 from foliant.llm import url_filter as u
 
 URLS = [
@@ -90,3 +94,49 @@ def test_branches_part_at_any_depth(spark):
     labels = spark.createDataFrame([(x, "news" in x) for _, x in rows], "url string, good boolean")
     got = u.judge(pages(spark, rows), labels).select("template", "verdict").distinct().collect()
     assert {(r["template"], r["verdict"]) for r in got} == {("/a/b/c/d/e/spam/#", "block"), ("/a/b/c/d/e/news/#", "allow")}
+
+
+def tables_for_sql(spark, rows):
+    """pages and labels whose documents are numbered in the paths, for the query's SQL."""
+    shown = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(int(re.search(r"/(\d+)", x)[1]), int(g), 0) for x, g in rows if g is not None and re.search(r"/(\d+)", x)], "doc_id long, quality int, toxic int")
+    return shown, labels
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sql_by_the_test_of_each_child(spark, tmp_path, seed):
+    """Families of up to forty children, heavy ones beside sparse ones, paths of up to five parts."""
+    rng, rows = random.Random(seed), []
+    for i in range(900):
+        host = rng.choice(["a.net", "b.net", "big.net", "big.net"])
+        deep = [rng.choice("pqr") + rng.choice(["", "x", "y"])] if host != "big.net" else [f"{rng.choice('abcdefghijklmnopqrst')}{rng.choice('uvw')}" if rng.random() < 0.5 else rng.choice(["news", "spam"])]
+        deep += [rng.choice(["k", "l"]) for _ in range(rng.randint(0, 2))]
+        good = rng.random() < (0.1 if "spam" in deep or deep[0].startswith("q") else 0.9)
+        rows.append((f"https://{host}/{'/'.join(deep)}/{i}", good if rng.random() < 0.7 else None))
+    shown, labels = tables_for_sql(spark, rows)
+    for name, df in (("pages", shown), ("labels", labels)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    sql = con.sql(queries.oracle_sql()["op5_url_filters"])
+    got = queries.op5_url_filters(spark, str(tmp_path)).select(*sql.columns).collect()
+    same = lambda rs: sorted(tuple(round(x, 7) if isinstance(x, float) else str(x) for x in r) for r in rs)
+    assert same(got) == same(sql.fetchall())
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("share", [0.9, 0.4])
+def test_held_out_urls_are_told_apart(spark, share):
+    """Two templates of eight are bad, whatever share of all is good: of urls whose labels were not given, and not by rules, most bad ones go and most good ones stay."""
+    rng, rows = random.Random(5), []
+    for i in range(4_000):
+        kind = rng.choice(["news", "blog", "tag", "shop", "user", "spam", "ads", "wiki"])
+        bad = kind in ("spam", "ads")
+        rows.append((i, f"https://h{i % 4}.net/{kind}/{rng.randint(0, 10**6)}", rng.random() < (0.1 * share if bad else share), bad))
+    shown = spark.createDataFrame([(i, x) for i, x, _, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(x, g) for i, x, g, _ in rows if i % 5], "url string, good boolean")
+    got = {r["page_id"]: r["verdict"] for r in u.judge(shown, labels).collect()}
+    bad = [got[i] == "block" for i, _, _, b in rows if b and i % 5 == 0]
+    good = [got[i] == "allow" for i, _, _, b in rows if not b and i % 5 == 0]
+    assert sum(bad) / len(bad) > 0.95 and sum(good) / len(good) > 0.95
