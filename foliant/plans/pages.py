@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.functions import boxes
+from foliant.functions import boxes, styles
 from foliant.operators import assembly
 from foliant.plans.formulas import a_block
 from foliant.plans.registry import query, table
@@ -24,8 +24,8 @@ def boxes_bounded(spark, d):
     return rows.select("conv_id", boxes.box_bounds(blocks).alias("behind"))
 
 
-@query(r"""SELECT conv_id, 'text:' || CASE WHEN conv_id % 2 = 0 THEN '__' ELSE '' END || '|equation:f(' || conv_id || ')|text: 의 값|text#:<조건> ○ |equation#:' || length(text) || 'x + 1|text#:이다.' || CASE WHEN conv_id % 3 = 0 THEN '|equation:\begin{cases} ' || conv_id || ' \end{cases}' ELSE '|equation_block:y' END || '|equation:z|text:를 구하시오.' AS blocks
-FROM (SELECT * FROM conversations WHERE turn = 0)""".replace("'text:' || CASE WHEN conv_id % 2 = 0 THEN '__' ELSE '' END || '|equation:f('", "'text:함수 |' || CASE WHEN conv_id % 2 = 0 THEN 'text_:아닌|text: |' ELSE '' END || 'equation:f('"))
+@query(r"""SELECT conv_id, 'text:함수 |' || CASE WHEN conv_id % 2 = 0 THEN 'text_:아닌|text: |' ELSE '' END || 'equation:f(' || conv_id || ')|text: 의 값|text#:<조건> ○ |equation#:' || length(text) || 'x + 1|text#:이다.' || CASE WHEN conv_id % 3 = 0 THEN '|equation:\begin{cases} ' || conv_id || ' \end{cases}' ELSE '|equation_block:y' END || '|equation:z|text:를 구하시오.' AS blocks
+FROM (SELECT * FROM conversations WHERE turn = 0)""")
 def contents_read(spark, d):
     """A question's raw blocks read: emphasis, formulas, bullets, cases, figures left out, blocks of the box marked."""
     c = F.col("conv_id")
@@ -74,3 +74,20 @@ def essays_unified(spark, d):
     label = F.when((c % 7 == 0) & (t == 0), "").otherwise(F.concat(F.lit("["), kind, F.lit(" "), F.when(c % 3 == 0, t + 1).otherwise(t % 2 + 1), F.lit("] ")))
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.floor(t / 3).alias("page"), (t % 3).alias("place"), F.array(F.concat(label, F.md5("text"))).alias("contents"))
     return assembly.essays_unified(rows, "conv_id", t % 3 != 2).select("conv_id", "turn", F.col("contents")[0].alias("first_text"))
+
+
+@query(r"""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_partkey AS p, l_suppkey AS s, ['점', '확률', '행렬', '번호'][1 + l_partkey % 4] AS word, chr(65 + (l_suppkey % 20)::INT) AS a FROM lineitem)
+SELECT line, word || ' |' || CASE word WHEN '점' THEN '\mathrm{' || a || '}|\mathrm{' || a || '}\mathit{(' || p || ', ' || s || ')}|\mathrm{' || a || 'Z}' WHEN '행렬' THEN a || '|' || a || '(' || p || ', ' || s || ')|\mathit{' || a || 'Z}' ELSE a || '|' || a || '(' || p || ', ' || s || ')|\mathrm{' || a || 'Z}' END
+ || '|\mathrm{E}_' || p || '+' || CASE WHEN word = '점' THEN '\mathrm{E}' ELSE 'E' END AS shown FROM t""")
+def letters_styled(spark, d):
+    """Names of points, letters of probability, matrices: upright or slanted by what the question is about; scores go, whole or cut in two."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    word = F.element_at(F.array(*map(F.lit, ("점", "확률", "행렬", "번호"))), (1 + p % 4).cast("int"))
+    a = F.char(65 + s % 20)
+    scores = F.when(s % 2 == 0, F.concat(F.lit("["), p % 10, F.lit("점]"))).otherwise("")
+    blocks = F.array(
+        a_block("text", F.concat(word, F.lit(" "), scores)), a_block("equation", a), a_block("equation", F.concat(a, F.lit("("), p, F.lit(", "), s, F.lit(")"))), a_block("equation", F.concat(a, F.lit("Z"))),
+        a_block("text", F.lit(" [총 ")), a_block("equation", (p % 10).cast("string")), a_block("text", F.lit("점]")), a_block("equation", F.concat(F.lit(r"\mathrm{E}_"), p, F.lit(r"+\mathrm{E}"))),
+    )
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), styles.letters_styled(blocks).alias("b"))
+    return rows.select("line", F.array_join(F.transform("b", lambda b: b["value"]), "|").alias("shown"))
