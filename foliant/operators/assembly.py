@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import SPACE, text_of
-from foliant.operators.ordered import HOT, carried, ranged, with_parts
+from foliant.operators.helpers import own
+from foliant.operators.ordered import HOT, carried, numbered
 from foliant.sources.durable import durable
 
 #: The kinds of essay, the one that stands for all, and an essay's label with its number at a text's start.
@@ -22,18 +21,6 @@ def one_label(text: Column) -> Column:
     return F.when(text.rlike("|".join(ESSAYS[1:])), F.regexp_replace(s, r"\s*\(\s*서술형\s*\)\s*(?=[\]】])", "")).otherwise(text)
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], name: str, most: int = HOT) -> DataFrame:
-    """rows with their place in their group, from 1. Groups of more than `most` rows are cut into ranges, whose sizes are summed."""
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    cut = ranged(rows, group, order, most)
-    if cut is None:
-        return rows.withColumn(name, place(group))
-    before = f"__before_{uuid.uuid4().hex}"
-    sizes = cut.groupBy("__p", group).agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return with_parts(cut.withColumn(name, place("__p", group)), sizes.select("__p", group, start.alias(before)), group).withColumn(name, F.col(name) + F.col(before)).drop(before, "__p")
-
-
 def stitched(parts: DataFrame, document: str, most: int = HOT) -> DataFrame:
     """document, page, place, number, contents (texts) of each question, from the pieces on pages (document, page, place, number, contents): a piece without a number goes on with the question before it, be that on an earlier page; pieces before the first question stand for themselves, without a number. Pages may come in any order."""
     order = ["page", "place"]
@@ -53,12 +40,11 @@ def titles(pages: DataFrame, document: str) -> DataFrame:
 
 def essays_unified(questions: DataFrame, document: str, essay: Column, most: int = HOT) -> DataFrame:
     """questions (document, page, place, contents) with one word for all kinds of essay. Where all of a document's essays are labelled with numbers and some are the same, they are numbered anew from 1, in order."""
-    hold = lambda c: f"__{c}_{uuid.uuid4().hex}"
-    is_essay, label, anew, nth = hold("essay"), hold("label"), hold("anew"), hold("nth")
+    is_essay, label, anew, nth = own("essay"), own("label"), own("anew"), own("nth")
     rows = questions.withColumn(is_essay, essay).withColumn("contents", F.transform("contents", one_label))
     rows = durable(rows.withColumn(label, F.when(F.col(is_essay), F.nullif(F.regexp_extract(F.get("contents", F.lit(0)), NUMBERED, 2), F.lit("")))))
     counts = rows.filter(is_essay).groupBy(document).agg(((F.count(label) == F.count("*")) & (F.count_distinct(label) < F.count("*"))).alias(anew)).filter(anew)
-    key, name = rows[document], f"__{document}_{uuid.uuid4().hex}"
+    key, name = rows[document], own("document")
     change = counts.select(F.col(document).alias(name), anew)
     met = rows.join(change, key.eqNullSafe(F.col(name)), "left").drop(name)
     some = met.filter(F.coalesce(F.col(anew), F.lit(False)) & F.col(is_essay))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import let, mismatch, norm_latex, norm_space, norm_strict, norm_symbols, windows
+from foliant.operators.helpers import own
 
 #: Tags of regressions, in order.
 TAGS = ["QUESTION_COUNT", "CHOICE_COUNT", "CONTENT_TYPE_DRIFT", "NUMBER_MISMATCH", "EQUATION_DRIFT", "BOX_PROSE_DROP", "TABLE_MISSING"]
@@ -85,10 +86,10 @@ def agreement(found: DataFrame, reference: DataFrame, keys: list[str], value: st
 
 def verified(reference: DataFrame, found: DataFrame, key: str, number: str, text: str, score: str) -> DataFrame:
     """key, n_reference, n_found, similarity, scores: per document the mean similarity of its questions' texts, a missing one counting 0, and the share of its known scores that are the same."""
-    g = found.select(key, number, F.lit(True).alias("__met"), F.col(text).alias("__t"), F.col(score).alias("__s"))
+    g = found.select(key, number, F.lit(True).alias(own("met")), F.col(text).alias(own("t")), F.col(score).alias(own("s")))
     both = reference.select(key, number, text, score).join(g, [key, number], "left")
-    rated = both.withColumn("sim", F.when(F.col("__met").isNull(), 0.0).otherwise(seq_ratio(norm_symbols(F.col(text)), norm_symbols(F.col("__t")))))
-    known = F.when(F.col(score).isNotNull() & F.col("__met"), F.col(score).eqNullSafe(F.col("__s")).cast("int"))
+    rated = both.withColumn("sim", F.when(F.col(own("met")).isNull(), 0.0).otherwise(seq_ratio(norm_symbols(F.col(text)), norm_symbols(F.col(own("t"))))))
+    known = F.when(F.col(score).isNotNull() & F.col(own("met")), F.col(score).eqNullSafe(F.col(own("s"))).cast("int"))
     each = rated.groupBy(key).agg(F.count("*").alias("n_reference"), F.avg("sim").alias("similarity"), F.avg(known).alias("scores"))
     return each.join(found.groupBy(key).agg(F.count("*").alias("n_found")), key).select(key, "n_reference", "n_found", "similarity", "scores")
 
@@ -134,5 +135,5 @@ def clusters(failures: DataFrame, samples: int = 8) -> DataFrame:
     """category, n, samples: failures by category, null as UNCATEGORIZED, with the first few of each."""
     named = failures.withColumn("category", F.coalesce("category", F.lit("UNCATEGORIZED")))
     n = named.groupBy("category").agg(F.count("*").alias("n"))
-    top = named.withColumn("__n", F.row_number().over(Window.partitionBy("category").orderBy("sample_id", "golden", "candidate"))).filter(F.col("__n") <= samples)
+    top = named.withColumn(own("n"), F.row_number().over(Window.partitionBy("category").orderBy("sample_id", "golden", "candidate"))).filter(F.col(own("n")) <= samples)
     return n.join(top.groupBy("category").agg(F.array_sort(F.collect_list("sample_id")).alias("samples")), "category")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.answers import agree, canonical, worst_confidence
 from foliant.functions.equations import inline_to_latex
 from foliant.functions.text import single_choice, text_of
+from foliant.operators.helpers import own
 
 FIELDS = ("answer", "solution", "topic", "difficulty")
 UNREADABLE = "�"
@@ -94,8 +95,8 @@ def merge_blank(old: DataFrame, new: DataFrame, keys: list[str], fields: tuple[s
 
 def patched(rows: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns set from a map of overrides by key; a null in the map sets null."""
-    m = rows.join(patches.select(key, F.col("set").alias("__set")), key, "left")
-    value = lambda c: F.when(F.coalesce(F.map_contains_key("__set", c), F.lit(False)), F.element_at("__set", F.lit(c)).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    m = rows.join(patches.select(key, F.col("set").alias(own("set"))), key, "left")
+    value = lambda c: F.when(F.coalesce(F.map_contains_key(own("set"), c), F.lit(False)), F.element_at(own("set"), F.lit(c)).cast(rows.schema[c].dataType)).otherwise(F.col(c)).alias(c)
     return m.select(*[value(c) if c in columns else F.col(c) for c in rows.columns])
 
 
@@ -112,13 +113,13 @@ def exam_status(items: DataFrame, key: str) -> DataFrame:
 
 def marked_done(exams: DataFrame, files: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     """exams with status done and their question_count where their file is there and has a question; others as they were."""
-    have = questions.groupBy(key).agg(F.count("*").alias("__n")).join(files.select(key).distinct(), key, "left_semi")
+    have = questions.groupBy(key).agg(F.count("*").alias(own("n"))).join(files.select(key).distinct(), key, "left_semi")
     met = exams.join(have, key, "left")
-    new = {"status": F.when(F.col("__n") > 0, "done").otherwise(F.col("status")), "question_count": F.coalesce("__n", "question_count")}
+    new = {"status": F.when(F.col(own("n")) > 0, "done").otherwise(F.col("status")), "question_count": F.coalesce(own("n"), "question_count")}
     return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in exams.columns])
 
 
 def best_variant(files: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the order given, with the group's size."""
     w = Window.partitionBy(*keys)
-    return files.withColumns({"variants": F.count("*").over(w), "__n": F.row_number().over(w.orderBy(*order))}).filter("__n = 1").drop("__n")
+    return files.withColumns({"variants": F.count("*").over(w), own("n"): F.row_number().over(w.orderBy(*order))}).filter(F.col(own("n")) == 1).drop(own("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.exams import recoverable_prose
 from foliant.functions.text import SPACE, let, stripped, text_of
+from foliant.operators.helpers import own
 
 #: Windows by which a paragraph is found, the letters that one must have to count and to be put back, a box's mark.
 WINDOW, STRIDE = 12, 6
@@ -99,11 +99,11 @@ def _places(keys: pa.Array, blocks: pa.Array) -> pa.Array:
 
 def restored(rows: DataFrame, contents: str, transcription: str, name: str) -> DataFrame:
     """rows with a column more: an array of texts with the long prose paragraphs of a transcription that none of them holds, as boxes, where the transcription has them. Nothing is put into an empty array, nor where no text has a letter."""
-    lost, own, at, put = (f"__{c}_{uuid.uuid4().hex}" for c in ("lost", "own", "at", "put"))
+    lost, keys, at, put = map(own, ("lost", "keys", "at", "put"))
     marked = lambda p: F.when(p.rlike(MARKED), p).otherwise(F.concat(F.lit(BOX), p))
-    ready = rows.withColumns({lost: F.transform(paragraphs(F.col(transcription)), lambda p: F.struct(p.alias("text"), key(p).alias("key"))), own: F.transform(contents, key)})
-    found = ready.withColumn(at, _places(F.transform(lost, lambda p: p["key"]), F.col(own)))
+    ready = rows.withColumns({lost: F.transform(paragraphs(F.col(transcription)), lambda p: F.struct(p.alias("text"), key(p).alias("key"))), keys: F.transform(contents, key)})
+    found = ready.withColumn(at, _places(F.transform(lost, lambda p: p["key"]), F.col(keys)))
     texts = F.transform(F.arrays_zip(F.col(lost).alias("lost"), F.col(at).alias("at")), lambda z: F.struct(F.when(recoverable_prose(z["lost"]["text"]), z["at"]).alias("at"), marked(z["lost"]["text"]).alias("text")))
     before = lambda i: F.transform(F.filter(put, lambda t: t["at"] == i), lambda t: t["text"])
     whole = F.concat(F.flatten(F.transform(contents, lambda c, i: F.concat(before(i), F.array(c)))), before(F.size(contents)))
-    return found.withColumn(put, texts).withColumn(name, F.when((F.size(contents) > 0) & (F.array_join(own, "") != ""), whole).otherwise(F.col(contents))).drop(lost, own, at, put)
+    return found.withColumn(put, texts).withColumn(name, F.when((F.size(contents) > 0) & (F.array_join(keys, "") != ""), whole).otherwise(F.col(contents))).drop(lost, keys, at, put)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import text_of
+from foliant.operators.helpers import own
 
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
@@ -43,7 +42,7 @@ def without_any(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
 def ranked_match(rows: DataFrame, candidates: DataFrame, on: list[str], key: str, tier: Column, order: list[Column]) -> DataFrame:
     """The best candidate of each row by tier, then order; rows without any are dropped. Candidates meet rows by equal columns only."""
     met = rows.join(candidates, on).withColumn("tier", tier).filter("tier is not null")
-    return met.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("tier", *order))).filter("__n = 1").drop("__n")
+    return met.withColumn(own("n"), F.row_number().over(Window.partitionBy(key).orderBy("tier", *order))).filter(F.col(own("n")) == 1).drop(own("n"))
 
 
 def tiered_match(rows: DataFrame, candidates: DataFrame, key: str, tiers: list[tuple[list[str], Column, list[Column]]], pick: list[str]) -> DataFrame:
@@ -80,7 +79,7 @@ def held(parts: DataFrame, wholes: DataFrame) -> DataFrame:
 
 def found_in_order(rows: DataFrame, vocabulary: DataFrame, key: str, name: str) -> DataFrame:
     """key, entry, tier of each row: an entry of the same name (0), else of the same name without white space and case (1), else the first that holds the name or that it holds (2). Names and entries of any number: each different name is looked up once, by equality and then by the characters that it shares with entries. Blank names and entries hold nothing."""
-    b, e0, e1, e2 = (f"__{c}_{uuid.uuid4().hex}" for c in ("bare", "exact", "alike", "near"))
+    b, e0, e1, e2 = map(own, ("bare", "exact", "alike", "near"))
     bare = lambda c: F.lower(F.regexp_replace(text_of(F.col(c)), r"\s+", ""))
     exact = vocabulary.select(F.col("entry").alias(e0), F.col("entry").alias(name)).distinct()
     alike = vocabulary.groupBy(bare("entry").alias(b)).agg(F.min("entry").alias(e1)).filter(f"{b} <> ''")
@@ -116,8 +115,8 @@ def wildcard_match(rows: DataFrame, known: DataFrame, fields: list[str], key: st
 def grid_fit(points: DataFrame, x: str, y: str, steps: DataFrame, shift: str) -> DataFrame:
     """shift, slope, intercept, error of the best of a grid of shifts: y fitted to the square of x less the shift by least squares. The grid is a short list; each point meets each of its steps once, and sums alone are kept."""
     z = F.pow(F.col(x) - F.col(shift), 2)
-    each = points.withColumn(shift, F.explode(F.array(*[F.lit(r[0]) for r in steps.select(shift).collect()]))).withColumn("__z", z)
-    fit = each.groupBy(shift).agg(F.regr_slope(y, "__z").alias("slope"), F.regr_intercept(y, "__z").alias("intercept"), F.regr_r2(y, "__z").alias("fit"))
+    each = points.withColumn(shift, F.explode(F.array(*[F.lit(r[0]) for r in steps.select(shift).collect()]))).withColumn(own("z"), z)
+    fit = each.groupBy(shift).agg(F.regr_slope(y, own("z")).alias("slope"), F.regr_intercept(y, own("z")).alias("intercept"), F.regr_r2(y, own("z")).alias("fit"))
     return fit.orderBy(F.desc("fit"), shift).limit(1)
 
 

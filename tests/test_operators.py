@@ -262,3 +262,32 @@ def test_signatures_do_not_depend_on_batches(spark, tmp_path):
         noted = spark.read.parquet(str(tmp_path / name / "state" / "changed"))
         found.append({r["key"]: r["s"] for r in noted.groupBy("key").agg(F.max_by("signature", "batch").alias("s")).collect()})
     assert found[0] == found[1] and len(found[0]) == 5
+
+
+def test_order_dependent_operators_on_hot_groups(spark):
+    """Cut into ranges or not, with an unknown group, and columns named like helpers."""
+    rng = random.Random(11)
+    rows = [(None if rng.random() < 0.1 else 1 if rng.random() < 0.7 else rng.randrange(4), i, rng.randint(1, 4), rng.choice(["1", "2", None]) if i % 9 else "3", rng.choice([" ", "x", "y"]), rng.random() < 0.5, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, i int, n int, label string, c string, m boolean, __p int").repartition(6)
+    same = lambda f: sorted(map(str, f(20).collect())) == sorted(map(str, f(10**6).collect()))
+    assert same(lambda most: ordered.numbered(df, "g", ["i"], "k", most))
+    assert same(lambda most: ordered.segments(df, "g", "i", most))
+    assert same(lambda most: ordered.reordered(df, "g", "i", "n", most))
+    assert same(lambda most: ordered.renumbered(df, "g", "i", "label", most))
+    assert same(lambda most: ordered.spaced_islands(df, "g", ["i"], "m", "c", most=most))
+    lines = df.select("g", "i", F.concat(F.col("n").cast("string"), F.lit(". "), "c").alias("t"))
+    assert same(lambda most: ordered.skeleton(lines, "g", "i", "t", most=most))
+    by = {}
+    for g, i, n, *_ in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(g, []).append((i, n))
+    want = {(g, i): {m for j, m in by[g] if j < i and j % 2} for g in by for i, _ in by[g]}
+    got = ordered.earlier_essays(df, "g", "i", "n", F.col("i") % 2 == 1).collect()
+    assert {(r["g"], r["i"]): set(r["earlier"]) for r in got} == want and df.columns == [c for c in got[0].asDict() if c != "earlier"]
+    kept = {(r["g"], r["i"]) for r in ordered.tail_trimmed(df, "g", "i", F.col("m")).collect()}
+    for g, own in by.items():
+        flags = {r[1]: r[5] for r in rows if r[0] == g}
+        tail = 0
+        while tail < len(own) and flags[own[-1 - tail][0]]:
+            tail += 1
+        gone = tail if tail <= 0.5 * len(own) else 0
+        assert {i for h, i in kept if h == g} == {i for i, _ in own[: len(own) - gone]}
