@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import hangul_key, let, stripped, text_of, without_lead, without_nulls
+from foliant.functions.text import SCORE, hangul_key, let, stripped, text_of, without_lead, without_nulls
 from foliant.sources.readers import BLOCK
 
 #: A box's mark at a text's start, and there without a particle; inside a text before a first item; a negated choice; a unit of scores.
@@ -19,7 +19,8 @@ ITEM_AHEAD = r"(?=\s*(?:[•·▪◦○〇ㅇ]|[ㄱ-ㅎ]\s*\.|[（(]\s*[가-힣]
 BOX_INSIDE = r"<\s*상자\s*>" + ITEM_AHEAD + r"|(?:<\s*(?:조건|보기|증명)\s*>|\[\s*(?:조건|보기)\s*\])(?![가-힣])" + ITEM_AHEAD
 NEGATED = r"(않은|않는|아닌|틀린)(?=\s*것(?!으로))"
 NEGATION = r"않은|않는|아닌|틀린"
-SCORE = r"[\[［(]\s*(?:총\s*)?\d+(?:\.\d+)?\s*점\s*[\]］)]"
+#: An ordinal's prefix at a text's end, its number; a question mark before a bracket, and at a text's end.
+ORDINAL, ORDINAL_NUMBER, ASKED_BRACKET, ASKED = "(?:^|[^가-힣])제$", r"^\d+$", r"([?？])(\()", "[?？]$"
 #: What an item in a box begins with, and the orders of its labels.
 ITEM = r"[(（]\s*([가-힣])\s*[)）]|(?:^|(?<=\s))([ㄱ-ㅎ])\s*\.|([①-⑩])"
 LABELS = ["가나다라마바사아자차카타파하", "ㄱㄴㄷㄹㅁㅂㅅㅇㅈㅊ", "①②③④⑤⑥⑦⑧⑨⑩"]
@@ -101,7 +102,7 @@ def spaced_before_equations(blocks: Column) -> Column:
 
     def one(b: Column, i: Column) -> Column:
         after = F.get(blocks, i + 1)
-        ordinal = b["value"].rlike("(?:^|[^가-힣])제$") & stripped(text_of(after["value"])).rlike(r"^\d+$")
+        ordinal = b["value"].rlike(ORDINAL) & stripped(text_of(after["value"])).rlike(ORDINAL_NUMBER)
         return F.when(is_text(b) & is_equation(after) & b["value"].rlike("[가-힣]$") & ~ordinal, with_value(b, F.concat(b["value"], F.lit(" ")))).otherwise(b)
 
     return F.transform(blocks, one)
@@ -109,12 +110,12 @@ def spaced_before_equations(blocks: Column) -> Column:
 
 def spaced_after_questions(blocks: Column) -> Column:
     """A space between a question mark and a bracket after it, in one text or in two neighbours."""
-    own = F.transform(blocks, lambda b: F.when(is_text(b), with_value(b, F.regexp_replace(b["value"], r"([?？])(\()", "$1 $2"))).otherwise(b))
+    own = F.transform(blocks, lambda b: F.when(is_text(b), with_value(b, F.regexp_replace(b["value"], ASKED_BRACKET, "$1 $2"))).otherwise(b))
 
     def between(xs: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
             after = F.get(xs, i + 1)
-            meets = is_text(b) & is_text(after) & text_of(after["value"]).startswith("(") & text_of(b["value"]).rlike("[?？]$")
+            meets = is_text(b) & is_text(after) & text_of(after["value"]).startswith("(") & text_of(b["value"]).rlike(ASKED)
             return F.when(meets, with_value(b, F.concat(b["value"], F.lit(" ")))).otherwise(b)
 
         return F.transform(xs, one)

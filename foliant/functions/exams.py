@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import stripped, text_of
+from foliant.functions.text import FENCE, FENCE_END, stripped, text_of
 
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 #: The words that difficulty may have, and marks of conditions and parts that prose does not start with.
@@ -13,26 +13,32 @@ DIFFICULTIES = ["상", "중", "하"]
 PART_MARK = r"^\s*(?:\(\s*[가나다라마바0-9]+\s*\)|[①-⑮㉠-㉭ⓐ-ⓩ]|[ㄱ-ㅎ]\s*[.)]|\[\s*(?:서술형|서답형|조건|보기)(?![가-힣\w]))"
 #: What marks an error instead of an answer, and how long its details may be.
 ERROR, ERROR_DETAILS = r"(?s)^(\[(?:보기|문제) 오류\])\s*(.*)$", 16
+#: An answer's number and label at its start, a whole number as details; brackets around a topic, and how long one may be; what rendered pages must not hold: letters by themselves, scores twice.
+ANSWER_NUMBER, ANSWER_LABEL, PLAIN_NUMBER = r"^\d+\s*[.)]\s*(?=\S)", r"^\[\s*[가-힣]*형\s*\d*\s*\]\s*", r"^[-+]?\d+(?:\.\d+)?$"
+TOPIC_ENDS, TOPIC_LENGTH = r"^[\[\]()<> ]+|[\[\]()<> ]+$", 40
+ESSAY_KIND, CONJOINING, LONE, LEADING_VOWEL, SCORE_TWICE = r"\[\s*(서술형|서답형|단답형)", r"[\x{1100}-\x{11FF}]", r"<hp:t[^>]*>[\x{3130}-\x{318F}]</hp:t>", r"(?<![가-힣])[ㅏ-ㅣ][가-힣]", r"\[\s*\d+\s*점\s*\][^<\[]{0,4}\[\s*\d+\s*점\s*\]"
+#: Formulas in a text between \\( and \\), a line of two dollar signs.
+IN_LINE, LONE_DOLLARS = r"(?s)\\\(\s*(.+?)\s*\\\)", r"(?m)^[ \t]*\$\$[ \t]*$"
 GRADER_NOISE = r"[\s$\\{},~]|mathrm|text|dfrac|frac"
 
 
 def maths_inline(x: Column) -> Column:
     r"""\(…\) and $$…$$ as $…$ on one line; a lone $$ on a line goes."""
-    s = F.regexp_replace(text_of(x), r"(?s)\\\(\s*(.+?)\s*\\\)", r"\$$1\$")
+    s = F.regexp_replace(text_of(x), IN_LINE, r"\$$1\$")
     parts = F.split(s, r"\$\$")
     whole = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("$"), F.regexp_replace(stripped(p), r"\s*\n\s*", " "), F.lit("$"))).otherwise(p)), "")
-    return F.when(F.size(parts) % 2 == 1, whole).otherwise(F.regexp_replace(s, r"(?m)^[ \t]*\$\$[ \t]*$", ""))
+    return F.when(F.size(parts) % 2 == 1, whole).otherwise(F.regexp_replace(s, LONE_DOLLARS, ""))
 
 
 def answer_text(x: Column, is_choice: Column) -> Column:
     """An answer without its number and label; of a choice its circled digit, a plain digit being circled. Where an error is marked instead, its details are cut to a short line, a number stands as maths."""
-    s = F.regexp_replace(stripped(maths_inline(x)), r"^\d+\s*[.)]\s*(?=\S)", "")
-    s = F.regexp_replace(s, r"^\[\s*[가-힣]*형\s*\d*\s*\]\s*", "")
+    s = F.regexp_replace(stripped(maths_inline(x)), ANSWER_NUMBER, "")
+    s = F.regexp_replace(s, ANSWER_LABEL, "")
     mark, details = F.regexp_extract(s, ERROR, 1), stripped(F.regexp_extract(s, ERROR, 2))
     cut = F.left(details, F.lit(ERROR_DETAILS))
     whole_words = F.regexp_extract(cut, r"(?s)^(.{6,}) [^ ]*$", 1)
     short = F.concat(F.regexp_replace(F.when(whole_words != "", whole_words).otherwise(cut), r"\s+$", ""), F.lit("…"))
-    shown = F.when(details.rlike(r"^[-+]?\d+(?:\.\d+)?$"), F.concat(F.lit("$"), details, F.lit("$"))).when(F.length(details) > ERROR_DETAILS, short).otherwise(details)
+    shown = F.when(details.rlike(PLAIN_NUMBER), F.concat(F.lit("$"), details, F.lit("$"))).when(F.length(details) > ERROR_DETAILS, short).otherwise(details)
     tagged, number = mark != "", F.trim(F.concat(mark, F.lit(" "), shown))
     circled = F.regexp_extract(s, f"([{CIRCLED}])", 1)
     digit = F.regexp_extract(s, r"\b([1-9]|10)\b", 1)
@@ -42,7 +48,7 @@ def answer_text(x: Column, is_choice: Column) -> Column:
 
 def solution_text(x: Column) -> Column:
     """A solution without fences and blank lines, each line without white space at its ends."""
-    bare = F.regexp_replace(F.regexp_replace(stripped(text_of(x)), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    bare = F.regexp_replace(F.regexp_replace(stripped(text_of(x)), FENCE, ""), FENCE_END, "")
     lines = F.transform(F.split(F.regexp_replace(maths_inline(bare), "\r\n", "\n"), "\n"), stripped)
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
@@ -53,7 +59,7 @@ def difficulty(x: Column) -> Column:
 
 
 def topic(x: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(text_of(x), r"\s+", " "), r"^[\[\]()<> ]+|[\[\]()<> ]+$", ""), 1, 40)
+    return F.substring(F.regexp_replace(F.regexp_replace(text_of(x), r"\s+", " "), TOPIC_ENDS, ""), 1, TOPIC_LENGTH)
 
 
 def graded(reference: Column, got: Column, is_choice: Column) -> Column:
@@ -101,15 +107,15 @@ def recoverable_prose(x: Column) -> Column:
 def markup_findings(xml: Column) -> Column:
     """What is wrong with rendered XML: stray letters, doubled scores, two spellings of a label, a missing answer block."""
     plain = F.regexp_replace(text_of(xml), "<[^>]+>", "")
-    labels = F.regexp_extract_all(plain, F.lit(r"\[\s*(서술형|서답형|단답형)"), F.lit(1))
+    labels = F.regexp_extract_all(plain, F.lit(ESSAY_KIND), F.lit(1))
     return F.array_compact(
         F.array(
-            F.when(plain.rlike(r"[\x{1100}-\x{11FF}]"), "conjoining letters"),
-            F.when(text_of(xml).rlike(r"<hp:t[^>]*>[\x{3130}-\x{318F}]</hp:t>"), "lone letter"),
-            F.when(plain.rlike(r"(?<![가-힣])[ㅏ-ㅣ][가-힣]"), "leading vowel"),
+            F.when(plain.rlike(CONJOINING), "conjoining letters"),
+            F.when(text_of(xml).rlike(LONE), "lone letter"),
+            F.when(plain.rlike(LEADING_VOWEL), "leading vowel"),
             F.when(F.array_contains(labels, "서답형") & F.array_contains(labels, "서술형"), "two spellings"),
             F.when(~F.contains(F.replace(plain, F.lit("(정답)"), F.lit("")), F.lit("정답")), "no answers"),
-            F.when(plain.rlike(r"\[\s*\d+\s*점\s*\][^<\[]{0,4}\[\s*\d+\s*점\s*\]"), "score twice"),
+            F.when(plain.rlike(SCORE_TWICE), "score twice"),
         )
     )
 

@@ -36,6 +36,10 @@ FORM_GENERATION = r"\[\s*(\d{2})\s*년[^\]]*?\(\s*(\d{1,2})\s*\.\s*(\d{1,2})\s*\
 #: Words around a school's name in titles, and what a school's name looks like.
 TITLE_NOISE = r"20\d{2}\s*년?(?:도)?|\d\s*학기|중간고사|기말고사|중간|기말|대비|고사"
 SCHOOL_NAME = r"(?!중간|기말|모의)([가-힣]{2,10}(?:여고|여중|고|중))(?!사)"
+#: A form's kind (level, grade, subject) in brackets, what ends it, a color, a tag that is none; school and grade at a name's start, or written out.
+FORM_KIND, FORM_FOR, FORM_COLOR, NO_COLOR = r"^\s*(?:(중|고)\s*([1-3]))?\s*(.*?)\s*$", "용$", "^[가-힣]+$", "개정"
+SCHOOL_AND_GRADE, GRADE_WRITTEN = r"^\s*\[([^\]]*)\]\s*\[\s*([1-3])\s*\]", r"(중|고)\s*([1-3])"
+IN_SQUARE, IN_ROUND = r"\[([^\]]*)\]", r"\(([^()]*)\)"
 SCHOOLS = [("여자고등학교", "여고"), ("고등학교", "고"), ("여자중학교", "여중"), ("중학교", "중")]
 
 
@@ -135,10 +139,9 @@ def school_level(school: Column) -> Column:
 def grade_of(title: Column) -> Column:
     """The level and grade of a file's name or title: of its school and grade in brackets, else as written out; empty where unknown."""
     base = F.regexp_replace(F.coalesce(title, F.lit("")), r"^.*/", "")
-    head = r"^\s*\[([^\]]*)\]\s*\[\s*([1-3])\s*\]"
-    level = school_level(F.regexp_extract(base, head, 1))
-    written = F.concat(F.regexp_extract(base, r"(중|고)\s*([1-3])", 1), F.regexp_extract(base, r"(중|고)\s*([1-3])", 2))
-    return F.when(level != "", F.concat(level, F.regexp_extract(base, head, 2))).otherwise(written)
+    level = school_level(F.regexp_extract(base, SCHOOL_AND_GRADE, 1))
+    written = F.concat(*[F.regexp_extract(base, GRADE_WRITTEN, k) for k in (1, 2)])
+    return F.when(level != "", F.concat(level, F.regexp_extract(base, SCHOOL_AND_GRADE, 2))).otherwise(written)
 
 
 def standard_subject(x: Column) -> Column:
@@ -166,7 +169,7 @@ def filled(path: Column) -> Column:
             some(F.regexp_extract(joined, FORM_TERM, 2)).alias("term"), some(F.regexp_extract(joined, FORM_TERM, 3)).alias("part"), some(subject).alias("subject"), some(F.when(own, standard).otherwise("")).alias("form_subject"), some(F.when(own, subtag).otherwise("")).alias("form_subtag"),
         )
 
-    return let(F.regexp_extract_all(stem, F.lit(r"\[([^\]]*)\]"), F.lit(1)), of)
+    return let(F.regexp_extract_all(stem, F.lit(IN_SQUARE), F.lit(1)), of)
 
 
 def form(path: Column) -> Column:
@@ -176,16 +179,15 @@ def form(path: Column) -> Column:
 
     def of(t: Column) -> Column:
         first = F.coalesce(F.get(t, F.lit(0)), F.lit(""))
-        tag = r"^\s*(?:(중|고)\s*([1-3]))?\s*(.*?)\s*$"
-        grade = F.concat(F.regexp_extract(first, tag, 1), F.regexp_extract(first, tag, 2))
-        raw = F.regexp_replace(F.regexp_replace(F.regexp_extract(first, tag, 3), "용$", ""), r"\s+", "")
+        level, number, rest = (F.regexp_extract(first, FORM_KIND, k) for k in (1, 2, 3))
+        grade, raw = F.concat(level, number), F.regexp_replace(F.regexp_replace(rest, FORM_FOR, ""), r"\s+", "")
         key = F.coalesce(standard_subject(raw), raw)
         known = (grade != "") | key.isin(FORM_SUBJECTS)
-        color = F.coalesce(F.get(F.filter(F.slice(t, 2, 100), lambda x: (x != "개정") & x.rlike("^[가-힣]+$")), F.lit(0)), F.lit(""))
+        color = F.coalesce(F.get(F.filter(F.slice(t, 2, 100), lambda x: (x != NO_COLOR) & x.rlike(FORM_COLOR)), F.lit(0)), F.lit(""))
         subtag, subject = F.when(known, raw).otherwise(""), F.when(known & ~key.isin(FIRST_GRADE), key).otherwise("")
         label = F.trim(F.concat_ws(" ", F.nullif(grade, F.lit("")), F.nullif(subtag, F.lit(""))))
         display = F.trim(F.concat(F.when(label != "", label).otherwise(stem), F.when(color != "", F.concat(F.lit(" ("), color, F.lit(")"))).otherwise("")))
         part = lambda i: F.coalesce(F.regexp_extract(name, FORM_GENERATION, i).try_cast("int"), F.lit(0))
         return F.struct(grade.alias("grade"), subtag.alias("subtag"), subject.alias("subject"), color.alias("color"), display.alias("display"), F.struct(part(1).alias("year"), part(2).alias("month"), part(3).alias("day")).alias("generation"))
 
-    return let(F.transform(F.regexp_extract_all(F.regexp_replace(stem, r"\[[^\]]*\]", ""), F.lit(r"\(([^()]*)\)"), F.lit(1)), F.trim), of)
+    return let(F.transform(F.regexp_extract_all(F.regexp_replace(stem, r"\[[^\]]*\]", ""), F.lit(IN_ROUND), F.lit(1)), F.trim), of)

@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions import fragments as fr
-from foliant.functions.blocks import SCORE
 from foliant.functions.boxes import MARK
+from foliant.functions.text import SCORE
 from foliant.sources.readers import BLOCK
 
 #: Words of geometry; words that only look like them.

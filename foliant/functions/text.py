@@ -20,6 +20,10 @@ RISKS = {
 }
 #: What a risk's pattern can begin with, for a class of characters.
 RISK_BEGINS = r"홀짝신오±\d<>≤≥≦≧\\^"
+#: A score in brackets; heads of a model's sections; fences around an answer.
+SCORE = r"[\[［(]\s*(?:총\s*)?\d+(?:\.\d+)?\s*점\s*[\]］)]"
+SECTION, SECTION_END, ANY_SECTION = r"###\s*{}\s*###\s*\n?", r"###\s*(?:ANSWER|SOLUTION|TOPIC|DIFFICULTY|END)\s*###|\z", r"(?i)###\s*(?:ANSWER|SOLUTION|TOPIC|DIFFICULTY)\s*###"
+FENCE, FENCE_END = r"^```[a-zA-Z]*\s*", r"\s*```$"
 #: Commands and the signs they stand for, longer ones before those they begin with.
 SIGNS = {r"\div": "÷", r"\times": "×", r"\cdot": "·", r"\pm": "±", r"\leq": "≤", r"\le": "≤", r"\geq": "≥", r"\ge": "≥", r"\neq": "≠"}
 #: White space of any script, for a class of characters in the patterns of Spark and of SQL alike.
@@ -110,17 +114,17 @@ def wrapped(x: Column, width: int) -> Column:
 
 def without_scores(x: Column) -> Column:
     """Without scores printed in brackets."""
-    return stripped(F.regexp_replace(F.regexp_replace(text_of(x), r"[\[［(]\s*(?:총\s*)?\d+(?:\.\d+)?\s*점\s*[\]］)]", ""), r"\s{2,}", " "))
+    return stripped(F.regexp_replace(F.regexp_replace(text_of(x), SCORE, ""), r"\s{2,}", " "))
 
 
 def sections(x: Column) -> Column:
     """answer, solution, topic, difficulty of a model's delimited answer, the last of each; where none is delimited, those of a JSON object in it."""
-    bare = F.regexp_replace(F.regexp_replace(stripped(text_of(x)), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    bare = F.regexp_replace(F.regexp_replace(stripped(text_of(x)), FENCE, ""), FENCE_END, "")
     names = ["answer", "solution", "topic", "difficulty"]
 
     def of(s: Column) -> Column:
-        block = lambda n: F.try_element_at(F.regexp_extract_all(s, F.lit(rf"(?si)###\s*{n}\s*###\s*\n?(.*?)(?=###\s*(?:ANSWER|SOLUTION|TOPIC|DIFFICULTY|END)\s*###|\z)"), F.lit(1)), F.lit(-1))
-        some = s.rlike(r"(?i)###\s*(?:ANSWER|SOLUTION|TOPIC|DIFFICULTY)\s*###")
+        block = lambda n: F.try_element_at(F.regexp_extract_all(s, F.lit(f"(?si){SECTION.format(n)}(.*?)(?={SECTION_END})"), F.lit(1)), F.lit(-1))
+        some = s.rlike(ANY_SECTION)
         json = F.from_json(F.regexp_extract(F.regexp_replace(s, r"\\\\|\\(?![\"\\/bfnrtu])", r"\\\\"), r"(?s)(\{.*\})", 1), ", ".join(f"{n} string" for n in names))
         revived = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\f(?=[a-zA-Z])", r"\\f"), r"\x08(?=[a-zA-Z])", r"\\b"), r"\r(?=[a-zA-Z])", r"\\r"), r"\t(?=[a-zA-Z])", r"\\t")
         return F.struct(*[F.when(some, stripped(block(n))).otherwise(revived(json[n])).alias(n) for n in names])
