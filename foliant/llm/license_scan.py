@@ -73,6 +73,18 @@ TWO_CLAUSES = "Redistribution and use in source and binary forms, with or withou
 THIRD_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to {endorse or promote products} derived from this software without specific prior written permission. "
 DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES |= {"bsd-2": TWO_CLAUSES + DISCLAIMER, "bsd-3": TWO_CLAUSES + THIRD_CLAUSE + DISCLAIMER}
+#: More whole licenses, heads of license files, and the names that identifiers give licenses.
+WARRANTY = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+TEMPLATES |= {
+    "mit": TEMPLATES["mit-notice"] + WARRANTY,
+    "zlib": "This software is provided {'as-is', without any express or implied warranty}. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "mit-head": "{MIT License} Copyright (c)", "isc-head": "{ISC License} Copyright (c)", "bsd-2-head": "{BSD 2-Clause License} Copyright (c)", "bsd-3-head": "{BSD 3-Clause License} Copyright (c)",
+    "apache-2.0-head": "{Apache License Version 2.0}, January 2004", "mpl-2.0-head": "{Mozilla Public License Version 2.0}", "gpl-2-head": "{GNU GENERAL PUBLIC LICENSE Version 2}, June 1991", "gpl-3-head": "{GNU GENERAL PUBLIC LICENSE Version 3}, 29 June 2007",
+}
+IDENTIFIERS = "MIT ISC Zlib BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 Unlicense".split()
+TEMPLATES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {{{x}}}" for x in IDENTIFIERS}
+#: Words that, right before a match, say that the license does not hold.
+DENIALS = {"not", "never", "isn't", "aren't", "nor"}
 
 
 def bare(words: pa.Array) -> pa.Array:
@@ -236,7 +248,7 @@ def word_places(text: str) -> list[tuple[int, int]]:
     return [(a, b) for (a, b, _), w in zip(found, some, strict=True) if w]
 
 
-COLUMNS = "doc_id long, template string, coverage double, matched long, template_words long, start long, end long, spans string"
+COLUMNS = "doc_id long, template string, coverage double, matched long, template_words long, start long, end long, spans string, denied boolean"
 
 
 def runs(places: list[int]) -> list[tuple[int, int]]:
@@ -246,7 +258,7 @@ def runs(places: list[int]) -> list[tuple[int, int]]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """COLUMNS for each match in each row of docs (doc_id, text). start, end and spans (start:end, comma-joined) are code points, end exclusive."""
+    """COLUMNS for each match in each row of docs (doc_id, text). start, end and spans (start:end, comma-joined) are code points, end exclusive; denied: the word before it is one of `DENIALS`."""
     index = docs.sparkSession.sparkContext.broadcast(build(TEMPLATES if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +266,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             rows, places = [], {}
             for doc, k, matched, _, _, at in matches(index.value, batch.column(1)):
                 if doc not in places:
-                    places = {doc: word_places(batch.column(1)[doc].as_py())}
+                    text = batch.column(1)[doc].as_py()
+                    places = {doc: word_places(text)}
                 spans = [(places[doc][a][0], places[doc][b][1]) for a, b in runs(at)]
                 n = len(index.value.templates[k])
-                rows.append((batch.column(0)[doc].as_py(), index.value.names[k], matched / n, matched, n, spans[0][0], spans[-1][1], ",".join(f"{a}:{b}" for a, b in spans)))
+                before = text[slice(*places[doc][at[0] - 1])].lower().strip(PUNCTUATION) if at[0] else ""
+                rows.append((batch.column(0)[doc].as_py(), index.value.names[k], matched / n, matched, n, spans[0][0], spans[-1][1], ",".join(f"{a}:{b}" for a, b in spans), before in DENIALS))
             names = [c.split()[0] for c in COLUMNS.split(", ")]
-            kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+            kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, kinds[c.split()[1]]) for x, c in zip(columns, COLUMNS.split(", "), strict=True)], names=names)
 

@@ -143,7 +143,7 @@ def measures(docs: DataFrame, pieces_path: str, ranks_path: str, pattern: str) -
             parts = [word_chars / np.maximum(n_tokens, 1), word_chars / np.maximum(n_bytes, 1), fallback / np.maximum(n_tokens, 1), token_entropy(code, owner, ids, sizes, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group, pa.string()), *(pa.array(x.astype(np.int64)) for x in whole), *(pa.array(x) for x in parts)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    code = F.when(F.lower("lang").rlike("^[a-z]{2,3}$"), F.lower("lang"))
+    code = F.when(F.lower("lang").rlike(r"\A[a-z]{2,3}\z"), F.lower("lang"))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), code.alias("lang")).mapInArrow(run, COLUMNS)
 
 

@@ -56,7 +56,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def shape_of(path: Column) -> Column:
     """The path's segments with digits and hexadecimal names generalised."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(segments, lambda s: F.when(s.rlike("^[0-9a-f]{12,}$") & s.rlike("[a-f]"), F.lit("{hex}")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
+    return F.transform(segments, lambda s: F.when(s.rlike(r"\A[0-9a-f]{12,}\z") & s.rlike("[a-f]"), F.lit("{hex}")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
 def generalised(shapes: DataFrame, level: int, hot: int = HOT) -> DataFrame:

@@ -103,3 +103,21 @@ def test_odd_templates(odd, templates):
 def test_odd_rows(odd, none):
     assert li.scan(odd).count() == 0
     assert li.scan(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("// SPDX-License-Identifier: Apache-2.0", {"spdx-apache-2.0"}), ("SPDX-License-Identifier: GPL-3.0-or-later.", {"spdx-gpl-3.0-or-later"}), ("SPDX-License-Identifier: Apache-1.1", set()),
+        ("MIT License\n\nCopyright (c) 2020 A. Person", {"mit-head"}), ("a city called Mit, licensed", set()), (li.TEMPLATES["mit"], {"mit"}), (li.TEMPLATES["mit-notice"], {"mit-notice"}), (li.TEMPLATES["zlib"].replace("{", "").replace("}", ""), {"zlib"}),
+    ],
+)
+def test_whole_licenses_heads_and_identifiers(text, want):
+    index = li.build(li.TEMPLATES)
+    assert {index.names[k] for _, k, *_ in li.matches(index, pa.array([text.replace("{", "").replace("}", "")]))} == want
+
+
+def test_denied(spark):
+    rows = [(1, "It is not licensed under CC BY 4.0."), (2, "Licensed under CC BY 4.0."), (3, "Not! Licensed under CC BY 4.0.")]
+    got = {r["doc_id"]: r["denied"] for r in li.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: True}
