@@ -24,10 +24,14 @@ def question(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(QUESTION)
 
 
+#: Texts of sixty letters that no other turn has: how much of one is left can be told in SQL. Of its candidate as many tens are cut off as the conversation's remainder by 6 says.
+LETTERS, LONG, CUT = "".join(map(chr, range(0xAC00, 0xD7A4))), 60, 10
+
+
 def golden(spark, d) -> DataFrame:
     """sample_id, questions: each turn with a text, an equation, and as many choices as its number's remainder by 5 says; the first choice holds a table or figure."""
     t, c = F.col("turn"), F.col("conv_id")
-    text = F.when(t % 7 == 6, "").otherwise(F.concat(F.lit("the long words of question "), t.cast("string")))
+    text = F.when(t % 7 == 6, "").otherwise(F.substring(F.lit(LETTERS), (t * LONG + 1).cast("int"), F.lit(LONG)))
     first = F.when(t % 5 == 3, F.array(block("table", None, F.array(F.array(c.cast("string"), t.cast("string")), F.array(F.lit("x")))))).when(t % 5 == 4, F.array(block("figure", F.lit("")))).otherwise(F.array(block("text", F.lit(""))))
     choices = F.transform(F.sequence(F.lit(0), t % 5), lambda i: F.struct((i + 1).cast("int").alias("number"), F.when(i == 0, first).otherwise(F.array(block("text", F.lit("")))).alias("contents")))
     contents = F.array(block("text", text), block("equation", F.when(t % 7 == 6, "").otherwise(F.concat(F.lit("x^{"), t.cast("string"), F.lit("}")))))
@@ -44,7 +48,8 @@ def candidate(gold: DataFrame) -> DataFrame:
         keep = F.when((s % 2 == 0) & (t % 5 == 2), F.slice(q["choices"], 1, 1)).otherwise(q["choices"])
         rows = lambda b: F.transform(b["rows"], lambda r: F.when(F.size(r) == 2, F.array(F.get(r, F.lit(0)), F.lit("0"))).otherwise(r))
         cell = lambda b: F.when((b["type"] == "table") & (s % 4 == 1), block("text", F.lit(""))).when(b["type"] == "table", b.withField("rows", rows(b))).otherwise(b)
-        empty = lambda b: F.when(((b["type"] == "text") & (s % 6 == 0)) | ((b["type"] == "equation") & (s % 7 == 0)), b.withField("value", F.lit(""))).otherwise(b)
+        short = lambda b: b.withField("value", F.substring(b["value"], F.lit(1), (LONG - CUT * (s % 6)).cast("int")))
+        empty = lambda b: F.when(b["type"] == "text", short(b)).when((b["type"] == "equation") & (s % 7 == 0), b.withField("value", F.lit(""))).otherwise(b)
         new = q.withField("choices", F.transform(keep, lambda c: c.withField("contents", F.transform(c["contents"], cell)))).withField("contents", F.transform(q["contents"], empty))
         return new.withField("number", F.when((s % 5 == 0) & (t == 0), F.lit(None)).otherwise(q["number"])).withField("score", F.when(s % 3 == 0, "9").otherwise(q["score"]))
 
@@ -54,12 +59,12 @@ def candidate(gold: DataFrame) -> DataFrame:
 CROPS = """WITH q AS (SELECT conv_id, turn, turn % 7 = 6 AS gone, turn % 5 + 1 AS gc, CASE WHEN conv_id % 2 = 0 AND turn % 5 = 2 THEN 1 ELSE turn % 5 + 1 END AS cc FROM conversations),
 s AS (SELECT conv_id AS sample_id, count(*) AS ng, count(*) FILTER (NOT gone) AS nc, avg(least(gc, cc) / greatest(gc, cc)) FILTER (NOT gone) AS choice_count_score, avg((NOT (conv_id % 5 = 0 AND turn = 0))::INT) FILTER (NOT gone) AS number_score,
  CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 END::DOUBLE AS score_score, count(*) FILTER (turn % 5 = 3) AS gt, CASE WHEN conv_id % 4 = 1 THEN 0 ELSE count(*) FILTER (turn % 5 = 3 AND NOT gone) END AS ct, count(*) FILTER (turn % 5 = 4) AS gf, count(*) FILTER (turn % 5 = 4 AND NOT gone) AS cf,
- CASE WHEN conv_id % 6 = 0 THEN 0 ELSE 1 END::DOUBLE AS text_ratio, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE 1 END::DOUBLE AS equation_ratio FROM q GROUP BY conv_id),
+ 2.0::DOUBLE * (60 - 10 * (conv_id % 6)) * count(*) FILTER (turn % 7 <> 6 AND NOT gone) / (60 * count(*) FILTER (turn % 7 <> 6) + (60 - 10 * (conv_id % 6)) * count(*) FILTER (turn % 7 <> 6 AND NOT gone)) AS text_ratio, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE 1 END::DOUBLE AS equation_ratio FROM q GROUP BY conv_id),
 r AS (SELECT *, least(ng, nc) / greatest(ng, nc) AS question_count_score, CASE WHEN gt = 0 AND ct = 0 THEN 1.0 ELSE 2.0 * least(gt, ct) / (gt + ct) END AS table_presence_f1, CASE WHEN gf = 0 AND cf = 0 THEN 1.0 ELSE 2.0 * least(gf, cf) / (gf + cf) END AS figure_presence_f1,
  CASE WHEN gt = 0 THEN NULL WHEN ct = 0 THEN 0 ELSE 2 / 3 END::DOUBLE AS table_cell_acc, array_to_string(list_filter([CASE WHEN ng <> nc THEN 'QUESTION_COUNT' END, CASE WHEN choice_count_score < 1 THEN 'CHOICE_COUNT' END, CASE WHEN number_score < 1 THEN 'NUMBER_MISMATCH' END,
- CASE WHEN equation_ratio < 1 THEN 'EQUATION_DRIFT' END, CASE WHEN text_ratio < 1 THEN 'BOX_PROSE_DROP' END, CASE WHEN gt > 0 AND ct = 0 THEN 'TABLE_MISSING' END], lambda x: x IS NOT NULL), ';') AS regressions FROM s),
+ CASE WHEN equation_ratio < 1 THEN 'EQUATION_DRIFT' END, CASE WHEN sample_id % 6 = 5 THEN 'BOX_PROSE_DROP' END, CASE WHEN gt > 0 AND ct = 0 THEN 'TABLE_MISSING' END], lambda x: x IS NOT NULL), ';') AS regressions FROM s),
 c AS (SELECT sample_id, round((question_count_score + choice_count_score + 1 + number_score + score_score + table_presence_f1 + figure_presence_f1) / 7, 6) AS struct_score, round(question_count_score, 6) AS question_count_score, round(choice_count_score, 6) AS choice_count_score, 1::DOUBLE AS content_type_score,
- round(number_score, 6) AS number_score, score_score, round(table_presence_f1, 6) AS table_presence_f1, round(figure_presence_f1, 6) AS figure_presence_f1, text_ratio, equation_ratio, round(table_cell_acc, 6) AS table_cell_acc, regressions FROM r)"""
+ round(number_score, 6) AS number_score, score_score, round(table_presence_f1, 6) AS table_presence_f1, round(figure_presence_f1, 6) AS figure_presence_f1, round(text_ratio, 6) AS text_ratio, equation_ratio, round(table_cell_acc, 6) AS table_cell_acc, regressions FROM r)"""
 
 
 def crops(spark, d) -> DataFrame:
