@@ -104,11 +104,10 @@ def stable_ids(now: DataFrame, then: DataFrame, key: str, fields: list[str]) ->
     return same.join(other, key, "left").select(key, F.when(~F.col("known"), "weak").when(F.col("same"), "ok").when(F.col("elsewhere"), "shifted").otherwise("mislabeled").alias("verdict"))
 
 
-def surrogate_ids(rows: DataFrame, order: list[str], name: str = "id", within: str = own("bucket"), bucket_rows: int = 1_000_000) -> DataFrame:
-    """rows with consecutive ids from 1 in a total order. Rows are ranged over buckets of about `bucket_rows` and numbered within each; the buckets' sizes, a short table, give the offsets."""
-    buckets = max(8, rows.count() // bucket_rows)
-    ranged = rows.repartitionByRange(buckets, *order).withColumn(within, F.spark_partition_id())
+def surrogate_ids(rows: DataFrame, order: list[str], name: str = "id", within: str = own("bucket"), buckets: int | None = None) -> DataFrame:
+    """rows with consecutive ids from 1 in a total order. Rows are ranged over so many buckets, as many as Spark's shuffles have if none is given, and numbered within each; the buckets' sizes, a short table, give the offsets."""
+    ranged = rows.repartitionByRange(*([buckets] if buckets else []), *order).withColumn(within, F.spark_partition_id())
     local = durable(ranged.withColumn(own("n"), F.row_number().over(Window.partitionBy(within).orderBy(*order))))  # the sampled ranges must not change between uses
     sizes = local.groupBy(within).agg(F.count("*").alias(own("size")))
     before = sizes.withColumn(own("before"), F.coalesce(F.sum(own("size")).over(Window.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(within, own("before"))
-    return local.join(F.broadcast(before), within).withColumn(name, F.col(own("n")) + F.col(own("before"))).drop(within, own("n"), own("before"))  # at most `buckets` rows
+    return local.join(F.broadcast(before), within).withColumn(name, F.col(own("n")) + F.col(own("before"))).drop(within, own("n"), own("before"))  # a row a bucket

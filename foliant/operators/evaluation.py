@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,14 +118,21 @@ def threshold_gate(summary: DataFrame, least: dict[str, float], most: dict[str,
     return summary.withColumn("passed", ok)
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("golden", T.StringType()), T.StructField("candidate", T.StringType())])), useArrow=True)
-def diff_segments(golden: str | None, candidate: str | None, context: int) -> list[dict]:
+def segments_of(golden: str | None, candidate: str | None, context: int) -> list[dict]:
     """Where two texts differ, with some characters of context."""
     a, b = golden or "", candidate or ""
     cuts = (o for o in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal")
     return [{"golden": a[max(0, i - context) : j + context], "candidate": b[max(0, k - context) : m + context]} for _, i, j, k, m in cuts]
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("golden", T.StringType()), T.StructField("candidate", T.StringType())])))
+def diff_segments(golden: pa.Array, candidate: pa.Array, context: pa.Array) -> pa.Array:
+    """The segments of each pair, worked out once for each different pair of a batch."""
+    pairs = [*zip(golden.to_pylist(), candidate.to_pylist(), context.to_pylist(), strict=True)]
+    known = {p: segments_of(*p) for p in set(pairs)}
+    return pa.array([known[p] for p in pairs], pa.list_(pa.struct([("golden", pa.string()), ("candidate", pa.string())])))
+
+
 def mined(pairs: DataFrame, context: int = 5) -> DataFrame:
     """sample_id, golden, candidate, category of each difference of pairs (sample_id, g_text, c_text)."""
     found = pairs.select("sample_id", F.explode(diff_segments("g_text", "c_text", F.lit(context))).alias("d")).select("sample_id", "d.golden", "d.candidate")
