@@ -8,6 +8,9 @@ from foliant.operators import evaluation as ev
 from foliant.operators import ordered
 from foliant.plans.registry import query, table
 
+#: All Hangul syllables: letters that a text can have once each.
+LETTERS = "".join(map(chr, range(0xAC00, 0xD7A4)))
+
 
 @query("""WITH g AS (SELECT conv_id, turn, 1 + turn % 3 AS number FROM conversations), c AS (SELECT conv_id, turn, 1 + turn % 4 AS number FROM conversations WHERE turn % 5 <> 1),
 gf AS (SELECT conv_id, number, min(turn) AS g_order FROM g GROUP BY ALL), cf AS (SELECT conv_id, number, min(turn) AS c_order FROM c GROUP BY ALL),
@@ -116,3 +119,18 @@ def accepted_headers(spark, d):
 def failure_clusters(spark, d):
     e = table(spark, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("category"), F.col("event_id").alias("sample_id"), F.lit("").alias("golden"), F.lit("").alias("candidate"))
     return ev.clusters(e).select("category", "n")
+
+
+@query("""WITH d AS (SELECT doc_id, 20 + n_chars % 150 AS n, doc_id % (20 + n_chars % 150) AS k FROM documents), c AS (SELECT *, n_chars % (n - k + 1) AS m FROM d JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id))
+SELECT doc_id, round(CASE doc_id % 3 WHEN 0 THEN 2.0 * (n - m) / (2 * n - m) WHEN 1 THEN greatest(k, n - k) / n::DOUBLE ELSE (n - m) / n::DOUBLE END, 6)::DOUBLE AS ratio FROM c""")
+def seq_ratio_degrees(spark, d):
+    """The similarity of texts of letters that occur once, so that SQL can tell it: with a part left out, with two parts changed about, with a part replaced."""
+    r = table(spark, d, "documents")
+    n = (20 + F.col("n_chars") % 150).cast("int")
+    k = (F.col("doc_id") % n).cast("int")
+    m = (F.col("n_chars") % (n - k + 1)).cast("int")
+    cut = lambda start, length: F.substring(F.lit(LETTERS), start, length)
+    one = F.lit(1)
+    a, left, right, after = cut(one, n), cut(one, k), cut(k + 1, n - k), cut(k + m + 1, n - k - m)
+    b = F.when(F.col("doc_id") % 3 == 0, F.concat(left, after)).when(F.col("doc_id") % 3 == 1, F.concat(right, left)).otherwise(F.concat(left, cut(F.lit(5_001), m), after))
+    return r.select("doc_id", F.round(ev.seq_ratio(a, b), 6).alias("ratio"))

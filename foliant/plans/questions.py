@@ -10,6 +10,7 @@ from foliant.functions import questions as qs
 from foliant.functions import text as tx
 from foliant.operators import audit, scoring
 from foliant.operators import evaluation as ev
+from foliant.plans.evaluation import LETTERS
 from foliant.plans.registry import query, table
 from foliant.sources.readers import BLOCK, PART, QUESTION
 
@@ -25,7 +26,7 @@ def question(**fields: Column) -> Column:
 
 
 #: Texts of sixty letters that no other turn has: how much of one is left can be told in SQL. Of its candidate as many tens are cut off as the conversation's remainder by 6 says.
-LETTERS, LONG, CUT = "".join(map(chr, range(0xAC00, 0xD7A4))), 60, 10
+LONG, CUT = 60, 10
 
 
 def golden(spark, d) -> DataFrame:
