@@ -146,12 +146,12 @@ def form_names(spark, d):
 # Texts
 
 
-@query(f"""WITH h AS ({WORDS}), x AS (SELECT i, CASE WHEN n % 3 = 0 THEN (1990 + n % 60)::VARCHAR ELSE lpad((n % 100)::VARCHAR, 2, '0') END || '년' AS y, n % 4 AS g FROM h), z AS (SELECT *, regexp_extract(y, '(\\d{{2,4}})', 1)::INT AS v FROM x)
-SELECT i AS doc_id, CASE WHEN v < 100 THEN v + 2000 ELSE v END AS year, CASE WHEN g = 0 THEN false ELSE CASE WHEN v < 100 THEN v + 2000 ELSE v END < 2024 + g END AS old FROM z""")
+@query(f"""WITH h AS ({WORDS}), x AS (SELECT i, CASE WHEN n % 3 = 0 THEN (1990 + n % 60)::VARCHAR ELSE lpad((n % 100)::VARCHAR, 2, '0') END || '년' AS y, n % 4 AS g, n FROM h), z AS (SELECT *, regexp_extract(y, '(\\d{{2,4}})', 1)::INT AS v FROM x)
+SELECT i AS doc_id, CASE WHEN v < 100 THEN v + 2000 ELSE v END AS year, CASE WHEN g = 0 THEN false ELSE CASE WHEN v < 100 THEN v + 2000 ELSE v END < 2024 + g END AS old, 2000 + n % 100 AS full FROM z""")
 def years(spark, d):
     n = F.col("n")
     y = text(F.when(n % 3 == 0, (1990 + n % 60).cast("string")).otherwise(F.lpad((n % 100).cast("string"), 2, "0")), "년")
-    return shown(spark, d, year=exams.year_of(y), old=exams.old_curriculum(text("고", n % 4), y))
+    return shown(spark, d, year=exams.year_of(y), old=exams.old_curriculum(text("고", n % 4), y), full=tx.full_year(n % 100))
 
 
 @query(r"WITH h AS (" + WORDS + r""") SELECT i AS doc_id, regexp_replace(w[1] || chr(7) || w[2] || chr(9) || lang || chr(31) || chr(10), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS clean, '\frac' || w[2] || '\' || lang AS single, 2 * length(w[1]) + length(lang) + 2 * length(w[3]) AS width FROM h""")
