@@ -47,6 +47,8 @@ SIZES = [*range(1, 13), 14, 16, 19]
 TRIALS, WALKS = 600, 120
 #: Items in one index, and hashes in it (24 bytes each), but for a single item with more; more take more scans.
 ITEMS, HASHES = 20_000, 4_000_000
+#: Collisions that are held before those of one place are made one.
+HITS = 4_000_000
 #: Punctuation that is cut from the ends of words.
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„‚…–—¿¡"
 def bare(words: pa.Array) -> pa.Array:
@@ -224,30 +226,33 @@ def candidates(index: Index, words: np.ndarray, owner: np.ndarray) -> set[tuple[
     first, last = (np.searchsorted(owner, np.arange(owner[-1] + 1), side=side) for side in ("left", "right"))
     sizes = np.fromiter(map(len, index.items), np.int64, len(index.items))
     longest = int(sizes.max(initial=0))
-    span, seen = len(words) + longest, np.zeros(0, np.int64)
+    span = len(words) + longest
     for (size, edits), (walks, tables) in index.tables.items():
         ends = np.minimum(np.arange(len(words)) + size, last[owner])
         need = size - 1 - 2 * edits
         starts = np.flatnonzero(sums[ends - 1] - sums[: len(words)] >= need if need > 0 else known)
+        found_at: list[np.ndarray] = []
         for at in range(0, len(starts), 50_000):
             block = starts[at : at + 50_000]
             for h, (keys, who, offset) in zip(walks.hashes(index.coins, words, block, ends[block]), tables, strict=True):
                 lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
                 hit = np.flatnonzero(hi > lo)
+                if not len(hit):
+                    continue
                 n = (hi - lo)[hit]
                 k = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 p = np.repeat(block[hit], n)
                 some = aligned(words, p, last[owner[p]], who[k], index.members, len(index.words) + 1, size, edits)
                 k, p = k[some], p[some]
                 # One number for (document, item, place): walks and windows of one match give the same few.
-                key = (owner[p] * len(sizes) + who[k]) * span + p - offset[k] + longest
-                fresh = np.setdiff1d(key, seen)
-                if len(fresh):
-                    seen = np.union1d(seen, fresh)
-                    doc, item, place = fresh // span // len(sizes), fresh // span % len(sizes), fresh % span - longest
-                    n, most = sizes[item], sizes[item] // ONE_IN
-                    some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, most)
-                    found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
+                found_at.append((owner[p] * len(sizes) + who[k]) * span + p - offset[k] + longest)
+                if sum(map(len, found_at)) > HITS:
+                    found_at = [np.unique(np.concatenate(found_at))]
+        key = np.unique(np.concatenate(found_at)) if found_at else np.zeros(0, np.int64)
+        doc, item, place = key // span // len(sizes), key // span % len(sizes), key % span - longest
+        n, most = sizes[item], sizes[item] // ONE_IN
+        some = enough_near(words, np.maximum(first[doc], place - most), np.minimum(last[doc], place + n + most), item, index.members, len(index.words) + 1, most)
+        found.update(zip(doc[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True))
     return found
 
 
