@@ -28,36 +28,47 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Encoding, Tokenizer
 
 from foliant.llm.common import pieces, segment_sum, split_words
 
 #: Bytes that are encoded at a time, and by how much chunks overlap at first.
-CHUNK = 32_768
+CHUNK = 8_192
 OVERLAP = 256
 #: Bytes of short texts that are encoded in one call, and pieces of them whose counts a worker keeps.
 TOGETHER = 4_000_000
 KEPT = 200_000
 #: Tokens beyond which a text is over the limit.
 LIMIT = 2_048
-#: Characters that no normal form joins to what stands before them: all below the first combining mark, Greek and Cyrillic letters, punctuation and letters of Chinese and Japanese, Hangul syllables.
-STARTERS = re.compile(r"[\x00-˿Α-Ρα-ωА-я、-〩ぁ-ゖァ-ヺ一-鿿가-힣]{2}")
+#: Characters that no normal form joins to what stands before them: all below the first combining mark, letters of Greek, Cyrillic, Hebrew, Arabic, Devanagari and Thai, punctuation and letters of Chinese and Japanese, Hangul syllables.
+STARTERS = re.compile(r"[\x00-˿Α-Ρα-ωА-я\u05D0-\u05EA\u0621-\u064A\u0905-\u0939\u0E01-\u0E2E、-〩ぁ-ゖァ-ヺ一-鿿가-힣]{2}")
 
 
-class Chunk(NamedTuple):
-    """Of an encoded chunk: its characters, the number of its tokens, and where its words start (character, token)."""
+class Chunk:
+    """An encoded chunk; what is asked of it is answered by the library's encoding, so that no list of all offsets is made."""
 
-    size: int
-    tokens: int
-    starts: list[int]
-    at: list[int]
+    def __init__(self, encoding: Encoding, size: int):
+        self.encoding, self.size, self.tokens = encoding, size, len(encoding)
+
+    def place(self, token: int) -> int:
+        """The character that a token begins at; it grows with the token."""
+        return self.encoding.token_to_chars(token)[0]
+
+    def starts(self, token: int) -> bool:
+        """A word starts with the token, and no token before it reaches into it."""
+        e = self.encoding
+        return not token or e.token_to_word(token) != e.token_to_word(token - 1) and e.token_to_chars(token - 1)[1] <= self.place(token)
+
+    def start_at(self, place: int) -> int | None:
+        """The token that begins a word at a character; None where none does."""
+        token = bisect.bisect_left(range(self.tokens), place, key=self.place)
+        return token if token < self.tokens and self.place(token) == place and self.starts(token) else None
 
 
 class Counter:
@@ -75,31 +86,19 @@ class Counter:
 
     def chunk_of(self, data: memoryview, lo: int, hi: int) -> Chunk:
         text = str(data[lo:hi], "utf-8")
-        got = self.library.encode(text, add_special_tokens=False)
-        starts, at, before, reach = [], [], None, 0
-        for i, (word, (a, b)) in enumerate(zip(got.word_ids, got.offsets, strict=True)):
-            if (word is None or word != before) and a >= reach:
-                starts.append(a)
-                at.append(i)
-            before, reach = word, max(reach, b)
-        return Chunk(len(text), len(got), starts, at)
+        return Chunk(self.library.encode(text, add_special_tokens=False), len(text))
 
     def splice(self, a: Chunk, b: Chunk, shared: str) -> tuple[int, int] | None:
         """The tokens of a before, and of b before, the last stable boundary that they have in common in the text they share, the end of a."""
-        base, limit = a.size - len(shared), len(shared)
-        room = 0
+        limit, room = len(shared), 0
         while limit and room < self.look:  # in bytes, as special strings may hold any character
             limit -= 1
             room += len(shared[limit].encode())
         if room < self.look:
             return None
-        i = bisect.bisect_right(b.starts, limit) - 1
-        while i >= 0:
-            p = b.starts[i]
-            k = bisect.bisect_left(a.starts, base + p)
-            if k < len(a.starts) and a.starts[k] == base + p and STARTERS.match(shared, p):
-                return a.at[k], b.at[i]
-            i -= 1
+        for in_b in range(bisect.bisect_right(range(b.tokens), limit, key=b.place) - 1, -1, -1):
+            if b.starts(in_b) and STARTERS.match(shared, p := b.place(in_b)) and (in_a := a.start_at(a.size - len(shared) + p)) is not None:
+                return in_a, in_b
         return None
 
     def known(self, pieces: list[str]) -> np.ndarray:
