@@ -39,7 +39,7 @@ from tokenizers import Encoding, Tokenizer
 from foliant.llm.common import pieces, segment_sum, split_words
 
 #: Bytes that are encoded at a time, and by how much chunks overlap at first.
-CHUNK = 8_192
+CHUNK = 16_384
 OVERLAP = 256
 #: Bytes of short texts that are encoded in one call, and pieces of them whose counts a worker keeps.
 TOGETHER = 4_000_000
