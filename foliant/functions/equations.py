@@ -59,6 +59,8 @@ def prepared(latex: Column) -> Column:
 TALL = {"\\frac", "\\sqrt", "\\binom", "\\sum", "\\prod", "\\int", "\\iint", "\\iiint", "\\oint", "\\bigcup", "\\bigcap", "\\bigoplus", "\\bigotimes"}
 #: Letters of probability, mean and variance: upright before brackets that hold a capital.
 STATISTICS = set("PEV")
+#: Arrows over vectors, and the sign of their product.
+VECTORS, PRODUCT = {"\\vec", "\\overrightarrow"}, "⦁"
 #: Commands of a style, with the script's word, and of spaces.
 STYLES = {"\\mathrm": "rm", "\\mathit": "it", "\\mathbf": "bold"}
 SPACES = {"\\,": "`", "\\ ": "`", "\\;": "~", "\\:": "~", "\\!": "", "\\quad": "~~", "\\qquad": "~~~~"}
@@ -69,6 +71,42 @@ FROM_ENVIRONMENTS = {w: c for c, w in ENVIRONMENTS.items()}
 FROM_STYLES = {w: c for c, w in STYLES.items()}
 
 
+def begins_with_vector(tokens: list[str], at: int) -> bool:
+    """What follows a place is a vector, or brackets that hold one."""
+    at = after_space(tokens, at)
+    if tokens[at : at + 1] == ["\\left"]:
+        at = after_space(tokens, at + 1)
+    if tokens[at : at + 1] != ["("]:
+        return bool(VECTORS & set(tokens[at : at + 1]))
+    depth, i = 0, at
+    while i < len(tokens):
+        depth += (tokens[i] == "(") - (tokens[i] == ")")
+        if tokens[i] in VECTORS or not depth:
+            return depth > 0
+        i += 1
+    return False
+
+
+def products_of_vectors(tokens: list[str]) -> list[str]:
+    """LaTeX tokens with the sign of a product of vectors for the dots beside a vector, or beside brackets that hold one."""
+    out, open_, last, ended = [], [], "", False  # ended: a vector, or brackets with one, end right before
+    for i, t in enumerate(tokens):
+        if t == "\\cdot" and (ended or begins_with_vector(tokens, i + 1)):
+            t = PRODUCT
+        if t in "({":
+            open_.append((t, last in VECTORS))
+        elif t in VECTORS:
+            open_ = [(c, held or c == "(") for c, held in open_]
+        if t in ")}" and open_ and open_[-1][0] == {")": "(", "}": "{"}[t]:
+            ended = open_.pop()[1]
+        elif not t.isspace():
+            ended = last in VECTORS and t != "{"
+        if not t.isspace():
+            last = t
+        out.append(t)
+    return out
+
+
 def reviewed(tokens: list[str]) -> list[str]:
     """LaTeX tokens with complements in capitals (after a single capital, or brackets that hold capitals and neither small letters nor digits), brackets around tall content growing, and letters of probability marked (\x00) before brackets that hold a capital. Brackets are matched once, with running counts."""
     out, open_, marks = [], {"(": [], "{": []}, {}
@@ -113,7 +151,7 @@ def reviewed(tokens: list[str]) -> list[str]:
 
 class FromLatex(Program):
     def read(self, latex: str) -> list:
-        tokens = [x for t in reviewed(LATEX.findall(latex)) for x in ([t[:-1], t[-1]] if t in ("\\left(", "\\right)") else [t])]
+        tokens = [x for t in products_of_vectors(reviewed(LATEX.findall(latex))) for x in ([t[:-1], t[-1]] if t in ("\\left(", "\\right)") else [t])]
         i = 0
         while i < len(tokens):
             t, i = tokens[i], i + 1
@@ -164,6 +202,8 @@ class FromLatex(Program):
                 self.leaf(f'"{t[1]}"')
             elif t[0] == "\x00":
                 self.leaf(f" rm {t[1]} it ")
+            elif t == PRODUCT:
+                self.leaf(f" {PRODUCT} ")
             elif t in SPACES:
                 self.leaf(SPACES[t])
             elif t in TO_WORDS:
@@ -235,6 +275,8 @@ class FromScript(Program):
                 self.leaf(f"\\{t[1]}" if t in ('"{"', '"}"') else f"\\text{{{t[1:-1]}}}" if len(t) > 2 else "")
             elif t == "`":
                 self.leaf("\\,")
+            elif t == PRODUCT:
+                self.leaf("\\cdot ")
             elif t == "#":
                 self.leaf(" \\\\ ")
             elif command := TO_COMMANDS.get(t) or (t[0].isalpha() and len(t) > 1 and (TO_COMMANDS.get(t.upper()) or TO_COMMANDS.get(low))):

@@ -90,6 +90,17 @@ def test_marks_of_sets_and_probability(latex, script):
     assert eq.script_of(latex) == script
 
 
+@pytest.mark.parametrize(
+    ("latex", "script"),
+    [
+        (r"\vec{a} \cdot \vec{b}", "VEC {a} ⦁ VEC {b}"), (r"2 \cdot 3", "2 CDOT 3"), (r"(\vec{a}+x) \cdot c", "( VEC {a}+x) ⦁ c"), (r"c \cdot \left( x+\vec{a} \right)", "c ⦁ LEFT ( x+ VEC {a} RIGHT )"), (r"\vec{a} x \cdot y", "VEC {a} x CDOT y"),
+        (r"\vec a \cdot b", "VEC {a} ⦁ b"), (r"(x) \cdot (y", "(x) CDOT (y"), (r"\cdot", "CDOT"), (r"\overline{a} \cdot b", "bar {a} CDOT b"),
+    ],
+)
+def test_products_of_vectors(latex, script):
+    assert eq.script_of(latex) == script and bare(eq.script_of(eq.latex_of(script))) == bare(script)
+
+
 def test_distinct_equations_and_nulls(spark):
     df = spark.createDataFrame([("a over b",), ("a over b",), (None,), ("",)], "x string")
     assert [r[0] for r in df.select(eq.to_latex(F.col("x"))).collect()] == [r"\frac{a}{b}"] * 2 + ["", ""]
