@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import boxes, styles
 from foliant.operators import assembly
 from foliant.plans.formulas import a_block
-from foliant.plans.registry import query, table
+from foliant.plans.registry import query, spread, table
 from foliant.sources.readers import BLOCK
 
 
@@ -89,5 +89,5 @@ def letters_styled(spark, d):
         a_block("text", F.concat(word, F.lit(" "), scores)), a_block("equation", a), a_block("equation", F.concat(a, F.lit("("), p, F.lit(", "), s, F.lit(")"))), a_block("equation", F.concat(a, F.lit("Z"))),
         a_block("text", F.lit(" [총 ")), a_block("equation", (p % 10).cast("string")), a_block("text", F.lit("점]")), a_block("equation", F.concat(F.lit(r"\mathrm{E}_"), p, F.lit(r"+\mathrm{E}"))),
     )
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), styles.letters_styled(blocks).alias("b"))
+    rows = spread(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), styles.letters_styled(blocks).alias("b"))
     return rows.select("line", F.array_join(F.transform("b", lambda b: b["value"]), "|").alias("shown"))

@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys ahead of Python that takes far longer than reading: one task reads a small file, or all of a row group."""
+    return rows.repartition(*keys)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from foliant.plans import catalog, columns, content, evaluation, files, formulas, measured, merging, pages, parsing, questions, wording  # noqa: F401
 
