@@ -219,12 +219,14 @@ def last_before(left: DataFrame, right: DataFrame, group: str, at: str, value: s
 
 
 def point_in_box(points: DataFrame, boxes: DataFrame, page: str, cell: float = 50.0) -> DataFrame:
-    """points (id, page, x, y) with the first box (box, page, x0, y0, x1, y1) they lie in: boxes are laid on a grid, so that points meet only boxes near them."""
+    """points (id, page, x, y) with the first box (box, page, x0, y0, x1, y1) they lie in: boxes are laid on a grid, so that points meet only boxes near them. Of boxes in one place only the first counts, and each place of points is looked up once."""
     grid = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    laid = boxes.withColumn("gx", grid("x0", "x1")).withColumn("gy", grid("y0", "y1"))
-    p = points.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
-    hit = p.join(laid, [page, "gx", "gy"]).filter("x between x0 and x1 and y between y0 and y1").groupBy("id").agg(F.min("box").alias("box"))
-    return points.join(hit, "id", "left")
+    first = boxes.groupBy(page, "x0", "x1", "y0", "y1").agg(F.min("box").alias("box"))
+    laid = first.withColumn("gx", grid("x0", "x1")).withColumn("gy", grid("y0", "y1"))
+    places = points.select(page, "x", "y").distinct()
+    p = places.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
+    hit = p.join(laid, [page, "gx", "gy"]).filter("x between x0 and x1 and y between y0 and y1").groupBy(page, "x", "y").agg(F.min("box").alias("box"))
+    return points.join(hit, [page, "x", "y"], "left")
 
 
 def outer_boxes(boxes: DataFrame, page: str) -> DataFrame:

@@ -235,6 +235,6 @@ def asof_last_before(spark, d):
 LEFT JOIN (SELECT s_suppkey, s_suppkey % 4 AS page, (s_suppkey % 40) * 10.0 AS x0, (s_suppkey % 40) * 10.0 + 60 AS x1, 0.0 AS y0, 70.0 AS y1 FROM supplier) b
 ON b.page = l.l_orderkey % 4 AND l.x BETWEEN b.x0 AND b.x1 AND l.y BETWEEN b.y0 AND b.y1 GROUP BY 1""")
 def spatial_point_in_box(spark, d):
-    p = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_orderkey % 4 as page", "l_quantity * 10 as x", "l_discount * 1000 as y").distinct()
+    p = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", "l_orderkey % 4 as page", "l_quantity * 10 as x", "l_discount * 1000 as y")
     b = table(spark, d, "supplier").selectExpr("s_suppkey as box", "s_suppkey % 4 as page", "s_suppkey % 40 * 10.0d as x0", "s_suppkey % 40 * 10.0d + 60 as x1", "0.0d as y0", "70.0d as y1")
     return ordered.point_in_box(p, b, "page").groupBy("id").agg(F.min("box").alias("box"))

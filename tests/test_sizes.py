@@ -3,10 +3,12 @@
 import math
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import fragments as fr
+from foliant.operators import ordered
 from foliant.plans import registry
 from foliant.sources.readers import BLOCK
 
@@ -29,6 +31,30 @@ def test_blocks_reach_python_as_text_and_whole(spark):
     assert math.isnan(nan.select(fr.fragments_merged(F.col("b"), "signs").alias("m")).first()["m"][0]["bbox"][0])
 
 
+def test_points_and_boxes_in_few_places(spark):
+    """400 million pairs before: copies of a box and points of one place met each other; rows of one id each keep their own box."""
+    points = spark.range(40_000).selectExpr("id div 2 as id", "id % 4 as page", "double(id % 10) as x", "double(id % 7) as y")
+    boxes = spark.range(40_000).selectExpr("id + 5 as box", "id % 4 as page", "double(id % 2) * 3 as x0", "double(id % 2) * 3 + 4 as x1", "0d as y0", "5d as y1")
+    got = ordered.point_in_box(points, boxes, "page")
+    first = {}
+    for i in range(40_000):
+        first.setdefault((i % 4, i % 2 * 3.0), i + 5)
+    want = lambda r: min((b for (page, x0), b in first.items() if page == r["page"] and x0 <= r["x"] <= x0 + 4 and r["y"] <= 5), default=None)
+    rows = got.collect()
+    assert len(rows) == 40_000 and all(r["box"] == want(r) for r in rows)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_parts_beyond_a_million(spark, tmp_path):
+    """The SQL orders an order's lines by one number, in which such a part comes behind the next line."""
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace(l_partkey * 613 % 1300000 as l_partkey) from '{DATA}/lineitem.parquet' where l_orderkey < 3000) to '{tmp_path}/lineitem.parquet'")
+    con.sql(f"create view lineitem as from '{tmp_path}/lineitem.parquet'")
+    got = registry.queries()["signs_joined"](spark, str(tmp_path)).select("order_id", "place", "type", "value").collect()
+    want = con.sql(f"select order_id, place, type, value from ({registry.oracle_sql()['signs_joined']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 @pytest.mark.parametrize("name", ["letters_styled"])
 def test_rows_are_dealt_out_before_python(spark, name):
