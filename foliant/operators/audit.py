@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,11 +98,16 @@ def stable_ids(now: DataFrame, then: DataFrame, key: str, fields: list[str]) ->
     for s in some[1:]:
         agree &= s
     same = here.select(F.col(f"t.{key}").alias(key), *[F.col(f"t.{f}").alias(f) for f in fields], "known", F.coalesce(agree, F.lit(False)).alias("same"))
-    # Only rows that do not agree in place look elsewhere, by their first field.
+    # Only rows that do not agree in place look elsewhere: for each choice of known fields, among the different values that `now` has of them.
     lost = same.filter("known and not same")
-    first = fields[0]
-    rest = agree & F.col(f"t.{first}").isNotNull()
-    other = lost.alias("t").join(now.alias("n"), F.col(f"t.{first}") == F.col(f"n.{first}")).filter(rest).select(F.col(f"t.{key}").alias(key)).distinct().withColumn("elsewhere", F.lit(True))
+    found = []
+    for mask in range(1, 1 << len(fields)):
+        have = [f for i, f in enumerate(fields) if mask >> i & 1]
+        some = lost
+        for f in fields:
+            some = some.filter(F.col(f).isNotNull() if f in have else F.col(f).isNull())
+        found.append(some.join(now.select(*have).distinct(), have, "left_semi").select(key))
+    other = reduce(DataFrame.unionByName, found).distinct().withColumn("elsewhere", F.lit(True))
     return same.join(other, key, "left").select(key, F.when(~F.col("known"), "weak").when(F.col("same"), "ok").when(F.col("elsewhere"), "shifted").otherwise("mislabeled").alias("verdict"))
 
 

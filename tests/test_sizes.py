@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import fragments as fr
-from foliant.operators import ordered
+from foliant.operators import audit, ordered
 from foliant.plans import registry
 from foliant.sources.readers import BLOCK
 
@@ -55,6 +55,14 @@ def test_parts_beyond_a_million(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_ids_lost_among_many_of_one_value(spark):
+    """900 million pairs before, of rows whose first field is one value; a first field that is not known leaves the second to look by."""
+    now = spark.range(30_000).selectExpr("id", "'a' as s", "id % 100 as g")
+    then = spark.range(30_000).selectExpr("id + 1 as id", "if(id % 3 = 0, null, 'a') as s", "if(id % 7 = 0, 100, id % 100) as g")
+    got = {r["id"]: r["verdict"] for r in audit.stable_ids(now, then, "id", ["s", "g"]).collect()}
+    assert got == {i + 1: "mislabeled" if i % 7 == 0 else "shifted" for i in range(30_000)}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 @pytest.mark.parametrize("name", ["letters_styled"])
 def test_rows_are_dealt_out_before_python(spark, name):
