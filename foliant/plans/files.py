@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,21 +85,22 @@ def page_file_order(spark, d):
 
 def zipped(batches):
     """A zip file for each row (doc_id, text): the text in two sections and a file beside them; every seventh is broken."""
-    for pdf in batches:
+    few = (b.slice(k, 100) for b in batches for k in range(0, b.num_rows, 100))
+    for batch in few:
         files = []
-        for i, x in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w") as z:
                 for name, body in (("Contents/section10.xml", f"<b>{i}</b>"), ("Contents/section0.xml", f"<a>{x}</a>"), ("section.xml", "x"), ("other.txt", "x")):
                     z.writestr(name, body)
             files.append(buffer.getvalue()[: 20 if i % 7 == 0 else None])
-        yield pd.DataFrame({"path": pdf["doc_id"].astype(str), "content": files})
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(files, pa.binary())], ["path", "content"])
 
 
 @query("""SELECT doc_id, entry, md5(xml) AS xml FROM (SELECT doc_id, 'Contents/section0.xml' AS entry, '<a>' || text || '</a>' AS xml FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, 'Contents/section10.xml', '<b>' || doc_id || '</b>' FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 7 = 0)""")
 def zip_entries(spark, d):
     """Sections of zip files, one of each document's text, that are made in tasks; broken files have no entry."""
-    files = table(spark, d, "documents").select("doc_id", "text").mapInPandas(zipped, "path string, content binary")
+    files = table(spark, d, "documents").select("doc_id", "text").mapInArrow(zipped, "path string, content binary")
     return readers.unzipped(files).select(F.col("path").cast("long").alias("doc_id"), "entry", F.md5("xml").alias("xml"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of unpacked entries after which they leave Python.
+HELD = 1_000_000
 INVENTORY = "path string, size long, mtime string"
 BLOCK = "struct<type:string,value:string,rows:array<array<string>>,bbox:array<double>,page:int,bold:boolean,underline:boolean,box_member:boolean>"
 PART = f"struct<number:int,score:string,contents:array<{BLOCK}>>"
@@ -58,20 +60,28 @@ def unzipped(files: DataFrame, entry: str = r"section\d+\.xml\Z") -> DataFrame:
     import re
     import zipfile
 
-    import pandas as pd
+    import pyarrow as pa
+
+    names = pa.schema([("path", pa.string()), ("entry", pa.string()), ("xml", pa.string())])
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+        for batch in batches:
+            rows, held = [], 0
+            for p, content in zip(batch["path"], batch["content"], strict=True):
+                p, content = p.as_py(), content.as_py()
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(p, n, z.read(n).decode("utf-8", "replace")) for n in sorted(z.namelist()) if re.search(entry, n)]
+                        own = [{"path": p, "entry": n, "xml": z.read(n).decode("utf-8", "replace")} for n in sorted(z.namelist()) if re.search(entry, n)]
                 except zipfile.BadZipFile:
-                    rows.append((p, None, None))
-            yield pd.DataFrame(rows, columns=["path", "entry", "xml"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, entry string, xml string")
+                    own = [{"path": p, "entry": None, "xml": None}]
+                rows += own
+                held += sum(len(r["xml"] or "") for r in own)
+                if held > HELD:
+                    yield pa.RecordBatch.from_pylist(rows, names)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, entry string, xml string")
 
 
 def remapped(rows: DataFrame, path: str, existing: DataFrame, prefixes: dict[str, str]) -> DataFrame:

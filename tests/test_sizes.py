@@ -1,6 +1,8 @@
 """What grows with the tables: how rows reach Python, how many tasks share them, and joins on keys that repeat."""
 
+import io
 import math
+import zipfile
 from pathlib import Path
 
 import duckdb
@@ -8,8 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import fragments as fr
-from foliant.operators import audit, ordered
+from foliant.functions import splitting
+from foliant.functions import text as tx
+from foliant.operators import audit, ordered, relational
 from foliant.plans import registry
+from foliant.sources import readers
 from foliant.sources.readers import BLOCK
 
 DATA = Path("/root/testdata/sf0.01")
@@ -63,6 +68,33 @@ def test_ids_lost_among_many_of_one_value(spark):
     assert got == {i + 1: "mislabeled" if i % 7 == 0 else "shifted" for i in range(30_000)}
 
 
+def test_windows_of_long_texts_in_one_pass(spark):
+    """Each window was counted out from the text's start: minutes for these texts; signs beyond the basic plane and line ends are characters."""
+    texts = ["ab\n" * 100_000, "가😀나\r\n" * 20_000, "x" * 12, "x" * 13, "y" * 18, "", None]
+    df = spark.createDataFrame(list(enumerate(texts * 4)), "i int, x string")
+    for r in df.select("i", "x", tx.windows(F.col("x")).alias("w"), relational.grams(F.substring("x", 1, 500), 2, 3).alias("g")).collect():
+        x = r["x"]
+        assert r["w"] == (None if x is None else [] if not x else [x] if len(x) <= 12 else [x[k : k + 12] for k in range(0, len(x) - 11, 6)])
+        assert x is None or r["g"] == list(dict.fromkeys(x[:500][k : k + n] for n in (2, 3) for k in range(len(x[:500]) - n + 1)))
+
+
+def test_zips_and_spans_leave_python_in_pieces(spark):
+    """More than one piece of each batch, the same rows."""
+    def packed(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k in range(3):
+                z.writestr(f"section{k}.xml", str(n) * 300_000)
+        return out.getvalue()
+
+    files = spark.createDataFrame([(str(n), bytearray(packed(n) if n % 5 else b"broken")) for n in range(10)], "path string, content binary").coalesce(1)
+    got = sorted((r["path"], r["entry"], r["n"]) for r in readers.unzipped(files).select("path", F.coalesce("entry", F.lit("")).alias("entry"), F.length("xml").alias("n")).collect())
+    assert [g for g in got if g[1]] == [(str(n), f"section{k}.xml", 300_000) for n in range(10) if n % 5 for k in range(3)] and len(got) == 26
+    texts = [None if i % 50 == 3 else f"값은 x_{i % 90}=3이다." for i in range(splitting.FEW * 3 + 5)]
+    spans = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1).select("i", splitting.split(F.col("x")).alias("s")).collect()
+    assert [(r["i"], "".join(s["raw"] for s in r["s"])) for r in spans] == [(i, t or "") for i, t in enumerate(texts)]
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 @pytest.mark.parametrize("name", ["letters_styled"])
 def test_rows_are_dealt_out_before_python(spark, name):
