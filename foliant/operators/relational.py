@@ -64,7 +64,7 @@ def tiered_match(rows: DataFrame, candidates: DataFrame, key: str, tiers: list[t
 
 def grams(x: Column, *sizes: int) -> Column:
     """The different runs of so many characters of a text."""
-    of = lambda n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    of = lambda n: F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
     return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
 
 

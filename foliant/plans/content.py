@@ -102,5 +102,5 @@ def score_text(spark, d):
 
 @query("SELECT doc_id, len(w) AS n, w[1] AS first, w[-1] AS last FROM (SELECT doc_id, CASE WHEN length(text) <= 12 THEN [text] ELSE list_transform(range(1, length(text) - 10, 6), lambda i: substring(text, i, 12)) END AS w FROM documents WHERE text <> '')")
 def sliding_windows(spark, d):
-    w = tx.windows(F.col("text"))
-    return table(spark, d, "documents").filter("text <> ''").select("doc_id", F.size(w).cast("long").alias("n"), F.get(w, F.lit(0)).alias("first"), F.element_at(w, -1).alias("last"))
+    w = F.col("w")
+    return table(spark, d, "documents").filter("text <> ''").select("doc_id", tx.windows(F.col("text")).alias("w")).select("doc_id", F.size(w).cast("long").alias("n"), F.get(w, F.lit(0)).alias("first"), F.element_at(w, -1).alias("last"))
