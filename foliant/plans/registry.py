@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt out by keys ahead of Python that takes far longer than reading: one task reads a small file, or all of a row group."""
-    return rows.repartition(*keys)
+    """rows dealt out by keys ahead of Python that takes far longer than reading: one task reads a small file, or all of a row group. The number is given, as Spark would put few bytes together again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -96,7 +96,7 @@ def test_zips_and_spans_leave_python_in_pieces(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["letters_styled"])
+@pytest.mark.parametrize("name", ["letters_styled", "relations_joined", "lists_cut", "formulas_found", "choices_read", "equation_depth", "equation_scripts", "equation_latex"])
 def test_rows_are_dealt_out_before_python(spark, name):
     """A file of one row group went through Python in one task."""
     assert "RepartitionByExpression" in plan(registry.queries()[name](spark, str(DATA)))
