@@ -45,7 +45,7 @@ def choices_read(spark, d):
     one = lambda n, sign, head: F.struct(F.lit(n).alias("number"), F.array(a_block("text", F.concat(F.lit(f"{sign} (가) "), z, F.lit(", "), head, F.lit(" "), p))).alias("contents"))
     got = boxes.choices_read(F.array(one(1, "①", F.when(z % 4 > 0, "(나)").otherwise("(다)")), one(2, "②", F.lit("(나)"))).cast(f"array<struct<number:int,contents:array<{BLOCK}>>>"))
     shown = F.array_join(F.transform(F.col("c.choices")[0]["contents"], lambda b: F.concat(b["type"], F.lit(":"), b["value"])), "|")
-    return table(spark, d, "part").select("p_partkey", got.alias("c")).select("p_partkey", F.array_join("c.heads", ",").alias("heads"), shown.alias("first_choice"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", got.alias("c")).select("p_partkey", F.array_join("c.heads", ",").alias("heads"), shown.alias("first_choice"))
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, CASE WHEN (turn + conv_id) % 4 = 1 THEN turn END AS number FROM conversations), c AS (SELECT *, last_value(number IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM p)
