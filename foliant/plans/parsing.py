@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import answers, equations, jsonfix, names
 from foliant.operators import audit
-from foliant.plans.registry import query, table
+from foliant.plans.registry import query, spread, table
 from foliant.streaming.incremental import windowed
 
 
@@ -33,13 +33,13 @@ def json_repair(spark, d):
 def equation_scripts(spark, d):
     latex = F.concat(F.lit(r"\dfrac{"), "o_custkey", F.lit(r"}{x^{2} \times "), "o_orderkey", F.lit("}"))
     script = equations.to_script(latex)
-    return table(spark, d, "orders").select("o_orderkey", script.alias("script"), equations.leaks(script).alias("leaks"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", script.alias("script"), equations.leaks(script).alias("leaks"))
 
 
 @query(r"SELECT o_orderkey, 'if $\frac{' || o_custkey || '}{\sqrt{' || o_orderkey || '}}$ holds' AS latex FROM orders")
 def equation_latex(spark, d):
     text = F.concat(F.lit("if ${"), "o_custkey", F.lit("} over {sqrt {"), "o_orderkey", F.lit("}}$ holds"))
-    return table(spark, d, "orders").select("o_orderkey", equations.inline_to_latex(text).alias("latex"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", equations.inline_to_latex(text).alias("latex"))
 
 
 NESTED = "SELECT o_orderkey, o_custkey, 1 + o_orderkey % 30 AS n FROM orders"
@@ -52,7 +52,7 @@ def equation_depth(spark, d):
     n = (1 + F.col("o_orderkey") % 30).cast("int")
     script = F.concat(F.repeat(F.concat("o_custkey", F.lit(" over {")), n), F.lit("sqrt {x_"), "o_orderkey", F.lit("}"), F.repeat(F.lit("}"), n), F.lit(" LEQ x^2 over "), n)
     latex = equations.to_latex(script)
-    return table(spark, d, "orders").select("o_orderkey", latex.alias("latex"), equations.to_script(latex).alias("script"))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", latex.alias("latex"), equations.to_script(latex).alias("script"))
 
 
 @query(r"""SELECT p_partkey, 'rm ' || l || ' it (A CAP ' || b || '^{C})= LEFT ( {' || p_size || '} over {' || p_partkey || '} RIGHT )^{' || p_size || '}' AS script, l || '(x+' || p_size || ')^{c}' AS plain
