@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import text_of
-from foliant.operators.helpers import own
+from foliant.operators.helpers import dealt, own
 
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
@@ -97,19 +100,25 @@ def zipped(a: DataFrame, b: DataFrame, group: str, order: str, name: str) -> Dat
     return placed(a, "left").join(placed(b, "right"), [group, "place"], "full")
 
 
+#: Of the known rows of equal fields so many make a block, about; rows that look for them are dealt over so many parts.
+IDS, PARTS = 256, 16
+
+
 def wildcard_match(rows: DataFrame, known: DataFrame, fields: list[str], key: str) -> DataFrame:
-    """key of rows and id of known: where all fields that a row has agree, its empty fields matching anything. Rows are split by which fields they have, so that each split is an equality join; rows without any match nothing."""
-    splits = []
-    for mask in range(1, 1 << len(fields)):
-        have = [f for i, f in enumerate(fields) if mask >> i & 1]
-        some = rows
-        for f in fields:
-            some = some.filter(F.col(f).isNotNull() if f in have else F.col(f).isNull())
-        splits.append(some.select(key, *have).join(known.select("id", *have), have).select(key, "id"))
-    out = splits[0]
-    for s in splits[1:]:
-        out = out.unionByName(s)
-    return out
+    """key of rows and id of known: where all fields that a row has agree, its empty fields matching anything. It is an equality join, as known rows stand under each choice of their fields; rows without any match nothing.
+
+    The pairs are far more than the rows: blocks of ids meet parts of the rows, so that no task has all of a key, and the rows of a part meet the same ids in the same order one after the other, which columnar files hold in few bytes.
+    """
+    on, block, blocks, part = map(own, ("on", "block", "blocks", "part"))
+    have = lambda mask: [f for i, f in enumerate(fields) if mask >> i & 1]
+    choice = lambda some: F.struct(*[(F.col(f) if f in some else F.lit(None).cast(known.schema[f].dataType)).alias(f) for f in fields])
+    choices = [F.when(reduce(and_, [F.col(f).isNotNull() for f in have(mask)]), choice(have(mask))) for mask in range(1, 1 << len(fields))]
+    under = known.select("id", F.explode(F.array_compact(F.array(*choices))).alias(on))
+    sizes = under.groupBy(on).agg(F.ceil(F.count("*") / IDS).alias(blocks))
+    ids = under.join(sizes, on).select("id", on, F.pmod(F.xxhash64("id"), blocks).alias(block), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias(part))
+    some = rows.filter(reduce(or_, [F.col(f).isNotNull() for f in fields])).select(key, F.struct(*fields).alias(on), F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias(part))
+    met = some.join(sizes, on).select(key, on, part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias(block))
+    return dealt(met, on, block, part).hint("merge").join(ids, [on, block, part]).select(key, "id")
 
 
 def grid_fit(points: DataFrame, x: str, y: str, steps: DataFrame, shift: str) -> DataFrame:
