@@ -52,45 +52,55 @@ def _part(x: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with columns that are worked out once a row: a generator makes them, as Spark writes a projection's columns out again in each filter that it moves before it."""
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parsed(files: DataFrame, path: str = "path") -> DataFrame:
     """files with fmt, school, grade, level, subject, year, semester, round, publisher, status of each path. fmt is A, B, C, or why there is none: notexam, unparsed, nobracket."""
     p = F.regexp_replace(F.coalesce(F.col(path), F.lit("")), r"\\", "/")
-    d = files.withColumns({"__name": F.regexp_replace(F.regexp_replace(p, r"^.*/", ""), r"(?<=.)\.[^.]*$", ""), "__parent": F.regexp_replace(p, r"/?[^/]*$", ""), "ext": F.lower(F.regexp_extract(p, r"(\.[^./]+)$", 1))})
+    d = _once(files, {"__name": F.regexp_replace(F.regexp_replace(p, r"^.*/", ""), r"(?<=.)\.[^.]*$", ""), "__parent": F.regexp_replace(p, r"/?[^/]*$", ""), "ext": F.lower(F.regexp_extract(p, r"(\.[^./]+)$", 1))})
     name = F.col("__name")
-    d = d.withColumn("__t", F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)), lambda x: F.trim(x)))
+    d = _once(d, {"__t": F.transform(F.regexp_extract_all(name, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)), lambda x: F.trim(x))})
     t = F.col("__t")
     is_term = lambda x: x.rlike(TERM) | x.rlike(TERM_REVERSED)
     at = F.array_position(F.transform(t, is_term), True).cast("int")  # from 1, 0 where there is none
-    d = d.withColumns({"__at": at, "__term": F.get(t, at - 1), "status": F.nullif(F.trim(F.regexp_extract(name, r"\(([^()]*)\)\s*$", 1)), F.lit(""))})
+    d = _once(d, {"__at": at, "status": F.nullif(F.trim(F.regexp_extract(name, r"\(([^()]*)\)\s*$", 1)), F.lit(""))})
     at, term = F.col("__at"), F.col("__term")
-    straight = term.rlike(TERM)
+    d = _once(d, {"__term": F.get(t, at - 1), "__c": (F.size(t) == 0) & name.rlike(UNDERSCORED)})
+    d = _once(d, {"__straight": term.rlike(TERM)})
+    straight = F.col("__straight")
     pick = lambda a, b: F.when(straight, _part(term, TERM, a)).otherwise(_part(term, TERM_REVERSED, b))
     before, second, after = F.get(t, at - 2), F.get(t, F.lit(1)), F.get(t, at)
     first = lambda keep: F.get(F.filter(t, keep), F.lit(0))
-    last = lambda keep: F.element_at(F.filter(t, keep), -1)
+    of_b = (at == 0) & (F.size(t) > 0)
     year_b, grade_b, term_b = first(lambda x: x.rlike(r"^\d{2}$")), F.try_element_at(F.filter(t, lambda x: x.rlike("^[중고][1-3]$")), F.lit(-1)), F.try_element_at(F.filter(t, lambda x: x.rlike(r"^[12]학기\s*(중간|기말)$")), F.lit(-1))
     plain = lambda x: ~x.rlike(r"^\d{2}$") & ~x.rlike("^[중고][1-3]$") & ~x.rlike(r"^[12]학기\s*(중간|기말)$")
     is_school = lambda x: plain(x) & x.rlike("(고|중)$") & (F.length(x) >= 2)
     school_b = F.try_element_at(F.filter(t, is_school), F.lit(-1))
     subject_b = subject(F.try_element_at(F.filter(t, lambda x: plain(x) & ~is_school(x) & subject(x).isin(KNOWN)), F.lit(-1)))
+    d = _once(d, {"__b": F.when(of_b, F.struct(year_b.alias("year"), grade_b.alias("grade"), term_b.alias("term"), school_b.alias("school"), subject_b.alias("subject")))})
+    year_b, grade_b, term_b, school_b, subject_b = (F.col("__b")[c] for c in ("year", "grade", "term", "school", "subject"))
     school_c = _part(name, UNDERSCORED, 1)
     for long, short in SCHOOLS:
         school_c = F.replace(school_c, F.lit(long), F.lit(short))
     whole_b = year_b.isNotNull() & grade_b.isNotNull() & term_b.isNotNull() & school_b.isNotNull()
     fmt = (
         F.when(F.col("__parent").rlike(NOT_EXAM_PATH) | name.rlike(NOT_EXAM_NAME), "notexam")
-        .when(name.rlike(UNDERSCORED) & (F.size(t) == 0), "C")
+        .when(F.col("__c"), "C")
         .when(F.size(t) == 0, "nobracket")
         .when(at > 0, "A")
         .when(whole_b, "B")
         .otherwise("unparsed")
     )
     by = lambda a, b, c: F.when(F.col("fmt") == "A", a).when(F.col("fmt") == "B", b).when(F.col("fmt") == "C", c)
-    d = d.withColumn("fmt", fmt)
-    school = by(F.get(t, F.lit(0)), school_b, school_c)
-    d = d.withColumns(
+    d = _once(d, {"fmt": fmt})
+    d = _once(d, {"school": by(F.get(t, F.lit(0)), school_b, school_c)})
+    school = F.col("school")
+    d = _once(
+        d,
         {
-            "school": school,
             "grade": by(F.when(second.rlike("^[1-3]$"), second), F.right(grade_b, F.lit(1)), _part(name, UNDERSCORED, 2)).cast("int"),
             "subject": by(F.when((at >= 2) & ~before.rlike("^[1-3]$"), subject(before)), subject_b, subject(_part(name, UNDERSCORED, 6))),
             "year": by(pick(1, 1).cast("int") + 2000, year_b.cast("int") + 2000, _part(name, UNDERSCORED, 3).cast("int")),
@@ -98,10 +108,10 @@ def parsed(files: DataFrame, path: str = "path") -> DataFrame:
             "round": by(pick(3, 2), F.regexp_extract(term_b, "(중간|기말)$", 1), _part(name, UNDERSCORED, 5)),
             "publisher": by(after, F.lit(None), F.lit(None)),
             "level": F.coalesce(by(F.lit(None), F.left(grade_b, F.lit(1)), F.lit(None)), F.when(school.rlike("중$"), "중").when(school.rlike("고$"), "고")),
-        }
+        },
     )
     d = d.withColumn("subject", F.when(F.col("subject").isNull() & (F.col("level") == "중"), "수학").otherwise(F.col("subject")))
-    return d.drop("__name", "__parent", "__t", "__at", "__term")
+    return d.drop("__name", "__parent", "__t", "__at", "__term", "__c", "__straight", "__b")
 
 
 def valid(names: DataFrame, since: int = 2020) -> DataFrame:

@@ -14,7 +14,7 @@ from foliant.streaming.incremental import windowed
 SELECT o_orderkey, CASE f WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS fmt, CASE f WHEN 0 THEN '가람' || g || '고' WHEN 1 THEN '나래여고' ELSE '다솜여고' END AS school, g::INT AS grade, '고' AS level,
 CASE f WHEN 0 THEN '수1' WHEN 1 THEN '수상' ELSE '수하' END AS subject, (2000 + y)::INT AS year, s::INT AS semester, CASE WHEN f = 2 THEN '기말' ELSE '중간' END AS round, CASE f WHEN 0 THEN '완료' END AS status FROM o""")
 def file_names(spark, d):
-    o = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey % 3 as f", "1 + o_custkey % 3 as g", "20 + o_custkey % 6 as y", "1 + o_orderkey % 2 as s")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("o_orderkey", "o_orderkey % 3 as f", "1 + o_custkey % 3 as g", "20 + o_custkey % 6 as y", "1 + o_orderkey % 2 as s")
     a = F.format_string("/d/[가람%d고][%d][수학1][%d-%d-중간](완료).pdf", "g", "g", "y", "s")
     b = F.format_string("/d/[%d][고%d][%d학기중간][수학상][나래여고].hwp", "y", "g", "s")
     c = F.format_string("/d/다솜여자고등학교_%d학년_20%d_%d학기기말_수학하_공통.pdf", "g", "y", "s")

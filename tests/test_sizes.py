@@ -133,3 +133,10 @@ def test_glyphs_are_read_by_columns():
     for part in (x, x[3:], x[1:8], x[:0]):
         want = [[glyphs.glyph(**v) for v in r or [] if v and None not in v.values()] for r in part.to_pylist()]
         assert list(glyphs.runs(part)) == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_names_are_parsed_once_a_row(spark):
+    """The filter on what was parsed held every pattern again, for each of its columns; one row group was one task."""
+    made = plan(registry.queries()["file_names"](spark, str(DATA)))
+    assert "RepartitionByExpression" in made and made.count("학기(중간|기말)_") < 20
