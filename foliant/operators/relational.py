@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import text_of
 from foliant.operators.helpers import dealt, own
+from foliant.sources.durable import durable
 
 
 def filtered(rows: DataFrame, **wanted) -> DataFrame:
@@ -129,10 +130,49 @@ def grid_fit(points: DataFrame, x: str, y: str, steps: DataFrame, shift: str) ->
     return fit.orderBy(F.desc("fit"), shift).limit(1)
 
 
-def robust(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """mean, median, p95 (linear), greatest and count of a value."""
+#: The shares of values below what robust gives, by name.
+SHARES = {"median": 0.5, "p95": 0.95}
+#: Groups of more values are cut into stretches, by edges from a sketch of this accuracy.
+MANY, ACCURACY = 100_000, 2_000
+
+
+def robust(rows: DataFrame, value: str, *by: str, many: int = MANY) -> DataFrame:
+    """mean, median, p95 (linear, exact), greatest and count of a value.
+
+    No task has all values of a group: those of many values are cut by edges close around each percentile. Stretches are counted, and different values meet only of those that hold a percentile. The edges are sketched, but the counts are not: bad ones would make long stretches, not other results.
+    """
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("most"), F.count(v).alias("n"))
+    edges, part, size, before, end, cut = map(own, ("edges", "part", "size", "before", "end", "cut"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(own(c))) for c in by], F.lit(True))
+    named = [F.col(c).alias(own(c)) for c in by]
+    around = [max(0.0, min(1.0, share + d / ACCURACY)) for share in SHARES.values() for d in (-2, 2)]
+    sketched = F.approx_percentile(v, around, ACCURACY).alias(edges)
+    stats = durable(rows.groupBy(*by).agg(F.avg(v).alias("mean"), F.max(v).alias("most"), F.count(v).alias("n"), sketched))
+    cuts = stats.filter(F.col("n") > many).select(*named, edges)  # a row for so many of the table
+    beyond = F.coalesce(reduce(add, [(v > F.col(edges)[i]).cast("int") for i in range(len(around))]), F.lit(0))
+    parts = rows.filter(v.isNotNull()).join(F.broadcast(cuts), same, "left").select(*by, value, F.col(edges).isNotNull().alias(cut), beyond.alias(part))
+
+    group = Window.partitionBy(*by)
+    sizes = parts.filter(cut).groupBy(*by, part).agg(F.count("*").alias(size))
+    spans = sizes.withColumn(end, F.sum(size).over(group.orderBy(part))).withColumn("n", F.sum(size).over(group))
+    place = {name: (F.col("n") - 1) * share for name, share in SHARES.items()}
+    holds = lambda rank: (F.col(end) > rank) & (F.col(end) - F.col(size) <= rank)
+    wanted = spans.filter(reduce(or_, [holds(f(p)) for p in place.values() for f in (F.floor, F.ceil)]))
+    wanted = wanted.select(*named, F.col(part).alias(own("of")), (F.col(end) - F.col(size)).alias(before))
+
+    found = parts.join(F.broadcast(wanted), same & (F.col(part) == F.col(own("of"))), "left").filter(~F.col(cut) | F.col(before).isNotNull())
+    counts = found.groupBy(*by, F.coalesce(before, F.lit(0)).alias(before), value).agg(F.count("*").alias(size))
+    ended = counts.withColumn(end, F.col(before) + F.sum(size).over(Window.partitionBy(*by, before).orderBy(value)))
+    met = stats.join(ended.select(*named, v.cast("double").alias(part), size, end), same, "left")
+    at = lambda rank: F.max(F.when(holds(rank), F.col(part)))
+    first = [F.first(c).alias(c) for c in ("mean", "most", "n")]
+    got = met.groupBy(*by).agg(*first, *[at(f(p)).alias(own(f"{name}_{i}")) for name, p in place.items() for i, f in enumerate((F.floor, F.ceil))])
+
+    def between(name: str, p: Column) -> Column:
+        low, high = F.col(own(f"{name}_0")), F.col(own(f"{name}_1"))
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high).alias(name)
+
+    return got.select(*by, "mean", *[between(name, p) for name, p in place.items()], "most", "n")
 
 
 def path_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -140,3 +140,42 @@ def test_names_are_parsed_once_a_row(spark):
     """The filter on what was parsed held every pattern again, for each of its columns; one row group was one task."""
     made = plan(registry.queries()["file_names"](spark, str(DATA)))
     assert "RepartitionByExpression" in made and made.count("학기(중간|기말)_") < 20
+
+
+def shuffled(spark, made):
+    """The most bytes that a stage of made() read from shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    rows = made().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    after = stages()
+    return rows, max(s.shuffleReadBytes() for s in map(after.apply, range(after.size())) if s.stageId() not in known)
+
+
+def test_percentiles_of_many_different_values(spark):
+    """All different values of a group met in one task, twice: 7.3 MB of shuffle for these, and the more the larger the table."""
+    rows = spark.range(0, 600_000, 1, 4).selectExpr("'g' as g", "double(id * 7919 % 600000) as v")
+    (got,), read = shuffled(spark, lambda: relational.robust(rows, "v", "g"))
+    assert (got["g"], got["mean"], got["median"], got["most"], got["n"]) == ("g", 299999.5, 299999.5, 599999.0, 600_000)
+    assert got["p95"] == pytest.approx(599_999 * 0.95, abs=1e-6)
+    assert read < 400_000
+
+
+@pytest.mark.parametrize("edges", ["sketched", "least", "reversed", "null"])
+def test_percentiles_in_stretches(spark, monkeypatch, edges):
+    """As Spark's own percentile of all values at once, wherever the edges lie: ties, few values, nulls, NaN and infinity, groups of null and of nothing."""
+    sketch = F.approx_percentile
+    bad = {"least": lambda v, *_: F.array(*[F.min(v)] * 4), "reversed": lambda v, *a: F.reverse(sketch(v, *a)), "null": lambda v, *_: F.array(*[F.lit(None).cast("double")] * 4)}
+    odd = "case when g = 'ties' then id % 3 when g = 'one' then 7 when g = 'none' then null when g = 'odd' and id % 4 = 0 then double('NaN') when g = 'odd' and id % 4 = 1 then double('-inf') when id % 11 = 0 then null else pow(id * 7919 % 3001, 3) / 7 end"
+    rows = spark.range(0, 9_000, 1, 3).selectExpr("id", "element_at(array('ties', 'one', 'none', 'odd', 'plain', null), int(id % 6) + 1) as g", "int(id % 2) as h").selectExpr("g", "h", f"double({odd}) as v")
+    rows = rows.unionByName(spark.createDataFrame([("two", 0, 1.0), ("two", 0, 2.0), ("single", 1, 5.0)], rows.schema))
+    cases = [(["g"], rows, 0), (["g", "h"], rows, 500), ([], rows, 0), ([], rows.filter("g = 'absent'"), 0)]
+    for by, some, many in cases if edges == "sketched" else cases[:1]:
+        v = F.col("v")
+        want = some.groupBy(*by).agg(F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("most"), F.count(v).alias("n")).collect()
+        with monkeypatch.context() as m:
+            m.setattr(relational.F, "approx_percentile", bad.get(edges, sketch))
+            got = relational.robust(some, "v", *by, many=many)
+        assert got.columns == [*by, "mean", "median", "p95", "most", "n"]
+        assert sorted(map(str, map(tuple, got.drop("mean").collect()))) == sorted(map(str, map(tuple, want)))
