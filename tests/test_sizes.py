@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import zipfile
 from pathlib import Path
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import fragments as fr
-from foliant.functions import glyphs, splitting
+from foliant.functions import equations, glyphs, shapes, splitting
 from foliant.functions import text as tx
 from foliant.operators import audit, ordered, relational
 from foliant.plans import registry
@@ -142,6 +143,43 @@ def test_names_are_parsed_once_a_row(spark):
     assert "RepartitionByExpression" in made and made.count("학기(중간|기말)_") < 20
 
 
+def test_equations_of_one_shape_are_read_once(spark):
+    """Every equation was read token by token, half a millisecond each way, and its spellings took fifteen patterns in Spark."""
+    met = []
+    nested = [(f"{c} over {{" * (n := 1 + k % 5)) + f"sqrt {{x_{k}}}" + "}" * n + f" LEQ x^2 over {n}" for k, c in zip(range(3_000), range(10_000, 13_000))]
+    assert shapes.worked(lambda s: met.append(s) or equations.latex_of(s), pa.array(nested)).to_pylist() == [equations.latex_of(s) for s in nested]
+    assert len(met) < 200
+    df = spark.createDataFrame([(s,) for s in nested], "x string").select(equations.to_script(equations.to_latex(F.col("x"))).alias("s"))
+    assert "regexp_replace" not in plan(df)
+    assert [r["s"] for r in df.collect()] == [equations.any_script_of(equations.latex_of(s)) for s in nested]
+
+
+def test_digits_that_move_repeat_or_go(monkeypatch):
+    """Of shapes shared or not, known from a batch before or not, long or not; marks in circles go by their value; in slices and beside nulls."""
+    monkeypatch.setattr(shapes, "AT_ONCE", 40)
+    rng = random.Random(3)
+    backwards = lambda s: s[::-1] + s[:1]
+    fs = [equations.latex_of, equations.any_script_of, equations.inline_latex_of, backwards, lambda s: "7" + s[2:4] + "0"]
+    forms = ["LEFT 1 LEFT 23 x RIGHT 4 y RIGHT", "x²³ over 2", "root 3 of {1} $4 over 5$ 가6", "٣4 over 5", r"\frac12^{3}", r"\textcircled{13} \textcircled{ 2}", r"\textcircled{1}" + "2" * 90, "12" * 400 + "가" * 200, "x", ""]
+    varied = lambda s: "".join(rng.choice("0123456789") if "0" <= c <= "9" else c for c in s)
+    for _ in range(3):
+        texts = [None, *(varied(s) for s in forms for _ in range(rng.choice([1, 5, 30]))), None]
+        rng.shuffle(texts)
+        for f in fs:
+            got = shapes.worked(f, pa.array(["before", *texts], pa.string())[1:], r"\textcircled")
+            assert got.type == pa.string() and got.to_pylist() == [None if t is None else f(t) for t in texts]
+    assert shapes.worked(len, pa.array([], pa.string())).to_pylist() == [] and shapes.worked(len, pa.array([None], pa.string())).to_pylist() == [None]
+
+
+def test_few_shapes_are_remembered(monkeypatch):
+    monkeypatch.setattr(shapes, "REMEMBERED", 20)
+    monkeypatch.setattr(shapes, "KNOWN", {})
+    texts = [f"{'a' * (k % 50)}{k}" for k in range(2_000)]
+    for _ in range(2):
+        assert shapes.worked(str.upper, pa.array(texts)).to_pylist() == [t.upper() for t in texts]
+    assert len(shapes.KNOWN) == 20
+
+
 def shuffled(spark, made):
     """The most bytes that a stage of made() read from shuffles."""
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
